@@ -1,0 +1,21 @@
+"""The queries of this package and, where SQL can express them, their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .substring_dedup import substring_digests
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op1_substring_dedup": op1_substring_dedup}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
