@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .simhash import simhash_components
 from .substring_dedup import substring_digests
+from .tokens import bpe_digests
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op7_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
