@@ -115,4 +115,6 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES) -> Data
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return quality_rules(inner, names[text_col], rules).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+    # A row number is not deterministic, so the filter isn't pushed below the measures and they are computed once.
+    judged = quality_rules(inner, names[text_col], rules).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("kept AND __row >= 0").select(*[F.col(n).alias(c) for c, n in names.items()])
