@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import ship
 from .decontaminate import decontamination_digests
+from .html import extract_html
 from .quality import quality_rules
 from .simhash import simhash_components
 from .substring_dedup import substring_digests
@@ -36,6 +37,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -50,7 +55,7 @@ def _shipped(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op7_bpe, op8_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op5_html_extraction, op7_bpe, op8_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
