@@ -6,15 +6,19 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .cluster import ship
+from .chat import chat_digests, format_chat
+from .cluster import cut, ship
 from .decontaminate import decontamination_digests
 from .html import extract_html
+from .licenses import license_scan
 from .quality import quality_rules
 from .simhash import simhash_components
 from .substring_dedup import substring_digests
 from .tokenfile import token_file_digests
 from .tokens import bpe_digests
+from .url_filter import url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +29,28 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: The dated list of the query: (kind, key, action, day).
+URL_LIST = (
+    ("domain", "spam-farm.example.org", "add", "2024-02-10"),
+    ("domain", "spam-farm.example.org", "remove", "2024-06-01"),
+    ("domain", "spam-farm.example.org", "add", "2024-09-15"),
+    ("domain", "cheap-pills.example.com", "add", "2024-03-01"),
+    ("domain", "tionsh.example.net", "add", "2024-05-20"),
+    ("domain", "tionsh.example.net", "remove", "2024-08-20"),
+    ("prefix", "thther.example.org/en", "add", "2024-04-01"),
+    ("prefix", "blog.ththan.example.net", "add", "2024-07-01"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list of its fetch time; pages have none, so page_id gives the day of 2024."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("timestampadd(DAY, CAST(page_id % 366 AS INT), TIMESTAMP'2024-01-01 00:00:00')"))
+    values = ", ".join(f"('{kind}', '{key}', '{action}', TIMESTAMP'{day} 00:00:00')" for kind, key, action, day in URL_LIST)
+    entries = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, key, action, day)")
+    return url_filter(captures, entries)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -37,10 +63,23 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, -1, whose texts look like control strings: written, and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
+    written, _ = cut(format_chat(table.unionByName(more)), "chat")
+    return chat_digests(written)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -55,7 +94,7 @@ def _shipped(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op5_html_extraction, op7_bpe, op8_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
