@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from derivata.llm.cluster import cut, ship
+from derivata.llm.cluster import cut
 from derivata.llm.decontaminate import clean_documents
 from derivata.llm.quality import quality_filter
 from derivata.llm.simhash import simhash_dedup
 from derivata.llm.substring_dedup import substring_dedup
 from derivata.llm.tokens import bpe_tokens
+from derivata.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

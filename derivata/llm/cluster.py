@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,17 +56,3 @@ def drop(spark: SparkSession, *paths: str) -> None:
 def buckets(spark: SparkSession, each: int = 8) -> int:
     """How many hash buckets packed messages go to: some for each shuffle partition, so that they even out."""
     return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Spark send this package to all workers, once a context, so that their Python can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_derivata_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="derivata-"), "derivata.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for file in sorted(top.rglob("*.py")):
-            z.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(path))
-    context._derivata_sent = True

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .chat import chat_digests, format_chat
-from .cluster import cut, ship
+from .cluster import cut
 from .decontaminate import decontamination_digests
 from .html import extract_html
 from .licenses import license_scan
