@@ -41,6 +41,9 @@ CLOSES_P = BLOCKS - frozenset("body head html li dd dt tr td th tbody thead tfoo
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
+#: Elements that can be a template inside an article, if they have a class or id; its plain blocks always stay.
+CONTAINERS = frozenset("div section ul ol dl table figure".split())
+
 #: Elements that are no article, and words in class or id that say so.
 NO_ARTICLE = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object svg canvas audio video dialog menu search label fieldset".split())
 NOISE = frozenset(
@@ -58,10 +61,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "out", "main", "children", "texts", "chars")
+    __slots__ = ("tag", "path", "out", "main", "branch", "children", "texts", "chars")
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool):
-        self.tag, self.path, self.out, self.main = tag, path, out, main
+    def __init__(self, tag: str, path: str, out: bool, main: bool, branch: bool = False):
+        self.tag, self.path, self.out, self.main, self.branch = tag, path, out, main, branch
         self.children: list[str] = []
         self.texts: list[int] = []
         self.chars = 0
@@ -83,7 +86,7 @@ def _attributes(raw: str) -> tuple[str, set[str], bool]:
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node], bool]:
-    """Blocks (text, path, inside main, paths of the branch) outside of what markup rules out, the nodes, and whether
+    """Blocks (text, path, inside main, paths that may be removed) outside of what markup rules out, the nodes, and whether
     the page has a main element."""
     root = _Node("", "", False, False)
     stack, nodes, blocks, buffer = [root], [], [], []
@@ -94,7 +97,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
             text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
             if text and not stack[-1].out:
-                blocks.append((text, stack[-1].path, stack[-1].main, [x.path for x in stack[1:]]))
+                blocks.append((text, stack[-1].path, stack[-1].main, [x.path for x in stack[1:] if x.branch or not x.main]))
                 mark = xxhash.xxh64_intdigest(text)
                 for x in stack:
                     x.texts.append(mark)
@@ -161,7 +164,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
             continue  # plain inline markup
         flush()
         has_main |= main and tag in ("article", "main")
-        node = _Node(tag, f"{up.path}/{tag}{label}", out, main)
+        node = _Node(tag, f"{up.path}/{tag}{label}", out, main, bool(label) and tag in CONTAINERS)
         up.children.append(tag + label)
         stack.append(node)
         if not out:

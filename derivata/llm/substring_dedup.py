@@ -178,7 +178,7 @@ def _minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _window_messages(n_buckets: int, window: int):
-    block = (window + 1) // 2
+    block, run_words = (window + 1) // 2, min(RUN, window)
     edge = np.uint64(n_buckets)
 
     def send(held):
@@ -230,7 +230,7 @@ def _window_messages(n_buckets: int, window: int):
                     anchor = np.minimum(np.arange(len(h)) - inside + -(-inside // block) * block, len(h))
                     p = np.flatnonzero(fits & hot[anchor])
                     a, b = rolling(h, window, 21)[p] & LOW, rolling(h, window, 22)[p] & LOW
-                    least = _minima(rolling(h, RUN, 23), window - RUN + 1)[p]
+                    least = _minima(rolling(h, run_words, 23), window - run_words + 1)[p]
                     held.append((_keys(batch), a, b, least, np.repeat(np.arange(len(n)), n)[p] + base, inside[p]))
                     base += len(n)
                 size += len(buf)
