@@ -57,7 +57,7 @@ def padded_id(prefix: str, number: Column, digits: int) -> Column:
 
 
 def three_decimals(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", value), F.lit("not evaluated"))
+    return F.when(value.isNotNull(), F.format_string("%.3f", value)).otherwise("not evaluated")
 
 
 def frame_times(duration: Column, fps: float, most: int) -> Column:
