@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import oracle
 from .chat import chat_digests, format_chat
 from .cluster import cut
 from .decontaminate import decontamination_digests
@@ -49,7 +50,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = pages.withColumn("fetched_at", F.expr("timestampadd(DAY, CAST(page_id % 366 AS INT), TIMESTAMP'2024-01-01 00:00:00')"))
     values = ", ".join(f"('{kind}', '{key}', '{action}', TIMESTAMP'{day} 00:00:00')" for kind, key, action, day in URL_LIST)
     entries = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, key, action, day)")
-    return url_filter(captures, entries)
+    day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    return url_filter(captures, entries).select("page_id", "url", day("fetched_at", "fetched_on"), "blocked", "list_kind", "list_key", day("listed_since", "listed_since"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": oracle.OP1,
+        "op2_quality_rules": oracle.OP2,
+        "op6_chat_format": oracle.OP6,
+        "op8_decontamination": oracle.OP8,
+        "op9_url_filter": oracle.op9(URL_LIST),
+    }

@@ -84,7 +84,7 @@ def test_packing_round_trip():
 
 def test_token_files(spark, odd, tmp_path, monkeypatch):
     ship(spark)
-    rows = [(i * 7 % 413, t, "", "") for i, t in enumerate(odd)]
+    rows = [(i * 7 % 419, t, "", "") for i, t in enumerate(odd)]
     folder = f"file://{tmp_path}/t"
     tokenfile.write_tokens(spark.createDataFrame(rows, SCHEMA), folder)
     got = tokenfile.read_tokens(spark, folder).orderBy("start").collect()
