@@ -149,6 +149,41 @@ class Splitter:
             at = at[~ok]
 
 
+class _Index:
+    """Numbers of 64-bit hashes in sorted arrays: a large one, and a small one of what came last.
+
+    A Python dictionary of as many words takes eight times the memory, which idle workers keep."""
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+        self.n = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it is new."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, numbers in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                same = known[at] == hashes
+                out[same] = numbers[at[same]]
+        return out
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Number new hashes, in their order."""
+        numbers = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.n += len(hashes)
+        self.parts[1] = self._joined(self.parts[1], (hashes, numbers))
+        if len(self.parts[1][0]) > 50_000 + len(self.parts[0][0]) // 4:
+            self.parts = [self._joined(*self.parts), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        return numbers
+
+    @staticmethod
+    def _joined(a, b):
+        hashes, numbers = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], numbers[order]
+
+
 class _Words:
     """Token ids of distinct words, kept between batches."""
 
@@ -157,25 +192,25 @@ class _Words:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.at, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.index = _Index()
+        self.ids, self.at, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
 
     def of_words(self, words: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         found = self.of_words(words)
         n = np.fromiter(map(len, found), np.int64, len(found))
         total = int(n.sum())
-        k, need = len(self.known), self.used + total
+        k, need = self.index.n, self.used + total
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), np.int32)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids) // 2), np.int32)])
         if k + len(n) > len(self.at):
-            self.at, self.n = (np.concatenate([x, np.zeros(max(k + len(n), len(x)), np.int64)]) for x in (self.at, self.n))
+            self.at, self.n = (np.concatenate([x, np.zeros(max(len(n), len(x) // 2), np.int32)]) for x in (self.at, self.n))
         self.ids[self.used : need] = np.fromiter(itertools.chain.from_iterable(found), np.int32, total)
         self.at[k : k + len(n)], self.n[k : k + len(n)] = self.used + np.cumsum(n) - n, n
         self.used = need
-        self.known.update(zip(hashes, range(k, k + len(n)), strict=True))
+        return self.index.add(hashes)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each one's begin (n + 1 values)."""
@@ -187,13 +222,13 @@ class _Words:
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if self.used > CACHED_IDS:
             self.forget()
-        listed = distinct.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.known]
-        if new:
+        number = self.index.find(distinct)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             data, w = buf.tobytes(), where[new]
-            self._learn([listed[i] for i in new], [data[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
-        word = np.fromiter((self.known[h] for h in listed), np.int64, len(listed))[back]
-        n = self.n[word]
+            number[new] = self._learn(distinct[new], [data[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
+        word = number[back]
+        n = self.n[word].astype(np.int64)
         stops = np.cumsum(n)
         ids = self.ids[np.arange(int(stops[-1])) - np.repeat(stops - n - self.at[word], n)]
         return ids, np.concatenate([[0], stops])[first]
