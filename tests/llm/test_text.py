@@ -107,14 +107,14 @@ def test_token_files_of_ties_nulls_and_nothing(spark):
 
 
 def test_quality_measures_and_verdicts(spark):
-    good = " ".join(f"the house number{chr(97 + i % 26)}{chr(97 + i // 26)} is of wood" for i in range(30))
+    good = " ".join(f"the house{chr(97 + i % 26)}{chr(97 + i // 26)} of" for i in range(30))
     texts = [None, "", " \n\t", "one two", "a b c a b c", "x\x0by\x0cz\rq", good, good + "\n...\n...", "### *** $$$ " * 40, good.replace(" ", "# "), " ".join(["word"] * 60), "q " * 49 + "q", "ünï → ok\nünï → ok\n  ünï → ok"]
     df = spark.createDataFrame([(i, t, "", "shadow") for i, t in enumerate(texts)], SCHEMA)
     for r in quality.quality_rules(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain.quality(texts[r.doc_id]), texts[r.doc_id]
-        assert r.kept == (r.doc_id in (6, 7))
+        assert r.kept == (r.doc_id == 6)  # the next one has lines of dots
     kept = quality.quality_filter(df).collect()
-    assert sorted(r.doc_id for r in kept) == [6, 7] and kept[0].kept == "shadow" and kept[0].text == texts[kept[0].doc_id]
+    assert [r.doc_id for r in kept] == [6] and kept[0].kept == "shadow" and kept[0].text == good
     assert quality.quality_rules(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
