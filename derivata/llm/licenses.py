@@ -73,6 +73,9 @@ KNOWN_NOTICES = {
 #: Notices are looked up in a literal table, so their number is bounded; more are refused.
 MOST_NOTICES = 1000
 
+#: So many known texts, a digest and a name each, are broadcast.
+MOST_BROADCAST = 10_000
+
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©)[^\n]*$|\ball rights reserved\b\.?"
 
 
@@ -107,6 +110,9 @@ def license_scan(docs: DataFrame, text_col: str = "text", known: DataFrame | Non
     texts, notices = (known.where(F.col("kind") == k).select("digest", "license_id") for k in ("text", "notice"))
     if twice := texts.groupBy("digest").agg(F.countDistinct("license_id").alias("n")).where("n > 1").limit(1).collect():
         raise ValueError(f"licences of one digest: {twice[0].digest}")
+    side = texts.select(F.col("digest").alias("td"), F.col("license_id").alias("tl"))
+    if texts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        side = F.broadcast(side)  # else both sides are dealt by digest
     added = ("license_id", "text_digest", "notice_ids")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in added}
     text = F.col(names[text_col])
@@ -114,7 +120,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", known: DataFrame | Non
     df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     lines = F.when(hint, F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(ANCHORS))))
     df = df.select(*names.values(), F.when(hint, digest(text)).alias("d"), F.coalesce(F.transform(lines, digest), F.array().cast("array<string>")).alias("l"))
-    found = df.join(texts.select(F.col("digest").alias("td"), F.col("license_id").alias("tl")), F.coalesce("d", F.concat(F.lit("-"), F.xxhash64(*names.values()).cast("string"))) == F.col("td"), "left")
+    found = df.join(side, F.coalesce("d", F.concat(F.lit("-"), F.xxhash64(*names.values()).cast("string"))) == F.col("td"), "left")
     bounded = {r.digest: r.license_id for r in notices.groupBy("digest").agg(F.min("license_id").alias("license_id")).limit(MOST_NOTICES + 1).collect()}
     if len(bounded) > MOST_NOTICES:
         raise ValueError(f"more than {MOST_NOTICES} notices")

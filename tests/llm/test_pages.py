@@ -119,3 +119,12 @@ def test_url_lists_in_time(spark):
     assert [r.list_key for r in got] == [k for _, _, k in cases] and [r.blocked for r in got] == [k is not None for _, _, k in cases]
     assert got[2].listed_since.day == 10
     assert url_filter.url_filter(df.where(F.lit(False)), entries).collect() == []
+
+
+def test_license_scan_without_broadcast(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([None, licenses.KNOWN_TEXTS["MIT"], licenses.KNOWN_TEXTS["MIT"], "x"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    small = [r.license_id for r in licenses.license_scan(df).orderBy("doc_id").collect()]
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", 0)
+    plan = licenses.license_scan(df)
+    assert [r.license_id for r in plan.orderBy("doc_id").collect()] == small == [None, "MIT", "MIT", None]
