@@ -11,6 +11,11 @@ HASH_BITS = 64
 UINT32 = 0xFFFFFFFF
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside higher-order functions nothing shares an expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hash_from_hex(hex_text: Column) -> Column:
     """The signed bigint of a 16-digit hex hash; null where it isn't one."""
     clean = F.lower(F.trim(hex_text))
@@ -47,10 +52,10 @@ def score32(distance: Column) -> Column:
 def hash_from_coefficients(vector: Column) -> Column:
     """64 coefficients to bits: the first counts as 0, a bit is 1 above the median, first coefficient highest."""
     v = F.transform(vector, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x.cast("double")))
-    ordered = F.array_sort(v)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    bits = F.transform(v, lambda x, i: F.when(x > median, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63) - i)).otherwise(F.lit(0).cast("bigint")))
-    return F.when(F.size(vector) == HASH_BITS, F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63) - i)
+    pack = lambda v, median: F.aggregate(F.transform(v, lambda x, i: F.when(x > median, bit(i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    middle = lambda v: let(F.sort_array(v), lambda s: (F.get(s, 31) + F.get(s, 32)) / 2)
+    return F.when(F.size(vector) == HASH_BITS, let(v, lambda v: let(middle(v), lambda m: pack(v, m))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bits import let
+
 PAIR = "struct<a:double,b:double>"
 
 
@@ -32,7 +34,10 @@ def total(intervals: Column) -> Column:
 
 def overlap(left: Column, right: Column) -> Column:
     """Length common to two interval sets; each is merged first."""
-    return F.aggregate(merge(left), F.lit(0.0), lambda s, x: s + F.aggregate(merge(right), F.lit(0.0), lambda t, y: t + F.greatest(F.lit(0.0), F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"]))))
+    shared = lambda x, y: F.greatest(F.lit(0.0), F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"]))
+    add = lambda s, x: s + x
+    each = lambda x, r: F.aggregate(F.transform(r, lambda y: shared(x, y)), F.lit(0.0), add)
+    return let(merge(right), lambda r: F.aggregate(F.transform(merge(left), lambda x: each(x, r)), F.lit(0.0), add))
 
 
 def iou(claimed: Column, truth: Column) -> Column:

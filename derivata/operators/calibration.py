@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bits import let
 from ..functions.statistics import f1, nearest_rank, rate
 from .decisions import AMBIGUITY_MARGIN, truth_of
 
@@ -34,15 +35,13 @@ def distributions(samples: DataFrame, by: list[str]) -> DataFrame:
 
 def overlap_hint(positives: Column, negatives: Column) -> Column:
     """How far two arrays of scores overlap: share of negatives at or above the upper median of positives."""
-    p, n = F.array_sort(positives), F.array_sort(negatives)
-    upper = lambda x: F.try_element_at(x, F.floor(F.size(x) / 2).cast("int") + 1)
-    share = F.try_divide(F.size(F.filter(n, lambda x: x >= upper(p))).cast("double"), F.size(n).cast("double"))
+    upper = lambda x: let(F.sort_array(x), lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
+    share = lambda middle: F.try_divide(F.size(F.filter(negatives, lambda x: x >= middle)).cast("double"), F.size(negatives).cast("double"))
+    name = lambda s: F.when(s > 0.4, "high_overlap").when(s > 0.15, "moderate_overlap").otherwise("low_overlap")
     return (
-        F.when((F.size(p) == 0) | (F.size(n) == 0), "insufficient_data")
-        .when(upper(p) <= upper(n), "inverted_or_collapsed")
-        .when(share > 0.4, "high_overlap")
-        .when(share > 0.15, "moderate_overlap")
-        .otherwise("low_overlap")
+        F.when((F.size(positives) == 0) | (F.size(negatives) == 0), "insufficient_data")
+        .when(upper(positives) <= upper(negatives), "inverted_or_collapsed")
+        .otherwise(let(upper(positives), lambda m: name(share(m))))
     )
 
 
