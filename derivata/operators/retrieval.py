@@ -47,19 +47,21 @@ def _block_top(ids: np.ndarray, hashes: np.ndarray, k: int):
     return run
 
 
-def nearest(queries: DataFrame, registry: DataFrame, k: int = 10) -> DataFrame:
+def nearest(queries: DataFrame, registry: DataFrame, k: int = 10, others: bool = False) -> DataFrame:
     """(candidate, parent, distance, rank): the k registered hashes nearest to each query (id, hash), ties by parent.
+    With ``others``, queries are rows of the registry, and a query is no neighbour of itself.
 
     Queries are a stated set: they go by blocks to the registry's partitions, each of which keeps k rows a query, so
     the pairs themselves never become rows and the shuffle carries k rows a query and partition. Null hashes have no
     neighbours."""
     registry = registry.where("hash IS NOT NULL").select("id", "hash")
+    most = k + 1 if others else k  # room for the query itself
     block: list = []
     parts = []
 
     def close():
         ids, hashes = (np.array(x, np.int64) for x in zip(*block, strict=True))
-        parts.append(registry.mapInArrow(_block_top(ids, hashes, k), "candidate bigint, parent bigint, distance bigint"))
+        parts.append(registry.mapInArrow(_block_top(ids, hashes, most), "candidate bigint, parent bigint, distance bigint"))
         block.clear()
 
     for row in queries.where("hash IS NOT NULL").select("id", "hash").toLocalIterator():
@@ -73,6 +75,8 @@ def nearest(queries: DataFrame, registry: DataFrame, k: int = 10) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)
+    if others:
+        found = found.where("candidate <> parent")
     order = W.partitionBy("candidate").orderBy("distance", "parent")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -97,15 +101,32 @@ def banded_pairs(left: DataFrame, right: DataFrame, most: int = 3, bands: int =
 
 
 
-def exact_matches(candidates: DataFrame, assets: DataFrame, on: str = "sha256") -> DataFrame:
+def least_ids(assets: DataFrame, on: str) -> DataFrame:
+    """(``on``, n, first, second): the number of ids of each value, the least one, and the next or null. No value's ids
+    are gathered."""
+    ids = assets.where(F.col(on).isNotNull()).select(on, "id")
+    known = ids.groupBy(on).agg(F.countDistinct("id").alias("n"), F.min("id").alias("first"))
+    beyond = ids.join(known.where("n > 1").select(on, "first"), on).where("id > first").groupBy(on).agg(F.min("id").alias("second"))
+    return known.join(beyond, on, "left")
+
+
+def exact_matches(candidates: DataFrame, assets: DataFrame, on: str = "sha256", others: bool = False) -> DataFrame:
     """(candidate, n_parents, first_parent) of candidates whose digest is registered. Assets of one digest are one row
-    before the join, so a digest of many copies on both sides makes no pairs of them."""
+    before the join, so a digest of many copies on both sides makes no pairs of them. With ``others``, candidates are
+    assets themselves, and an asset is no parent of itself."""
+    asked = candidates.select(F.col("id").alias("candidate"), on)
+    if others:
+        first = F.when(F.col("candidate") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+        return asked.join(least_ids(assets, on), on).where("n > 1").select("candidate", (F.col("n") - 1).alias("n_parents"), first.alias("first_parent"))
     known = assets.where(F.col(on).isNotNull()).groupBy(on).agg(F.countDistinct("id").alias("n_parents"), F.min("id").alias("first_parent"))
-    return candidates.select(F.col("id").alias("candidate"), on).join(known, on).select("candidate", "n_parents", "first_parent")
+    return asked.join(known, on).select("candidate", "n_parents", "first_parent")
 
 
-def unmatched(candidates: DataFrame, assets: DataFrame, on: str = "sha256") -> DataFrame:
-    """Candidates whose digest is not registered: those that dear comparisons are for."""
+def unmatched(candidates: DataFrame, assets: DataFrame, on: str = "sha256", others: bool = False) -> DataFrame:
+    """Candidates whose digest is not registered: those that dear comparisons are for. With ``others``, candidates are
+    assets themselves, and an asset's own row does not count."""
+    if others:
+        return candidates.join(assets.groupBy(on).agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b"), on, "left_anti")
     return candidates.join(assets.select(on).distinct(), on, "left_anti")
 
 

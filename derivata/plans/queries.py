@@ -40,7 +40,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY distance, par
 
 def _top(spark, d):
     h = fx.hashes(spark, d)
-    return retrieval.nearest(h.where("id % 5 = 0"), h.where("id % 5 <> 0"), 10)
+    return retrieval.nearest(h.where("id % 5 = 0"), h, 10, others=True)
 
 
 @query(f"{_TOP} SELECT candidate, parent, distance, rank FROM top")
@@ -58,8 +58,8 @@ def retrieval_margin(spark, d):
 @query(f"{_TOP}, t AS (SELECT a.id AS candidate, min(b.id) AS parent FROM hashes a JOIN hashes b ON a.label = b.label AND a.id % 5 = 0 AND b.id % 5 <> 0 GROUP BY a.id), h AS (SELECT t.candidate, min(top.rank) AS rank FROM t LEFT JOIN top ON top.candidate = t.candidate AND top.parent = t.parent GROUP BY t.candidate) SELECT k::BIGINT AS k, count(*) FILTER (WHERE rank <= k)::BIGINT AS hits, count(*)::BIGINT AS n FROM h, (VALUES (1), (5), (10)) ks(k) GROUP BY k")
 def retrieval_recall(spark, d):
     h = fx.hashes(spark, d)
-    first = h.where("id % 5 <> 0").groupBy("label").agg(F.min("id").alias("parent"))
-    truth = h.where("id % 5 = 0").join(first, "label").select(F.col("id").alias("candidate"), "parent")
+    parent = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("parent")
+    truth = h.where("id % 5 = 0").join(retrieval.least_ids(h, "label"), "label").where("n > 1").select(F.col("id").alias("candidate"), parent)
     return retrieval.recall_at(_top(spark, d), truth)
 
 
@@ -85,13 +85,13 @@ _ASSETS = "assets AS (SELECT doc_id AS id, sha256(text) AS sha256 FROM documents
 @query(f"WITH {_ASSETS} SELECT c.id AS candidate, count(DISTINCT a.id)::BIGINT AS n_parents, min(a.id) AS first_parent FROM assets c JOIN assets a ON a.sha256 = c.sha256 AND c.id % 5 = 0 AND a.id % 5 <> 0 GROUP BY c.id")
 def exact_join(spark, d):
     a = _assets(spark, d)
-    return retrieval.exact_matches(a.where("id % 5 = 0"), a.where("id % 5 <> 0"))
+    return retrieval.exact_matches(a.where("id % 5 = 0"), a, others=True)
 
 
 @query(f"WITH {_ASSETS} SELECT id FROM assets c WHERE id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM assets a WHERE a.id % 5 <> 0 AND a.sha256 = c.sha256)")
 def anti_join(spark, d):
     a = _assets(spark, d)
-    return retrieval.unmatched(a.where("id % 5 = 0"), a.where("id % 5 <> 0")).select("id")
+    return retrieval.unmatched(a.where("id % 5 = 0"), a, others=True).select("id")
 
 
 @query(f"WITH {_ASSETS} SELECT sha256, count(DISTINCT id)::BIGINT AS n_ids, min(id) AS first_id FROM assets GROUP BY sha256 HAVING count(DISTINCT id) > 1")
