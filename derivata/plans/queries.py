@@ -72,7 +72,7 @@ def target_sets(spark, d):
 @query(f"WITH {fx.HASHES} SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM hashes a JOIN hashes b ON bit_count(xor(a.hash, b.hash)) <= 15 AND a.id % 2 = 0 AND b.id % 2 = 1")
 def banded_join(spark, d):
     h = fx.hashes(spark, d)
-    return retrieval.banded_pairs(h.where("id % 2 = 0"), h.where("id % 2 = 1"), 15, 16)
+    return retrieval.banded_pairs(h, h, 15, 16).where("left_id < right_id")
 
 
 def _assets(spark, d):

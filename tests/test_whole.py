@@ -47,3 +47,7 @@ SEARCHES = {
 @pytest.mark.parametrize("name", SEARCHES)
 def test_searches_leave_out_the_query_only(spark, small, name):
     same(spark, small, name, SEARCHES[name])
+
+
+def test_banded_join_pairs_ids_of_any_parity(spark, small):
+    same(spark, small, "banded_join", f"WITH {fx.HASHES} SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM hashes a JOIN hashes b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 15")
