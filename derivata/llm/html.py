@@ -55,7 +55,8 @@ NOISE = frozenset(
 OUTER_NOISE = frozenset(["header", "topbar", "top"])
 
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z][^>]*>|[!?/][^>]*>)""", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A name and its whole value, so that what a value says is no name.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -74,10 +75,11 @@ def _attributes(raw: str) -> tuple[str, set[str], bool]:
     if not raw or ("=" not in raw and "hidden" not in raw.lower()):
         return "", set(), False
     label, words, hidden = "", set(), False
-    for name, a, b, c in _NAMES.findall(raw):
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
         value, name = a or b or c, name.lower()
         if name == "hidden":
             hidden = True
+        if name not in ("class", "id", "role"):
             continue
         if name != "role":
             label += (".", "#")[name == "id"] + value.strip()

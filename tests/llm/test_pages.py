@@ -128,3 +128,16 @@ def test_license_scan_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MOST_BROADCAST", 0)
     plan = licenses.license_scan(df)
     assert [r.license_id for r in plan.orderBy("doc_id").collect()] == small == [None, "MIT", "MIT", None]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article style="overflow: hidden"><p>x</p></article>', "x"),
+        ('<p title="a hidden gem">x</p><p data-a=\'b hidden c\' hidden-x>y</p>', "x\ny"),
+        ('<p title="class=ad id=menu">x</p>', "x"),
+        ('<p class="a"hidden>no</p><p HIDDEN>no</p><p hidden="until-found">no</p><div title=a/b class=ad>no</div><p>x</p>', "x"),
+    ],
+)
+def test_values_are_no_names(page, text):
+    assert html.main_text(page, set()) == text
