@@ -8,7 +8,8 @@ it is 1. Branches of low importance are templates and are removed from each page
 
 What markup states outright needs no statistics: scripts, styles, forms, navigation, footers, asides and elements
 whose class or id calls them adverts, notices, comments and the like are no article; inside <article> or <main>, if
-a page has one, all else is.
+a page has one, all else is. There only containers with such a name as a whole class or id are ruled out, and the page,
+its body and its article never are by their names.
 
 Counts are aggregated by (host, node, value) before any host's rows meet, so a host with a third of all pages is no
 hot group. A page without html is empty; one without a url has no host, so markup alone decides. Markup errors
@@ -51,6 +52,8 @@ NOISE = frozenset(
     "comment comments commentlist disqus replies reply respond menu nav navbar navigation breadcrumb breadcrumbs footer masthead related recommended recommendations "
     "share sharing social newsletter subscribe subscription signup login popup modal overlay toolbar widget widgets pagination pager skip copyright".split()
 )
+#: Elements that hold the page or its article; no word of theirs rules them out.
+WHOLE = frozenset("html body main article".split())
 #: Words that say so outside of an article only.
 OUTER_NOISE = frozenset(["header", "topbar", "top"])
 
@@ -71,10 +74,11 @@ class _Node:
         self.chars = 0
 
 
-def _attributes(raw: str) -> tuple[str, set[str], bool]:
+def _attributes(raw: str) -> tuple[str, set[str], set[str], bool]:
+    """Label, words and whole tokens of class, id and role, and whether the element is hidden."""
     if not raw or ("=" not in raw and "hidden" not in raw.lower()):
-        return "", set(), False
-    label, words, hidden = "", set(), False
+        return "", set(), set(), False
+    label, words, tokens, hidden = "", set(), set(), False
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         value, name = a or b or c, name.lower()
         if name == "hidden":
@@ -84,7 +88,8 @@ def _attributes(raw: str) -> tuple[str, set[str], bool]:
         if name != "role":
             label += (".", "#")[name == "id"] + value.strip()
         words |= {w.lower() for w in _WORD.findall(value)}
-    return label, words, hidden
+        tokens.update(value.lower().split())
+    return label, words, tokens, hidden
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node], bool]:
@@ -157,9 +162,15 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
                 if stack[k].tag in ENDS[tag]:
                     close(k)
                     break
-        label, words, hidden = _attributes(m[3])
+        label, words, tokens, hidden = _attributes(m[3])
         up = stack[-1]
-        out = up.out or hidden or tag in NO_ARTICLE or bool(words & NOISE)
+        if tag in WHOLE:
+            noise = False
+        elif up.main:  # a word of a heading's slug says nothing
+            noise = tag in CONTAINERS and bool(tokens & NOISE)
+        else:
+            noise = bool(words & NOISE)
+        out = up.out or hidden or tag in NO_ARTICLE or noise
         main = up.main or ((tag in ("article", "main") or "main" in words and tag in ("div", "section")) and not out)
         out = out or (not main and (tag == "header" or bool(words & OUTER_NOISE)) and tag not in ("html", "body"))
         if tag not in BLOCKS and not (out and not up.out):

@@ -141,3 +141,17 @@ def test_license_scan_without_broadcast(spark, monkeypatch):
 )
 def test_values_are_no_names(page, text):
     assert html.main_text(page, set()) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<html class="cookie"><body class="has-sidebar comments-open"><p>x</p></body></html>', "x"),
+        ('<body><article class="post comments-open"><p>x</p></article><p>no</p></body>', "x"),
+        ('<main id="social"><h2 id="social-policy">x</h2><section id="menu-planning"><p>y</p></section></main>', "x\ny"),
+        ('<article><h2 id="menu">x</h2><p class="notice">y <span class="alert">z</span></p><div class="box ad">no</div></article>', "x\ny z"),
+        ('<div class="cookie-notice"><p>no</p></div><div id="comments"><article class="post"><p>no</p></article></div><p>x</p>', "x"),
+    ],
+)
+def test_names_rule_out_clutter_only(page, text):
+    assert html.main_text(page, set()) == text
