@@ -4,14 +4,15 @@ Pages of one host share templates. Their DOMs are merged into one style tree: a
 (tags with class and id), which keeps how often each presentation (sequence of child elements) and each content (text
 of the branch) occurred. The importance of a node is the larger of two normalised entropies over the m pages that
 have it: of its presentations, and of its contents. It is 0 where all pages agree and 1 where all differ; on one page
-it is 1. Branches of low importance are templates and are removed from each page.
+it is 1. Branches of low importance are templates and are removed from each page. Pages of one host with the same blocks
+are one page here, so that copies make no template of what only they share.
 
 What markup states outright needs no statistics: scripts, styles, forms, navigation, footers, asides and elements
 whose class or id calls them adverts, notices, comments and the like are no article; inside <article> or <main>, if
 a page has one, all else is. There only containers with such a name as a whole class or id are ruled out, and the page,
 its body and its article never are by their names.
 
-Counts are aggregated by (host, node, value) before any host's rows meet, so a host with a third of all pages is no
+Counts are aggregated by (host, page, node) and (host, node, value) before any host's rows meet, so a host with a third of all pages is no
 hot group. A page without html is empty; one without a url has no host, so markup alone decides. Markup errors
 follow the usual rules: open paragraphs end where a block begins, unknown end tags are dropped.
 """
@@ -193,13 +194,15 @@ def _node_id(path: str) -> int:
 
 
 def _style_rows(batches):
-    """(host, node, kind, value, share): a presentation (kind 0) and a content (kind 1) of each node of each page."""
-    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    """(host, page, node, style, content, share): presentation and content of each node of each page; page is the hash of
+    its blocks."""
+    kinds = (pa.string(), *[pa.int64()] * 4, pa.float64())
     for batch in batches:
         out: list[tuple] = []
         for host, page in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "html")), strict=True):
             blocks, nodes, _ = parse(page or "")
             total = sum(len(b[0]) for b in blocks) or 1
+            own_id = _node_id("\n".join(b[0] for b in blocks))
             merged: dict[str, list] = {}
             for x in nodes:
                 own = merged.setdefault(x.path, [[], [], 0])
@@ -207,17 +210,17 @@ def _style_rows(batches):
                 own[1] += x.texts
                 own[2] += x.chars
             for path, (styles, texts, chars) in merged.items():
-                node = _node_id(path)
-                out.append((host, node, 0, _node_id(";".join(styles)), chars / total))
-                out.append((host, node, 1, _node_id(",".join(map(str, texts))), chars / total))
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "node", "kind", "value", "share"])
+                out.append((host, own_id, _node_id(path), _node_id(";".join(styles)), _node_id(",".join(map(str, texts))), chars / total))
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "node", "style", "content", "share"])
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, node, importance, pages) of the branches to remove, from (host, html)."""
-    rows = pages.where("host <> ''").select("host", "html").mapInArrow(_style_rows, "host string, node bigint, kind int, value bigint, share double")
-    counts = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.sum("share").alias("share"))
+    """(host, node, importance, pages) of the branches to remove, from (host, html). Copies of a page count once."""
+    rows = pages.where("host <> ''").select("host", "html").mapInArrow(_style_rows, "host string, page bigint, node bigint, style bigint, content bigint, share double")
+    once = rows.groupBy("host", "page", "node").agg(*[F.min(c).alias(c) for c in ("style", "content", "share")])
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("style", "content"))]))
+    counts = once.select("host", "node", "share", kinds).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.sum("share").alias("share"))
     each = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"), F.sum("share").alias("share"))
     entropy = F.when(F.col("m") > 1, (F.log(F.col("m").cast("double")) - F.col("s") / F.col("m")) / F.log(F.col("m").cast("double"))).otherwise(1.0)
     tree = each.groupBy("host", "node").agg(F.max(entropy).alias("importance"), F.max("m").alias("pages"), F.max(F.col("share") / F.col("m")).alias("share"))

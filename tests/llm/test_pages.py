@@ -155,3 +155,11 @@ def test_values_are_no_names(page, text):
 )
 def test_names_rule_out_clutter_only(page, text):
     assert html.main_text(page, set()) == text
+
+
+def test_copies_make_no_template(spark):
+    ship(spark)
+    page = lambda i: f'<div class="head"><h1>Headline {i}</h1></div><div class="body"><p>text {i} with many more words, so that it is the larger part of the page</p></div>'
+    rows = [(i, "http://a.com/", page(0)) for i in range(9)] + [(9, "http://a.com/", page(1))] + [(10 + i, "http://b.com/", page(2)) for i in range(6)]
+    got = html.extract_html(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 16 and all(r.text.startswith("Headline ") and "larger part" in r.text for r in got)
