@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text is brought into a canonical form: lower case; no copyright lines; words of letters and digits alone; spellings
+A text is brought into a canonical form: lower case; no copyright statements; words of letters and digits alone; spellings
 that mean the same made one. Its digest is looked up, by hash join, among the digests of known licence texts, whole
 against whole. Lines of a document are looked up in the same way among known notices.
 
@@ -76,7 +76,9 @@ MOST_NOTICES = 1000
 #: So many known texts, a digest and a name each, are broadcast.
 MOST_BROADCAST = 10_000
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©)[^\n]*$|\ball rights reserved\b\.?"
+#: Lines that state a copyright: a sign or year follows the word, or a year the sign. Others that start so are text.
+_SIGN, _YEAR, _GAP = r"(?:\(c\)|©)", r"(?:\d{4}\b|[\[<{](?:yyyy|year))", r"[ \t:,-]*"
+_COPYRIGHT = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright{_GAP}(?:{_SIGN}|{_YEAR})|{_SIGN}{_GAP}(?:copyright{_GAP})?{_YEAR})[^\n]*$|\ball\s+rights\s+reserved\b\.?"
 
 
 def canonical(text: Column) -> Column:

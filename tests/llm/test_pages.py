@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,10 @@ def test_copies_make_no_template(spark):
     rows = [(i, "http://a.com/", page(0)) for i in range(9)] + [(9, "http://a.com/", page(1))] + [(10 + i, "http://b.com/", page(2)) for i in range(6)]
     got = html.extract_html(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert len(got) == 16 and all(r.text.startswith("Headline ") and "larger part" in r.text for r in got)
+
+
+def test_license_texts_wrapped_at_any_width(spark):
+    statements = ["Copyright (c) 2020 Foo", "  * Copyright 2001-2003, A. Author", "(C) Copyright 1999 B", "(c) 2001 B", "© 2001 B", "Copyright © Foo", "Copyright [yyyy] [name of copyright owner]"]
+    cases = [(k, f"{statements[(i + width) % len(statements)]}\n\n" + "\n".join(textwrap.fill(p, width) for p in t.split("\n"))) for i, (k, t) in enumerate(licenses.KNOWN_TEXTS.items()) for width in (20, 30, 40, 50, 60, 65, 70, 72, 75, 78, 79, 80, 100)]
+    got = licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == [k for k, _ in cases]
