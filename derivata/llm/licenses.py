@@ -1,11 +1,12 @@
 """Licence scan by canonical digests.
 
 A text is brought into a canonical form: lower case; no copyright statements; words of letters and digits alone; spellings
-that mean the same made one. Its digest is looked up, by hash join, among the digests of known licence texts, whole
+that mean the same made one; numbers and letters of lists gone where a sentence or clause has ended, however lines are
+broken. Its digest is looked up, by hash join, among the digests of known licence texts, whole
 against whole. Lines of a document are looked up in the same way among known notices.
 
-Texts that name none of the words of :data:`ANCHORS` equal no known licence, as each known one names some; they skip
-the canonical form and get a key that matches nothing, so that nulls don't gather in one task.
+Texts that name none of the words of :data:`ANCHORS` equal no built-in licence, as each names some; with the built-in
+table they skip the canonical form and get a key that matches nothing, so that nulls don't gather in one task.
 
 Null and empty texts match nothing. Repeated rows each give a row. Several licences of one digest are an error of the
 table of licences and refused.
@@ -13,6 +14,8 @@ table of licences and refused.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ SPELLINGS = {
     "sublicence": "sublicense", "sub license": "sublicense", "sub licence": "sublicense", "whilst": "while", "wilful": "willful",
 }
 
-#: Words of which every known text names at least one, before spellings are made one.
+#: Words of which every built-in text names at least one, before spellings are made one.
 ANCHORS = "licen|permission|software|public domain"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -57,6 +60,9 @@ KNOWN_TEXTS = {
     "BSD-3-Clause": _BSD + _BSD_NAME + _BSD_END,
     "Zlib": _ZLIB,
 }
+#: Whole texts in files of the folder texts, as published; also known up to where their terms end.
+FULL_TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0")
+TERMS_END = "END OF TERMS AND CONDITIONS"
 #: Titles that may stand before a text.
 TITLES = {"MIT": ["The MIT License", "MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"]}
 #: Notices of one line.
@@ -81,9 +87,13 @@ _SIGN, _YEAR, _GAP = r"(?:\(c\)|©)", r"(?:\d{4}\b|[\[<{](?:yyyy|year))", r"[ \t
 _COPYRIGHT = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright{_GAP}(?:{_SIGN}|{_YEAR})|{_SIGN}{_GAP}(?:copyright{_GAP})?{_YEAR})[^\n]*$|\ball\s+rights\s+reserved\b\.?"
 
 
+#: Numbers and letters of list items: 1. (a) iv)
+_MARKER = r"(?:\A\s*|(?<=[.;:])[*#/>-]*\s[\s*#/>-]*)\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)](?=\s)"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form, as a column."""
-    t = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, " "), _MARKER, " ")
     t = F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for word in sorted(SPELLINGS, key=len, reverse=True):
         t = F.replace(t, F.lit(f" {word} "), F.lit(f" {SPELLINGS[word]} "))
@@ -97,6 +107,9 @@ def digest(text: Column) -> Column:
 def known_digests(spark) -> DataFrame:
     """(digest, license_id, kind) of the built-in texts (with and without titles) and notices."""
     rows = [(k, "text", t) for k, t in KNOWN_TEXTS.items()] + [(k, "text", f"{title}\n{KNOWN_TEXTS[k]}") for k, titles in TITLES.items() for title in titles]
+    for k in FULL_TEXTS:
+        full = (Path(__file__).parent / "texts" / f"{k}.txt").read_text(encoding="utf-8")
+        rows += [(k, "text", full), (k, "text", full.partition(TERMS_END)[0]), (k, "text", full.partition(TERMS_END)[0] + TERMS_END)]
     rows += [(k, "notice", n) for k, notices in KNOWN_NOTICES.items() for n in notices]
     table = spark.createDataFrame(rows, "license_id string, kind string, text string")
     return table.select(digest(F.col("text")).alias("digest"), "license_id", "kind").distinct()
@@ -108,6 +121,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", known: DataFrame | Non
 
     Columns with these names are replaced; others pass unchanged."""
     spark = docs.sparkSession
+    anchors = ANCHORS if known is None else r"[\p{L}\p{N}]"  # others' texts need not name the words
     known = known if known is not None else known_digests(spark)
     texts, notices = (known.where(F.col("kind") == k).select("digest", "license_id") for k in ("text", "notice"))
     if twice := texts.groupBy("digest").agg(F.countDistinct("license_id").alias("n")).where("n > 1").limit(1).collect():
@@ -118,9 +132,9 @@ def license_scan(docs: DataFrame, text_col: str = "text", known: DataFrame | Non
     added = ("license_id", "text_digest", "notice_ids")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in added}
     text = F.col(names[text_col])
-    hint = F.lower(text).rlike(ANCHORS)
+    hint = F.lower(text).rlike(anchors)
     df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    lines = F.when(hint, F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(ANCHORS))))
+    lines = F.when(hint, F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(anchors))))
     df = df.select(*names.values(), F.when(hint, digest(text)).alias("d"), F.coalesce(F.transform(lines, digest), F.array().cast("array<string>")).alias("l"))
     found = df.join(side, F.coalesce("d", F.concat(F.lit("-"), F.xxhash64(*names.values()).cast("string"))) == F.col("td"), "left")
     bounded = {r.digest: r.license_id for r in notices.groupBy("digest").agg(F.min("license_id").alias("license_id")).limit(MOST_NOTICES + 1).collect()}
