@@ -17,17 +17,20 @@ import heapq
 import itertools
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
-from .words import hash_spans, text_buffers
+from .words import SEGMENT, hash_spans, same_spans, text_buffers
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = 1, 2, 3, 4, 255
 #: The contractions that the byte-level pattern splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Distinct words' ids that a worker keeps at most, before it starts anew.
-CACHED_IDS = 8 << 20
+#: Bytes of distinct words, with their ids, that a worker keeps, about, before it starts anew.
+MOST_BYTES = 48 << 20
+#: A place where a text can be cut: the blank begins a word whatever stands before.
+_CUT = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
 
 
 def default_path() -> str:
@@ -63,9 +66,14 @@ class Splitter:
     def __init__(self, path: str):
         self.tokenizer = library(path)
         self.kinds = np.full(0x110000, _UNKNOWN, np.uint8)
-        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        spec = json.loads(self.tokenizer.to_str())
+        added, before, model = spec["added_tokens"], spec["pre_tokenizer"] or {}, spec["model"]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens that match with their surroundings are not supported")
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("only byte-level splitting without a normalizer or a prefix blank is supported")
+        if model["type"] != "BPE" or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "dropout", "ignore_merges")):
+            raise ValueError("only plain byte-level BPE is supported")
         self.special = sorted((t["content"].encode() for t in added), key=len, reverse=True)
 
     def _ask(self, c: int) -> int:
@@ -99,6 +107,18 @@ class Splitter:
                 at = p + len(s)
         return found
 
+    def parts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray | None:
+        """Edges of parts of about ``SEGMENT`` bytes, document edges among them; None where the whole is short."""
+        if len(buf) <= 2 * SEGMENT or any(b" " in s for s in self.special):
+            return None
+        data, out = buf.tobytes(), [0]
+        for end in off[1:].tolist():
+            while end - out[-1] > 2 * SEGMENT and (m := _CUT.search(data, out[-1] + SEGMENT, end)):
+                out.append(m.start() + 1)
+            if end > out[-1]:
+                out.append(end)
+        return np.array(out)
+
     def split(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte starts of all words, which tile the buffer, and the index of each document's first word."""
         if not len(buf):
@@ -152,11 +172,10 @@ class Splitter:
 class _Index:
     """Numbers of 64-bit hashes in sorted arrays: a large one, and a small one of what came last.
 
-    A Python dictionary of as many words takes eight times the memory, which idle workers keep."""
+    A Python dictionary of as many words takes several times the memory, which idle workers keep."""
 
     def __init__(self):
         self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
-        self.n = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 where it is new."""
@@ -168,14 +187,10 @@ class _Index:
                 out[same] = numbers[at[same]]
         return out
 
-    def add(self, hashes: np.ndarray) -> np.ndarray:
-        """Number new hashes, in their order."""
-        numbers = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
-        self.n += len(hashes)
-        self.parts[1] = self._joined(self.parts[1], (hashes, numbers))
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        self.parts[1] = self._joined(self.parts[1], (hashes, numbers.astype(np.int32)))
         if len(self.parts[1][0]) > 50_000 + len(self.parts[0][0]) // 4:
             self.parts = [self._joined(*self.parts), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
-        return numbers
 
     @staticmethod
     def _joined(a, b):
@@ -184,8 +199,23 @@ class _Index:
         return hashes[order], numbers[order]
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(len(values), len(self.data) // 2), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class _Words:
-    """Token ids of distinct words, kept between batches."""
+    """Token ids of distinct words, kept between batches. A word is found by its hash and known by its bytes.
+
+    What is kept is bounded by ``MOST_BYTES``; beyond, the worker starts anew."""
 
     def __init__(self, path: str):
         self.path, self.splitter = path, Splitter(path)
@@ -193,46 +223,70 @@ class _Words:
 
     def forget(self) -> None:
         self.index = _Index()
-        self.ids, self.at, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
+        self.spelling, self.ids = _Grown(np.uint8), _Grown(np.int32)
+        self.ids_end, self.spelling_end = _Grown(np.int32), _Grown(np.int32)
+        self.ids_end.add(np.zeros(1))
+        self.spelling_end.add(np.zeros(1))
+
+    def held(self) -> int:
+        """Bytes of what is kept, about."""
+        return self.spelling.n + 4 * self.ids.n + 20 * self.ids_end.n
 
     def of_words(self, words: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Encode words and keep them; their numbers."""
+        k = self.ids_end.n - 1
         found = self.of_words(words)
         n = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(n.sum())
-        k, need = self.index.n, self.used + total
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids) // 2), np.int32)])
-        if k + len(n) > len(self.at):
-            self.at, self.n = (np.concatenate([x, np.zeros(max(len(n), len(x) // 2), np.int32)]) for x in (self.at, self.n))
-        self.ids[self.used : need] = np.fromiter(itertools.chain.from_iterable(found), np.int32, total)
-        self.at[k : k + len(n)], self.n[k : k + len(n)] = self.used + np.cumsum(n) - n, n
-        self.used = need
-        return self.index.add(hashes)
+        self.ids_end.add(self.ids.n + np.cumsum(n))
+        self.ids.add(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(n.sum())))
+        self.spelling_end.add(self.spelling.n + np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        self.spelling.add(np.frombuffer(b"".join(words), np.uint8))
+        return np.arange(k, k + len(words))
 
-    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents, and where each one's begin (n + 1 values)."""
+    def _part(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first = self.splitter.split(buf, off)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        ends = np.append(starts[1:], len(buf))
-        hashes = hash_spans(buf, starts, ends)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.used > CACHED_IDS:
+        if self.held() > MOST_BYTES:
             self.forget()
+        ends = np.append(starts[1:], len(buf))
+        # Hashes only find what may be equal; the bytes decide, of words here and of words kept.
+        distinct, where, back = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~same_spans(buf, starts, ends, buf, starts[where[back]], ends[where[back]]))
         number = self.index.find(distinct)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            data, w = buf.tobytes(), where[new]
-            number[new] = self._learn(distinct[new], [data[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
+        known = np.flatnonzero(number >= 0)
+        kept_end = self.spelling_end.data
+        same = same_spans(buf, starts[where[known]], ends[where[known]], self.spelling.data, kept_end[number[known]], kept_end[number[known] + 1])
+        number[known[~same]] = -1
+        data = buf.tobytes()
+        spelt = lambda at: [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = self._learn(spelt(where[new]))
+            fresh = np.setdiff1d(new, known)
+            self.index.add(distinct[fresh], number[fresh])
         word = number[back]
-        n = self.n[word].astype(np.int64)
+        if len(odd):
+            word[odd] = self._learn(spelt(odd))
+        begin = self.ids_end.data[word].astype(np.int64)
+        n = self.ids_end.data[word + 1] - begin
         stops = np.cumsum(n)
-        ids = self.ids[np.arange(int(stops[-1])) - np.repeat(stops - n - self.at[word], n)]
+        ids = self.ids.data[np.arange(int(stops[-1])) - np.repeat(stops - n - begin, n)]
         return ids, np.concatenate([[0], stops])[first]
 
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, and where each one's begin (n + 1 values). Long texts go in parts that no word crosses."""
+        edges = self.splitter.parts(buf, off)
+        if edges is None:
+            return self._part(buf, off)
+        parts, stops = [np.zeros(0, np.int32)], [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            parts.append(self._part(buf[a:b], np.array([0, b - a]))[0])
+            stops.append(stops[-1] + len(parts[-1]))
+        return np.concatenate(parts), np.array(stops, np.int64)[np.searchsorted(edges, off)]
+
 
 class Library(_Words):
     """Distinct words through the tokenizers library.
@@ -276,8 +330,6 @@ class Speculator(_Words):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("dropout"):
-            raise ValueError("only plain byte-level BPE is supported")
         byte = {c: bytes([b]) for b, c in enumerate(byte_chars())}
         plain = lambda s: b"".join(byte[c] for c in s)
         self.token = {plain(s): i for s, i in model["vocab"].items()}

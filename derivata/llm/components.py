@@ -30,8 +30,9 @@ def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v bigint) but the roots; root is the component's least node.
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, root) for every node of ``edges`` (u, v bigint) but the roots; root is the component's least node. The
+    result is a table in the shared folder; its path comes with it.
 
     Alternates large-star and small-star steps, which keep each component connected while its edges turn into one
     star. Only aggregates by key and equi-joins; every step is written to the shared folder. Loops and repeated edges
@@ -43,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(state) == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path
         before = tuple(state)
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))

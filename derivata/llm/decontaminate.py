@@ -4,9 +4,13 @@ Benchmark texts are normalised (A-Z lower-cased; words of digits, letters and al
 of ten words; a shorter text is one window. An automaton over all windows scans the normalised words of a document
 once, and each find is mapped back to word numbers and to places in the original text.
 
-The benchmark is a stated query set against all documents. It is read in blocks of at most about ``BLOCK_CHARS``
-characters, one automaton each, so that neither the driver nor a worker holds more than one block's windows; the
-documents pass through the blocks' scans one after another, in one stage.
+Each distinct word of the benchmark is one symbol, so a pattern is a string of ten symbols, whatever its words are; a
+document's words become symbols once, by hash and then by bytes, and all other words are one symbol that is in no pattern.
+
+One automaton holds up to about ``PART_WORDS`` words of benchmark, a proven bound on what is collected and broadcast. A
+larger benchmark is dealt to parts of that size by runs of its words, with one automaton and one scan of the documents a
+part; finds are then put together by the text's digest, so that no worker ever holds more than one automaton and nothing
+is left out.
 
 A null document or benchmark text has no words. Items without words match nothing. Items of equal text, and repeated
 documents, each count. Null item ids are left out of the list of ids, but their windows still hit.
@@ -23,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, slices, spans, text_buffers
+from .words import LOWER, hash_spans, released, same_spans, slices, spans, text_buffers
 
 WINDOW = 10
-BLOCK_CHARS = 200_000
+#: Words of benchmark in an automaton, about, and in a run of an item that stays together.
+PART_WORDS, RUN_WORDS = 100_000, 5_000
 
 #: Bytes that are no part of a word, once A-Z are lower case.
 OUTSIDE = np.ones(256, bool)
@@ -39,132 +44,186 @@ def normal_words(buf: np.ndarray, off: np.ndarray):
     return low, *spans(low, off, OUTSIDE)
 
 
-def _joined(low, starts, ends, first):
-    """All documents' words as one string: a line feed before each document, a blank around each word.
-
-    Returns the string and where each word's leading blank is."""
-    lens = ends - starts
-    n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), n)
-    total = int(lens.sum()) + len(starts) + 2 * len(n)
-    at = np.cumsum(lens + 1) - (lens + 1) + 2 * (doc + 1)
-    out = np.full(total, 0x20, np.uint8)
-    out[np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(at, lens)] = low[~OUTSIDE[low]]
-    heads = np.cumsum(np.concatenate([[0], np.add.reduceat(np.append(lens + 1, 0), np.minimum(first[:-1], len(lens))) * (n > 0)]))[:-1] + 2 * np.arange(len(n))
-    out[heads] = 0x0A
-    return out.tobytes().decode("latin-1"), at - 1
-
-
-@functools.lru_cache(4)
-def _automaton(items: tuple[tuple[str | None, str], ...], window: int):
-    """The automaton of a block, and for each pattern its number of words and its items."""
-    import ahocorasick
-
-    texts = pa.array([t for _, t in items], pa.string())
-    low, starts, ends, first = normal_words(*text_buffers(texts))
-    data = low.tobytes()
-    found: dict[str, tuple[int, set[int]]] = {}
-    for i in range(len(items)):
-        words = [data[a:b] for a, b in zip(starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist(), strict=True)]
-        for k in range(max(len(words) - window + 1, min(len(words), 1))):
-            part = words[k : k + window]
-            found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1].add(i)
-    automaton = ahocorasick.Automaton()
-    for j, pattern in enumerate(found):
-        automaton.add_word(pattern, j)
-    if found:
-        automaton.make_automaton()
-    return automaton, np.array([n for n, _ in found.values()], np.int64), [sorted(s) for _, s in found.values()]
-
-
-def _finds(items, window, low, starts, ends, first):
-    """Word intervals [from, to) over the batch's words, and the pattern of each."""
-    automaton, sizes, owners = _automaton(items, window)
-    if not len(sizes) or not len(starts):
-        return np.zeros((0, 3), np.int64), owners
-    text, at = _joined(low, starts, ends, first)
-    hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
-    last = np.searchsorted(at, hits[:, 0], "left")
-    return np.stack([last - sizes[hits[:, 1]], last, hits[:, 1]], 1), owners
-
-
-def _scan(items, window):
-    """Adds a block's finds to the columns __hits (word intervals, uint32 pairs) and __ids of each document."""
+class _Scanner:
+    """The automaton of a part of the benchmark, rows (item id or None, words joined by blanks)."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], window: int):
+        import ahocorasick
+
+        self.symbol: dict[bytes, int] = {}
+        found: dict[str, tuple[int, set[str | None]]] = {}
+        for item, text in rows:
+            words = [self._number(w) for w in text.encode().split(b" ")]
+            for k in range(max(len(words) - window + 1, 1)):
+                part = words[k : k + window]
+                found.setdefault("".join(map(chr, part)), (len(part), set()))[1].add(item)
+        self.sizes = np.array([n for n, _ in found.values()], np.int64)
+        self.owners = [sorted(s - {None}) for _, s in found.values()]
+        self.automaton = ahocorasick.Automaton()
+        for j, pattern in enumerate(found):
+            self.automaton.add_word(pattern, j)
+        if found:
+            self.automaton.make_automaton()
+        self.spelling = np.frombuffer(b"".join(self.symbol), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, self.symbol), np.int64, len(self.symbol)))
+        starts = ends - np.fromiter(map(len, self.symbol), np.int64, len(self.symbol))
+        hashes = hash_spans(self.spelling, starts, ends)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts, self.ends = hashes[order], starts[order], ends[order]
+        self.symbols = np.fromiter(self.symbol.values(), np.uint32, len(self.symbol))[order]
+
+    def _number(self, word: bytes) -> int:
+        """The word's symbol: a code point from 2 on, without the surrogates."""
+        k = len(self.symbol) + 2
+        return self.symbol.setdefault(word, k if k < 0xD800 else k + 0x800)
+
+    def text(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[str, np.ndarray]:
+        """Words as symbols, with one symbol before each document; and the place of each word."""
+        hashes = hash_spans(low, starts, ends)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[at] == hashes)
+        same = same_spans(low, starts[maybe], ends[maybe], self.spelling, self.starts[at[maybe]], self.ends[at[maybe]])
+        symbols = np.ones(len(starts), np.uint32)
+        symbols[maybe[same]] = self.symbols[at[maybe[same]]]
+        for i in maybe[~same].tolist():  # words of the hash of another word
+            symbols[i] = self.symbol.get(low[starts[i] : ends[i]].tobytes(), 1)
+        n = np.diff(first)
+        place = np.arange(len(starts)) + np.repeat(np.arange(1, len(n) + 1), n)
+        out = np.ones(len(starts) + len(n), "<u4")
+        out[place] = symbols
+        return out.tobytes().decode("utf-32-le"), place
+
+    def finds(self, low, starts, ends, first) -> np.ndarray:
+        """Rows (first word, end, pattern) of all occurrences, over the words of the batch."""
+        if not len(self.sizes) or not len(starts):
+            return np.zeros((0, 3), np.int64)
+        text, place = self.text(low, starts, ends, first)
+        hits = np.fromiter((end << 32 | j for end, j in self.automaton.iter(text)), np.int64)
+        pattern = hits & 0xFFFFFFFF
+        end = np.searchsorted(place, hits >> 32) + 1
+        return np.stack([end - self.sizes[pattern], end, pattern], 1)
+
+    def by_document(self, low, starts, ends, first) -> tuple[list[np.ndarray], list[list[str]]]:
+        """For each document, its intervals of words and the ids of its items, sorted."""
+        finds = self.finds(low, starts, ends, first)
+        doc = np.searchsorted(first, finds[:, 0], "right") - 1
+        order = np.argsort(doc, kind="stable")
+        finds, cuts = finds[order], np.searchsorted(doc[order], np.arange(len(first)))
+        intervals, ids = [], []
+        for d in range(len(first) - 1):
+            mine = finds[cuts[d] : cuts[d + 1]]
+            intervals.append(mine[:, :2] - first[d])
+            ids.append(sorted(set().union(*(self.owners[p] for p in np.unique(mine[:, 2]).tolist()))))
+        return intervals, ids
+
+
+@functools.lru_cache(1)
+def _scanner(rows: tuple, window: int) -> _Scanner:
+    return _Scanner(rows, window)
+
+
+_ADDED = {True: ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"], False: ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]}
+
+
+def _measured(batch: pa.RecordBatch, names: list[str], intervals: list[np.ndarray], ids: list[list[str]], digests: bool) -> pa.RecordBatch:
+    """The batch's columns ``names`` and what was found."""
+    buf, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
+    _, starts, ends, first = normal_words(buf, off)
+    n_words, n_hit, places = np.diff(first), [], []
+    for d, found in enumerate(intervals):
+        edge = np.zeros(n_words[d] + 1, np.int64)
+        np.add.at(edge, found[:, 0], 1)
+        np.subtract.at(edge, found[:, 1], 1)
+        hit = np.cumsum(edge[:-1]) > 0
+        n_hit.append(int(hit.sum()))
+        if not digests:
+            cuts = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            begin, stop = starts[first[d] + cuts[::2]], ends[first[d] + cuts[1::2] - 1]
+            lead = np.concatenate([[0], np.cumsum((buf[off[d] : off[d + 1]] & 0xC0) != 0x80)]) if len(cuts) else None
+            places.append([{"start": int(lead[a - off[d]]), "end": int(lead[b - off[d]])} for a, b in zip(begin, stop, strict=True)])
+    more = [pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64())]
+    if digests:
+        more.append(pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()))
+    else:
+        more += [pa.array(ids, pa.list_(pa.string())), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    more.append(pa.array([n > 0 for n in n_hit], pa.bool_()))
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], names=[*names, *_ADDED[digests]])
+
+
+def _whole(rows, window: int, names: list[str], digests: bool):
+    """Scan and measure, with the one automaton of the whole benchmark."""
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                names = batch.schema.names
-                low, starts, ends, first = normal_words(*text_buffers(batch.column(names.index("text"))))
-                finds, owners = _finds(items, window, low, starts, ends, first)
-                hits, ids = batch.column(names.index("__hits")).to_pylist(), batch.column(names.index("__ids")).to_pylist()
-                doc = np.searchsorted(first, finds[:, 0], "right") - 1
-                for d in np.unique(doc).tolist():
-                    mine = finds[doc == d]
-                    hits[d] += (mine[:, :2] - first[d]).astype("<u4").tobytes()
-                    new = {items[i][0] for p in np.unique(mine[:, 2]).tolist() for i in owners[p]} - {None}
-                    ids[d] = sorted({*ids[d], *new})
-                columns = dict(zip(names, batch.columns, strict=True)) | {"__hits": pa.array(hits, pa.binary()), "__ids": pa.array(ids, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=batch.schema)
+        with released():
+            scanner = _scanner(rows.value, window)
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    yield _measured(batch, names, *scanner.by_document(*normal_words(*text_buffers(batch.column(batch.schema.get_field_index("text"))))), digests)
+
+    return run
+
+
+def _part(rows, window: int):
+    """Rows (t, found, ids) of the texts that a part of the benchmark hits: word intervals as little-endian uint32."""
+
+    def run(batches):
+        with released():
+            scanner = _scanner(rows.value, window)
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    intervals, ids = scanner.by_document(*normal_words(*text_buffers(batch.column(batch.schema.get_field_index("text")))))
+                    hit = [d for d, x in enumerate(intervals) if len(x)]
+                    columns = [batch.column(batch.schema.get_field_index("t")).take(pa.array(hit, pa.int64())), pa.array([intervals[d].astype("<u4").tobytes() for d in hit], pa.binary()), pa.array([ids[d] for d in hit], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["t", "found", "ids"])
 
     return run
 
 
-def _finish(digests: bool):
+def _together(names: list[str], digests: bool):
+    """Measure texts by what all parts found in them."""
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                names = batch.schema.names
-                buf, off = text_buffers(batch.column(names.index("text")))
-                low, starts, ends, first = normal_words(buf, off)
-                n_words, n_hit, places = np.diff(first), [], []
-                for d, raw in enumerate(batch.column(names.index("__hits")).to_pylist()):
-                    spans_ = np.frombuffer(raw, "<u4").reshape(-1, 2).astype(np.int64)
-                    edge = np.zeros(n_words[d] + 1, np.int64)
-                    np.add.at(edge, spans_[:, 0], 1)
-                    np.subtract.at(edge, spans_[:, 1], 1)
-                    hit = np.cumsum(edge[:-1]) > 0
-                    n_hit.append(int(hit.sum()))
-                    if not digests:
-                        cuts = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                        begin = starts[first[d] + cuts[::2]]
-                        stop = ends[first[d] + cuts[1::2] - 1]
-                        lead = np.concatenate([[0], np.cumsum((buf[off[d] : off[d + 1]] & 0xC0) != 0x80)])
-                        places.append([{"start": int(lead[a - off[d]]), "end": int(lead[b - off[d]])} for a, b in zip(begin, stop, strict=True)])
-                ids = batch.column(names.index("__ids")).to_pylist()
-                keep = [n for n in names if n not in ("__hits", "__ids") and not (digests and n == "text")]
-                more = [pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64())]
-                if digests:
-                    more.append(pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()))
-                else:
-                    more += [pa.array(ids, pa.list_(pa.string())), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                more.append(pa.array([n > 0 for n in n_hit], pa.bool_()))
-                label = ["n_words", "n_hit", "n_items", *(["items_sha256"] if digests else ["items", "spans"]), "contaminated"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in keep), *more], names=[*keep, *label])
+                found, ids = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("found", "ids"))
+                intervals = [np.frombuffer(b"".join(x or ()), "<u4").reshape(-1, 2).astype(np.int64) for x in found]
+                yield _measured(batch, names, intervals, [sorted(x or ()) for x in ids], digests)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Lists of (item id as string, text), each of about ``BLOCK_CHARS`` characters, read one at a time."""
-    chars = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = max(1, math.ceil(chars / BLOCK_CHARS))
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        yield tuple(sorted(((r.i, r.t) for r in part.toLocalIterator()), key=str))
+def _runs(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words, n): runs of at most about ``RUN_WORDS`` words of each item, such that each window is in one."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), upper, upper.lower())
+    words = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("w")).where("size(w) > 0")
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(RUN_WORDS))
+    runs = words.select("item", "w", F.explode(begins).alias("k")).select("item", F.slice("w", F.col("k") + 1, RUN_WORDS + window - 1).alias("w"))
+    return runs.select("item", F.array_join("w", " ").alias("words"), F.size("w").alias("n")).distinct()
 
 
 def _applied(docs, benchmark, text_col, item_col, item_text, window, digests, extra):
+    spark, added = docs.sparkSession, _ADDED[digests]
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col or not digests}
-    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text_col}`").alias("text"), F.lit(b"").alias("__hits"), F.array().cast("array<string>").alias("__ids"))
-    kinds = lambda x, left: ", ".join(f"{n} {t}" for n, t in x.dtypes if n not in left)
-    for items in _blocks(benchmark, item_col, item_text):
-        if items:
-            df = df.mapInArrow(_scan(items, window), kinds(df, ()))
-    left = ("__hits", "__ids", *(["text"] if digests else []))
-    out = df.mapInArrow(_finish(digests), f"{kinds(df, left)}, {extra}")
-    added = ["n_words", "n_hit", "n_items", *(["items_sha256"] if digests else ["items", "spans"]), "contaminated"]
+    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text_col}`").cast("string").alias("text"))
+    kept = list(names.values())
+    out_schema = ", ".join([*(f"{n} {t}" for n, t in df.dtypes if n in kept), extra])
+    runs = _runs(benchmark, item_col, item_text, window)
+    parts = max(1, math.ceil((runs.agg(F.sum("n")).first()[0] or 0) / PART_WORDS))
+
+    def rows(k: int):
+        """A part's rows, of about ``PART_WORDS`` words, as a broadcast."""
+        mine = runs if parts == 1 else runs.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k)
+        return spark.sparkContext.broadcast(tuple(sorted(((r.item, r.words) for r in mine.select("item", "words").collect()), key=lambda x: (x[0] or "", x[1]))))
+
+    if parts == 1:
+        out = df.mapInArrow(_whole(rows(0), window, kept, digests), out_schema)
+    else:
+        keyed = df.withColumn("t", F.sha2("text", 256))
+        texts = keyed.select("t", "text").where("text IS NOT NULL")
+        scans = [texts.mapInArrow(_part(rows(k), window), "t string, found binary, ids array<string>").dropDuplicates(["t"]) for k in range(parts)]
+        all_found = functools.reduce(DataFrame.unionByName, scans).groupBy("t").agg(F.collect_list("found").alias("found"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        out = keyed.join(all_found, "t", "left").mapInArrow(_together(kept, digests), out_schema)
     return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in added], *added)
 
 

@@ -8,9 +8,13 @@ disjoint, so for two fingerprints x and y
 
 If d(x, y) <= 3, one of the two halves differs in at most one bit. So each half makes a top level of shards, named by
 its eight distances; a fingerprint lives in its own shard and also queries the shards whose distances are off by one
-in one place, as only these can overlap its ball of radius one there. Each pair visits in one direction only. A shard
-is then searched exactly: small ones at once, large ones by a vantage-point tree over the other nibbles, which spends
-the radius on the way down and leaves out the branches that the bound excludes.
+in one place, as only these can overlap its ball of radius one there. Each pair visits in one direction only.
+
+Every shard is then searched by a vantage-point tree over the nibbles of the other half: a level branches by the
+distance on one nibble, queries go into every branch that what is left of their radius allows, and branches that the
+bound excludes are pruned. Leaves of more than ``LEAF`` pairs branch on, by other vantage points with the whole radius.
+What meets in a leaf is compared exactly. All shards of a task go down the tree together, a level at a time. With very
+many fingerprints, the upper levels of the tree are part of the shards' names, so that shards stay small.
 
 Only distinct fingerprints are compared, so copies cost nothing; what leaves a task is a spanning forest of its links,
 never all pairs of a group.
@@ -26,14 +30,18 @@ from pyspark.sql import functions as F
 
 from .cluster import cut, drop
 from .components import components, contract
-from .words import LOWER, SEPARATORS, slices, spans, text_buffers
+from .words import LOWER, joined, released, slices, spans, text_buffers
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 VANTAGE = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
-#: Pairs compared at a time.
-BLOCK = 1 << 20
+#: Pairs compared at a time, pairs in a leaf that is not split, and shingles hashed at a time.
+BLOCK, LEAF, SHINGLES = 1 << 20, 1 << 12, 1 << 16
+#: Fingerprints, on the average, of which each level of the tree above the shards takes a fifth.
+MANY = 1 << 26
+#: Visits that a task searches at a time, if they are of several shards.
+HELD = 200_000
 _NIBBLE = np.bitwise_count(np.arange(16, dtype=np.uint8)).astype(np.int64)
 
 
@@ -45,36 +53,37 @@ def fingerprints(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = np.zeros(len(n_words), np.uint64)
     if not len(starts):
         return out
-    lens = ends - starts
-    at = np.cumsum(lens + 1) - (lens + 1)
-    joined = np.full(int(at[-1] + lens[-1]), 0x20, np.uint8)
-    joined[np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(at, lens)] = buf[~SEPARATORS[buf]]
-    data, stops = joined.tobytes(), at + lens
+    text, at = joined(buf, starts, ends)
+    data, stops = memoryview(text), at + ends - starts
     n = np.where(n_words > 0, np.maximum(n_words - SHINGLE + 1, 1), 0)
-    doc = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    lo = first[:-1][doc] + inside
-    hi = np.minimum(lo + SHINGLE, first[1:][doc]) - 1
+    before = np.cumsum(n) - n
+    total = np.zeros((len(n), 64), np.int64)
     digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.fromiter((digest(data[a:b], seed) for a, b in zip(at[lo].tolist(), stops[hi].tolist(), strict=True)), np.uint64, len(lo))
-    # Bits as bytes, eight to a word: up to 255 shingles add up without a carry between the bytes.
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
-    cuts = np.flatnonzero(inside % 255 == 0)
-    sums = np.add.reduceat(bits, cuts, axis=0).view(np.uint8).astype(np.int64)
-    docs = doc[cuts]
-    edge = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-    total = np.add.reduceat(sums, edge, axis=0)
-    have = docs[edge]
-    out[have] = np.packbits(2 * total > n[have][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for begin in range(0, int(n.sum()), SHINGLES):
+        shingle = np.arange(begin, min(begin + SHINGLES, int(n.sum())))
+        doc = np.searchsorted(before + n, shingle, "right")
+        inside = shingle - before[doc]
+        lo = first[:-1][doc] + inside
+        hi = np.minimum(lo + SHINGLE, first[1:][doc]) - 1
+        h = np.fromiter((digest(data[a:b], seed) for a, b in zip(at[lo].tolist(), stops[hi].tolist(), strict=True)), np.uint64, len(lo))
+        # Bits as bytes, eight to a word: up to 255 shingles add up without a carry between the bytes.
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+        cuts = np.flatnonzero((inside % 255 == 0) | (np.arange(len(lo)) == 0))
+        np.add.at(total, doc[cuts], np.add.reduceat(bits, cuts, axis=0).view(np.uint8))
+    have = n > 0
+    out[have] = np.packbits(2 * total[have] > n[have][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
 def _fingerprint_batches(batches):
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            fp = fingerprints(*text_buffers(batch.column(batch.schema.get_field_index("text"))))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(fp.view(np.int64))], names=[*(batch.schema.names[i] for i in keep), "fp"])
+    with released():
+        yield from (_fingerprint_rows(batch) for whole in batches for batch in slices(whole, "text"))
+
+
+def _fingerprint_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    fp = fingerprints(*text_buffers(batch.column(batch.schema.get_field_index("text"))))
+    keep = [i for i, n in enumerate(batch.schema.names) if n != "text"]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(fp.view(np.int64))], names=[*(batch.schema.names[i] for i in keep), "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -83,29 +92,53 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_fingerprint_batches, f"{kinds}, fp bigint")
 
 
-def _distances(fp: np.ndarray, v: np.uint64) -> np.ndarray:
-    """(n, 16): distance to the vantage point on each nibble."""
-    x = fp ^ v
-    return np.stack([_NIBBLE[((x >> np.uint64(4 * i)) & np.uint64(15)).astype(np.int64)] for i in range(16)], 1)
+def _nibble(fp: np.ndarray, v: int, i: int) -> np.ndarray:
+    """Distance to a vantage point on one nibble."""
+    return _NIBBLE[(((fp.view(np.uint64) ^ VANTAGE[v]) >> np.uint64(4 * i)) & np.uint64(15)).astype(np.int64)]
+
+
+def _other(half: int) -> range:
+    return range(8 * (1 - half), 8 * (1 - half) + 8)
+
+
+def _branches(d: np.ndarray, left: np.ndarray):
+    """(rows, branch, what is left of their radius) for every branch of five that rows at distance d may enter."""
+    for step in range(-RADIUS, RADIUS + 1):
+        rows = np.flatnonzero((left >= abs(step)) & (d + step >= 0) & (d + step <= 4))
+        if len(rows):
+            yield rows, d[rows] + step, left[rows] - abs(step), step == 0
+
 
+def _visits(levels: int):
+    """Rows (shard, fp, left, home): each fingerprint's own shards and those that its ball overlaps, with what is left
+    of the radius there. Of two shards of one half, the lesser one's fingerprints visit the other."""
 
-_FIVES = 5 ** np.arange(8)
+    def visits(fp: np.ndarray, half: int):
+        shard, steps = np.zeros(len(fp), np.int64), []
+        for k in range(8):
+            d = _nibble(fp, 0, 8 * half + k)
+            shard = shard * 5 + d
+            steps.append((d, 5 ** (7 - k)))
+        parts = [(shard, fp, np.full(len(fp), RADIUS), np.ones(len(fp), bool))]
+        for d, size in steps:
+            up = d < 4
+            parts.append((shard[up] + size, fp[up], np.full(int(up.sum()), RADIUS - 1), np.zeros(int(up.sum()), bool)))
+        shard, fp, left, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+        shard += half * 5**8
+        for i in _other(half)[:levels]:
+            parts = [(shard[rows] * 5 + branch, fp[rows], rest, home[rows] & own) for rows, branch, rest, own in _branches(_nibble(fp, 0, i), left)]
+            shard, fp, left, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return shard, fp, left, home
 
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo in range(0, len(column), 1 << 16):
+                for half in range(2):
+                    shard, fp, left, home = visits(column[lo : lo + (1 << 16)], half)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp), pa.array(left.astype(np.int8)), pa.array(home), pa.array(np.full(len(fp), half, np.int8))], names=["shard", "fp", "left", "home", "half"])
 
-def _visits(batches):
-    """Rows (shard, fp, home): each fingerprint's own shards and, of those that its ball overlaps, the later ones."""
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        d = _distances(fp.view(np.uint64), VANTAGE[0])
-        for half in range(2):
-            own = d[:, 8 * half : 8 * half + 8]
-            shard = own @ _FIVES + half * 5**8
-            parts = [(shard, fp, np.ones(len(fp), bool))]
-            for i in range(8):
-                up = own[:, i] < 4
-                parts.append((shard[up] + _FIVES[i], fp[up], np.zeros(int(up.sum()), bool)))
-            shards, fps, home = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(fps), pa.array(home)], names=["shard", "fp", "home"])
+    return run
 
 
 class _Links:
@@ -129,104 +162,120 @@ class _Links:
         return contract(np.concatenate(self.u), np.concatenate(self.v))
 
 
-def _all(x: np.ndarray, y: np.ndarray, links: _Links) -> None:
-    """Compare all of x with all of y, a block at a time."""
-    step = max(1, BLOCK // max(len(y), 1))
-    for lo in range(0, len(x), step):
-        part = x[lo : lo + step]
-        a, b = np.nonzero(np.bitwise_count((part[:, None] ^ y[None, :]).view(np.uint64)) <= RADIUS)
-        links.add(part[a], y[b])
-
-
-def search(homes: np.ndarray, queries: np.ndarray, left: np.ndarray, levels: list[tuple[int, int]], links: _Links) -> None:
-    """Vantage-point tree search: homes by their distances on one nibble a level, queries into every branch that the
-    radius they have left allows. A level whose nibbles come round again starts with the whole radius."""
-    if not len(homes) or not len(queries):
-        return
-    if len(homes) * len(queries) <= 1 << 14 or not levels:
-        _all(queries, homes, links)
-        return
-    (v, nibble), rest = levels[0], levels[1:]
-    if nibble < 0:
-        search(homes, queries, np.full(len(queries), RADIUS), rest, links)
-        return
-    shift, point = np.uint64(4 * nibble), VANTAGE[v]
-    dh = _NIBBLE[(((homes.view(np.uint64) ^ point) >> shift) & np.uint64(15)).astype(np.int64)]
-    dq = _NIBBLE[(((queries.view(np.uint64) ^ point) >> shift) & np.uint64(15)).astype(np.int64)]
-    for k in range(5):
-        cost = np.abs(dq - k)
-        go = cost <= left
-        search(homes[dh == k], queries[go], left[go] - cost[go], rest, links)
-
-
-def _levels(half: int) -> list[tuple[int, int]]:
-    other, own = range(8 * (1 - half), 8 * (1 - half) + 8), range(8 * half, 8 * half + 8)
-    return [(0, i) for i in other] + [(1, -1)] + [(1, i) for i in (*other, *own)] + [(2, -1)] + [(2, i) for i in (*other, *own)]
-
-
-def _pairs(batches):
-    """Rows (u, v): a spanning forest of the links of each run of whole shards."""
-    held: list[pa.RecordBatch] = []
-    links = _Links()
-
-    def done(shard, fp, home):
-        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        size = np.diff(cuts)
-        group = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((~home, group))  # homes come first
-        fp, home = fp[order], home[order]
-        n_home = np.bincount(group, home, len(size)).astype(np.int64)
-        pairs = n_home * size
-        for g in np.flatnonzero(pairs > 1 << 16):
-            lo, mid, hi = cuts[g], cuts[g] + n_home[g], cuts[g + 1]
-            rows = fp[lo:hi]
-            search(fp[lo:mid], rows, np.full(len(rows), RADIUS), _levels(int(shard[lo] >= 5**8)), links)
-        few = np.flatnonzero((pairs > 1) & (pairs <= 1 << 16))
-        total = np.cumsum(pairs[few])
-        lo = 0
-        while lo < len(few):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK, "right")))
-            g = few[lo:hi]
-            which = np.repeat(g, pairs[g])
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(pairs[g]) - pairs[g], pairs[g])
-            x, y = fp[cuts[which] + inside // n_home[which]], fp[cuts[which] + inside % n_home[which]]
-            near = np.bitwise_count((x ^ y).view(np.uint64)) <= RADIUS
-            links.add(x[near], y[near])
-            lo = hi
-
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 200_000:
-            continue
-        table = pa.Table.from_batches(held)
-        shard, fp, home = (table.column(i).to_numpy() for i in range(3))
-        last = int(np.searchsorted(shard, shard[-1], "left"))
-        if last:
-            done(shard[:last], fp[:last], home[:last])
+def _compare(homes, home_node, queries, query_node, links: _Links) -> None:
+    """Compare every query with the homes of its leaf, a block of pairs at a time; homes are sorted by leaf."""
+    lo, hi = np.searchsorted(home_node, query_node, "left"), np.searchsorted(home_node, query_node, "right")
+    total = np.cumsum(hi - lo)
+    at = 0
+    while at < len(queries):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, "right")))
+        n = hi[at:to] - lo[at:to]
+        x = np.repeat(queries[at:to], n)
+        y = homes[np.arange(int(n.sum())) + np.repeat(lo[at:to] - (np.cumsum(n) - n), n)]
+        near = np.bitwise_count((x ^ y).view(np.uint64)) <= RADIUS
+        links.add(x[near], y[near])
+        at = to
+
+
+def _level(homes, home_node, queries, query_node, left, v: int, i: int):
+    """One level of the tree: homes by their distance on nibble i, queries into the branches that have homes."""
+    keys = home_node * 5 + _nibble(homes, v, i)
+    known, home_node = np.unique(keys, return_inverse=True)
+    order = np.argsort(home_node, kind="stable")
+    parts = []
+    for rows, branch, rest, _ in _branches(_nibble(queries, v, i), left):
+        key = query_node[rows] * 5 + branch
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        there = known[at] == key
+        parts.append((queries[rows[there]], at[there], rest[there]))
+    queries, query_node, left = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return homes[order], home_node[order], queries, query_node, left
+
+
+def search(shard, fp, left, home, half: int, levels: int, links: _Links) -> int:
+    """Search whole shards of one half by the tree below their names; how many pairs met in a leaf."""
+    known, home_node = np.unique(shard[home], return_inverse=True)
+    if not len(known):
+        return 0
+    order, node = np.argsort(home_node, kind="stable"), np.minimum(np.searchsorted(known, shard), len(known) - 1)
+    there = known[node] == shard
+    state = fp[home][order], home_node[order], fp[there], node[there], left[there].astype(np.int64)
+    for i in _other(half)[levels:]:
+        state = _level(*state, 0, i)
+    met, v = 0, 1
+    while True:
+        homes, home_node, queries, query_node, left = state
+        n_home, n_query = np.bincount(home_node), np.bincount(query_node, minlength=int(home_node[-1]) + 1)
+        full = (n_home * n_query > LEAF) & (v < len(VANTAGE))
+        few = ~full[query_node]
+        met += int((n_home * n_query)[~full].sum())
+        own = ~full[home_node]
+        _compare(homes[own], home_node[own], queries[few], query_node[few], links)
+        if not full.any():
+            return met
+        state = homes[~own], home_node[~own], queries[~few], query_node[~few], np.full(int((~few).sum()), RADIUS)
+        for i in range(16):
+            state = _level(*state, v, i)
+        v += 1
+
+
+def _pairs(levels: int):
+    """Rows (u, v): a spanning forest of the links of each task's shards, which come one after another."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        links, most = _Links(), HELD
+
+        def done(table: pa.Table):
+            shard, fp, left, home, part = (table.column(n).to_numpy() for n in ("shard", "fp", "left", "home", "half"))
+            for half in range(2):
+                mine = part == half
+                search(shard[mine], fp[mine], left[mine], home[mine], half, levels, links)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < most:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("half").to_numpy().astype(np.int64) << 60 | table.column("shard").to_numpy()
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last:
+                done(table.slice(0, last))
             held = table.slice(last).combine_chunks().to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        done(*(table.column(i).to_numpy() for i in range(3)))
-    u, v = links.shortened()
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-
-def near_roots(distinct: DataFrame) -> DataFrame:
-    """(node, root) of the fingerprints (one column, fp) that link to a lesser one, over any number of steps."""
-    visits = distinct.select("fp").mapInArrow(_visits, "shard int, fp bigint, home boolean")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = visits.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_pairs, "u bigint, v bigint")
+            most = max(HELD, 2 * (table.num_rows - last))
+        if held:
+            done(pa.Table.from_batches(held))
+        u, v = links.shortened()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def near_roots(distinct: DataFrame, levels: int | None = None) -> tuple[DataFrame, str]:
+    """(node, root) of the fingerprints (one column, fp) that link to a lesser one, over any number of steps, as a
+    table, and its path.
+
+    ``levels``, 0 to 8, is how many levels of the tree are part of the shards' names; by default, it follows the number
+    of fingerprints. It changes no link."""
+    spark = distinct.sparkSession
+    if levels is None:
+        count = distinct.count()
+        levels = next((k for k in range(8) if count <= MANY * 5**k), 8)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    visits = distinct.select("fp").repartition(n).mapInArrow(_visits(levels), "shard bigint, fp bigint, left tinyint, home boolean, half tinyint")
+    links = visits.repartition(n, "half", "shard").sortWithinPartitions("half", "shard").mapInArrow(_pairs(levels), "u bigint, v bigint")
     return components(links.where("u <> v"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str):
     """(k, t, fp) of every row, and (fp, root) of every distinct fingerprint; both as tables."""
-    rows = docs.select(F.col(id_col).alias("k"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("t"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{text_col}`").isNull()).alias("t"), F.col(f"`{text_col}`").alias("text"))
     found, _ = cut(with_fingerprints(rows), "fingerprints")
     distinct, path = cut(found.select("fp").distinct(), "distinct")
-    roots = near_roots(distinct)
+    roots, roots_path = near_roots(distinct)
     classes, _ = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-    drop(docs.sparkSession, path)
+    drop(spark, path, roots_path)
     return found, classes
 
 

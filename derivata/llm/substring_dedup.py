@@ -7,7 +7,9 @@ words also start somewhere else.
 1. Anchors: the non-overlapping blocks of all documents are the index; every rolling run of a block's length is a
    probe. Both go by hash to buckets, as packed and sorted arrays that each map task has made unique first. A block
    that only its own position probes is cold.
-2. Extension: around hot blocks alone, all windows are hashed (96 bits) and counted. A window is bucketed by the least
+2. Extension: a hit is extended to both sides by the windows around it, up to a block's length each way, and from hit
+   to hit along a repeat. All windows around hot blocks are counted by the BLAKE2b digest (128 bits) of their words, not
+   compared occurrence by occurrence, as a passage of k occurrences has k * k pairs. A window is bucketed by the least
    hash of its inner word runs, so the windows of one long repeat stay together and their answer is one interval.
    Overlapping windows make up the maximal repeats.
 3. The words that intervals cover are removed.
@@ -15,8 +17,9 @@ words also start somewhere else.
 A map task sends one message a window, however often it holds the window, and settles repeats inside itself. So a
 passage in a third of all documents costs each bucket one entry a map flush, not one a copy.
 
-Nulls and empty texts have no words and are kept as they are. A null id is an id like any other. Repeated rows are
-occurrences of their own: they remove each other's long passages. Other columns pass through unchanged.
+Hashes of words and blocks only choose what is looked at: what they mistake for equal is told apart by the digests.
+Nulls and empty texts have no words and are kept as they are. Ids may be of any type; a null id is an id like any other.
+Repeated rows are occurrences of their own: they remove each other's long passages. Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import buckets, cut
-from .words import mix, rolling, slices, spans, text_buffers, word_hashes
+from .cluster import buckets, cut, drop
+from .words import joined, mix, released, rolling, slices, spans, text_buffers, word_hashes
 
 WINDOW = 35
-#: Bytes of text after which a map task sends what it has.
-FLUSH = 24 << 20
+#: Bytes of text, and windows, after which a map task sends what it has.
+FLUSH, FLUSH_WINDOWS = 24 << 20, 1 << 20
 #: Words in the runs whose least hash chooses a window's bucket.
 RUN = 8
 LOW = np.uint64((1 << 48) - 1)
@@ -42,15 +45,15 @@ _MESSAGE = "bucket int, probes binary, hashes binary, places binary, owners bina
 _ANSWER = "k1 bigint, k2 bigint, found binary"
 
 
-def _six(x: np.ndarray) -> bytes:
-    """48-bit values as 6 bytes each, in planes, which compress well once sorted."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Values of ``width`` bytes in planes of one byte each, which compress well once sorted."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unsix(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(x, np.uint8).reshape(6, -1)
+def _unplaned(x: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(x, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
@@ -70,10 +73,8 @@ _ANSWER_PA = [("k1", pa.int64()), ("k2", pa.int64()), ("found", pa.binary())]
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """(rows, 2) int64 of k1 and k2; k1 has nulls only where k2's lowest bit tells so."""
-    k1 = batch.column(batch.schema.get_field_index("k1")).fill_null(0).to_numpy(zero_copy_only=False)
-    k2 = batch.column(batch.schema.get_field_index("k2")).to_numpy(zero_copy_only=False)
-    return np.stack([k1, k2], 1).astype(np.int64)
+    """(rows, 2) int64 of k1 and k2."""
+    return np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("k1", "k2")], 1).astype(np.int64)
 
 
 def _packed(items: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
@@ -107,7 +108,7 @@ def _anchor_messages(n_buckets: int, window: int):
             if cuts[b] == cuts[b + 1]:
                 continue
             names, local = np.unique(owner[q], return_inverse=True)
-            rows.append((b, _six(probes[p]) + np.packbits(more[p]).tobytes(), _six(hashes[q]), np.stack([local, place[q]]).astype("<u4").tobytes(), keys[names].tobytes()))
+            rows.append((b, _planes(probes[p], 6) + np.packbits(more[p]).tobytes(), _planes(hashes[q], 6), np.stack([local, place[q]]).astype("<u4").tobytes(), keys[names].tobytes()))
         if rows:
             yield _batch(rows, _MESSAGE_PA)
 
@@ -133,7 +134,23 @@ def _anchor_messages(n_buckets: int, window: int):
         if held:
             yield from send(held)
 
-    return run
+    return lambda batches: _released(run(batches))
+
+
+def _released(rows):
+    with released():
+        yield from rows
+
+
+def _digests(buf: np.ndarray, off: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """(n, 2) uint64: the digest of the words of each window, by number of its first word, joined by one blank."""
+    if not len(at):
+        return np.zeros((0, 2), np.uint64)
+    starts, ends, _ = spans(buf, off)
+    text, place = joined(buf, starts, ends)
+    data, new = memoryview(text), hashlib.blake2b
+    lo, hi = place[at].tolist(), (place + ends - starts)[at + window - 1].tolist()
+    return np.frombuffer(b"".join([new(data[a:b], digest_size=16).digest() for a, b in zip(lo, hi, strict=True)]), "<u8").reshape(-1, 2)
 
 
 def _answers(owners: np.ndarray, keys: np.ndarray, place: np.ndarray):
@@ -150,10 +167,10 @@ def _hot_anchors(table: pa.Table) -> pa.Table:
         n = len(p) * 8 // 49 if len(p) else 0
         while 6 * n + (n + 7) // 8 < len(p):
             n += 1
-        values = _unsix(p[: 6 * n])
+        values = _unplaned(p[: 6 * n], 6)
         probes += [values, values[np.unpackbits(np.frombuffer(p[6 * n :], np.uint8), count=n).astype(bool)]]
         names, at = np.frombuffer(k, np.int64).reshape(-1, 2), np.frombuffer(w, "<u4").reshape(2, -1)
-        hashes.append(_unsix(h))
+        hashes.append(_unplaned(h, 6))
         owner.append(at[0].astype(np.int64) + base)
         place.append(at[1])
         keys.append(names)
@@ -208,39 +225,45 @@ def _window_messages(n_buckets: int, window: int):
             asks = size[q] == 1
             names, mine = np.unique(owner[q], return_inverse=True)
             where = np.where(asks, place[q], 0xFFFFFFFF)
-            rows.append((b, _six(first[q]), _six(second[q]), np.stack([mine, where]).astype("<u4").tobytes(), keys[names].tobytes()))
+            rows.append((b, _planes(first[q], 8), _planes(second[q], 8), np.stack([mine, where]).astype("<u4").tobytes(), keys[names].tobytes()))
         if rows:
             yield _batch(rows, _MESSAGE_PA)
 
+    def windows(batch, base):
+        """Digest (two halves), least inner hash, owner and place of every window around a hot block."""
+        buf, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
+        h, start = word_hashes(buf, off)
+        n = np.diff(start)
+        if len(h) < window:
+            return None
+        hot = np.zeros(len(h) + block, bool)
+        for d, parts in enumerate(batch.column(batch.schema.get_field_index("found")).to_pylist()):
+            for part in parts:
+                hot[start[d] + np.frombuffer(part, "<u4").astype(np.int64) * block] = True
+        inside = np.arange(len(h)) - np.repeat(start[:-1], n)
+        fits = inside + window <= np.repeat(n, n)
+        anchor = np.minimum(np.arange(len(h)) - inside + -(-inside // block) * block, len(h))
+        p = np.flatnonzero(fits & hot[anchor])
+        first, second = _digests(buf, off, p, window).T
+        least = _minima(rolling(h, run_words, 23), window - run_words + 1)[p]
+        return _keys(batch), first, second, least, np.repeat(np.arange(len(n)), n)[p] + base, inside[p]
+
     def run(batches):
-        held, size, base = [], 0, 0
+        held, size, count, base = [], 0, 0, 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                buf, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
-                h, start = word_hashes(buf, off)
-                n = np.diff(start)
-                if len(h) >= window:
-                    hot = np.zeros(len(h) + block, bool)
-                    lists = batch.column(batch.schema.get_field_index("found")).to_pylist()
-                    for d, parts in enumerate(lists):
-                        for part in parts:
-                            hot[start[d] + np.frombuffer(part, "<u4").astype(np.int64) * block] = True
-                    inside = np.arange(len(h)) - np.repeat(start[:-1], n)
-                    fits = inside + window <= np.repeat(n, n)
-                    anchor = np.minimum(np.arange(len(h)) - inside + -(-inside // block) * block, len(h))
-                    p = np.flatnonzero(fits & hot[anchor])
-                    a, b = rolling(h, window, 21)[p] & LOW, rolling(h, window, 22)[p] & LOW
-                    least = _minima(rolling(h, run_words, 23), window - run_words + 1)[p]
-                    held.append((_keys(batch), a, b, least, np.repeat(np.arange(len(n)), n)[p] + base, inside[p]))
-                    base += len(n)
-                size += len(buf)
-                if size >= FLUSH and held:
+                if (got := windows(batch, base)) is not None:
+                    held.append(got)
+                    base += batch.num_rows
+                    count += len(got[1])
+                size += batch.nbytes
+                if (size >= FLUSH or count >= FLUSH_WINDOWS) and held:
                     yield from send(held)
-                    held, size, base = [], 0, 0
+                    held, size, count, base = [], 0, 0, 0
         if held:
             yield from send(held)
 
-    return run
+    return lambda batches: _released(run(batches))
 
 
 def _repeated_windows(table: pa.Table) -> pa.Table:
@@ -251,8 +274,8 @@ def _repeated_windows(table: pa.Table) -> pa.Table:
             rows.append((int(names[0][0]), int(names[0][1]), w))
             continue
         at = np.frombuffer(w, "<u4").reshape(2, -1)
-        first.append(_unsix(a))
-        second.append(_unsix(b))
+        first.append(_unplaned(a, 8))
+        second.append(_unplaned(b, 8))
         owner.append(at[0].astype(np.int64) + base)
         place.append(at[1])
         keys.append(names)
@@ -313,19 +336,24 @@ def _joined(data: bytes, s: np.ndarray, e: np.ndarray, keep: np.ndarray) -> str:
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(k1, k2, found): for each document with repeats, binaries of little-endian uint32 word numbers at which a
-    repeated window starts. k1 is the id (0 for null), k2 a hash of text and id."""
+    repeated window starts. k1 and k2 are the :func:`_key` of its id and text."""
     spark = docs.sparkSession
     n = buckets(spark)
-    keyed = docs.select(F.col(id_col).cast("long").alias("k1"), _key2(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
+    keyed = docs.select(*_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
     anchors = keyed.mapInArrow(_anchor_messages(n, window), _MESSAGE).groupBy("bucket").applyInArrow(_hot_anchors, _ANSWER)
-    hot, _ = cut(anchors.groupBy("k1", "k2").agg(F.collect_list("found").alias("found")), "anchors")
-    near = keyed.withColumn("k1", F.coalesce("k1", F.lit(0))).join(hot.hint("shuffle_hash"), ["k1", "k2"])
+    hot, path = cut(anchors.groupBy("k1", "k2").agg(F.collect_list("found").alias("found")), "anchors")
+    near = keyed.join(hot.hint("shuffle_hash"), ["k1", "k2"])
     windows = near.mapInArrow(_window_messages(n, window), _MESSAGE).groupBy("bucket").applyInArrow(_repeated_windows, _ANSWER)
-    return cut(windows.groupBy("k1", "k2").agg(F.collect_list("found").alias("found")), "windows")[0]
+    out, _ = cut(windows.groupBy("k1", "k2").agg(F.collect_list("found").alias("found")), "windows")
+    drop(spark, path)
+    return out
 
 
-def _key2(id_col: str, text_col: str):
-    return F.xxhash64(F.col(text_col), F.col(id_col).isNull())
+def _key(id_col: str, text_col: str):
+    """k1 and k2: the first 128 bits of the SHA-256 of id and text, as two bigints."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in (id_col, text_col)]
+    digest = F.sha2(F.concat(parts[0], F.lit("\x00"), parts[1]), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("bigint").alias(k) for at, k in ((1, "k1"), (17, "k2"))]
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, window: int, extra: list[tuple[str, str]], digest: bool, keep: list[str]) -> DataFrame:
@@ -334,7 +362,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, window: int, extra: li
 
     found = repeated_starts(docs, id_col, text_col, window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found").alias("_found"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
-    inner = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in names if c in keep], F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), _key2(id_col, text_col).alias("k2"), F.col(text_col).alias("text"))
+    inner = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in names if c in keep], *_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
     joined = inner.join(found.hint("shuffle_hash"), (inner.k1 == found._k1) & (inner.k2 == found._k2), "left")
     joined = joined.select(*[names[c] for c in names if c in keep], "text", F.coalesce("_found", F.array().cast("array<binary>")).alias("found"))
     fields = [joined.schema[names[c]] for c in names if c in keep] + ([] if digest else [joined.schema["text"]])

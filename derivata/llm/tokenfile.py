@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .cluster import cut, drop, shared_dir, write
-from .words import slices
+from .words import released, slices
 
 END_ID = 2
 #: Ids in a block, about.
@@ -65,17 +65,20 @@ def _width(size: int) -> str:
 
 
 def _encode(path: str, end_id: int):
+    def rows(words, kind, batch):
+        _, _, ids, cuts = bpe.encoded(words, batch.column(batch.schema.get_field_index("text")))
+        ended = np.insert(ids, cuts[1:], end_id).astype(kind)
+        stops = cuts + np.arange(len(cuts))
+        binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((stops * ended.itemsize).astype(np.int32)), pa.py_buffer(ended.tobytes())])
+        return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("k")), pa.array(np.diff(stops).astype(np.int64)), binary], names=["k", "n", "raw"])
+
     def run(batches):
         words = bpe.by_library(path)
-        kind = _width(max(len(words.lens), end_id + 1))
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                _, _, ids, cuts = bpe.encoded(words, batch.column(batch.schema.get_field_index("text")))
-                ended = np.insert(ids, cuts[1:], end_id).astype(kind)
-                width = ended.itemsize
-                stops = cuts + np.arange(len(cuts))
-                binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((stops * width).astype(np.int32)), pa.py_buffer(ended.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("k")), pa.array(np.diff(stops).astype(np.int64)), binary], names=["k", "n", "raw"])
+        with released():
+            kind = _width(max(len(words.lens), end_id + 1))
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    yield rows(words, kind, batch)
 
     return run
 

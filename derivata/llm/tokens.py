@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .words import slices
+from .words import released, slices
 
 
 def _texts(words: bpe.Speculator, buf, off, ids, cuts):
@@ -24,25 +24,30 @@ def _texts(words: bpe.Speculator, buf, off, ids, cuts):
     return b"".join(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def _rows(words: bpe.Speculator, batch: pa.RecordBatch, digests: bool) -> pa.RecordBatch:
+    buf, off, ids, cuts = bpe.encoded(words, batch.column(batch.schema.get_field_index("text")))
+    data, ends = _texts(words, buf, off, ids, cuts)
+    keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+    at, to = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    n = pa.array(np.diff(cuts).astype(np.int64))
+    if digests:
+        raw = ids.astype("<u4").tobytes()
+        more = [n, pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in at], pa.string()), pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in to], pa.string())]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    else:
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
+        more = [n, lists, pa.array([data[a:b].decode() for a, b in to], pa.string())]
+        names = ["n_tokens", "ids", "decoded"]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *more], names=[*(batch.schema.names[i] for i in keep), *names])
+
+
 def _run(path: str, digests: bool):
     def run(batches):
         words = bpe.speculator(path)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                buf, off, ids, cuts = bpe.encoded(words, batch.column(batch.schema.get_field_index("text")))
-                data, ends = _texts(words, buf, off, ids, cuts)
-                le = ids.astype("<u4")
-                keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-                n = pa.array(np.diff(cuts).astype(np.int64))
-                if digests:
-                    raw = le.tobytes()
-                    more = [n, pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]), pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])]
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
-                    more = [n, lists, pa.array([data[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())]
-                    names = ["n_tokens", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *more], names=[*(batch.schema.names[i] for i in keep), *names])
+        with released():
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    yield _rows(words, batch, digests)
 
     return run
 

@@ -7,6 +7,10 @@ stays bounded for texts of any length.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 
@@ -90,7 +94,8 @@ def spans(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = SEPARATORS)
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans are in order, without overlap, and not empty."""
+    """A 64-bit hash of each span; spans are in order, without overlap, and not empty. Equal spans have equal hashes;
+    that the converse holds is for the caller to check."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = []
@@ -111,6 +116,55 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``buf`` has the bytes of the span of ``other`` beside it; none is empty. In pieces, so that
+    memory stays bounded."""
+    lens = ends - starts
+    same = lens == other_ends - other_starts
+    todo = np.flatnonzero(same if buf is not other else same & (starts != other_starts))
+    stops = np.cumsum(lens[todo])
+    lo = 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(stops, (stops[lo - 1] if lo else 0) + SEGMENT, "right")))
+        part = todo[lo:hi]
+        n = lens[part]
+        first = np.cumsum(n) - n
+        inside = np.arange(int(n.sum()))
+        differ = buf[inside + np.repeat(starts[part] - first, n)] != other[inside + np.repeat(other_starts[part] - first, n)]
+        same[part[np.add.reduceat(differ, first, dtype=np.int64) > 0]] = False
+        lo = hi
+    return same
+
+
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, separators: np.ndarray = SEPARATORS) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one blank between those of a document, and where each word begins; documents may touch."""
+    keep = ~separators[buf]
+    lead = starts > 0
+    lead[lead] = separators[buf[starts[lead] - 1]]
+    keep[starts[lead] - 1] = True
+    out = buf[keep]
+    out[separators[out]] = 0x20
+    lens = ends - starts
+    return out, np.cumsum(lens + lead) - lens
+
+
+@contextlib.contextmanager
+def released():
+    """For one partition: memory that it frees goes back to the system after it, so that idle workers don't hold it."""
+    try:
+        yield
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    if name and hasattr(libc := ctypes.CDLL(name), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the index of each document's first word."""
     if len(buf) <= 4 * SEGMENT:

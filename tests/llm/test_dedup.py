@@ -3,6 +3,8 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -88,7 +90,8 @@ def test_simhash_matches_brute_force(spark, texts):
     assert sorted((tuple(r) for r in got), key=key) == sorted(((i, f"{p:016x}", c) for (i, _, _), p, c in zip(rows, prints, want)), key=key)
 
 
-def test_near_roots_finds_all_links(spark):
+@pytest.mark.parametrize("levels", [None, 1, 3])
+def test_near_roots_finds_all_links(spark, levels):
     """Random fingerprints with chains of near ones, and a dense clump that needs the tree."""
     ship(spark)
     r = random.Random(5)
@@ -102,23 +105,81 @@ def test_near_roots_finds_all_links(spark):
     prints += [centre ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for _ in range(1200)]
     prints = sorted(set(prints))
     signed = np.array(prints, np.uint64).view(np.int64)
-    roots = {x.node: x.root for x in simhash.near_roots(spark.createDataFrame([(int(x),) for x in signed], "fp bigint")).collect()}
+    roots = {x.node: x.root for x in simhash.near_roots(spark.createDataFrame([(int(x),) for x in signed], "fp bigint"), levels)[0].collect()}
     a = np.array(prints, np.uint64)
     u, v = np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 3, 1))
     node, root = contract(signed[u], signed[v])
     assert len(u) > 3000 and roots == dict(zip(node.tolist(), root.tolist()))
 
 
-def test_search_tree_is_exact():
+def brute_force(fps):
+    x = fps.view(np.uint64)
+    u, v = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, 1))
+    return [y.tolist() for y in contract(fps[u], fps[v])]
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_search_tree_is_exact(half):
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 1, dtype=np.int64)[0]
     flips = np.array([sum(1 << int(b) for b in r.choice(40, 4, replace=False)) for _ in range(2500)], np.int64)
     fps = np.unique(base ^ flips)
     links = simhash._Links()
-    simhash.search(fps, fps, np.full(len(fps), 3), simhash._levels(0), links)
-    x = fps.view(np.uint64)
-    u, v = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, 1))
-    assert [y.tolist() for y in links.shortened()] == [y.tolist() for y in contract(fps[u], fps[v])]
+    met = simhash.search(np.zeros(len(fps), np.int64), fps, np.full(len(fps), 3, np.int8), np.ones(len(fps), bool), half, 0, links)
+    assert len(fps) <= met < len(fps) ** 2 / 2
+    assert [y.tolist() for y in links.shortened()] == brute_force(fps)
+
+
+def test_every_shard_goes_through_the_tree():
+    """On the documents of the small tables: few of the pairs of a shard meet in a leaf, and no link is lost."""
+    texts = pa.parquet.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0)
+    fps = np.unique(simhash.fingerprints(*words.text_buffers(texts)).view(np.int64))
+    links, met, pairs = simhash._Links(), 0, 0
+    for batch in simhash._visits(0)([pa.RecordBatch.from_arrays([pa.array(fps)], names=["fp"])]):
+        shard, fp, left, home, half = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        met += simhash.search(shard, fp, left, home, int(half[0]), 0, links)
+        n = np.bincount(shard[home], minlength=2 * 5**8)
+        pairs += int(n[shard].sum())
+    own = 2 * len(fps)  # every fingerprint meets itself in each half
+    assert 0 <= met - own < 0.3 * (pairs - own)
+    assert [y.tolist() for y in links.shortened()] == brute_force(fps)
+
+
+def test_fingerprints_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    want = [plain.fingerprint(t) for t in (text, "", "a b", text[:-3])]
+    monkeypatch.setattr(simhash, "SHINGLES", 700)
+    got = simhash.fingerprints(*words.text_buffers(pa.array([text, "", "a b", text[:-3]])))
+    assert got.tolist() == want
+
+
+def thue_morse(letters, n=10):
+    """Words that 64-bit polynomial hashes of any base take for equal."""
+    word, swapped = letters, letters[::-1]
+    for _ in range(n - 1):
+        word, swapped = word + swapped, swapped + word
+    return word, swapped
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_of_equal_hashes_are_told_apart(spark, n):
+    ship(spark)
+    a, b = thue_morse("ab", n)
+    both = np.frombuffer((a + " " + b).encode(), np.uint8)
+    cut = np.array([0, len(a) + 1]), np.array([len(a), len(both)])
+    assert len(set(words.hash_spans(both, *cut).tolist())) == 1
+    shared = " ".join(f"s{i}" for i in range(34))
+    rows = [(1, f"{shared} {a}", ""), (2, f"{shared} {b}", ""), (3, f"{shared} {a} x", "")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 35, 2: 0, 3: 35}
+
+
+def test_substring_takes_ids_of_any_type_and_odd_names(spark):
+    ship(spark)
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([("a", text, 1), ("b", f"x {text}", 2), (None, "y", 3)], "id string, `my.text` string, found int")
+    got = {r.id: (r.n_removed, r.found) for r in substring_dedup.substring_dedup(df, "id", "my.text").collect()}
+    assert got == {"a": (40, 1), "b": (40, 2), None: (0, 3)}
 
 
 def test_simhash_dedup_keeps_one_of_each(spark):
@@ -132,6 +193,6 @@ def test_simhash_dedup_keeps_one_of_each(spark):
 
 def test_components_of_a_long_path_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(5, 5), (7, 8), (100, 101)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint"))[0].collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
-    assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+    assert components(spark.createDataFrame([], "u bigint, v bigint"))[0].collect() == []

@@ -37,7 +37,7 @@ def test_ids_equal_the_library(kind, odd):
 
 
 def test_forgetting_changes_nothing(odd, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_IDS", 10)
+    monkeypatch.setattr(bpe, "MOST_BYTES", 10)
     words = bpe.Speculator(PATH)
     a = words.encode(*bpe.text_buffers(pa.array(odd, pa.string())))
     b = words.encode(*bpe.text_buffers(pa.array(odd, pa.string())))
@@ -50,9 +50,44 @@ def test_index_numbers_hashes():
     for _ in range(30):
         new = np.unique(r.integers(0, 1 << 62, 9000, dtype=np.uint64))
         new = new[index.find(new) < 0]
-        seen |= dict(zip(new.tolist(), index.add(new).tolist()))
+        numbers = np.arange(len(seen), len(seen) + len(new))
+        index.add(new, numbers)
+        seen |= dict(zip(new.tolist(), numbers.tolist()))
     keys = np.array(sorted(seen), np.uint64)
-    assert index.find(keys).tolist() == [seen[k] for k in keys.tolist()] and sorted(seen.values()) == list(range(len(seen)))
+    assert index.find(keys).tolist() == [seen[k] for k in keys.tolist()]
+
+
+@pytest.mark.parametrize("kind", [bpe.Speculator, bpe.Library])
+@pytest.mark.parametrize("n", [9, 11])
+def test_words_of_equal_hashes_are_told_apart(kind, n):
+    """Words that 64-bit polynomial hashes of any base take for equal: in one batch, and one after the other."""
+    a, b = "ab", "ba"
+    for _ in range(n):
+        a, b = a + b, b + a
+    words, want = kind(PATH), {t: bpe.library(PATH).encode(t, add_special_tokens=False).ids for t in (a, b)}
+    for batch in ([a, b, a], [b], [a, b]):
+        ids, cuts = words.encode(*bpe.text_buffers(pa.array(batch)))
+        assert [ids[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])] == [want[t] for t in batch]
+
+
+def test_long_texts_go_in_parts(odd, monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT", 50)
+    text = " ".join(t for t in odd if t)
+    words, want = bpe.Speculator(PATH), bpe.library(PATH).encode(text, add_special_tokens=False).ids
+    ids, cuts = words.encode(*bpe.text_buffers(pa.array(["", text, None, "x y"])))
+    assert len(words.splitter.parts(*bpe.text_buffers(pa.array([text])))) > 20
+    assert ids[cuts[1] : cuts[2]].tolist() == want and np.diff(cuts).tolist() == [0, len(want), 0, 2]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_other_kinds_of_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f) | change
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="supported"):
+        bpe.Splitter(str(tmp_path / "t.json"))
 
 
 def test_pair_compatibility_equals_exact_merging():
@@ -125,10 +160,11 @@ def test_quality_on_long_repeats(spark):
     assert [g.n_repeat_words for g in got] == [plain.quality(t)[4] for t in texts]
 
 
-@pytest.mark.parametrize("block", [200_000, 60])
-def test_decontamination_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("size", [100_000, 12])
+def test_decontamination_matches_brute_force(spark, monkeypatch, size):
     ship(spark)
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", size)
+    monkeypatch.setattr(decontaminate, "RUN_WORDS", 5 if size < 100 else 5000)
     q = "What is the 3rd largest city of the northern region by area or people?"
     items = [(1, q), (2, "Paris, Texas"), (3, None), (4, "!!!"), (10, q + " Then tell me why, in ten words or more please."), (None, "no id here"), (5, "Paris, Texas")]
     texts = [None, "", "nothing here", f"So: {q.upper()} -- yes", "paris\ntexas paris texas", "parís texas", "xparis texas", "NO ID HERE!", q.replace(" ", "  ")[:-30], "ünder Paris-Texas ünder", " ".join(q.split()[2:]) + " what is the"]
@@ -142,3 +178,25 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block):
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [i for i in range(len(texts)) if not got[i][-1]]
     assert decontaminate.decontamination_digests(docs.where(F.lit(False)), bench).collect() == []
     assert not any(r.contaminated for r in decontaminate.decontamination_digests(docs, bench.where(F.lit(False))).collect())
+    twice = decontaminate.decontamination_digests(docs.union(docs), bench).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, decontaminate.decontamination_digests(docs, bench).collect() * 2))
+
+
+def test_one_automaton_scans_the_text_once(spark):
+    ship(spark)
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{k}" for k in range(40))) for i in range(300)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, "so b7x3 b7x4 and b9x0 " + " ".join(f"b9x{k}" for k in range(12)))], "doc_id bigint, text string")
+    found = decontaminate.decontamination_digests(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r.n_hit, r.n_items) for r in found.collect()] == [(12, 1)]
+
+
+def test_decontamination_of_words_of_equal_hashes(spark):
+    ship(spark)
+    a, b = "ab", "ba"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"x {b} y")], "doc_id bigint, text string")
+    for item, want in ((a, [True, False, False]), (f"{b} {a}", [False] * 3), (b, [False, True, True])):
+        bench = spark.createDataFrame([(1, item), (2, "other words")], "item_id bigint, text string")
+        assert [r.contaminated for r in decontaminate.decontamination_digests(docs, bench).orderBy("doc_id").collect()] == want
