@@ -1,11 +1,15 @@
 """Chat formatting from heterogeneous layouts.
 
-A layout is known by its fingerprint: the digest of its sorted nested field paths, of those names that layouts use at
-all (others may come along). The fingerprint selects a declarative mapping, which compiles to Spark columns: rows by
-turn, or a list of turns to explode. No mapping is guessed; an unknown fingerprint is an error that names it.
+A layout is known by its fingerprint: the digest of its sorted nested field paths. The fingerprint selects a
+declarative mapping, which compiles to a Spark column of turns. A table of one layout has the fingerprint of its schema
+(:func:`canonical_turns`); records of many layouts, as JSON, have one each (:func:`turns_of_records`). Other fields may
+come along: where the whole fingerprint is unknown, the layout with most paths among those there decides, and of
+equally many the one that :data:`LAYOUTS` has first. No mapping is guessed: none such is an error that names the paths.
 
-The template is local to a turn, so turns are formatted where they are, without a shuffle, and a conversation of any
-length is never gathered. A turn is
+Roles go by other names in some layouts ("from": "human") and are translated there; rows by turn keep theirs.
+
+The template is local to a turn, so turns are formatted where they are, by built-in functions and without a shuffle,
+and a conversation of any length is never gathered. A turn is
 
     <|im_start|>ROLE newline TEXT <|im_end|> newline
 
@@ -22,7 +26,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
@@ -35,21 +39,16 @@ LEARNT = "assistant"
 #: Names of roles in known layouts, and what they are here.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
-#: Fields that layouts consist of.
-FIELDS = frozenset("conv_id turn role text messages content conversations from value instruction input output prompt response completion question answer system".split())
-
-
 def field_paths(schema: DataType, at: str = "") -> list[str]:
-    """The nested field paths of a type, without fields that no layout uses."""
+    """The nested field paths of a type; [] stands for each element, {} for a map."""
     if isinstance(schema, StructType):
-        return [p for f in schema.fields if f.name in FIELDS for p in ([f"{at}{f.name}"] if not isinstance(f.dataType, (StructType, ArrayType, MapType)) else field_paths(f.dataType, f"{at}{f.name}."))]
+        return [p for f in schema.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
     if isinstance(schema, ArrayType):
-        inner = f"{at[:-1]}[]"
-        return field_paths(schema.elementType, inner + ".") if isinstance(schema.elementType, (StructType, ArrayType)) else [inner]
-    return [at[:-1] + "{}"]
+        return field_paths(schema.elementType, f"{at}[]")
+    return [f"{at}{{}}" if isinstance(schema, MapType) else at]
 
 
-def fingerprint(paths: list[str]) -> str:
+def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
@@ -65,70 +64,110 @@ def _fixed(*turns: tuple[str, tuple[str, ...]]):
     return {"fixed": turns}
 
 
-#: Declarative mappings by the field paths of the layouts they are for.
+#: Declarative mappings by the field paths of the layouts they are for, conv_id apart.
 LAYOUTS = {
-    ("conv_id", "role", "text", "turn"): _rows("turn", "role", "text"),
-    ("conv_id", "content", "role", "turn"): _rows("turn", "role", "content"),
+    ("role", "text", "turn"): _rows("turn", "role", "text"),
+    ("content", "role", "turn"): _rows("turn", "role", "content"),
     ("messages[].content", "messages[].role"): _list("messages", "role", "content"),
-    ("conv_id", "messages[].content", "messages[].role"): _list("messages", "role", "content"),
     ("conversations[].from", "conversations[].value"): _list("conversations", "from", "value"),
-    ("conv_id", "conversations[].from", "conversations[].value"): _list("conversations", "from", "value"),
     ("instruction", "output"): _fixed(("user", ("instruction",)), ("assistant", ("output",))),
-    ("instruction", "input", "output"): _fixed(("user", ("instruction", "input")), ("assistant", ("output",))),
-    ("instruction", "input", "output", "system"): _fixed(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
+    ("input", "instruction", "output"): _fixed(("user", ("instruction", "input")), ("assistant", ("output",))),
+    ("input", "instruction", "output", "system"): _fixed(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
     ("prompt", "response"): _fixed(("user", ("prompt",)), ("assistant", ("response",))),
-    ("prompt", "completion"): _fixed(("user", ("prompt",)), ("assistant", ("completion",))),
+    ("completion", "prompt"): _fixed(("user", ("prompt",)), ("assistant", ("completion",))),
     ("prompt", "response", "system"): _fixed(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))),
-    ("question", "answer"): _fixed(("user", ("question",)), ("assistant", ("answer",))),
+    ("answer", "question"): _fixed(("user", ("question",)), ("assistant", ("answer",))),
 }
-MAPPINGS = {fingerprint(list(paths)): mapping for paths, mapping in LAYOUTS.items()}
-
+MAPPINGS = {fingerprint(paths): paths for paths in LAYOUTS}
+_BY_SIZE = sorted(LAYOUTS, key=len, reverse=True)
 
-def canonical_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
-    """(conv_id, turn, role, text) of every turn. ``id_col`` names the conversation where it isn't conv_id.
 
-    Empty parts of a fixed layout (no input, no system text) make no turn or line; a list may be null or empty."""
-    paths = field_paths(df.schema)
-    mapping = MAPPINGS.get(fingerprint(paths)) or MAPPINGS.get(fingerprint([p for p in paths if p != "conv_id"]))
-    if not mapping:
+def layout_of(paths) -> tuple[str, ...]:
+    """The paths of the layout that decides for these field paths."""
+    paths = set(paths) - {"conv_id"}
+    if known := MAPPINGS.get(fingerprint(paths)):
+        return known
+    if not (fit := [x for x in _BY_SIZE if set(x) <= paths]):
         raise ValueError(f"no mapping for the layout {fingerprint(paths)}: {sorted(paths)}")
-    conv = F.col(id_col or "conv_id")
-    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    return fit[0]
+
+
+def _turns(layout: tuple[str, ...], field) -> Column:
+    """array<struct<turn, role, text>> by a layout's mapping; ``field`` gives the column of a name."""
+    mapping = LAYOUTS[layout]
+    turn = lambda n, role, text: F.struct(n.cast("bigint").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if "rows" in mapping:
-        turn, role, text = mapping["rows"]
-        out = df.select(conv.alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    elif "list" in mapping:
+        n, role, text = (field(x) for x in mapping["rows"])
+        return F.array(turn(n, role.cast("string"), text.cast("string")))
+    if "list" in mapping:
         each, role, text = mapping["list"]
-        out = df.select(conv.alias("conv_id"), F.posexplode(each).alias("turn", "t")).select("conv_id", F.col("turn").cast("bigint"), F.col(f"t.{role}").alias("role"), F.col(f"t.{text}").alias("text"))
-    else:
-        turns = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.when(F.col(c) != "", F.col(c)) for c in columns]).alias("text")) for role, columns in mapping["fixed"]]
-        kept = F.filter(F.array(*turns), lambda t: (t["text"] != "") | (t["role"] != "system"))
-        out = df.select(conv.alias("conv_id"), F.posexplode(kept).alias("turn", "t")).select("conv_id", F.col("turn").cast("bigint"), "t.role", "t.text")
-    role = F.coalesce("role", F.lit(""))
-    return out.select(F.col("conv_id").cast("bigint"), "turn", F.coalesce(F.try_element_at(known, role), role).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        return F.transform(field(each), lambda t, i: turn(i, F.coalesce(F.try_element_at(known, F.coalesce(t[role], F.lit(""))), t[role]), t[text]))
+    parts = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.nullif(field(c).cast("string"), F.lit("")) for c in columns]).alias("text")) for role, columns in mapping["fixed"]]
+    return F.transform(F.filter(F.array(*parts), lambda t: (t["text"] != "") | (t["role"] != "system")), lambda t, i: turn(i, t["role"], t["text"]))
+
+
+def canonical_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
+    """(conv_id, turn, role, text) of every turn of a table of one layout. ``id_col`` names the conversation where it
+    isn't conv_id.
+
+    Empty parts of a fixed layout (no input, no system text) make no turn or line; a list may be null or empty."""
+    turns = _turns(layout_of(field_paths(df.schema)), lambda c: F.col(f"`{c}`"))
+    return df.select(F.col(f"`{id_col or 'conv_id'}`").cast("bigint").alias("conv_id"), F.inline(turns))
+
+
+#: What the mappings read of a record.
+_RECORD = "conv_id bigint, turn bigint, role string, text string, content string, messages array<struct<role: string, content: string>>, conversations array<struct<from: string, value: string>>, instruction string, input string, output string, system string, prompt string, response string, completion string, question string, answer string"
 
 
-_RISKY = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)) + r"|\\")
+def _keys_of(json: Column, at: str = "") -> Column:
+    return F.transform(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), lambda k: F.concat(F.lit(at), k))
+
+
+def turns_of_records(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text) of every turn of records (JSON objects) of any mix of known layouts.
+
+    A list's paths are those of its first element. A null record, one that is no JSON, and one of an unknown layout give
+    no turns; :func:`unknown_layouts` lists them."""
+    known = _fingerprinted(df, json_col, id_col)
+    record = F.from_json("json", _RECORD)
+    turns = F.coalesce(*[F.when(F.col("layout") == fingerprint(layout), _turns(layout, lambda c: F.col("r")[c])) for layout in LAYOUTS])
+    return known.withColumn("r", record).select("conv_id", F.inline(turns))
+
+
+def unknown_layouts(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
+    """(paths, n) of the records that :func:`turns_of_records` gives no turns of, by their sorted field paths."""
+    return _fingerprinted(df, json_col, id_col).where("layout IS NULL").groupBy(F.array_join("paths", ",").alias("paths")).agg(F.count("*").alias("n"))
+
+
+def _fingerprinted(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
+    """(conv_id, json, paths, layout): each record's sorted field paths, and the fingerprint of the layout they select."""
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("conv_id"), F.col(f"`{json_col}`").alias("json"))
+    lists = [each for each, _, _ in (m["list"] for m in LAYOUTS.values() if "list" in m)]
+    outer = F.filter(_keys_of(F.col("json")), lambda k: ~k.isin("conv_id", *lists))
+    inner = [_keys_of(F.get_json_object("json", f"$.{each}[0]"), f"{each}[].") for each in lists]
+    paths = F.array_sort(F.array_distinct(F.concat(outer, *inner)))
+    own = F.substring(F.sha2(F.array_join("paths", "\n"), 256), 1, 16)
+    exact = F.when(own.isin(list(MAPPINGS)), own)
+    fits = lambda x: F.forall(F.array(*map(F.lit, x)), lambda p: F.array_contains("paths", p))
+    found = F.coalesce(exact, *[F.when(fits(x), F.lit(fingerprint(x))) for x in _BY_SIZE])
+    return rows.withColumn("paths", paths).withColumn("layout", found)
+
+
+_RISKY = "|".join([rf"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL] + [r"\\"])
 _ESCAPED = re.compile(r"\\([\s\S])")
 _TURN = re.compile(re.escape(START) + r"((?:[^\\\n]|\\[\s\S])*)\n([\s\S]*)" + re.escape(END) + "\n")
 
 
-def escape(text: str) -> str:
-    return _RISKY.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+def escape(text: Column) -> Column:
+    """A backslash after the first character of each control string, and after each backslash."""
+    return F.regexp_replace(text, _RISKY, r"$0\\")
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def format_turn(role: str, text: str) -> tuple[str, int, int]:
-    """The formatted turn, and where in it the learnt text begins and ends (both 0 if it has none)."""
-    head = f"{START}{escape(role).replace(chr(10), chr(92) + chr(10))}\n"
-    body = escape(text)
-    mask = (len(head), len(head) + len(body)) if role == LEARNT else (0, 0)
-    return f"{head}{body}{END}\n", *mask
-
-
 def parse_turn(piece: str) -> tuple[str, str]:
     m = _TURN.fullmatch(piece)
     if not m:
@@ -136,20 +175,19 @@ def parse_turn(piece: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
-_FORMAT = [("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32())]
-
-
-def _format_batches(batches):
-    for batch in batches:
-        made = [format_turn(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        columns = [pa.array([m[k] for m in made], t) for k, (_, t) in enumerate(_FORMAT[2:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[n for n, _ in _FORMAT])
+def formatted(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, formatted, loss_start, loss_end) of canonical turns: the pieces that, by conversation and turn,
+    make up the text, and the part of each piece under the loss mask (both 0 where nothing is learnt)."""
+    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    parts = turns.select("conv_id", "turn", (F.col("role") == LEARNT).alias("learnt"), head.alias("head"), escape(F.col("text")).alias("body"))
+    begin = F.length("head")
+    mask = lambda at: F.when(F.col("learnt"), at).otherwise(F.lit(0))
+    return parts.select("conv_id", "turn", F.concat("head", "body", F.lit(f"{END}\n")).alias("formatted"), mask(begin).alias("loss_start"), mask(begin + F.length("body")).alias("loss_end"))
 
 
 def format_chat(df: DataFrame, id_col: str | None = None) -> DataFrame:
-    """(conv_id, turn, formatted, loss_start, loss_end): the pieces that, by conversation and turn, make up the text,
-    and the part of each piece under the loss mask."""
-    return canonical_turns(df, id_col).mapInArrow(_format_batches, "conv_id bigint, turn bigint, formatted string, loss_start int, loss_end int")
+    """The formatted turns of a table of one layout; see :func:`formatted`."""
+    return formatted(canonical_turns(df, id_col))
 
 
 class _Running:

@@ -26,8 +26,10 @@ SPELLINGS = {
     "judgement": "judgment", "labour": "labor", "licence": "license", "licences": "licenses", "licenced": "licensed", "modelled": "modeled",
     "noncommercial": "non commercial", "noninfringement": "non infringement", "offence": "offense", "organisation": "organization",
     "organisations": "organizations", "percent": "per cent", "practise": "practice", "programme": "program", "recognised": "recognized",
-    "sublicence": "sublicense", "sub license": "sublicense", "sub licence": "sublicense", "whilst": "while", "wilful": "willful",
+    "sublicence": "sublicense", "whilst": "while", "wilful": "willful",
 }
+#: Words written apart, and as one.
+APART = {"sub license": "sublicense", "sub licence": "sublicense"}
 
 #: Words of which every built-in text names at least one, before spellings are made one.
 ANCHORS = "licen|permission|software|public domain"
@@ -61,7 +63,10 @@ KNOWN_TEXTS = {
     "Zlib": _ZLIB,
 }
 #: Whole texts in files of the folder texts, as published; also known up to where their terms end.
-FULL_TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0")
+FULL_TEXTS = (
+    "Apache-2.0", "Artistic-1.0-Perl", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "OFL-1.1", "Unicode-3.0",
+)
 TERMS_END = "END OF TERMS AND CONDITIONS"
 #: Titles that may stand before a text.
 TITLES = {"MIT": ["The MIT License", "MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"]}
@@ -94,10 +99,12 @@ _MARKER = r"(?:\A\s*|(?<=[.;:])[*#/>-]*\s[\s*#/>-]*)\(?(?:\d{1,2}|[a-z]|[ivx]{1,
 def canonical(text: Column) -> Column:
     """The canonical form, as a column."""
     t = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, " "), _MARKER, " ")
-    t = F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for word in sorted(SPELLINGS, key=len, reverse=True):
-        t = F.replace(t, F.lit(f" {word} "), F.lit(f" {SPELLINGS[word]} "))
-    return F.btrim(t)
+    t = F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+    for apart, whole in APART.items():
+        t = F.regexp_replace(t, rf"\b{apart}\b", whole)
+    spelt = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    words = F.transform(F.split(t, " "), lambda w: F.coalesce(F.try_element_at(spelt, w), w))
+    return F.array_join(words, " ")
 
 
 def digest(text: Column) -> Column:
@@ -109,7 +116,8 @@ def known_digests(spark) -> DataFrame:
     rows = [(k, "text", t) for k, t in KNOWN_TEXTS.items()] + [(k, "text", f"{title}\n{KNOWN_TEXTS[k]}") for k, titles in TITLES.items() for title in titles]
     for k in FULL_TEXTS:
         full = (Path(__file__).parent / "texts" / f"{k}.txt").read_text(encoding="utf-8")
-        rows += [(k, "text", full), (k, "text", full.partition(TERMS_END)[0]), (k, "text", full.partition(TERMS_END)[0] + TERMS_END)]
+        terms, end, _ = full.partition(TERMS_END)
+        rows += [(k, "text", t) for t in ((full, terms, terms + end) if end else (full,))]
     rows += [(k, "notice", n) for k, notices in KNOWN_NOTICES.items() for n in notices]
     table = spark.createDataFrame(rows, "license_id string, kind string, text string")
     return table.select(digest(F.col("text")).alias("digest"), "license_id", "kind").distinct()

@@ -46,7 +46,8 @@ def _words(text: Column) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the measures of :data:`MEASURES` and the ratios that :data:`RULES` names.
+    """``docs`` with the measures of :data:`MEASURES` and the ratios that :data:`RULES` names. Its columns must not begin
+    with two underscores; :func:`quality_rules` takes any names.
 
     The steps are projections of their own, so that no array is computed twice, and each drops what later ones
     don't need, so that no text is copied on and on."""
@@ -106,9 +107,12 @@ def compiled(rules=RULES) -> Column:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with its measures, base_failed and kept."""
+    """``docs`` with its measures, base_failed and kept. Names of other columns don't matter."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in _ADDED or c == text_col}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return measures(docs, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    judged = measures(inner, names[text_col]).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return judged.select(*[F.col(n).alias(c) for c, n in names.items() if c not in _ADDED], *_ADDED)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:

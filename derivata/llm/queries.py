@@ -31,7 +31,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: The dated list of the query: (kind, key, action, day).
+#: What the list of the query has besides what follows from the pages: (kind, key, action, day).
 URL_LIST = (
     ("domain", "spam-farm.example.org", "add", "2024-02-10"),
     ("domain", "spam-farm.example.org", "remove", "2024-06-01"),
@@ -42,14 +42,24 @@ URL_LIST = (
     ("prefix", "thther.example.org/en", "add", "2024-04-01"),
     ("prefix", "blog.ththan.example.net", "add", "2024-07-01"),
 )
+#: Captures of a page, and the least part of a page's address that the list may name.
+CAPTURES, HOST_AND_SEGMENT = 3, r"^[a-z]+://([^/?#]+/[^/?#]+)"
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page against the list of its fetch time; pages have none, so page_id gives the day of 2024."""
+    """Three captures of every page against the list of their fetch times.
+
+    Pages have no fetch times, so page_id gives days of 2024. The list has, besides its own entries, one for each host
+    and first path segment that a page of page_id divisible by 5 has, listed on a day that its least page_id gives, and
+    taken off 60 days later where that id is even."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    captures = pages.withColumn("fetched_at", F.expr("timestampadd(DAY, CAST(page_id % 366 AS INT), TIMESTAMP'2024-01-01 00:00:00')"))
+    at = lambda days: F.expr(f"timestampadd(DAY, CAST(({days}) % 366 AS INT), TIMESTAMP'2024-01-01 00:00:00')")
+    captures = pages.withColumn("capture", F.explode(F.array(*map(F.lit, range(CAPTURES))))).withColumn("fetched_at", at("page_id + capture * 131"))
+    keys = pages.where("page_id % 5 = 0").select(F.regexp_extract(F.lower("url"), HOST_AND_SEGMENT, 1).alias("key"), "page_id").where("key <> ''").groupBy("key").agg(F.min("page_id").alias("p"))
+    entry = lambda action, day: F.struct(F.lit("prefix").alias("kind"), F.col("key"), F.lit(action).alias("action"), day.alias("day"))
+    dated = keys.select(entry("add", at("p * 7")).alias("e")).union(keys.where("p % 2 = 0").select(entry("remove", at("p * 7") + F.expr("INTERVAL 60 DAYS")).alias("e"))).select("e.*")
     values = ", ".join(f"('{kind}', '{key}', '{action}', TIMESTAMP'{day} 00:00:00')" for kind, key, action, day in URL_LIST)
-    entries = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, key, action, day)")
+    entries = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, key, action, day)").unionByName(dated)
     day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
     return url_filter(captures, entries).select("page_id", "url", day("fetched_at", "fetched_on"), "blocked", "list_kind", "list_key", day("listed_since", "listed_since"))
 
@@ -106,5 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": oracle.OP2,
         "op6_chat_format": oracle.OP6,
         "op8_decontamination": oracle.OP8,
-        "op9_url_filter": oracle.op9(URL_LIST),
+        "op9_url_filter": oracle.op9(URL_LIST, CAPTURES, HOST_AND_SEGMENT),
     }

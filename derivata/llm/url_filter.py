@@ -9,7 +9,7 @@ Keys are equi-joined, never compared pairwise: a capture asks for its host, the
 prefixes. Captures of one address and time are evaluated once, so a host with a third of all captures repeats no work;
 the join by host is one that adaptive execution can split.
 
-Null or malformed URLs fall under no key; captures without a fetch time precede all entries; both pass. Entries of one
+Hosts and paths match whatever their case, as people write lists by hand. Null or malformed URLs fall under no key; captures without a fetch time precede all entries; both pass. Entries of one
 day: a ``remove`` comes last. Repeated entries change nothing. A repeated ``add`` keeps the first day.
 """
 

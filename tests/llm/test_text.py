@@ -153,6 +153,14 @@ def test_quality_measures_and_verdicts(spark):
     assert quality.quality_rules(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_quality_with_odd_names_and_repeated_rows(spark):
+    names = ["__t", "__w", "__l", "__x", "my.text", "a b", "kept", "n_words", "c0", "c1"]
+    df = spark.createDataFrame([(1, 2, 3, 4, "one two", 5, 6, 7, 8, 9)] * 2, names)
+    got = quality.quality_rules(df, "my.text").collect()
+    assert len(got) == 2 and [got[0][c] for c in ("__t", "__x", "my.text", "a b", "c0", "c1", "n_words", "kept")] == [1, 4, "one two", 5, 8, 9, 2, False]
+    assert quality.quality_filter(df, "my.text").columns == names
+
+
 def test_quality_on_long_repeats(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice("abcdef") for _ in range(20_000)), " ".join(f"w{i % 7}" for i in range(5000))]
