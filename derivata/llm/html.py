@@ -1,20 +1,31 @@
 """Main text of web pages, with a site style tree.
 
 Pages of one host share templates. Their DOMs are merged into one style tree: a node for each path of block elements
-(tags with class and id), which keeps how often each presentation (sequence of child elements) and each content (text
-of the branch) occurred. The importance of a node is the larger of two normalised entropies over the m pages that
-have it: of its presentations, and of its contents. It is 0 where all pages agree and 1 where all differ; on one page
-it is 1. Branches of low importance are templates and are removed from each page. Pages of one host with the same blocks
-are one page here, so that copies make no template of what only they share.
+(tags with class and id), with the presentations it has on the m pages that have it (sequences of child elements) and
+the blocks of text it holds itself. With p a presentation's share of the pages, and c the pages that have a block:
+
+    presentation importance  = - sum of p log p / log m                     (1 on one page)
+    content importance       = 1 - mean over its blocks of log c / log m    (1 on one page)
+    importance of a leaf     = its content importance
+    importance of a branch   = (1 - g^l) presentation importance + g^l mean importance of its children,
+
+where l is its number of presentations, g = ``ATTENUATION``, and its own text counts as children as well. A branch is
+noise if it and all beneath are below ``LEAST_IMPORTANCE``, on at least ``LEAST_PAGES`` pages with at most ``MOST_SHARE``
+of their text; it is removed from each page. Pages of one host with the same main blocks are one page here, so that
+copies make no template of what only they share.
 
 What markup states outright needs no statistics: scripts, styles, forms, navigation, footers, asides and elements
-whose class or id calls them adverts, notices, comments and the like are no article; inside <article> or <main>, if
-a page has one, all else is. There only containers with such a name as a whole class or id are ruled out, and the page,
-its body and its article never are by their names.
+whose class or id ends in a name for adverts, notices, comments and the like are no article; inside <article> or <main>,
+if a page has one, all else is. There only containers with such a name as a whole class or id are ruled out, and of the
+tree's branches only containers with a class or id; the page, its body and its article never are by their names.
+
+The importance of a branch is linear in those beneath, so it is a sum over all nodes beneath of what each adds, times
+the weights on the way up: two aggregations by node, however deep the pages are. Counts are aggregated by (host, page,
+node) and (host, node, value) before any host's rows meet, so a host with a third of all pages is no hot group. Elements
+more than ``DEPTH`` deep count as part of the one above.
 
-Counts are aggregated by (host, page, node) and (host, node, value) before any host's rows meet, so a host with a third of all pages is no
-hot group. A page without html is empty; one without a url has no host, so markup alone decides. Markup errors
-follow the usual rules: open paragraphs end where a block begins, unknown end tags are dropped.
+A page without html is empty; one without a url has no host, so markup alone decides. Markup errors follow the usual
+rules: open paragraphs end where a block begins, unknown end tags are dropped.
 """
 
 from __future__ import annotations
@@ -27,10 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, drop
+from .words import released
 
 #: A branch goes if its importance is below this, on at least so many pages, with at most this share of their text.
 LEAST_IMPORTANCE, LEAST_PAGES, MOST_SHARE = 0.2, 5, 0.3
+#: How much less each further presentation lets the children count, and the deepest node of the tree.
+ATTENUATION, DEPTH = 0.9, 32
 
 #: Fixed values of HTML: elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,10 +63,11 @@ CONTAINERS = frozenset("div section ul ol dl table figure".split())
 #: Elements that are no article, and words in class or id that say so.
 NO_ARTICLE = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object svg canvas audio video dialog menu search label fieldset".split())
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner sidebar cookie cookies consent gdpr notice notices alert "
-    "comment comments commentlist disqus replies reply respond menu nav navbar navigation breadcrumb breadcrumbs footer masthead related recommended recommendations "
-    "share sharing social newsletter subscribe subscription signup login popup modal overlay toolbar widget widgets pagination pager skip copyright".split()
+    "ad ads advert adverts advertisement advertising sponsored banner sidebar cookie cookies consent notice notices comment comments replies respond "
+    "menu nav navbar navigation breadcrumb breadcrumbs footer masthead related share social newsletter login popup pagination".split()
 )
+#: Words that may follow in a name: the last one before them tells what it is.
+HOLDERS = frozenset("area bar block box container inner list main panel section slot widget wrap wrapper".split())
 #: Elements that hold the page or its article; no word of theirs rules them out.
 WHOLE = frozenset("html body main article".split())
 #: Words that say so outside of an article only.
@@ -66,15 +81,26 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "out", "main", "branch", "children", "texts", "chars")
+    __slots__ = ("tag", "path", "up", "out", "main", "branch", "children", "texts", "chars")
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool, branch: bool = False):
-        self.tag, self.path, self.out, self.main, self.branch = tag, path, out, main, branch
-        self.children: list[str] = []
+    def __init__(self, tag: str, path: str, out: bool, main: bool, branch: bool = False, up: _Node | None = None):
+        self.tag, self.path, self.up, self.out, self.main, self.branch = tag, path, up, out, main, branch
+        self.children: list[_Node] = []
         self.texts: list[int] = []
         self.chars = 0
 
 
+def _called(tokens: set[str], names: frozenset[str]) -> bool:
+    """Whether a class or id ends in one of the names: site-footer and ad-slot do, menu-planning does not."""
+    for token in tokens:
+        words = _WORD.findall(token)
+        while len(words) > 1 and words[-1] in HOLDERS:
+            words.pop()
+        if words and words[-1] in names:
+            return True
+    return False
+
+
 def _attributes(raw: str) -> tuple[str, set[str], set[str], bool]:
     """Label, words and whole tokens of class, id and role, and whether the element is hidden."""
     if not raw or ("=" not in raw and "hidden" not in raw.lower()):
@@ -106,9 +132,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
             buffer.clear()
             if text and not stack[-1].out:
                 blocks.append((text, stack[-1].path, stack[-1].main, [x.path for x in stack[1:] if x.branch or not x.main]))
-                mark = xxhash.xxh64_intdigest(text)
+                stack[-1].texts.append(_node_id(text))
                 for x in stack:
-                    x.texts.append(mark)
                     x.chars += len(text)
 
     def close(k: int):
@@ -170,16 +195,16 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
         elif up.main:  # a word of a heading's slug says nothing
             noise = tag in CONTAINERS and bool(tokens & NOISE)
         else:
-            noise = bool(words & NOISE)
+            noise = _called(tokens, NOISE)
         out = up.out or hidden or tag in NO_ARTICLE or noise
         main = up.main or ((tag in ("article", "main") or "main" in words and tag in ("div", "section")) and not out)
-        out = out or (not main and (tag == "header" or bool(words & OUTER_NOISE)) and tag not in ("html", "body"))
+        out = out or (not main and (tag == "header" or _called(tokens, OUTER_NOISE)) and tag not in ("html", "body"))
         if tag not in BLOCKS and not (out and not up.out):
             continue  # plain inline markup
         flush()
         has_main |= main and tag in ("article", "main")
-        node = _Node(tag, f"{up.path}/{tag}{label}", out, main, bool(label) and tag in CONTAINERS)
-        up.children.append(tag + label)
+        node = _Node(tag, f"{up.path}/{tag}{label}" if len(stack) <= DEPTH else up.path, out, main, bool(label) and tag in CONTAINERS, up)
+        up.children.append(node)
         stack.append(node)
         if not out:
             nodes.append(node)
@@ -193,38 +218,90 @@ def _node_id(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
+_ROW = pa.schema(
+    [("host", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("chain", pa.list_(pa.int64())), ("style", pa.int64()), ("kids", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("own", pa.float64()), ("texts", pa.list_(pa.int64())), ("share", pa.float64())]
+)
+
+
+def page_nodes(page: str) -> tuple[int, list[tuple]]:
+    """The hash of a page's main blocks, and (node, chain, style, kids, weights, own, texts, share) of each node with text.
+
+    chain: the nodes from the top to this one. weights: the share of each kid among children and own blocks; own: that of
+    the latter together."""
+    blocks, nodes, has_main = parse(page)
+    total = sum(len(b[0]) for b in blocks) or 1
+    mark = _node_id("\n".join(b[0] for b in blocks if b[2] or not has_main))
+    merged: dict[str, list[_Node]] = {}
+    for x in nodes:
+        if x.chars:
+            merged.setdefault(x.path, []).append(x)
+    chains: dict[str, list[int]] = {"": []}
+    rows = []
+    for path, same in merged.items():  # parents come first
+        up = same[0].up.path
+        chains[path] = [*chains[up], _node_id(path)] if up != path else chains[path]
+        kids = [c.path for x in same for c in x.children if c.chars and c.path != path]
+        texts = [t for x in same for t in x.texts]
+        n = len(kids) + len(texts) or 1
+        each = {k: kids.count(k) / n for k in dict.fromkeys(kids)}
+        rows.append((chains[path][-1], chains[path], _node_id("|".join(k.rpartition("/")[2] for k in kids)), [_node_id(k) for k in each], list(each.values()), len(texts) / n, sorted(set(texts)), sum(x.chars for x in same if x.up.path != path) / total))
+    return mark, rows
+
+
 def _style_rows(batches):
-    """(host, page, node, style, content, share): presentation and content of each node of each page; page is the hash of
-    its blocks."""
-    kinds = (pa.string(), *[pa.int64()] * 4, pa.float64())
-    for batch in batches:
-        out: list[tuple] = []
-        for host, page in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "html")), strict=True):
-            blocks, nodes, _ = parse(page or "")
-            total = sum(len(b[0]) for b in blocks) or 1
-            own_id = _node_id("\n".join(b[0] for b in blocks))
-            merged: dict[str, list] = {}
-            for x in nodes:
-                own = merged.setdefault(x.path, [[], [], 0])
-                own[0].append(",".join(x.children))
-                own[1] += x.texts
-                own[2] += x.chars
-            for path, (styles, texts, chars) in merged.items():
-                out.append((host, own_id, _node_id(path), _node_id(";".join(styles)), _node_id(",".join(map(str, texts))), chars / total))
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "node", "style", "content", "share"])
+    with released():
+        for batch in batches:
+            out: list[tuple] = []
+            for host, page in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "html")), strict=True):
+                mark, rows = page_nodes(page or "")
+                out += [(host, mark, *row) for row in rows]
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROW, strict=True)], schema=_ROW)
+                    out = []
+            columns = zip(*out, strict=True) if out else [[]] * len(_ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+
+
+_STYLE_ROW = "host string, page bigint, node bigint, chain array<bigint>, style bigint, kids array<bigint>, weights array<double>, own double, texts array<bigint>, share double"
+
+
+def node_importance(once: DataFrame) -> DataFrame:
+    """(host, node, chain, pages, share, importance) of every node, from rows of page nodes, each page once."""
+    key, log = ["host", "node"], lambda c: F.log(F.col(c).cast("double"))
+    styles = once.groupBy(*key, "style").agg(F.count("*").alias("c"), F.min("chain").alias("chain"), F.sum("share").alias("share"), F.sum("own").alias("own"))
+    nodes = styles.groupBy(*key).agg(F.sum("c").alias("m"), F.count("*").alias("l"), F.sum(F.col("c") * log("c")).alias("s"), F.min("chain").alias("chain"), F.sum("share").alias("share"), F.sum("own").alias("own"))
+    nodes = nodes.withColumn("shown", F.when(F.col("m") > 1, (log("m") - F.col("s") / F.col("m")) / log("m")).otherwise(1.0))
+    blocks = once.select(*key, F.explode("texts").alias("t")).groupBy(*key, "t").agg(F.count("*").alias("c")).groupBy(*key).agg(F.avg(log("c")).alias("common"))
+    kids = once.select("host", F.explode(F.arrays_zip("kids", "weights")).alias("k")).groupBy("host", F.col("k.kids").alias("node")).agg(F.sum("k.weights").alias("weight"))
+    parents = nodes.select("host", F.col("node").alias("parent"), F.col("m").alias("pm"), F.pow(F.lit(ATTENUATION), F.col("l")).alias("pg"))
+    all_ = nodes.join(blocks, key, "left").join(kids, key, "left").withColumn("parent", F.try_element_at("chain", F.lit(-2)))
+    all_ = all_.join(parents, ["host", "parent"], "left")
+    content = F.when(F.col("m") > 1, 1 - F.coalesce("common", F.lit(0.0)) / log("m")).otherwise(1.0)
+    leaf, g = F.col("own") >= F.col("m") - 1e-9, F.pow(F.lit(ATTENUATION), F.col("l"))
+    adds = F.when(leaf, content).otherwise((1 - g) * F.col("shown") + g * F.col("own") / F.col("m") * content)
+    tree = all_.select(*key, "chain", F.col("m").alias("pages"), (F.col("share") / F.col("m")).alias("share"), adds.alias("adds"), F.coalesce(F.col("pg") * F.col("weight") / F.col("pm"), F.lit(0.0)).alias("up"))
+    # What a node adds to each one above, through the weights on the way: chains have DEPTH nodes at most.
+    steps = tree.select("host", F.col("node").alias("from"), "adds", F.posexplode("chain").alias("at", "node")).join(tree.select(*key, "up"), key)
+    ways = steps.groupBy("host", "from").agg(F.min("adds").alias("adds"), F.array_sort(F.collect_list(F.struct("at", "node", "up"))).alias("way"))
+    through = lambda x: F.aggregate(F.filter("way", lambda y: y["at"] > x["at"]), F.lit(1.0), lambda p, y: p * y["up"])
+    parts = ways.select("host", F.explode(F.transform("way", lambda x: F.struct(x["node"].alias("node"), (F.col("adds") * through(x)).alias("v")))).alias("e"))
+    sums = parts.groupBy("host", F.col("e.node").alias("node")).agg(F.sum("e.v").alias("importance"))
+    return tree.select(*key, "chain", "pages", "share").join(sums, key)
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, node, importance, pages) of the branches to remove, from (host, html). Copies of a page count once."""
-    rows = pages.where("host <> ''").select("host", "html").mapInArrow(_style_rows, "host string, page bigint, node bigint, style bigint, content bigint, share double")
-    once = rows.groupBy("host", "page", "node").agg(*[F.min(c).alias(c) for c in ("style", "content", "share")])
-    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("style", "content"))]))
-    counts = once.select("host", "node", "share", kinds).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.sum("share").alias("share"))
-    each = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"), F.sum("share").alias("share"))
-    entropy = F.when(F.col("m") > 1, (F.log(F.col("m").cast("double")) - F.col("s") / F.col("m")) / F.log(F.col("m").cast("double"))).otherwise(1.0)
-    tree = each.groupBy("host", "node").agg(F.max(entropy).alias("importance"), F.max("m").alias("pages"), F.max(F.col("share") / F.col("m")).alias("share"))
-    return tree.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES) & (F.col("share") <= MOST_SHARE)).drop("share")
+    spark = pages.sparkSession
+    rows = pages.where("host <> ''").select("host", "html").mapInArrow(_style_rows, _STYLE_ROW)
+    rest = ("chain", "style", "kids", "weights", "own", "texts", "share")
+    once, path = cut(rows.groupBy("host", "page", "node").agg(F.min(F.struct(*rest)).alias("x")).select("host", "page", "node", "x.*"), "style-rows")
+    tree, tree_path = cut(node_importance(once), "style-importance")
+    drop(spark, path)
+    beneath = tree.select("host", F.explode("chain").alias("node"), "importance").groupBy("host", "node").agg(F.max("importance").alias("most"))
+    low = tree.join(beneath, ["host", "node"]).where((F.col("most") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES) & (F.col("share") <= MOST_SHARE))
+    out, _ = cut(low.select("host", "node", "importance", "pages"), "style-tree")
+    drop(spark, tree_path)
+    return out
 
 
 def main_text(page: str, low: set[int]) -> str:
@@ -241,10 +318,17 @@ def main_text(page: str, low: set[int]) -> str:
 
 
 def _texts(batches):
-    for batch in batches:
-        keep = [i for i, n in enumerate(batch.schema.names) if n not in ("html", "low")]
-        texts = [main_text(h or "", set(low or ())) for h, low in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), batch.column(batch.schema.get_field_index("low")).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(batch.schema.names[i] for i in keep), "text", "n_chars"])
+    with released():
+        for batch in batches:
+            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("html", "low", "host")]
+            hosts, low, pages = (batch.column(batch.schema.get_field_index(n)) for n in ("host", "low", "html"))
+            known: dict[str | None, set[int]] = {}
+            texts = []
+            for i, host in enumerate(hosts.to_pylist()):
+                if host not in known:
+                    known[host] = set(low[i].as_py() or ())
+                texts.append(main_text(pages[i].as_py() or "", known[host]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(batch.schema.names[i] for i in keep), "text", "n_chars"])
 
 
 def extract_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -252,9 +336,9 @@ def extract_html(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     names = {c: f"c{i}" for i, c in enumerate(pages.columns) if c not in (html_col, "text", "n_chars")}
     host = F.regexp_extract(F.lower(F.col(f"`{url_col}`")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", 1)
     inner = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], host.alias("host"), F.col(f"`{html_col}`").alias("html"))
-    # A table, so that its size is known: Spark broadcasts it below its threshold and joins by host beyond.
-    low, _ = cut(low_branches(inner).groupBy("host").agg(F.collect_list("node").alias("low")), "style-tree")
-    joined = inner.join(low, "host", "left").select(*names.values(), "html", "low")
-    kinds = ", ".join(f"{n} {t}" for n, t in joined.dtypes if n not in ("html", "low"))
+    # From a table, so that its size is known: Spark broadcasts it below its threshold and joins by host beyond.
+    low = low_branches(inner).groupBy("host").agg(F.collect_list("node").alias("low"))
+    joined = inner.join(low, "host", "left").select(*names.values(), "host", "html", "low")
+    kinds = ", ".join(f"{n} {t}" for n, t in joined.dtypes if n not in ("host", "html", "low"))
     out = joined.mapInArrow(_texts, f"{kinds}, text string, n_chars bigint")
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], "text", "n_chars")

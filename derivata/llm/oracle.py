@@ -57,7 +57,9 @@ def op9(entries, captures: int, segment: str) -> str:
     values = ", ".join(f"('{kind}', '{key}', '{action}', TIMESTAMP '{day}')" for kind, key, action, day in entries)
     return f"""WITH o AS (SELECT key, min(page_id) AS p FROM (SELECT page_id, regexp_extract(lower(url), '{segment}', 1) AS key FROM pages WHERE page_id % 5 = 0) WHERE key <> '' GROUP BY key),
 e AS (SELECT * FROM (VALUES {values}) v(kind, key, action, day) UNION ALL SELECT 'prefix', key, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(p * 7 % 366 AS INTEGER)) FROM o UNION ALL SELECT 'prefix', key, 'remove', TIMESTAMP '2024-01-01' + to_days(CAST(p * 7 % 366 + 60 AS INTEGER)) FROM o WHERE p % 2 = 0),
-iv AS (SELECT kind, key, day AS valid_from, action, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS valid_to FROM e),
+n AS (SELECT kind, key, day, max(action) AS action FROM e GROUP BY kind, key, day),
+c AS (SELECT * FROM n QUALIFY action <> coalesce(lag(action) OVER (PARTITION BY kind, key ORDER BY day), 'remove')),
+iv AS (SELECT kind, key, day AS valid_from, action, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS valid_to FROM c),
 p AS (SELECT page_id * {captures} + c AS page_id, page_id AS own, url, TIMESTAMP '2024-01-01' + to_days(CAST((page_id + c * 131) % 366 AS INTEGER)) AS at, lower(regexp_extract(trim(url), {_URL}, 1)) AS host, list_filter(string_split(lower(regexp_extract(trim(url), {_URL}, 2)), '/'), lambda x: x <> '') AS steps FROM pages, (SELECT unnest(range(0, {captures})) AS c)),
 k AS (SELECT page_id, 'domain' AS kind, array_to_string(l[i + 1:], '.') AS key FROM (SELECT page_id, string_split(host, '.') AS l, unnest(range(0, greatest(len(string_split(host, '.')) - 2, 0) + 1)) AS i FROM p)
   UNION ALL SELECT page_id, 'prefix', CASE WHEN i = 0 THEN host ELSE host || '/' || array_to_string(steps[1:i], '/') END FROM (SELECT page_id, host, steps, unnest(range(0, len(steps) + 1)) AS i FROM p)),
