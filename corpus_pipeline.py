@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from derivata.llm.cluster import cut
+from derivata.llm.cluster import cut, drop
 from derivata.llm.decontaminate import clean_documents
 from derivata.llm.quality import quality_filter
 from derivata.llm.simhash import simhash_dedup
@@ -33,7 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of repeated passages; n_chars follows the text."""
     ship(spark)
-    return substring_dedup(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = substring_dedup(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names["doc_id"], names["text"])
+    kept = {c: F.col(n) for c, n in names.items()}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("n_removed") > 0, F.length(names["text"]).cast("bigint")).otherwise(kept["n_chars"])
+    return out.select(*[x.alias(c) for c, x in kept.items()])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     out = bpe_tokens(docs)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select(*docs.columns, F.when(same, F.col("n_tokens")).otherwise(F.raise_error(F.lit("decoding does not give the text back"))).alias("n_tokens"), "ids")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids")]
+    return out.select(*kept, F.when(same, F.col("n_tokens")).otherwise(F.raise_error(F.lit("decoding does not give the text back"))).alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -63,7 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir), name)
+        docs, path = cut(stage(spark, docs, sf_dir), name)
+        drop(spark, *before)
+        before = (path,)
     return STAGES[-1][1](spark, docs, sf_dir)
