@@ -67,6 +67,20 @@ def test_tokens_stage(stages):
     assert all(after[i].ids == library.encode(before[i].text, add_special_tokens=False).ids and after[i].n_tokens == len(after[i].ids) for i in before)
 
 
+def test_stages_take_empty_tables_clashing_names_and_repeated_rows(spark, tiny):
+    ship(spark)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(40)
+    for name in ("n_words", "n_removed", "kept", "my.col", "c0", "contaminated"):
+        docs = docs.withColumn(name, corpus_pipeline.F.lit("own"))
+    docs, _ = cut(docs, "docs")
+    for rows in (docs.where("false"), docs.union(docs)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, tiny)
+            assert out.columns[: len(docs.columns)] == docs.columns and (name == "tokens" or len(out.columns) == len(docs.columns))
+            got = out.collect()
+            assert all(r["my.col"] == r["n_words"] == r["kept"] == "own" for r in got) and (name not in ("repeats", "tokens") or len(got) == rows.count())
+
+
 def test_run_gives_what_the_stages_give(spark, tiny, stages):
     assert {r.doc_id: r for r in corpus_pipeline.run(spark, tiny).collect()} == stages["tokens"][1]
 
