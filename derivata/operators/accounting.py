@@ -52,6 +52,14 @@ def summary(decided: DataFrame, by: list[str]) -> DataFrame:
     return with_rates(out).withColumn("tpr_lower_bound", rate(F.col("tp"), F.col("positive_expected")))
 
 
+def with_recall(decided: DataFrame, top: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(by, n_derivatives, recall_at_k...): true parents among the first k of the recorded ranking (by, candidate_id,
+    parent, rank) only; a derivative without a ranking counts as not found."""
+    wanted = decided.where("truth").select(*by, "candidate_id", F.col("expected_parent").alias("parent"))
+    best = wanted.join(top.select(*by, "candidate_id", "parent", "rank"), [*by, "candidate_id", "parent"], "left").groupBy(*by, "candidate_id").agg(F.min("rank").alias("rank"))
+    return best.groupBy(*by).agg(F.count("*").alias("n_derivatives"), *[rate(F.count_if(F.col("rank") <= k), F.count("*")).alias(f"recall_at_{k}") for k in ks])
+
+
 def identity_false_positives(decided: DataFrame, by: list[str]) -> DataFrame:
     """(by, n_identities, n_with_fp): identities of evaluated negatives, and those with any supported one."""
     negative = decided.where(~F.col("truth") & (F.col("decision.processing_state") == "evaluated"))
@@ -112,22 +120,99 @@ def temporal_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def alignment_verdict(summary_row: DataFrame) -> DataFrame:
-    share = rate(F.col("n_false_continuous"), F.col("n_several"))
-    good = (F.col("mean_iou") >= GATE["iou"]) & (F.col("mean_start_error") <= GATE["start"]) & (F.col("mean_end_error") <= GATE["end"]) & (F.coalesce(share, F.lit(0.0)) <= GATE["false_continuous"]) & (F.col("coverage") >= GATE["coverage"])
-    return summary_row.withColumn("verdict", chained([(F.coalesce(good, F.lit(False)), F.lit("GO")), (F.coalesce(share > 0.2, F.lit(False)), F.lit("NO-GO"))], F.lit("CAUTION")))
+def alignment_verdict(summaries: DataFrame) -> DataFrame:
+    """``summaries`` (one row a method: all_ and issued_ measures of :func:`temporal_verdict_input`) with verdict.
+
+    IoU and coverage are those of all rows, boundary errors and false-continuous rate those of issued claims. A missing
+    measure is never good; above .2 of false-continuous claims it is NO-GO."""
+    share = rate(F.col("issued_n_false_continuous"), F.col("issued_n_several"))
+    good = (F.col("all_mean_iou") >= GATE["iou"]) & (F.col("issued_mean_start_error") <= GATE["start"]) & (F.col("issued_mean_end_error") <= GATE["end"]) & (share <= GATE["false_continuous"]) & (F.col("all_coverage") >= GATE["coverage"])
+    return summaries.withColumn("verdict", chained([(F.coalesce(share > 0.2, F.lit(False)), F.lit("NO-GO")), (F.coalesce(good, F.lit(False)), F.lit("GO"))], F.lit("CAUTION")))
+
+
+def temporal_verdict_input(rows: DataFrame, by: list[str], issued: Column) -> DataFrame:
+    """One row a group with the temporal summary of all rows (all_...) and of those with an issued claim (issued_...)."""
+    named = lambda df, p: df.select(*by, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in by])
+    return named(temporal_summary(rows, by), "all").join(named(temporal_summary(rows.where(issued), by), "issued"), by, "left")
+
+
+def modality_verdict(summaries: DataFrame, gates: dict[str, tuple[float, float]]) -> DataFrame:
+    """(modality, verdict, passed) from one row a method (method, has_point, correct_parent_rate, fpr): GO if some method
+    with an operating point passes its gates, on the qualification subset. Methods are V-... or A-...."""
+    kind = F.substring("method", 1, 1)
+    gate = lambda i: F.coalesce(*[F.when(kind == k, F.lit(g[i])) for k, g in gates.items()])
+    ok = F.coalesce(F.col("has_point") & (F.col("correct_parent_rate") >= gate(0)) & (F.col("fpr") <= gate(1)), F.lit(False))
+    out = summaries.groupBy(F.when(kind == "V", "visual").otherwise("audio").alias("modality")).agg(F.count_if(ok).alias("n_passed"))
+    return out.select("modality", F.when(F.col("n_passed") > 0, "GO").otherwise("NO-GO").alias("verdict"), "n_passed")
+
+
+def overall_verdict(visual: Column, audio: Column, alignment: Column, either_tpr: Column, single_tpr: Column, either_fpr: Column) -> Column:
+    """One of STRONG GO, CORE GO, CAUTION and CORE NO-GO.
+
+    NO-GO if neither modality passes or alignment is NO-GO; CORE GO needs good alignment and one modality; STRONG GO
+    both, and that either of them supports more than the better one alone (tpr of OR against that of the best single
+    mode) at a false-positive rate of .02 or less. Reproducibility has a verdict of its own and takes no part."""
+    none = ((visual != "GO") & (audio != "GO")) | (alignment == "NO-GO")
+    core = (alignment == "GO") & ((visual == "GO") | (audio == "GO"))
+    zero = F.lit(0.0)
+    strong = (visual == "GO") & (audio == "GO") & (F.coalesce(either_tpr, zero) > F.coalesce(single_tpr, zero)) & (F.coalesce(either_fpr, zero) <= 0.02)
+    return chained([(none, F.lit("CORE NO-GO")), (core & strong, F.lit("STRONG GO")), (core, F.lit("CORE GO"))], F.lit("CAUTION"))
+
+
+def resource_sums(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, wall_s_sum, rss_max, bytes_sum) of runs (by, wall_s, rss_bytes, size_bytes); missing ones count as 0."""
+    some = lambda c: F.coalesce(c, F.lit(0))
+    return runs.groupBy(*by).agg(F.count("*").alias("n"), F.sum(some("wall_s")).alias("wall_s_sum"), F.max(some("rss_bytes")).alias("rss_max"), F.sum(some("size_bytes")).alias("bytes_sum"))
+
+
+def score_export(decided: DataFrame) -> DataFrame:
+    """(method, partition, candidate_id, identity, score, positive, status, length_s, transform): what is needed to draw
+    score distributions again, as rows."""
+    return decided.select("method", "partition", "candidate_id", "identity", "score", F.col("truth").alias("positive"), "status", "length_s", "transform")
+
+
+def first_evaluation(rows: DataFrame, visual_threshold: Column, audio_threshold: Column) -> DataFrame:
+    """One row of the first experiment's evaluation from rows (row_status, disposition, partition, is_derivative,
+    visual_ancestry, audio_ancestry, visual_score, audio_score, top_parent, true_parent).
+
+    Classification is over scored rows of the evaluation partition, and null without any; failures and ambiguity count
+    over all partitions, as their names say. Recall at 1 is that of derivatives' top parent."""
+    ready = F.col("row_status") == "ok"
+    here = ready & (F.col("partition") == "evaluation")
+    measures = []
+    for name, threshold in (("visual", visual_threshold), ("audio", audio_threshold)):
+        scored = here & F.col(f"{name}_score").isNotNull() & threshold.isNotNull()
+        truth, yes = F.col("is_derivative") & F.col(f"{name}_ancestry"), F.col(f"{name}_score") >= threshold
+        n = lambda c, scored=scored: F.count_if(F.coalesce(scored & c, F.lit(False)))
+        tp, fp, tn, fn = n(truth & yes), n(~truth & yes), n(~truth & ~yes), n(truth & ~yes)
+        precision, recall = rate(tp, tp + fp), rate(tp, tp + fn)
+        measures += [c.alias(f"{name}_{k}") for k, c in {"n": tp + fp + tn + fn, "tp": tp, "fp": fp, "tn": tn, "fn": fn, "tpr": recall, "fpr": rate(fp, fp + tn), "precision": precision, "f1": f1(precision, recall)}.items()]
+    derivative = here & F.col("is_derivative")
+    found = derivative & F.col("top_parent").eqNullSafe(F.col("true_parent"))
+    return rows.agg(
+        *measures,
+        F.count_if(~ready).alias("n_failed_all_partitions"),
+        F.count_if(ready & F.coalesce(F.col("disposition") == "AMBIGUOUS", F.lit(False))).alias("n_ambiguous_all_partitions"),
+        F.count_if(derivative).alias("n_derivative"),
+        rate(F.count_if(found), F.count_if(derivative)).alias("recall_at_1"),
+    )
+
+
+def harness_verdict(n_temporal: Column, false_continuous_rate: Column, n_calibration_positive: Column, reproducibility: Column) -> Column:
+    """PASS, CAUTION or NO-GO of the first experiment: unstable results stop it; few positives to calibrate with, or no
+    temporal rows at all, are a caution."""
+    cautious = (false_continuous_rate.isNull() & (n_temporal == 0)) | (F.coalesce(n_calibration_positive, F.lit(0)) < 3)
+    return chained([(F.coalesce(reproducibility == "UNSTABLE", F.lit(False)), F.lit("NO-GO")), (cautious, F.lit("CAUTION"))], F.lit("PASS"))
 
 
-def overall_verdict(visual: Column, audio: Column, alignment: Column, reproducibility: Column) -> Column:
-    """One of STRONG GO, CORE GO, CAUTION and CORE NO-GO from the four parts."""
-    return chained(
-        [
-            ((visual != "GO") & (audio != "GO"), F.lit("CORE NO-GO")),
-            ((visual == "GO") & (audio == "GO") & (alignment == "GO") & (reproducibility == "GO"), F.lit("STRONG GO")),
-            ((visual == "GO") & (audio == "GO") & (alignment != "NO-GO") & (reproducibility == "GO"), F.lit("CORE GO")),
-        ],
-        F.lit("CAUTION"),
-    )
+def resource_check(n_candidates: int, seconds_each: float, mean_bytes: float, free_disk_bytes: int) -> dict:
+    """Whether a design fits the declared bounds, from what one candidate took before: five times its matching time and
+    two hours of generation, twelve times its bytes, and so much disk left free. Refuses a design that does not."""
+    estimate = {"cpu_hours": n_candidates * seconds_each * 5 / 3600 + 2, "storage_bytes": max(8_000_000_000, n_candidates * mean_bytes * 12)}
+    bound = {"cpu_hours": 18, "storage_bytes": min(16_000_000_000, free_disk_bytes - 10_000_000_000)}
+    if any(estimate[k] >= bound[k] for k in bound):
+        raise ValueError(f"the design exceeds its bounds: {estimate} against {bound}")
+    return {"estimate": estimate, "bound": bound, "decision": "proceed"}
 
 
 def compare_runs(first: DataFrame, second: DataFrame, key: str, tolerance: float = 1e-6) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HASH_BITS = 64
-#: Queries in a block: as many as any worker holds, and the driver reads, at one time.
-BLOCK = 4096
+#: Queries in a block, and registered hashes in a pack: what a worker compares at one time.
+BLOCK, PACK = 4096, 1 << 16
+#: Blocks of queries whose bests a worker holds.
+HELD = 64
 
 
 def ranked(scores: DataFrame, by: list[str], k: int, score: str = "score", tie: str = "parent") -> DataFrame:
@@ -29,20 +33,54 @@ def margins(top: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     )
 
 
-def _block_top(ids: np.ndarray, hashes: np.ndarray, k: int):
+def _packed(size: int):
+    """Rows (ids, hashes) of up to ``size`` little-endian int64 values each, from rows (id, hash)."""
+
     def run(batches):
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        held, n = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype("<i8") for i in range(2)]))
+                n += batch.num_rows
+            if held and (batch is None or n >= size):
+                both = np.concatenate(held, axis=1)
+                stop = n if batch is None else n - n % size
+                cuts = range(0, stop, size)
+                yield pa.RecordBatch.from_arrays([pa.array([both[i, c : min(c + size, stop)].tobytes() for c in cuts], pa.binary()) for i in range(2)], names=["ids", "hashes"])
+                held, n = [both[:, stop:]], n - stop
+
+    return run
+
+
+def _tops(k: int):
+    """Rows (candidate, parent, distance): of each block of queries, the k nearest of the packs that it met here. The
+    bests of up to ``HELD`` blocks are held; more are sent on, to be ranked with the rest."""
+
+    def met(hashes, ids, h, best):
+        d = np.bitwise_count((hashes ^ h).view(np.uint64)).astype(np.int64)
+        near = d <= np.partition(d, k - 1)[k - 1] if len(d) > k else np.ones(len(d), bool)
+        who, dist = np.concatenate([best[0], ids[near]]), np.concatenate([best[1], d[near]])
+        order = np.lexsort((who, dist))[:k]
+        return who[order], dist[order]
+
+    def rows(held):
+        found = [(q, *best) for (q_ids, _), bests in held.items() for q, best in zip(np.frombuffer(q_ids, "<i8").tolist(), bests, strict=True)]
+        n = [len(x[1]) for x in found]
+        columns = np.repeat(np.array([x[0] for x in found], np.int64), n), *(np.concatenate([x[i] for x in found]) for i in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["candidate", "parent", "distance"])
+
+    def run(batches):
+        held: dict[tuple[bytes, bytes], list] = {}
         for batch in batches:
-            parent, h = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-            for i in range(len(ids)):
-                d = np.bitwise_count((h ^ hashes[i]).view(np.uint64)).astype(np.int64)
-                near = d <= np.partition(d, k - 1)[k - 1] if len(d) > k else np.ones(len(d), bool)
-                dist, who = np.concatenate([best[i][0], d[near]]), np.concatenate([best[i][1], parent[near]])
-                order = np.lexsort((who, dist))[:k]
-                best[i] = dist[order], who[order]
-        n = [len(b[0]) for b in best]
-        columns = np.repeat(ids, n), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["candidate", "parent", "distance"])
+            for *block, ids, hashes in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("q_ids", "q_hashes", "ids", "hashes")), strict=True):
+                ids, hashes, queries = np.frombuffer(ids, "<i8"), np.frombuffer(hashes, "<i8"), np.frombuffer(block[1], "<i8")
+                bests = held.get(tuple(block)) or [(np.zeros(0, np.int64),) * 2] * len(queries)
+                held[tuple(block)] = [met(hashes, ids, h, best) for h, best in zip(queries, bests, strict=True)]
+                if len(held) > HELD:
+                    yield rows(held)
+                    held = {}
+        if held:
+            yield rows(held)
 
     return run
 
@@ -51,54 +89,54 @@ def nearest(queries: DataFrame, registry: DataFrame, k: int = 10, others: bool =
     """(candidate, parent, distance, rank): the k registered hashes nearest to each query (id, hash), ties by parent.
     With ``others``, queries are rows of the registry, and a query is no neighbour of itself.
 
-    Queries are a stated set: they go by blocks to the registry's partitions, each of which keeps k rows a query, so
-    the pairs themselves never become rows and the shuffle carries k rows a query and partition. Null hashes have no
-    neighbours."""
-    registry = registry.where("hash IS NOT NULL").select("id", "hash")
-    most = k + 1 if others else k  # room for the query itself
-    block: list = []
-    parts = []
-
-    def close():
-        ids, hashes = (np.array(x, np.int64) for x in zip(*block, strict=True))
-        parts.append(registry.mapInArrow(_block_top(ids, hashes, most), "candidate bigint, parent bigint, distance bigint"))
-        block.clear()
-
-    for row in queries.where("hash IS NOT NULL").select("id", "hash").toLocalIterator():
-        block.append((row.id, row.hash))
-        if len(block) == BLOCK:
-            close()
-    if block or not parts:
-        block or parts.append(registry.where("false").selectExpr("id AS candidate", "id AS parent", "hash AS distance"))
-        if block:
-            close()
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+    Queries are a stated set: blocks of ``BLOCK`` of them meet packs of ``PACK`` registered hashes, and each task keeps
+    k rows a query, so the pairs themselves never become rows and nothing passes through the driver. Null hashes have no
+    neighbours. Repeated queries give their neighbours once; a registered id counts once."""
+    part = lambda df, size, names: df.where("hash IS NOT NULL AND id IS NOT NULL").select("id", "hash").distinct().mapInArrow(_packed(size), "ids binary, hashes binary").toDF(*names)
+    blocks = part(queries, BLOCK, ("q_ids", "q_hashes"))
+    packs = part(registry, PACK, ("ids", "hashes"))
+    # Both sides are packed, a row each for thousands: a stated query set against all rows, in blocks.
+    met = blocks.crossJoin(packs)
+    found = met.mapInArrow(_tops(k + 1 if others else k), "candidate bigint, parent bigint, distance bigint")
     if others:
         found = found.where("candidate <> parent")
     order = W.partitionBy("candidate").orderBy("distance", "parent")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def banded_pairs(left: DataFrame, right: DataFrame, most: int = 3, bands: int = 4) -> DataFrame:
-    """(left_id, right_id, distance) of all pairs within ``most`` < ``bands`` bits: some band of 64 / ``bands`` bits is
-    equal in each such pair, so an equi-join by bands loses none."""
+def banded_pairs(left: DataFrame, right: DataFrame, most: int = 3, bands: int = 6) -> DataFrame:
+    """(left_id, right_id, distance) of all pairs within ``most`` < ``bands`` bits. Bits are cut into bands, and in each
+    such pair ``bands - most`` of them are equal, so an equi-join by every choice of that many loses none; with more
+    bands the keys are longer and fewer hashes share one. A pair counts in its first equal choice only."""
     if most >= bands:
         raise ValueError("needs more bands than differing bits")
-    width = HASH_BITS // bands
+    edges = [HASH_BITS * i // bands for i in range(bands + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = [signed(sum(masks[i] for i in c)) for c in itertools.combinations(range(bands), bands - most)]
 
     def split(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(bands)])
-        return df.where("hash IS NOT NULL").select(F.col("id").alias(f"{name}_id"), F.col("hash").alias(f"{name}_hash"), F.posexplode(keys).alias("band", "key"))
+        keys = F.array(*[F.col("hash").bitwiseAND(F.lit(m)) for m in choices])
+        return df.where("hash IS NOT NULL").select(F.col("id").alias(f"{name}_id"), F.col("hash").alias(f"{name}_hash"), F.posexplode(keys).alias("choice", "key"))
 
-    pairs = split(left, "left").join(split(right, "right"), ["band", "key"])
-    distance = F.bit_count(F.col("left_hash").bitwiseXOR(F.col("right_hash")))
-    # The pair counts in its first equal band only.
+    pairs = split(left, "left").join(split(right, "right"), ["choice", "key"])
     x = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit((1 << width) - 1)) == 0, F.lit(i)) for i in range(bands)])
-    return pairs.where((distance <= most) & (F.col("band") == first)).select("left_id", "right_id", distance.cast("bigint").alias("distance"))
-
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(choices)])
+    return pairs.where((F.bit_count(x) <= most) & (F.col("choice") == first)).select("left_id", "right_id", F.bit_count(x).cast("bigint").alias("distance"))
+
+
+def near_links(rows: DataFrame, most: int = 3, bands: int = 6) -> DataFrame:
+    """(id, class_id, n_links, nearest) of rows (id, hash): the least id of the same hash, how many other ids are within
+    ``most`` bits, and the least distance to another hash, or null. Only distinct hashes are paired, and each pair is
+    counted, so copies make no pairs. Null hashes link to nothing and are classes of their own."""
+    classes = rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("n"))
+    named = classes.select(F.col("class_id").alias("id"), "hash")
+    half = banded_pairs(named, named, most, bands).where("left_id <> right_id")
+    sizes = classes.select(F.col("class_id").alias("right_id"), "n")
+    linked = half.join(sizes, "right_id").groupBy(F.col("left_id").alias("class_id")).agg(F.sum("n").alias("beyond"), F.min("distance").alias("nearest"))
+    known = classes.join(linked, "class_id", "left").select("hash", "class_id", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), "nearest")
+    out = rows.select("id", "hash").distinct().join(known, "hash", "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "nearest")
 
 
 def least_ids(assets: DataFrame, on: str) -> DataFrame:

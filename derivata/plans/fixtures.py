@@ -24,7 +24,17 @@ HASHES = """v AS (SELECT vec_id AS id, label, i, CASE WHEN i = 1 THEN 0.0::DOUBL
 m AS (SELECT id, (list_sort(list(x))[32] + list_sort(list(x))[33]) / 2 AS med FROM v GROUP BY id),
 hashes AS (SELECT v.id, any_value(label) AS label, bit_or(CASE WHEN x > med THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END) AS hash FROM v JOIN m USING (id) GROUP BY v.id)"""
 
+def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, hash): the hash of each embedding and three near ones, at one, two and no other bits."""
+    variants = F.array(*[F.struct(F.lit(k).alias("k"), F.col("hash").bitwiseXOR(x).alias("hash")) for k, x in enumerate((F.lit(0), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("id") % 61).cast("int")), F.call_function("shiftleft", F.lit(3).cast("bigint"), (F.col("id") % 61).cast("int")), F.lit(0)))])
+    return hashes(spark, sf_dir).select("id", F.explode(variants).alias("v")).select((F.col("id") * 4 + F.col("v.k")).alias("id"), F.col("v.hash").alias("hash"))
+
+
+NEAR = "near AS (SELECT id * 4 + k AS id, xor(hash, x::UBIGINT << (id % 61)::UBIGINT) AS hash FROM hashes, (VALUES (0, 0), (1, 1), (2, 3), (3, 0)) t(k, x))"
+
 FRAMES, FIRST, LENGTH = 16, 3, 7
+#: Which sequences are queries.
+EVERY = 10
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +44,19 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cand, src, candidate, source): seven frames of each sequence against it and the next one."""
+    """(cand, src, candidate, source): seven frames of each queried sequence (those divisible by ``EVERY``) against all
+    sequences."""
     s = sequences(spark, sf_dir)
-    c = s.select(F.col("seq").alias("cand"), F.slice("frames", FIRST + 1, LENGTH).alias("candidate"), F.explode(F.array(F.col("seq"), F.col("seq") + 1)).alias("src"))
-    return c.join(s.select(F.col("seq").alias("src"), F.col("frames").alias("source")), "src").where(F.size("candidate") > 0)
+    c = s.where(F.col("seq") % EVERY == 0).select(F.col("seq").alias("cand"), F.slice("frames", FIRST + 1, LENGTH).alias("candidate")).where(F.size("candidate") > 0)
+    # Queries are a stated set, and all sequences are registered.
+    return s.select(F.col("seq").alias("src"), F.col("frames").alias("source")).crossJoin(c)
 
 
 PAIRS = f"""{HASHES},
 frames AS (SELECT id // {FRAMES} AS seq, row_number() OVER (PARTITION BY id // {FRAMES} ORDER BY id) - 1 AS pos, hash FROM hashes),
 sizes AS (SELECT seq, count(*) AS n FROM frames GROUP BY seq),
 cands AS (SELECT seq, pos - {FIRST} AS pos, hash, count(*) OVER (PARTITION BY seq) AS n FROM frames WHERE pos BETWEEN {FIRST} AND {FIRST + LENGTH - 1}),
-pairs AS (SELECT DISTINCT c.seq AS cand, s.seq AS src, c.n AS n, s.n AS m FROM cands c JOIN sizes s ON s.seq IN (c.seq, c.seq + 1))"""
+pairs AS (SELECT DISTINCT c.seq AS cand, s.seq AS src, c.n AS n, s.n AS m FROM cands c JOIN sizes s ON c.seq % {EVERY} = 0)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +101,15 @@ scored AS (SELECT d AS candidate_id, source AS identity, len AS length_s, CASE W
   CASE WHEN d % 17 <> 0 THEN ((d * 13 + k) % 20) / 100.0::DOUBLE END AS margin
   FROM base, (VALUES (1, 'V-B'), (2, 'V-C'), (3, 'A-chromaprint')) t(k, method))"""
 
+def separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored rows with evaluated negatives only and scores that mostly tell the classes apart, as calibration needs."""
+    d, truth = F.col("candidate_id"), F.col("truth")
+    score = F.when(truth, 55 + d * 7 % 45).otherwise(d * 37 % 57 + F.when(d % 97 == 0, 40).otherwise(0)) / F.lit(100.0)
+    return scored(spark, sf_dir).withColumns({"status": F.lit("evaluated"), "row_status": F.lit("evaluated"), "score": score})
+
+
+SEPARABLE = f"""{SCORED}, easy AS (SELECT * REPLACE ('evaluated' AS status, 'evaluated' AS row_status, CASE WHEN truth THEN 55 + candidate_id * 7 % 45 ELSE candidate_id * 37 % 57 + CASE WHEN candidate_id % 97 = 0 THEN 40 ELSE 0 END END / 100.0::DOUBLE AS score) FROM scored)"""
+
 THRESHOLD, MINIMUM = 0.6, 5
 
 DECIDED = f"""{SCORED},

@@ -34,13 +34,13 @@ def hash_tail(spark, d):
     return fx.hashes(spark, d).select("id", F.col("label").cast("bigint"), bits.hash_to_hex(F.col("hash")).alias("hash"))
 
 
-_TOP = f"""WITH {fx.HASHES}, p AS (SELECT a.id AS candidate, b.id AS parent, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM hashes a, hashes b WHERE a.id % 5 = 0 AND b.id % 5 <> 0),
+_TOP = f"""WITH {fx.HASHES}, p AS (SELECT a.id AS candidate, b.id AS parent, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM hashes a, hashes b WHERE a.id % 100 = 0 AND b.id <> a.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY distance, parent) AS rank FROM p), top AS (SELECT candidate, parent, distance, rank::BIGINT AS rank FROM r WHERE rank <= 10)"""
 
 
 def _top(spark, d):
     h = fx.hashes(spark, d)
-    return retrieval.nearest(h.where("id % 5 = 0"), h, 10, others=True)
+    return retrieval.nearest(h.where("id % 100 = 0"), h, 10, others=True)
 
 
 @query(f"{_TOP} SELECT candidate, parent, distance, rank FROM top")
@@ -55,24 +55,25 @@ def retrieval_margin(spark, d):
     return m.select("candidate", "top_parent", F.round(F.col("score") * 32).cast("bigint").alias("score_32nds"), F.round(F.col("margin") * 32).cast("bigint").alias("margin_32nds"), retrieval.disposition(F.col("margin"), F.lit(2)).alias("disposition"))
 
 
-@query(f"{_TOP}, t AS (SELECT a.id AS candidate, min(b.id) AS parent FROM hashes a JOIN hashes b ON a.label = b.label AND a.id % 5 = 0 AND b.id % 5 <> 0 GROUP BY a.id), h AS (SELECT t.candidate, min(top.rank) AS rank FROM t LEFT JOIN top ON top.candidate = t.candidate AND top.parent = t.parent GROUP BY t.candidate) SELECT k::BIGINT AS k, count(*) FILTER (WHERE rank <= k)::BIGINT AS hits, count(*)::BIGINT AS n FROM h, (VALUES (1), (5), (10)) ks(k) GROUP BY k")
+@query(f"{_TOP}, t AS (SELECT a.id AS candidate, min(b.id) AS parent FROM hashes a JOIN hashes b ON a.label = b.label AND a.id % 100 = 0 AND b.id <> a.id GROUP BY a.id), h AS (SELECT t.candidate, min(top.rank) AS rank FROM t LEFT JOIN top ON top.candidate = t.candidate AND top.parent = t.parent GROUP BY t.candidate) SELECT k::BIGINT AS k, count(*) FILTER (WHERE rank <= k)::BIGINT AS hits, count(*)::BIGINT AS n FROM h, (VALUES (1), (5), (10)) ks(k) GROUP BY k")
 def retrieval_recall(spark, d):
     h = fx.hashes(spark, d)
     parent = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("parent")
-    truth = h.where("id % 5 = 0").join(retrieval.least_ids(h, "label"), "label").where("n > 1").select(F.col("id").alias("candidate"), parent)
+    truth = h.where("id % 100 = 0").join(retrieval.least_ids(h, "label"), "label").where("n > 1").select(F.col("id").alias("candidate"), parent)
     return retrieval.recall_at(_top(spark, d), truth)
 
 
-@query(f"{_TOP}, t AS (SELECT DISTINCT candidate, parent FROM top WHERE rank <= 3 UNION SELECT id, 1::BIGINT FROM hashes WHERE id % 5 = 0) SELECT candidate, count(*)::BIGINT AS n_targets FROM t GROUP BY candidate")
+@query(f"{_TOP}, t AS (SELECT DISTINCT candidate, parent FROM top WHERE rank <= 3 UNION SELECT id, 1::BIGINT FROM hashes WHERE id % 100 = 0) SELECT candidate, count(*)::BIGINT AS n_targets FROM t GROUP BY candidate")
 def target_sets(spark, d):
-    truth = fx.hashes(spark, d).where("id % 5 = 0").select(F.col("id").alias("candidate"), F.lit(1).cast("bigint").alias("parent"))
+    truth = fx.hashes(spark, d).where("id % 100 = 0").select(F.col("id").alias("candidate"), F.lit(1).cast("bigint").alias("parent"))
     return retrieval.target_set(_top(spark, d), truth, 3).groupBy("candidate").agg(F.count("*").alias("n_targets"))
 
 
-@query(f"WITH {fx.HASHES} SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM hashes a JOIN hashes b ON bit_count(xor(a.hash, b.hash)) <= 15 AND a.id % 2 = 0 AND b.id % 2 = 1")
+@query(f"""WITH {fx.HASHES}, {fx.NEAR}, c AS (SELECT hash, min(id) AS class_id, count(*) AS n FROM near GROUP BY hash),
+l AS (SELECT a.class_id, sum(b.n) AS beyond, min(bit_count(xor(a.hash, b.hash))) AS nearest FROM c a JOIN c b ON a.hash <> b.hash AND bit_count(xor(a.hash, b.hash)) <= 3 GROUP BY a.class_id)
+SELECT near.id, c.class_id, (c.n - 1 + coalesce(beyond, 0))::BIGINT AS n_links, nearest::BIGINT AS nearest FROM near JOIN c ON c.hash = near.hash LEFT JOIN l ON l.class_id = c.class_id""")
 def banded_join(spark, d):
-    h = fx.hashes(spark, d)
-    return retrieval.banded_pairs(h, h, 15, 16).where("left_id < right_id")
+    return retrieval.near_links(fx.near_hashes(spark, d), 3)
 
 
 def _assets(spark, d):
@@ -82,16 +83,16 @@ def _assets(spark, d):
 _ASSETS = "assets AS (SELECT doc_id AS id, sha256(text) AS sha256 FROM documents)"
 
 
-@query(f"WITH {_ASSETS} SELECT c.id AS candidate, count(DISTINCT a.id)::BIGINT AS n_parents, min(a.id) AS first_parent FROM assets c JOIN assets a ON a.sha256 = c.sha256 AND c.id % 5 = 0 AND a.id % 5 <> 0 GROUP BY c.id")
+@query(f"WITH {_ASSETS} SELECT c.id AS candidate, count(DISTINCT a.id)::BIGINT AS n_parents, min(a.id) AS first_parent FROM assets c JOIN assets a ON a.sha256 = c.sha256 AND c.id % 100 = 0 AND a.id <> c.id GROUP BY c.id")
 def exact_join(spark, d):
     a = _assets(spark, d)
-    return retrieval.exact_matches(a.where("id % 5 = 0"), a, others=True)
+    return retrieval.exact_matches(a.where("id % 100 = 0"), a, others=True)
 
 
-@query(f"WITH {_ASSETS} SELECT id FROM assets c WHERE id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM assets a WHERE a.id % 5 <> 0 AND a.sha256 = c.sha256)")
+@query(f"WITH {_ASSETS} SELECT id FROM assets c WHERE id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM assets a WHERE a.id <> c.id AND a.sha256 = c.sha256)")
 def anti_join(spark, d):
     a = _assets(spark, d)
-    return retrieval.unmatched(a.where("id % 5 = 0"), a, others=True).select("id")
+    return retrieval.unmatched(a.where("id % 100 = 0"), a, others=True).select("id")
 
 
 @query(f"WITH {_ASSETS} SELECT sha256, count(DISTINCT id)::BIGINT AS n_ids, min(id) AS first_id FROM assets GROUP BY sha256 HAVING count(DISTINCT id) > 1")
@@ -235,31 +236,83 @@ j AS (SELECT t.x, e.*, row_status = 'evaluated' AND status = 'evaluated' AND sco
 c AS (SELECT method, dur AS minimum_duration_s, x AS threshold, count(*) FILTER (WHERE live AND NOT close AND truth AND top_parent = expected_parent)::BIGINT AS tp_correct_parent, count(*) FILTER (WHERE live AND NOT close AND NOT truth)::BIGINT AS fp, count(*) FILTER (WHERE live AND NOT close AND truth AND top_parent <> expected_parent)::BIGINT AS wrong_parent, count(*) FILTER (WHERE live AND close)::BIGINT AS ambiguous, count(*) FILTER (WHERE truth)::BIGINT AS positive_denominator, count(*) FILTER (WHERE NOT truth AND status = 'evaluated')::BIGINT AS negative_available_denominator, count(*) FILTER (WHERE NOT truth)::BIGINT AS negative_expected_denominator FROM j GROUP BY method, dur, x)"""
 
 
-@query(f"{_OPERATING} SELECT * REPLACE (minimum_duration_s::BIGINT AS minimum_duration_s) FROM c")
+@query(f"{_OPERATING} SELECT * REPLACE (minimum_duration_s::BIGINT AS minimum_duration_s), round(tp_correct_parent / nullif(positive_denominator, 0), 6) AS tpr, round(fp / nullif(negative_available_denominator, 0), 6) AS fpr FROM c")
 def operating_curves(spark, d):
-    return calibration.operating_curve(fx.scored(spark, d)).drop("tpr", "fpr").withColumn("minimum_duration_s", F.col("minimum_duration_s").cast("bigint"))
+    return calibration.operating_curve(fx.scored(spark, d)).withColumns({"tpr": F.round("tpr", 6), "fpr": F.round("fpr", 6), "minimum_duration_s": F.col("minimum_duration_s").cast("bigint")})
+
+
+_EASY = _OPERATING.replace(fx.SCORED, fx.SEPARABLE).replace("FROM scored s,", "FROM easy s,")
 
 
-@query(f"{_OPERATING}, q AS (SELECT *, tp_correct_parent / nullif(positive_denominator, 0) AS tpr, fp / nullif(negative_available_denominator, 0) AS fpr FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY minimum_duration_s, tpr DESC, fpr, threshold DESC) AS n FROM q WHERE minimum_duration_s >= 5 AND tpr >= 0.1 AND fpr <= 0.5) SELECT method, minimum_duration_s::BIGINT AS minimum_duration_s, threshold, tp_correct_parent, fp FROM k WHERE n = 1")
+@query(f"{_EASY}, q AS (SELECT *, tp_correct_parent / nullif(positive_denominator, 0) AS tpr, fp / nullif(negative_available_denominator, 0) AS fpr FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY minimum_duration_s, tpr DESC, fpr, threshold DESC) AS n FROM q WHERE minimum_duration_s >= 5 AND negative_available_denominator = negative_expected_denominator AND CASE WHEN method LIKE 'V-%' THEN tpr >= 0.7 AND fpr <= 0.02 ELSE tpr >= 0.75 AND fpr <= 0.015 END) SELECT method, minimum_duration_s::BIGINT AS minimum_duration_s, threshold, tp_correct_parent, fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM k WHERE n = 1")
 def operating_point_choice(spark, d):
-    curve = calibration.operating_curve(fx.scored(spark, d)).withColumn("negative_expected_denominator", F.col("negative_available_denominator"))
-    held, calibration.GATES = calibration.GATES, {k: (0.1, 0.5) for k in calibration.GATES}
-    try:
-        points = calibration.operating_points(curve)
-    finally:
-        calibration.GATES = held
-    return points.select("method", F.col("minimum_duration_s").cast("bigint"), "threshold", "tp_correct_parent", "fp")
+    points = calibration.operating_points(calibration.operating_curve(fx.separable(spark, d)))
+    return points.select("method", F.col("minimum_duration_s").cast("bigint"), "threshold", "tp_correct_parent", "fp", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
-@query()
+@query(f"{_EASY}, q AS (SELECT *, tp_correct_parent / nullif(positive_denominator, 0) AS tpr, fp / nullif(negative_available_denominator, 0) AS fpr FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY minimum_duration_s, tpr DESC, fpr, threshold DESC) AS n FROM q WHERE minimum_duration_s >= 5 AND negative_available_denominator = negative_expected_denominator AND tpr >= 0.7 AND fpr <= 0.02 AND method LIKE 'V-%') SELECT method, threshold, minimum_duration_s::BIGINT AS minimum_duration_s, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM k WHERE n = 1 ORDER BY tpr DESC, fpr, method LIMIT 1")
+def method_choice(spark, d):
+    chosen = calibration.chosen_method(calibration.operating_points(calibration.operating_curve(fx.separable(spark, d))))
+    return chosen.select("method", "threshold", F.col("minimum_duration_s").cast("bigint"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+_TRIALS = f"""WITH {fx.SEPARABLE}, p AS (SELECT candidate_id AS c, method, CASE i WHEN 1 THEN top_parent ELSE identity || '-' || i END AS parent, score / i AS score FROM easy, (VALUES (1), (2)) t(i)),
+f AS (SELECT w, v.c, v.parent, w * v.score + (1 - w) * a.score AS score FROM p v JOIN p a ON a.c = v.c AND a.parent = v.parent AND v.method = 'V-C' AND a.method = 'A-chromaprint', (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(w)),
+r AS (SELECT *, score - lead(score) OVER o AS margin, row_number() OVER o AS n FROM f WINDOW o AS (PARTITION BY w, c ORDER BY score DESC, parent)),
+e AS (SELECT r.w, b.identity, r.score AS x, coalesce(r.margin < 0.05, false) AS close, b.visual_ancestry OR b.audio_ancestry AS t, r.parent = b.expected_parent AS good, coalesce(observed_duration_s, length_s) >= 5 AS long FROM easy b JOIN r ON r.c = b.candidate_id AND r.n = 1 WHERE b.method = 'V-C' AND b.length_s >= 5),
+h AS (SELECT DISTINCT identity AS held FROM e UNION ALL SELECT NULL),
+th AS (SELECT DISTINCT w, held, x FROM e JOIN h ON held IS NULL OR held <> identity UNION SELECT w, held, y FROM (SELECT DISTINCT w FROM e), h, (VALUES (-0.000001::DOUBLE), (1.000001::DOUBLE)) y(y)),
+k AS (SELECT th.w, th.held, th.x, count(*) FILTER (WHERE e.x >= th.x AND long AND NOT close AND t AND good) AS tp, count(*) FILTER (WHERE e.x >= th.x AND long AND NOT close AND NOT t) AS fp, count(*) FILTER (WHERE t) AS np, count(*) FILTER (WHERE NOT t) AS nn FROM th JOIN e ON e.w = th.w AND (th.held IS NULL OR e.identity <> th.held) GROUP BY ALL),
+fit AS (SELECT *, tp / np AS tpr, fp / nn AS fpr, row_number() OVER (PARTITION BY w, held ORDER BY tp / np DESC, fp / nn, x DESC) AS n FROM k WHERE tp / np >= 0.7 AND fp / nn <= 0.015),
+o AS (SELECT e.w, count(*) FILTER (WHERE coalesce(e.x >= fit.x, false) AND long AND NOT close AND t AND good) AS tp, count(*) FILTER (WHERE t) AS np, count(*) FILTER (WHERE coalesce(e.x >= fit.x, false) AND long AND NOT close AND NOT t) AS fp, count(*) FILTER (WHERE NOT t) AS nn FROM e LEFT JOIN fit ON fit.w = e.w AND fit.held = e.identity AND fit.n = 1 GROUP BY e.w)
+SELECT o.w AS weight, o.tp::BIGINT AS held_out_tp, o.np::BIGINT AS held_out_positive, o.fp::BIGINT AS held_out_fp, o.nn::BIGINT AS held_out_negative, round(fit.x, 6) AS full_threshold, round(fit.tpr, 6) AS full_tpr, round(fit.fpr, 6) AS full_fpr, fit.x IS NOT NULL AND o.tp / o.np >= 0.7 AND o.fp / o.nn <= 0.015 AS qualified FROM o LEFT JOIN fit ON fit.w = o.w AND fit.held IS NULL AND fit.n = 1"""
+
+
+def _trials(spark, d):
+    rows = fx.separable(spark, d)
+    parents = F.array(F.struct(F.col("top_parent").alias("parent"), F.col("score")), F.struct(F.concat("identity", F.lit("-2")).alias("parent"), (F.col("score") / 2).alias("score")))
+    pairs = lambda m: rows.where(F.col("method") == m).select(F.col("candidate_id").alias("candidate"), F.inline(parents))
+    fused = calibration.fused_rows(rows.where("method = 'V-C'"), pairs("V-C"), pairs("A-chromaprint"))
+    return calibration.held_out_fusion(fused, 5)
+
+
+@query(_TRIALS)
 def held_out_fusion(spark, d):
-    s = fx.scored(spark, d).where("method = 'V-C'").withColumn("method", F.lit("F-fusion")).withColumn("weight", F.explode(F.array(*[F.lit(w) for w in calibration.WEIGHTS])))
-    return calibration.held_out_fusion(s, 5)
+    return _trials(spark, d).withColumns({c: F.round(c, 6) for c in ("full_threshold", "full_tpr", "full_fpr")})
 
 
-@query(f"WITH {fx.DECIDED} SELECT method, count(*)::BIGINT AS n_expected, count(*) FILTER (WHERE truth)::BIGINT AS positive_expected, count(*) FILTER (WHERE processing = 'evaluated')::BIGINT AS n_evaluated, count(*) FILTER (WHERE state = 'AMBIGUOUS')::BIGINT AS ambiguous, count(*) FILTER (WHERE truth AND parent = expected_parent)::BIGINT AS correct_parent, count(*) FILTER (WHERE truth AND parent <> expected_parent)::BIGINT AS wrong_parent, count(*) FILTER (WHERE truth AND processing = 'evaluated' AND state = 'supported')::BIGINT AS tp, count(*) FILTER (WHERE NOT truth AND processing = 'evaluated' AND state = 'supported')::BIGINT AS fp, count(*) FILTER (WHERE NOT truth AND processing = 'evaluated' AND state <> 'supported')::BIGINT AS tn, count(*) FILTER (WHERE truth AND processing = 'evaluated' AND state <> 'supported')::BIGINT AS fn FROM states GROUP BY method")
+@query(f"SELECT weight, round(held_out_tp / held_out_positive, 6) AS tpr, round(held_out_fp / held_out_negative, 6) AS fpr, full_threshold FROM ({_TRIALS}) WHERE qualified ORDER BY held_out_tp / held_out_positive DESC, held_out_fp / held_out_negative, weight LIMIT 1")
+def fusion_choice(spark, d):
+    c = calibration.chosen_fusion(_trials(spark, d))
+    return c.select("weight", F.round(F.col("held_out_tp") / F.col("held_out_positive"), 6).alias("tpr"), F.round(F.col("held_out_fp") / F.col("held_out_negative"), 6).alias("fpr"), F.round("full_threshold", 6).alias("full_threshold"))
+
+
+@query(f"""{_CURVE}, f AS (SELECT *, coalesce(nullif(fpr, 0), 1) AS odd FROM rates), k AS (SELECT modality, CASE WHEN fpr <= 0.2 THEN 'max_tpr_at_fpr_le_0.20' ELSE 'fallback_min_fpr' END AS selection_rule, threshold, row_number() OVER (PARTITION BY modality ORDER BY (fpr <= 0.2) DESC, CASE WHEN fpr <= 0.2 THEN tpr ELSE -fpr END DESC, CASE WHEN fpr <= 0.2 THEN odd ELSE -tpr END, threshold) AS n FROM f),
+o AS (SELECT modality, list_sort(list(score) FILTER (WHERE truth)) AS p, list_sort(list(score) FILTER (WHERE NOT truth)) AS q FROM s GROUP BY modality)
+SELECT o.modality, threshold, selection_rule, len(p)::BIGINT AS n_positive, len(q)::BIGINT AS n_negative, CASE WHEN p[len(p) // 2 + 1] <= q[len(q) // 2 + 1] THEN 'inverted_or_collapsed' WHEN len(list_filter(q, lambda x: x >= p[len(p) // 2 + 1])) / len(q) > 0.4 THEN 'high_overlap' WHEN len(list_filter(q, lambda x: x >= p[len(p) // 2 + 1])) / len(q) > 0.15 THEN 'moderate_overlap' ELSE 'low_overlap' END AS overlap_hint, true AS usable FROM o JOIN k ON k.modality = o.modality AND k.n = 1""")
+def threshold_profile(spark, d):
+    return calibration.threshold_profile(_samples(spark, d)).select("modality", "threshold", "selection_rule", "n_positive", "n_negative", "overlap_hint", "usable")
+
+
+_RANKED = "ranking AS (SELECT candidate_id, method, CASE WHEN i = 1 + candidate_id % 7 THEN identity ELSE identity || '-' || i END AS parent, i AS rank FROM scored, (SELECT unnest(range(1, 11)) AS i) WHERE score IS NOT NULL)"
+_SUMMARY = """s AS (SELECT method, count(*) AS n_expected, count(*) FILTER (WHERE truth) AS positive_expected, count(*) FILTER (WHERE NOT truth) AS negative_expected, count(*) FILTER (WHERE processing = 'evaluated') AS n_evaluated, count(*) FILTER (WHERE state = 'AMBIGUOUS') AS ambiguous,
+  count(*) FILTER (WHERE truth AND parent = expected_parent) AS correct_parent, count(*) FILTER (WHERE truth AND parent <> expected_parent) AS wrong_parent, count(*) FILTER (WHERE truth AND state = 'AMBIGUOUS') AS ambiguous_parent, count(*) FILTER (WHERE truth AND processing <> 'evaluated') AS unavailable_positive, count(*) FILTER (WHERE NOT truth AND processing <> 'evaluated') AS unavailable_negative,
+  count(*) FILTER (WHERE truth AND processing = 'evaluated' AND state = 'supported') AS tp, count(*) FILTER (WHERE NOT truth AND processing = 'evaluated' AND state = 'supported') AS fp, count(*) FILTER (WHERE NOT truth AND processing = 'evaluated' AND state <> 'supported') AS tn, count(*) FILTER (WHERE truth AND processing = 'evaluated' AND state <> 'supported') AS fn, avg(margin) AS mean_margin FROM states GROUP BY method)"""
+_COUNTS = ("n_expected", "positive_expected", "negative_expected", "n_evaluated", "ambiguous", "correct_parent", "wrong_parent", "ambiguous_parent", "unavailable_positive", "unavailable_negative", "tp", "fp", "tn", "fn")
+_RATES = ("tpr", "fpr", "precision", "f1", "tpr_lower_bound", "mean_margin", "recall_at_1", "recall_at_5", "recall_at_10")
+
+
+def _ranking(spark, d):
+    at = F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")
+    named = F.when(F.col("rank") == 1 + F.col("candidate_id") % 7, F.col("identity")).otherwise(F.concat_ws("-", "identity", F.col("rank").cast("string")))
+    return fx.scored(spark, d).where("score IS NOT NULL").select("candidate_id", "method", "identity", at).select("candidate_id", "method", named.alias("parent"), "rank")
+
+
+@query(f"WITH {fx.DECIDED}, {_RANKED}, {_SUMMARY}, w AS (SELECT x.method, x.candidate_id, min(ranking.rank) AS rank FROM scored x LEFT JOIN ranking ON ranking.candidate_id = x.candidate_id AND ranking.method = x.method AND ranking.parent = x.expected_parent WHERE x.truth GROUP BY ALL), k AS (SELECT method, avg(coalesce(rank <= 1, false)::INT) AS r1, avg(coalesce(rank <= 5, false)::INT) AS r5, avg(coalesce(rank <= 10, false)::INT) AS r10 FROM w GROUP BY method) SELECT s.method, {', '.join(f's.{c}::BIGINT AS {c}' for c in _COUNTS)}, round(tp / (tp + fn), 6) AS tpr, round(fp / (fp + tn), 6) AS fpr, round(tp / (tp + fp), 6) AS precision, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / positive_expected, 6) AS tpr_lower_bound, round(mean_margin, 6) AS mean_margin, round(r1, 6) AS recall_at_1, round(r5, 6) AS recall_at_5, round(r10, 6) AS recall_at_10 FROM s JOIN k ON k.method = s.method")
 def method_summary(spark, d):
-    return accounting.summary(_decided(spark, d), ["method"]).select("method", "n_expected", "positive_expected", "n_evaluated", "ambiguous", "correct_parent", "wrong_parent", "tp", "fp", "tn", "fn")
+    decided = _decided(spark, d)
+    out = accounting.summary(decided, ["method"]).join(accounting.with_recall(decided, _ranking(spark, d), ["method"]), "method", "left")
+    return out.select("method", *_COUNTS, *[F.round(c, 6).alias(c) for c in _RATES])
 
 
 @query()
@@ -310,10 +363,65 @@ def temporal_rows(spark, d):
     return accounting.temporal_rows(_claims(spark, d)).select("doc_id", F.round("iou", 6).alias("iou"), "start_error", "end_error", F.round("padding", 6).alias("padding"), "false_continuous")
 
 
-@query(f"{_CLAIMS}, s AS (SELECT count(*) AS n, avg(CASE WHEN valid THEN iou ELSE 0 END) AS mi, avg(CASE WHEN valid THEN se END) AS ms, avg(CASE WHEN valid THEN ee END) AS me, count(*) FILTER (WHERE several) AS k, count(*) FILTER (WHERE several AND valid AND one) AS f FROM r) SELECT n::BIGINT AS n, round(mi, 6) AS mean_iou, round(ms, 6) AS mean_start_error, round(me, 6) AS mean_end_error, k::BIGINT AS n_several, f::BIGINT AS n_false_continuous, CASE WHEN f / k > 0.2 THEN 'NO-GO' ELSE 'CAUTION' END AS verdict FROM s")
+_TEMPORAL = f"""{_CLAIMS}, q AS (SELECT doc_id % 3 AS g, doc_id % 5 <> 0 AS issued, * FROM r),
+al AS (SELECT g, avg(CASE WHEN valid THEN iou ELSE 0 END) AS iou, avg(valid::INT) AS cov FROM q GROUP BY g),
+is_ AS (SELECT g, avg(CASE WHEN valid THEN se END) AS se, avg(CASE WHEN valid THEN ee END) AS ee, count(*) FILTER (WHERE several) AS k, count(*) FILTER (WHERE several AND valid AND one) AS f FROM q WHERE issued GROUP BY g),
+v AS (SELECT al.g, round(iou, 6) AS mean_iou, round(cov, 6) AS coverage, round(se, 6) AS mean_start_error, round(ee, 6) AS mean_end_error, k::BIGINT AS n_several, f::BIGINT AS n_false_continuous, CASE WHEN f / nullif(k, 0) > 0.2 THEN 'NO-GO' WHEN iou >= 0.7 AND se <= 1 AND ee <= 1 AND f / nullif(k, 0) <= 0.05 AND cov >= 0.7 THEN 'GO' ELSE 'CAUTION' END AS verdict FROM al JOIN is_ ON is_.g = al.g)"""
+
+
+@query(f"{_TEMPORAL} SELECT g::BIGINT AS g, mean_iou, coverage, mean_start_error, mean_end_error, n_several, n_false_continuous, verdict FROM v")
 def temporal_verdict(spark, d):
-    s = accounting.alignment_verdict(accounting.temporal_summary(accounting.temporal_rows(_claims(spark, d)).withColumn("all", F.lit(1)), ["all"]))
-    return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean_iou", "mean_start_error", "mean_end_error")], "n_several", "n_false_continuous", "verdict")
+    rows = accounting.temporal_rows(_claims(spark, d)).withColumn("g", F.col("doc_id") % 3)
+    s = accounting.alignment_verdict(accounting.temporal_verdict_input(rows, ["g"], F.col("doc_id") % 5 != 0))
+    named = {"all_mean_iou": "mean_iou", "all_coverage": "coverage", "issued_mean_start_error": "mean_start_error", "issued_mean_end_error": "mean_end_error"}
+    return s.select(F.col("g").cast("bigint"), *[F.round(c, 6).alias(n) for c, n in named.items()], F.col("issued_n_several").alias("n_several"), F.col("issued_n_false_continuous").alias("n_false_continuous"), "verdict")
+
+
+_VERDICTS = f"""{_ROUTED.replace(fx.DECIDED, fx.DECIDED.replace(fx.SCORED, fx.SEPARABLE).replace("END AS reason FROM scored)", "END AS reason FROM easy)"))},
+q AS (SELECT * FROM states WHERE length_s >= 5 AND NOT (method LIKE 'V-%' AND truth AND severity = 'harsh')),
+m AS (SELECT method, count(*) FILTER (WHERE truth AND state = 'supported' AND parent = expected_parent) / nullif(count(*) FILTER (WHERE truth), 0) AS c, count(*) FILTER (WHERE NOT truth AND state = 'supported') / nullif(count(*) FILTER (WHERE NOT truth AND processing = 'evaluated'), 0) AS f FROM q GROUP BY method),
+mv AS (SELECT coalesce(bool_or(c >= 0.7 AND f <= 0.02) FILTER (WHERE method LIKE 'V-%'), false) AS v, coalesce(bool_or(c >= 0.75 AND f <= 0.015) FILTER (WHERE method LIKE 'A-%'), false) AS a FROM m),
+x AS (SELECT count(*) FILTER (WHERE va AND v = 'supported') / count(*) FILTER (WHERE va) AS vtp, count(*) FILTER (WHERE aa AND a = 'supported') / count(*) FILTER (WHERE aa) AS atp, count(*) FILTER (WHERE (va OR aa) AND o = 'supported') / count(*) FILTER (WHERE va OR aa) AS otp, count(*) FILTER (WHERE NOT (va OR aa) AND o = 'supported') / nullif(count(*) FILTER (WHERE NOT (va OR aa)), 0) AS ofp FROM routed),
+al AS (SELECT unnest(['GO', 'CAUTION', 'NO-GO']) AS alignment)"""
+
+
+@query(f"{_VERDICTS} SELECT alignment, CASE WHEN mv.v THEN 'GO' ELSE 'NO-GO' END AS visual, CASE WHEN mv.a THEN 'GO' ELSE 'NO-GO' END AS audio, round(otp, 6) AS either_tpr, round(greatest(vtp, atp), 6) AS single_tpr, round(ofp, 6) AS either_fpr, CASE WHEN (NOT mv.v AND NOT mv.a) OR alignment = 'NO-GO' THEN 'CORE NO-GO' WHEN alignment = 'GO' AND mv.v AND mv.a AND otp > greatest(vtp, atp) AND coalesce(ofp, 0) <= 0.02 THEN 'STRONG GO' WHEN alignment = 'GO' AND (mv.v OR mv.a) THEN 'CORE GO' ELSE 'CAUTION' END AS overall FROM mv, x, al")
+def overall_verdict(spark, d):
+    """The verdict for each outcome of alignment, by the modalities' verdicts and routing on the separable rows."""
+    decided = fx.separable(spark, d).withColumn("decision", decisions.decision(F.lit(fx.THRESHOLD), F.lit(fx.MINIMUM)))
+    subset = decided.where(F.col("length_s") >= 5).where(~(F.col("method").startswith("V-") & F.col("truth") & (F.col("severity") == "harsh")))
+    rates = accounting.summary(subset, ["method"]).select("method", F.lit(True).alias("has_point"), F.try_divide("correct_parent", "positive_expected").alias("correct_parent_rate"), "fpr")
+    modal = accounting.modality_verdict(rates, calibration.GATES).groupBy().agg(*[F.max(F.when(F.col("modality") == m, F.col("verdict"))).alias(m) for m in ("visual", "audio")])
+    v = decided.where("method = 'V-C'").select("candidate_id", "visual_ancestry", "audio_ancestry", F.col("decision").alias("v"))
+    a = decided.where("method = 'A-chromaprint'").select("candidate_id", F.col("decision").alias("a"))
+    routed = v.join(a, "candidate_id").select("candidate_id", "visual_ancestry", "audio_ancestry", *decisions.route(F.col("v"), F.col("a")))
+    of = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c)))
+    modes = accounting.multimodal(routed).groupBy().agg(of("visual_or_audio", "tpr").alias("either_tpr"), F.greatest(of("visual_only", "tpr"), of("audio_only", "tpr")).alias("single_tpr"), of("visual_or_audio", "fpr").alias("either_fpr"))
+    one = modal.crossJoin(modes).withColumn("alignment", F.explode(F.array(*map(F.lit, ("GO", "CAUTION", "NO-GO")))))  # one row each
+    verdict = accounting.overall_verdict(*[F.col(c) for c in ("visual", "audio", "alignment", "either_tpr", "single_tpr", "either_fpr")])
+    return one.select("alignment", "visual", "audio", *[F.round(c, 6).alias(c) for c in ("either_tpr", "single_tpr", "either_fpr")], verdict.alias("overall"))
+
+
+_FIRST = f"""WITH {fx.SCORED}, w AS (SELECT v.candidate_id AS id, v.row_status, v.visual_ancestry AS va, v.audio_ancestry AS aa, v.score AS vs, a.score AS sa, v.top_parent, v.expected_parent, v.margin FROM scored v JOIN scored a ON a.candidate_id = v.candidate_id AND v.method = 'V-C' AND a.method = 'A-chromaprint'),
+x AS (SELECT *, row_status = 'evaluated' AS ready, CASE WHEN margin < 0.08 THEN 'AMBIGUOUS' ELSE 'ranked' END AS disposition, id % 2 = 0 AS here, id % 3 <> 0 AS der FROM w)"""
+
+
+@query(f"""{_FIRST}, c AS (SELECT count(*) FILTER (WHERE ready AND here AND vs IS NOT NULL) AS vn, count(*) FILTER (WHERE ready AND here AND der AND va AND vs >= 0.6) AS vtp, count(*) FILTER (WHERE ready AND here AND NOT (der AND va) AND vs >= 0.6) AS vfp, count(*) FILTER (WHERE ready AND here AND NOT (der AND va) AND vs < 0.6) AS vtn, count(*) FILTER (WHERE ready AND here AND der AND va AND vs < 0.6) AS vfn,
+count(*) FILTER (WHERE ready AND here AND der AND aa AND sa >= 0.7) AS atp, count(*) FILTER (WHERE ready AND here AND NOT (der AND aa) AND sa >= 0.7) AS afp, count(*) FILTER (WHERE NOT ready) AS failed, count(*) FILTER (WHERE ready AND disposition = 'AMBIGUOUS') AS amb, count(*) FILTER (WHERE ready AND here AND der) AS nd, count(*) FILTER (WHERE ready AND here AND der AND top_parent = expected_parent) AS hit FROM x)
+SELECT vn::BIGINT AS visual_n, vtp::BIGINT AS visual_tp, vfp::BIGINT AS visual_fp, vtn::BIGINT AS visual_tn, vfn::BIGINT AS visual_fn, round(vtp / (vtp + vfn), 6) AS visual_tpr, round(vfp / (vfp + vtn), 6) AS visual_fpr, round(vtp / (vtp + vfp), 6) AS visual_precision, round(2 * vtp / (2 * vtp + vfp + vfn), 6) AS visual_f1, atp::BIGINT AS audio_tp, afp::BIGINT AS audio_fp, failed::BIGINT AS n_failed_all_partitions, amb::BIGINT AS n_ambiguous_all_partitions, nd::BIGINT AS n_derivative, round(hit / nd, 6) AS recall_at_1, 'PASS' AS harness FROM c""")
+def first_evaluation(spark, d):
+    s = fx.scored(spark, d)
+    audio = s.where("method = 'A-chromaprint'").select("candidate_id", F.col("score").alias("audio_score"))
+    v = s.where("method = 'V-C'").join(audio, "candidate_id")
+    rows = v.select(
+        F.when(F.col("row_status") == "evaluated", "ok").otherwise("failed").alias("row_status"), retrieval.disposition(F.col("margin"), F.lit(2)).alias("disposition"),
+        F.when(F.col("candidate_id") % 2 == 0, "evaluation").otherwise("calibration").alias("partition"), (F.col("candidate_id") % 3 != 0).alias("is_derivative"),
+        "visual_ancestry", "audio_ancestry", F.col("score").alias("visual_score"), "audio_score", "top_parent", F.col("expected_parent").alias("true_parent"),
+    )
+    out = accounting.first_evaluation(rows, F.lit(0.6), F.lit(0.7))
+    harness = accounting.harness_verdict(F.lit(1), F.lit(0.1), F.col("visual_tp") + F.col("visual_fn"), F.lit("TOLERANCE_REPRODUCIBLE"))
+    whole = [f"visual_{k}" for k in ("n", "tp", "fp", "tn", "fn")]
+    return out.select(*whole, *[F.round(f"visual_{k}", 6).alias(f"visual_{k}") for k in ("tpr", "fpr", "precision", "f1")], "audio_tp", "audio_fp", "n_failed_all_partitions", "n_ambiguous_all_partitions", "n_derivative", F.round("recall_at_1", 6).alias("recall_at_1"), harness.alias("harness"))
 
 
 _SPANS = "e AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) // 60000000 AS a, epoch_us(ts) // 60000000 + 600 + (event_id % 7) * 100 AS b FROM events)"
@@ -403,11 +511,11 @@ def set_equality(spark, d):
     return partitioning.same_ids(x.where("doc_id % 10 <> 1"), x.where("doc_id % 10 <> 0"), "doc_id")
 
 
-@query(f"WITH {fx.SCORED}, r AS (SELECT candidate_id AS id, status, score FROM scored WHERE method = 'V-C'), n AS (SELECT count(*) FILTER (WHERE id % 13 <> 0 AND id % 12 <> 0) AS s, count(*) FILTER (WHERE id % 13 = 0 AND id % 12 <> 0) AS a, count(*) FILTER (WHERE id % 12 = 0 AND id % 13 <> 0) AS b, count(*) FILTER (WHERE id % 13 <> 0 AND id % 12 <> 0 AND (id % 10 <> 0 OR score IS NULL)) AS e FROM r) SELECT s::BIGINT AS n_shared, a::BIGINT AS only_first, b::BIGINT AS only_second, s::BIGINT AS same_status, e::BIGINT AS same_score, CASE WHEN a + b > 0 OR e < s THEN 'UNSTABLE' ELSE 'BIT_DETERMINISTIC' END AS reproducibility FROM n")
+@query(f"WITH {fx.SCORED}, r AS (SELECT candidate_id AS id, status, score FROM scored WHERE method = 'V-C'), n AS (SELECT count(*) FILTER (WHERE id % 13 <> 0 AND id % 12 <> 0) AS s, count(*) FILTER (WHERE id % 13 = 0 AND id % 12 <> 0) AS a, count(*) FILTER (WHERE id % 12 = 0 AND id % 13 <> 0) AS b, count(*) FILTER (WHERE id % 13 <> 0 AND id % 12 <> 0 AND (id % 10 <> 0 OR score IS NULL)) AS e FROM r) SELECT s::BIGINT AS n_shared, a::BIGINT AS only_first, b::BIGINT AS only_second, s::BIGINT AS same_status, s::BIGINT AS same_digest, e::BIGINT AS same_score, e::BIGINT AS near_score, CASE WHEN e < s THEN 0.5::DOUBLE ELSE 0 END AS max_difference, CASE WHEN a + b > 0 OR e < s THEN 'UNSTABLE' ELSE 'BIT_DETERMINISTIC' END AS reproducibility FROM n")
 def run_comparison(spark, d):
     r = fx.scored(spark, d).where("method = 'V-C'").select(F.col("candidate_id").alias("id"), "status", F.sha2(F.coalesce(F.col("score").cast("string"), F.lit("")), 256).alias("digest"), "score")
     other = r.where("id % 13 <> 0").withColumn("score", F.when(F.col("id") % 10 == 0, F.col("score") + 0.5).otherwise(F.col("score")))
-    return accounting.compare_runs(r.where("id % 12 <> 0"), other, "id").select("n_shared", "only_first", "only_second", "same_status", "same_score", "reproducibility")
+    return accounting.compare_runs(r.where("id % 12 <> 0"), other, "id").withColumn("max_difference", F.round(F.coalesce("max_difference", F.lit(0.0)), 6))
 
 
 @query("""WITH l AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3), (3, 5), (4, 10), (5, 15), (6, 30)) t(li, length_s)), r AS (SELECT string_split('h264_q18 h264_q42 mpeg4 scale720 scale480 scale360 crop10 crop40 crop60 offcenter25 mirror rotate5 rotate15 perspective letterbox speed075 speed150 reordered discontinuous frame_insert_delete logo central_text picture_in_picture reaction_layout audio_offset pitch_up2 music_overlay noise_compression silence_insertion screen_recording film_monitor upscale_lanczos frame_interpolation denoise', ' ') AS rot, string_split('trim h264_q35 crop25 speed125 audio_replace subtitles', ' ') AS anc),
@@ -418,11 +526,11 @@ def candidate_design(spark, d):
     return design(spark).select("candidate_id", "identity", F.col("length_s").cast("bigint"), "transform", "visual_ancestry", "audio_ancestry", iv.total(F.col("source_intervals")).alias("source_seconds"))
 
 
-@query("SELECT sha256(text) AS digest, any_value(text) IS NOT NULL AS present FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY sha256(text)")
+@query("SELECT sha256(text) AS digest, any_value(text) AS content FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY sha256(text)")
 def artifact_insert(spark, d):
     x = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     stored = x.where("doc_id % 3 = 0").select(F.sha2("content", 256).alias("digest"))
-    return evidence.new_artifacts(x.where("doc_id % 3 <> 0").select("content"), stored).select("digest", F.col("content").isNotNull().alias("present"))
+    return evidence.new_artifacts(x.where("doc_id % 3 <> 0").select("content"), stored).select("digest", "content")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id)::BIGINT AS number FROM documents")
@@ -452,5 +560,5 @@ def adjacent_changes(spark, d):
 
 @query("WITH p AS (SELECT source, list_sort(list(n_chars) FILTER (WHERE lang = 'en')) AS p, list_sort(list(n_chars) FILTER (WHERE lang <> 'en')) AS n FROM documents GROUP BY source) SELECT source, CASE WHEN coalesce(len(p), 0) = 0 OR coalesce(len(n), 0) = 0 THEN 'insufficient_data' WHEN p[len(p) // 2 + 1] <= n[len(n) // 2 + 1] THEN 'inverted_or_collapsed' WHEN len(list_filter(n, lambda x: x >= p[len(p) // 2 + 1])) / len(n) > 0.4 THEN 'high_overlap' WHEN len(list_filter(n, lambda x: x >= p[len(p) // 2 + 1])) / len(n) > 0.15 THEN 'moderate_overlap' ELSE 'low_overlap' END AS hint FROM p")
 def overlap_hints(spark, d):
-    g = fx.table(spark, d, "documents").groupBy("source").agg(F.collect_list(F.when(F.col("lang") == "en", F.col("n_chars"))).alias("p"), F.collect_list(F.when(F.col("lang") != "en", F.col("n_chars"))).alias("n"))
-    return g.select("source", calibration.overlap_hint(F.col("p"), F.col("n")).alias("hint"))
+    samples = fx.table(spark, d, "documents").select("source", F.col("n_chars").alias("score"), (F.col("lang") == "en").alias("is_positive"))
+    return calibration.overlap_hints(samples, ["source"]).withColumnRenamed("overlap_hint", "hint")

@@ -266,5 +266,44 @@ def test_run_comparison_classes(spark):
     assert kind(a.withColumn("score", F.col("score") + 1e-9).withColumn("digest", F.lit("x"))) == "TOLERANCE_REPRODUCIBLE"
     worst = spark.range(1).select(accounting.worst_class(F.array(F.lit("BIT_DETERMINISTIC"), F.lit("UNSTABLE"))).alias("w")).first().w
     assert worst == "UNSTABLE"
-    verdict = lambda *x: spark.range(1).select(accounting.overall_verdict(*map(F.lit, x)).alias("v")).first().v
-    assert verdict("NO-GO", "NO-GO", "CAUTION", "GO") == "CORE NO-GO" and verdict("GO", "GO", "GO", "GO") == "STRONG GO" and verdict("GO", "GO", "CAUTION", "GO") == "CORE GO"
+    verdict = lambda *x: spark.range(1).select(accounting.overall_verdict(*[F.lit(v).cast("double") if i > 2 else F.lit(v) for i, v in enumerate(x)]).alias("v")).first().v
+    assert verdict("NO-GO", "NO-GO", "GO", 0.9, 0.8, 0.0) == "CORE NO-GO" and verdict("GO", "GO", "NO-GO", 0.9, 0.8, 0.0) == "CORE NO-GO"
+    assert verdict("GO", "NO-GO", "GO", 0.9, 0.8, 0.0) == "CORE GO" and verdict("GO", "GO", "CAUTION", 0.9, 0.8, 0.0) == "CAUTION"
+    assert verdict("GO", "GO", "GO", 0.9, 0.8, 0.02) == "STRONG GO" and verdict("GO", "GO", "GO", 0.8, 0.8, 0.0) == "CORE GO" and verdict("GO", "GO", "GO", 0.9, 0.8, 0.03) == "CORE GO"
+    assert verdict("GO", "GO", "GO", None, None, None) == "CORE GO"
+
+
+def test_alignment_verdict_needs_every_measure(spark):
+    kind = "g int, all_mean_iou double, all_coverage double, issued_mean_start_error double, issued_mean_end_error double, issued_n_several bigint, issued_n_false_continuous bigint"
+    cases = [(1, 0.8, 0.9, 0.5, 0.5, 10, 0), (2, 0.8, 0.9, 0.5, 0.5, 0, 0), (3, 0.8, 0.9, None, 0.5, 10, 0), (4, 0.8, 0.9, 0.5, 0.5, 10, 3), (5, 0.6, 0.9, 0.5, 0.5, 10, 0)]
+    got = [r.verdict for r in accounting.alignment_verdict(spark.createDataFrame(cases, kind)).orderBy("g").collect()]
+    assert got == ["GO", "CAUTION", "CAUTION", "NO-GO", "CAUTION"]
+
+
+def test_running_sums_over_ranges(spark):
+    r = random.Random(4)
+    rows = [(r.choice("abc"), float(r.randint(0, 40)), 1) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, x double, n bigint")
+    for down in (False, True):
+        got = calibration.running_sums(df, ["k"], "x", ["n"], descending=down).collect()
+        assert len(got) == 300 and all(g.n == sum(k == g.k and (x >= g.x if down else x <= g.x) for k, x, _ in rows) for g in got)
+    assert calibration.running_sums(df.where("false"), ["k"], "x", ["n"]).collect() == []
+
+
+def test_near_links_count_without_pairs_of_copies(spark):
+    r = random.Random(6)
+    hashes = [r.getrandbits(64) for _ in range(40)]
+    hashes += [h ^ (1 << r.randint(0, 63)) ^ (1 << r.randint(0, 63)) for h in hashes for _ in range(3)] + [hashes[0]] * 50
+    rows = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)] + [(900, None)]
+    got = {x.id: x for x in retrieval.near_links(spark.createDataFrame(rows, "id bigint, hash bigint"), 3).collect()}
+    assert len(got) == len(rows) and (got[900].class_id, got[900].n_links) == (900, 0)
+    for i, h in enumerate(hashes):
+        near = [(h ^ g).bit_count() for j, g in enumerate(hashes) if j != i and (h ^ g).bit_count() <= 3]
+        beyond = [x for x in near if x]
+        assert (got[i].class_id, got[i].n_links, got[i].nearest) == (hashes.index(h), len(near), min(beyond) if beyond else None)
+
+
+def test_resource_check():
+    assert accounting.resource_check(1512, 5.674, 500_000, 10**12)["decision"] == "proceed"
+    with pytest.raises(ValueError, match="exceeds"):
+        accounting.resource_check(1512, 50.0, 500_000, 10**12)
