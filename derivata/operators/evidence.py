@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.canonical import is_digest
-from ..functions.signatures import verified
+from ..functions.ordinals import numbered
+from ..functions.signatures import signed, sound_column, verified
 
 GENESIS = "0" * 64
 
@@ -20,20 +21,29 @@ def link_digest(previous: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("\n", previous, body), 256)
 
 
-def _chain_batches(batches):
-    log, last, seq = None, GENESIS, 0
-    for batch in batches:
-        out = []
-        for key, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if key != log or seq == 0:
-                log, last, seq = key, GENESIS, 0
-            seq += 1
-            digest = hashlib.sha256(f"{last}\n{body or ''}".encode()).hexdigest()
-            out.append((key, seq, last, digest, body))
-            last = digest
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["log", "seq", "previous_hash", "event_hash", "body"])
+_LINK = [("seq", pa.int64()), ("previous_hash", pa.string()), ("event_hash", pa.string()), ("body", pa.string())]
+
+
+def chained_batches(head: str = GENESIS, seq: int = 0):
+    """Rows (log, seq, previous_hash, event_hash, body) from rows (log, ..., body) in order, for mapInArrow: each log from
+    ``seq`` and ``head`` on. Only the last digest is kept."""
+
+    def run(batches):
+        log, last, at, begun = None, head, seq, False
+        for batch in batches:
+            out = []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if not begun or key != log:
+                    log, last, at, begun = key, head, seq, True
+                at += 1
+                digest = hashlib.sha256(f"{last}\n{body or ''}".encode()).hexdigest()
+                out.append((key, at, last, digest, body))
+                last = digest
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (batch.schema.field(0).type, *(t for _, t in _LINK))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["log", *(n for n, _ in _LINK)])
+
+    return run
 
 
 def build_chain(events: DataFrame, log: str, order: str, body: str) -> DataFrame:
@@ -44,7 +54,7 @@ def build_chain(events: DataFrame, log: str, order: str, body: str) -> DataFrame
     rows = events.select(F.col(log).alias("log"), F.col(order).alias("at"), F.coalesce(body, F.lit("")).alias("body"))
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["log"].dataType.simpleString()
-    return rows.repartition(n, "log").sortWithinPartitions("log", "at", "body").mapInArrow(_chain_batches, f"log {kind}, seq bigint, previous_hash string, event_hash string, body string")
+    return rows.repartition(n, "log").sortWithinPartitions("log", "at", "body").mapInArrow(chained_batches(), f"log {kind}, seq bigint, previous_hash string, event_hash string, body string")
 
 
 def chain_violations(chain: DataFrame) -> DataFrame:
@@ -52,7 +62,7 @@ def chain_violations(chain: DataFrame) -> DataFrame:
     one long log is checked by all tasks."""
     before = chain.select("log", (F.col("seq") + 1).alias("seq"), F.col("event_hash").alias("expected"))
     joined = chain.join(before, ["log", "seq"], "left").withColumn("expected", F.coalesce("expected", F.when(F.col("seq") == 1, F.lit(GENESIS))))
-    reason = F.when(~F.col("previous_hash").eqNullSafe(F.col("expected")), "event_chain_mismatch").when(~F.col("event_hash").eqNullSafe(link_digest(F.col("previous_hash"), F.col("body"))), "event_digest_mismatch")
+    reason = F.when(~F.col("previous_hash").eqNullSafe(F.col("expected")), "event_chain_mismatch").when(~F.col("event_hash").eqNullSafe(link_digest(F.col("previous_hash"), F.col("body"))), "event_chain_mismatch")
     return joined.select("log", "seq", reason.alias("reason")).where("reason IS NOT NULL")
 
 
@@ -66,6 +76,28 @@ def log_status(chain: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return out.select("log", "n_events", reason.isNull().alias("valid"), F.col("bad.seq").alias("first_bad_seq"), reason.alias("reason"))
 
 
+def checkpoints(chain: DataFrame, seed: bytes, at: str) -> DataFrame:
+    """(log, seq, envelope): a signed checkpoint of each event, which binds the log up to it."""
+    payload = F.to_json(F.struct(F.lit("checkpoint-v1").alias("schema"), F.col("seq").alias("sequence"), F.col("event_hash").alias("log_head_sha256"), F.lit(at).alias("signed_at")))
+    return chain.select("log", "seq", signed(payload, seed).alias("envelope"))
+
+
+def signed_log_status(chain: DataFrame, marks: DataFrame, trusted: str) -> DataFrame:
+    """One row a log: n_events, valid, reason and sequence of its first fault: a break of the chain, then a number of
+    checkpoints that is not that of events, then one that does not bind its event or is not the trusted signer's."""
+    bad = chain_violations(chain).groupBy("log").agg(F.min("seq").alias("broken"))
+    n = chain.groupBy("log").agg(F.count("*").alias("n_events")).join(marks.groupBy("log").agg(F.count("*").alias("n_marks")), "log", "full_outer")
+    said = lambda name, kind: F.get_json_object("envelope", f"$.payload.{name}").try_cast(kind)
+    both = chain.join(marks, ["log", "seq"], "left")
+    binds = sound_column(F.col("envelope"), trusted) & said("sequence", "bigint").eqNullSafe(F.col("seq")) & said("log_head_sha256", "string").eqNullSafe(F.col("event_hash"))
+    loose = both.where(~binds).groupBy("log").agg(F.min("seq").alias("loose"))
+    out = n.join(bad, "log", "left").join(loose, "log", "left")
+    count = F.coalesce("n_events", F.lit(0)) != F.coalesce("n_marks", F.lit(0))
+    reason = F.when(F.col("broken").isNotNull(), "event_chain_mismatch").when(count, "checkpoint_count_mismatch").when(F.col("loose").isNotNull(), "checkpoint_mismatch")
+    where = F.when(F.col("broken").isNotNull(), F.col("broken")).when(~count, F.col("loose"))
+    return out.select("log", F.coalesce("n_events", F.lit(0)).alias("n_events"), reason.isNull().alias("valid"), reason.alias("reason"), where.alias("sequence"))
+
+
 def latest(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last row of each group, by an order without ties, as one struct aggregated before the shuffle."""
     rest = [c for c in rows.columns if c not in by]
@@ -120,14 +152,18 @@ def merged_intervals(rows: DataFrame, by: list[str], gap: float = 0.0) -> DataFr
     return marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*by, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).drop("_island")
 
 
+#: Assets in a part of a snapshot.
+PART = 1 << 16
+
+
 def snapshot_digest(assets: DataFrame) -> DataFrame:
-    """(n_assets, digest) of a registry: a digest of digests by (created_at, id), in ranges of ids so that no task
-    gathers the registry; ranges are few and their digests go in order."""
-    n = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = assets.select("created_at", "id", "sha256")
-    keyed = rows.withColumn("bucket", F.date_trunc("month", "created_at"))
-    parts = keyed.repartition(n, "bucket").groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "sha256"))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["sha256"])), "\n"), 256).alias("d"))
-    return parts.agg(F.sum("n").alias("n_assets"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    """(n_assets, digest) of a registry (id, created_at, sha256): a digest of the digests of parts of ``PART`` assets each,
+    in the order of created_at and id. So no task gathers the registry, and the last one has a line a part."""
+    placed = numbered(assets.select("created_at", "id", "sha256"), "created_at", "id").withColumn("part", F.floor((F.col("number") - 1) / PART))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "id", "sha256"))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["sha256"])), "\n")
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.sha2(lines, 256).alias("d"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_assets"), F.sha2(ordered, 256).alias("digest"))
 
 
 def bundle_violations(snapshot: DataFrame, manifests: DataFrame, artifacts: DataFrame, chain: DataFrame, checkpoint: DataFrame, receipt_digest: str, signed: DataFrame | None = None) -> DataFrame:
@@ -154,12 +190,17 @@ def bundle_violations(snapshot: DataFrame, manifests: DataFrame, artifacts: Data
     return out
 
 
-def claim_states(n_matches: Column, n_conflicts: Column, authorized: Column, lineage_known: Column, reviewed: Column) -> list[Column]:
-    """Separate states of separate claims; none is promoted from another."""
-    yes = lambda c: F.when(c, "supported").otherwise("not_evaluated")
+def claim_states(n_matches: Column, lineage: Column, authorized: Column, visual_review: Column, audio_review: Column) -> list[Column]:
+    """The nine claims as separate states; none is promoted from another. Reviews may be null."""
+    name = lambda k, c: c.alias(k)
     return [
-        F.when(n_conflicts > 1, "conflict").when(n_matches == 1, "supported").otherwise("insufficient").alias("exact_identity"),
-        yes(lineage_known).alias("lineage"),
-        F.when(authorized, "supported").otherwise("insufficient").alias("authorization"),
-        yes(reviewed).alias("review"),
+        name("c1_exact_asset", F.when(n_matches > 1, "exact_registration_conflict").when(n_matches == 1, "exact_match").otherwise("no_exact_match")),
+        name("c2_signed_lineage", F.when(lineage, "recorded").otherwise("absent")),
+        name("c3_visual_derivation", F.coalesce(visual_review, F.lit("not_established"))),
+        name("c4_audio_derivation", F.coalesce(audio_review, F.lit("not_established"))),
+        name("c5_transcript_derivation", F.lit("not_evaluated")),
+        name("c6_watermark_attribution", F.lit("not_evaluated")),
+        name("c7_authorization", F.when(authorized, "valid_record").otherwise("unknown")),
+        name("c8_publication", F.lit("not_evaluated")),
+        name("c9_ownership", F.lit("not_determined")),
     ]

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, canonical
 from ..functions import intervals as iv
+from ..functions.ordinals import numbered
 from ..functions.statistics import binomial_interval_column
 from ..operators import accounting, alignment, calibration, decisions, evidence, partitioning, retrieval
 from ..operators.design import design
-from ..sources.readers import numbered
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,7 +457,7 @@ def event_chain(spark, d):
     return _chain(spark, d).groupBy("log").agg(F.count("*").alias("n_events"), F.max_by("event_hash", "seq").alias("head"))
 
 
-@query(f"WITH {_BODY} SELECT log, len(bodies)::BIGINT AS n_events, log % 3 <> 0 AS valid, CASE WHEN log % 3 = 0 THEN 2::BIGINT END AS first_bad_seq, CASE WHEN log % 3 = 0 THEN 'event_digest_mismatch' END AS reason FROM b WHERE len(bodies) > 2")
+@query(f"WITH {_BODY} SELECT log, len(bodies)::BIGINT AS n_events, log % 3 <> 0 AS valid, CASE WHEN log % 3 = 0 THEN 2::BIGINT END AS first_bad_seq, CASE WHEN log % 3 = 0 THEN 'event_chain_mismatch' END AS reason FROM b WHERE len(bodies) > 2")
 def chain_verification(spark, d):
     from ..functions.bits import chained
 

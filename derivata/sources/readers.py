@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import importlib.metadata
 import json
+import platform
+import shutil
+import subprocess
+import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.canonical import digest_of
+from ..functions.ordinals import numbered
+from ..operators.partitioning import leaks
+
 SUFFIXES = ("mp4", "mkv", "webm", "mov", "avi")
 
 ASSETS = "asset_id string, filename string, path string, sha256 string, duration_s double, width int, height int, fps double, has_audio boolean, category string, role string, license_note string, extra map<string,string>"
@@ -35,10 +45,61 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_journal(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """JSON lines; a missing file is empty, blank lines are skipped, and so is a last line that is not complete."""
+    """JSON lines; a missing file is empty and blank lines are skipped. A malformed line is an error, but for a file's
+    last line, which may be still being written: that one is left for the next reading."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    whole = StructType([*kind.fields]).add("_bad", "string")
+    # Line feeds alone end lines; a file's last split holds its last line.
+    m = F.col("_metadata")
+    lines = spark.read.text(path, lineSep="\n").select("value", m["file_path"].alias("file"), (m["file_block_start"] + m["file_block_length"] >= m["file_size"]).alias("end"), F.monotonically_increasing_id().alias("at"))
+    lasts = lines.where("end").groupBy("file").agg(F.max_by("value", "at").alias("last"))
+    parsed = lines.where("trim(value) <> ''").withColumn("row", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("row._bad").isNotNull()
+    kept = parsed.join(lasts, "file").where(~bad | (F.col("value") != F.col("last")))
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 200)))).otherwise(F.col("row"))
+    return kept.select(checked.alias("row")).select("row.*").drop("_bad")
+
+
+def read_partition(spark: SparkSession, path: str, schema: str | StructType = "id string, identity_group string, component_id string, partition string") -> DataFrame:
+    """A partition manifest, its own digest checked; refused if it leaks."""
+    document = read_own_digest(spark, path)
+    rows = spark.createDataFrame([Row(**{f.name: r.get(f.name) for f in _fields(schema)}) for r in document["assignments"]], schema) if document["assignments"] else spark.createDataFrame([], schema)
+    if found := leaks(rows).limit(5).collect():
+        raise ValueError(f"the partition leaks: {[tuple(r) for r in found]}")
+    return rows
+
+
+def _fields(schema: str | StructType):
+    return (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+
+
+def read_own_digest(spark: SparkSession, path: str, field: str = "sha256") -> dict:
+    """One small document that holds the digest of the rest of it; ValueError if it is another."""
+    document = json.loads(spark.read.text(path, wholetext=True).first().value)
+    if document.get(field) != digest_of({k: v for k, v in document.items() if k != field}):
+        raise ValueError(f"digest mismatch: {path}")
+    return document
+
+
+def read_profile(spark: SparkSession, path: str) -> dict:
+    """A threshold profile, its own digest checked."""
+    return read_own_digest(spark, path, "profile_sha256")
+
+
+def changed_digests(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """(name, recorded, current) of files whose digest (name, sha256) is not the recorded one, or is on one side only."""
+    both = recorded.select("name", F.col("sha256").alias("recorded")).join(current.select("name", F.col("sha256").alias("current")), "name", "full_outer")
+    return both.where(~F.col("recorded").eqNullSafe(F.col("current")))
+
+
+def registry_of(assets: DataFrame, files: DataFrame, partition: str) -> DataFrame:
+    """Sources of a partition (asset_id, path, sha256, role, partition), refused if a file's digest (path, sha256) is not
+    the registered one."""
+    rows = assets.where((F.col("role") == "source") & (F.col("partition") == partition))
+    found = files.select("path", F.col("sha256").alias("_now"))
+    return rows.join(found, "path", "left").where(F.when(F.col("_now").eqNullSafe(F.col("sha256")), True).otherwise(F.raise_error(F.concat(F.lit("source changed: "), F.col("path"))).cast("boolean"))).drop("_now")
 
 
 def read_guarded(spark: SparkSession, path: str) -> str:
@@ -64,18 +125,6 @@ def scan_directory(spark: SparkSession, path: str, role: str) -> DataFrame:
     return numbered(rows, "path").withColumn("asset_id", F.concat(F.lit(role[0].upper()), F.lpad(F.col("number").cast("string"), 3, "0"))).select("asset_id", "filename", "path", "size_bytes", "sha256", F.lit(role).alias("role"))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with number = 1, 2, ... by an order: ranks inside range partitions, and one small sum over these."""
-    from pyspark.sql import Window as W
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(F.broadcast(starts), "_part").withColumn("number", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def valid_media(rows: DataFrame, longest: float = 3600.0) -> tuple[DataFrame, DataFrame]:
     """Probe rows that are usable (a video stream, 0 < duration <= longest), and the rest with a reason."""
     seconds = F.col("duration_s")
@@ -88,6 +137,58 @@ def valid_media(rows: DataFrame, longest: float = 3600.0) -> tuple[DataFrame, Da
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
+def media_table(spark: SparkSession, path: str, command: tuple[str, ...] = ("ffprobe", "-v", "error", "-show_format", "-show_streams", "-of", "json")) -> DataFrame:
+    """(path, probe, reason): the probe's JSON of each media file below a path. Where the tool is not installed on a
+    worker, or fails, probe is null and reason says so; nothing counts as zero."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append((name, *_tool(command, content)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * 3)], names=["path", "probe", "reason"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, probe string, reason string")
+
+
+def _tool(command: tuple[str, ...], content: bytes) -> tuple[str | None, str | None]:
+    if shutil.which(command[0]) is None:
+        return None, f"not_installed: {command[0]}"
+    with tempfile.NamedTemporaryFile() as file:  # gone when the tool has run
+        file.write(content)
+        file.flush()
+        done = subprocess.run([*command, file.name], capture_output=True, timeout=120, check=False)
+    return (done.stdout.decode("utf-8", "replace"), None) if done.returncode == 0 else (None, f"failed: {done.stderr.decode('utf-8', 'replace')[:180]}")
+
+
+def media_properties(probed: DataFrame) -> DataFrame:
+    """(path, duration_s, width, height, fps, has_audio, codec_video, codec_audio, reason) from :func:`media_table`."""
+    stream = "array<struct<codec_type: string, codec_name: string, width: int, height: int, r_frame_rate: string>>"
+    parsed = probed.withColumn("p", F.from_json("probe", f"format struct<duration: string>, streams {stream}"))
+    first = lambda kind: F.get(F.filter("p.streams", lambda s: s["codec_type"] == kind), 0)
+    video, audio = first("video"), first("audio")
+    return parsed.select("path", F.col("p.format.duration").try_cast("double").alias("duration_s"), video["width"].alias("width"), video["height"].alias("height"), frame_rate(video["r_frame_rate"]).alias("fps"), audio.isNotNull().alias("has_audio"), video["codec_name"].alias("codec_video"), audio["codec_name"].alias("codec_audio"), "reason")
+
+
+def frame_times_of(log: Column) -> Column:
+    """The presentation times that a decoder's log shows (pts_time:...), in order."""
+    return F.transform(F.regexp_extract_all(log, F.lit(r"pts_time:([0-9.]+)"), F.lit(1)), lambda x: x.cast("double"))
+
+
+def nearest_height(variants: DataFrame, by: str, height: int = 720) -> DataFrame:
+    """Of each item's variants (by, height, url), the one whose height is nearest (ties: the lower, then by url)."""
+    key = F.struct(F.abs(F.col("height") - height).alias("off"), F.col("height"), F.col("url"))
+    return variants.where("height IS NOT NULL").groupBy(by).agg(F.min(key).alias("k")).select(by, "k.height", "k.url")
+
+
+def environment(spark: SparkSession) -> DataFrame:
+    """One row: the versions that results depend on."""
+    names = ("pyspark", "numpy", "pandas", "pyarrow")
+    versions = {n: importlib.metadata.version(n) for n in names}
+    return spark.createDataFrame([(platform.python_version(), platform.system(), versions)], "python string, system string, packages map<string,string>")
+
+
 def frame_rate(text: Column) -> Column:
     """num/den as a rate; 0 where den is 0."""
     parts = F.split(text, "/")

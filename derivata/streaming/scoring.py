@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.bits import score64
-from ..operators.evidence import GENESIS, link_digest
+from ..operators.evidence import GENESIS, chained_batches, checkpoints
+from ..operators.retrieval import nearest
 
 
 def candidate_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 4) -> DataFrame:
@@ -15,26 +16,32 @@ def candidate_stream(spark: SparkSession, path: str, schema: str, per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
-def score_stream(candidates: DataFrame, registry: DataFrame, within: int = 32, key: str = "candidate_id") -> DataFrame:
-    """Best parent of each streamed candidate (key, hash): stream-static, each key once.
+def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """What batches before one have written, or None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(path).where(F.col("batch") < before)
 
-    Candidates meet only registered hashes of a common 16-bit band (any within 3 bits, and most near ones beyond)."""
-    bands = lambda h: F.array(*[F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)])
-    static = registry.select(F.col("id").alias("parent"), F.col("hash").alias("registered"), F.posexplode(bands(F.col("hash"))).alias("band", "value"))
-    once = candidates.dropDuplicates([key])
-    dealt = once.select(key, "hash", F.posexplode(bands(F.col("hash"))).alias("band", "value"))
-    pairs = dealt.join(static, ["band", "value"]).withColumn("distance", F.bit_count(F.col("hash").bitwiseXOR(F.col("registered"))).cast("bigint")).where(F.col("distance") <= within)
-    return pairs.select(key, "parent", "distance", score64(F.col("distance")).alias("score"))
 
+def score_stream(candidates: DataFrame, registry: DataFrame, path: str, checkpoint: str, key: str = "candidate_id") -> StreamingQuery:
+    """The nearest registered parent (id, hash) of each streamed candidate (key bigint, hash), written once a candidate.
 
-def write_scores(scores: DataFrame, path: str, checkpoint: str, key: str = "candidate_id") -> StreamingQuery:
-    """Each batch keeps the best parent of its candidates and appends once: a batch id that is there is skipped."""
+    Each micro-batch is an exact search, whatever the distance. A batch replaces itself when it is repeated. A key that
+    comes twice is an error of the journal: the stream stops, as the rows before tell, and no state is kept for it. A
+    candidate without a hash has no parent, and status not_evaluated."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        best = batch.groupBy(key).agg(F.min(F.struct("distance", "parent", "score")).alias("b")).select(key, "b.parent", "b.distance", "b.score")
-        best.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        twice = batch.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+        if (seen := _stored(batch.sparkSession, path, batch_id)) is not None:
+            twice = twice.union(batch.join(seen, key, "left_semi").select(key))
+        if found := twice.limit(5).collect():
+            raise ValueError(f"candidates came twice: {[r[0] for r in found]}")
+        best = nearest(batch.select(F.col(key).alias("id"), "hash"), registry, 1).select(F.col("candidate").alias(key), "parent", "distance")
+        out = batch.select(key).join(best, key, "left").withColumns({"score": score64(F.col("distance")), "status": F.when(F.col("distance").isNull(), "not_evaluated").otherwise("evaluated")})
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return scores.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return candidates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def label_drift(streamed: DataFrame, design: DataFrame, key: str, labels: list[str]) -> DataFrame:
@@ -53,29 +60,25 @@ def resume_guard(recorded: dict[str, str], current: dict[str, str]) -> None:
         raise ValueError(f"changed since the run began: {changed}")
 
 
-def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_log(events: DataFrame, path: str, checkpoint: str, seed: bytes | None = None, at: str = "1970-01-01T00:00:00+00:00") -> StreamingQuery:
     """A single-writer log: each micro-batch (kind, subject, document) extends one hash chain.
 
-    A batch is ordered by subject and document and folded by one task, from the last digest on; the log itself is
-    partitioned by batch, so that a repeated batch replaces itself."""
-    spark = events.sparkSession
+    A batch is sorted by subject and document, on disk if need be, and streams through one task from the last digest on,
+    which holds one digest; a chain has one writer by nature. The log is partitioned by batch, so that a repeated batch
+    replaces itself. With a ``seed``, each event has a signed checkpoint beside it (checkpoint, else null)."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
         last = None
-        if there:
-            last = spark.read.parquet(path).where(F.col("batch") < batch_id).agg(F.max(F.struct("seq", "event_hash")).alias("x")).first().x
+        if (before := _stored(batch.sparkSession, path, batch_id)) is not None:
+            last = before.agg(F.max(F.struct("seq", "event_hash")).alias("x")).first().x
         seq, head = (last.seq, last.event_hash) if last else (0, GENESIS)
-        body = F.concat_ws("|", "kind", "subject", F.sha2("document", 256))
-        rows = batch.select(body.alias("body")).groupBy().agg(F.array_sort(F.collect_list("body")).alias("bodies"))
-        entry = "array<struct<seq:bigint,previous_hash:string,event_hash:string,body:string>>"
-
-        def step(done, b):
-            before = F.coalesce(F.try_element_at(done, F.lit(-1))["event_hash"], F.lit(head))
-            return F.concat(done, F.array(F.struct((F.lit(seq) + F.size(done) + 1).cast("bigint").alias("seq"), before.alias("previous_hash"), link_digest(before, b).alias("event_hash"), b.alias("body"))))
-
-        folded = rows.select(F.inline(F.aggregate("bodies", F.array().cast(entry), step)))
-        folded.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.select(F.lit("log").alias("log"), "subject", F.concat_ws("|", "kind", "subject", F.sha2("document", 256)).alias("body"))
+        chain = rows.repartition(1).sortWithinPartitions("subject", "body").mapInArrow(chained_batches(head, seq), "log string, seq bigint, previous_hash string, event_hash string, body string")
+        if seed is not None:
+            marks = checkpoints(chain, seed, at).select("seq", F.col("envelope").alias("checkpoint"))
+            chain = chain.join(marks, "seq")
+        else:
+            chain = chain.withColumn("checkpoint", F.lit(None).cast("string"))
+        chain.drop("log").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -212,7 +212,7 @@ def heads(log):
 def test_chain_and_its_damages(spark, log):
     assert evidence.chain_violations(log).collect() == [] and all(r.valid for r in evidence.log_status(log, heads(log)).collect())
     changed = log.withColumn("body", F.when(F.col("seq") == 3, "forged").otherwise(F.col("body")))
-    assert {(r.log, r.seq, r.reason) for r in evidence.chain_violations(changed).collect()} == {("x", 3, "event_digest_mismatch")}
+    assert {(r.log, r.seq, r.reason) for r in evidence.chain_violations(changed).collect()} == {("x", 3, "event_chain_mismatch")}
     cut = log.where("NOT (log = 'x' AND seq = 2)")
     bad = {r.log: r for r in evidence.log_status(cut, heads(log)).collect()}
     assert (bad["x"].first_bad_seq, bad["x"].reason, bad["y"].valid) == (3, "event_chain_mismatch", True)

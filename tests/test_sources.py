@@ -4,8 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from derivata.functions import signatures
 from derivata.functions.canonical import digest_of
 from derivata.operators import evidence
+from derivata.shipping import ship
 from derivata.sources import readers, sinks
 from derivata.streaming import scoring
 
@@ -24,6 +26,55 @@ def test_journals(spark, tmp_path):
     assert readers.read_journal(spark, path, "id int").collect() == []
     (tmp_path / "j.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n{"id": ')
     assert sorted(r.id for r in readers.read_journal(spark, path, "id int").collect()) == [1, 2]
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n{"id": \n{"id": 2}\n')
+    with pytest.raises(Exception, match="malformed line"):
+        readers.read_journal(spark, f"file://{tmp_path}/bad.jsonl", "id int").collect()
+    (tmp_path / "none.jsonl").write_text("")
+    assert readers.read_journal(spark, f"file://{tmp_path}/none.jsonl", "id int").collect() == []
+
+
+def test_partitions_and_profiles_are_guarded(spark, tmp_path):
+    path = f"file://{tmp_path}/p.json"
+    good = {"assignments": [{"id": "a", "identity_group": "g", "component_id": None, "partition": "calibration"}, {"id": "b", "identity_group": "h", "partition": "evaluation"}]}
+    (tmp_path / "p.json").write_text(json.dumps(sinks.with_own_digest(good)))
+    assert sorted(r.id for r in readers.read_partition(spark, path).collect()) == ["a", "b"]
+    leaky = {"assignments": [dict(good["assignments"][0]), dict(good["assignments"][1], identity_group="g")]}
+    (tmp_path / "q.json").write_text(json.dumps(sinks.with_own_digest(leaky)))
+    with pytest.raises(ValueError, match="leaks"):
+        readers.read_partition(spark, f"file://{tmp_path}/q.json")
+    (tmp_path / "r.json").write_text(json.dumps({**good, "sha256": "0"}))
+    with pytest.raises(ValueError, match="digest"):
+        readers.read_partition(spark, f"file://{tmp_path}/r.json")
+    (tmp_path / "t.json").write_text(json.dumps(sinks.with_own_digest({"threshold": 0.5}, "profile_sha256")))
+    assert readers.read_profile(spark, f"file://{tmp_path}/t.json")["threshold"] == 0.5
+
+
+def test_registry_and_digest_guards(spark):
+    assets = spark.createDataFrame([("S1", "p1", "d1", "source", "active"), ("S2", "p2", "d2", "source", "other"), ("N1", "p3", "d3", "negative", "active")], "asset_id string, path string, sha256 string, role string, partition string")
+    files = spark.createDataFrame([("p1", "d1"), ("p2", "x")], "path string, sha256 string")
+    assert [r.asset_id for r in readers.registry_of(assets, files, "active").collect()] == ["S1"]
+    with pytest.raises(Exception, match="source changed: p2"):
+        readers.registry_of(assets, files, "other").collect()
+    a = spark.createDataFrame([("m", "1"), ("n", "2"), ("o", "3")], "name string, sha256 string")
+    b = spark.createDataFrame([("m", "1"), ("n", "9"), ("q", "3")], "name string, sha256 string")
+    assert {r.name for r in readers.changed_digests(a, b).collect()} == {"n", "o", "q"}
+
+
+def test_media_tools_are_adapters(spark, tmp_path):
+    (tmp_path / "a.mp4").write_bytes(b"not media")
+    probed = readers.media_table(spark, f"file://{tmp_path}", command=("no-such-tool",)).collect()
+    assert [(r.probe, r.reason) for r in probed] == [(None, "not_installed: no-such-tool")]
+    failed = readers.media_table(spark, f"file://{tmp_path}", command=("false",)).first()
+    assert failed.probe is None and failed.reason.startswith("failed")
+    document = json.dumps({"format": {"duration": "4.5"}, "streams": [{"codec_type": "audio", "codec_name": "aac"}, {"codec_type": "video", "codec_name": "h264", "width": 64, "height": 48, "r_frame_rate": "25/1"}]})
+    df = spark.createDataFrame([("p", document, None), ("q", None, "failed")], "path string, probe string, reason string")
+    r, q = readers.media_properties(df).orderBy("path").collect()
+    assert (r.duration_s, r.width, r.height, r.fps, r.has_audio, r.codec_video, r.codec_audio) == (4.5, 64, 48, 25.0, True, "h264", "aac") and q.width is None and q.reason == "failed"
+    log = spark.createDataFrame([("n: 0 pts_time:0 x\nn: 1 pts_time:0.5 y",), ("",)], "t string")
+    assert [r.v for r in log.select(readers.frame_times_of(F.col("t")).alias("v")).collect()] == [[0.0, 0.5], []]
+    variants = spark.createDataFrame([("i", 480, "u"), ("i", 1080, "v"), ("i", 700, "w"), ("i", 740, "x"), ("j", None, "y")], "item string, height int, url string")
+    assert [(r.item, r.height, r.url) for r in readers.nearest_height(variants, "item").collect()] == [("i", 700, "w")]
+    assert "numpy" in readers.environment(spark).first().packages
 
 
 def test_immutable_documents(spark, tmp_path):
@@ -67,33 +118,46 @@ def test_media_rules(spark):
     assert [round(r.v, 2) for r in rates.select(readers.frame_rate(F.col("f")).alias("v")).collect()] == [29.97, 25.0, 0.0, 0.0, 12.0]
 
 
-def test_scoring_stream_resumes(spark, tmp_path):
+def test_scoring_stream_resumes_and_refuses_repeats(spark, tmp_path):
+    ship(spark)
     source, out, checkpoint = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/cp"
     source.mkdir()
+    far = (1 << 40) - 1
     registry = spark.createDataFrame([(1, 0b1111), (2, -1)], "id bigint, hash bigint")
 
     def run():
-        stream = scoring.candidate_stream(spark, f"file://{source}", "candidate_id string, hash bigint")
-        scoring.write_scores(scoring.score_stream(stream, registry), f"file://{out}", f"file://{checkpoint}").awaitTermination(60)
-        return {r.candidate_id: (r.parent, r.distance) for r in spark.read.parquet(f"file://{out}").collect()}
+        stream = scoring.candidate_stream(spark, f"file://{source}", "candidate_id bigint, hash bigint")
+        scoring.score_stream(stream, registry, f"file://{out}", f"file://{checkpoint}").awaitTermination(120)
+        return {r.candidate_id: (r.parent, r.distance, r.status) for r in spark.read.parquet(f"file://{out}").collect()}
 
-    (source / "1.json").write_text('{"candidate_id": "a", "hash": 7}\n{"candidate_id": "a", "hash": 7}\n')
-    assert run() == {"a": (1, 1)}
-    (source / "2.json").write_text('{"candidate_id": "a", "hash": 0}\n{"candidate_id": "b", "hash": -2}\n')
-    assert run() == {"a": (1, 1), "b": (2, 1)}
-    assert spark.read.parquet(f"file://{out}").count() == 2
+    (source / "1.json").write_text(f'{{"candidate_id": 1, "hash": 7}}\n{{"candidate_id": 2, "hash": {far}}}\n{{"candidate_id": 3}}\n')
+    first = {1: (1, 1, "evaluated"), 2: (2, 24, "evaluated"), 3: (None, None, "not_evaluated")}
+    assert run() == first
+    (source / "2.json").write_text('{"candidate_id": 4, "hash": -2}\n')
+    assert run() == {**first, 4: (2, 1, "evaluated")} and run() == {**first, 4: (2, 1, "evaluated")}
+    (source / "3.json").write_text('{"candidate_id": 1, "hash": 0}\n')
+    with pytest.raises(Exception, match="came twice"):
+        run()
 
 
 def test_log_stream_is_one_chain(spark, tmp_path):
+    ship(spark)
     source = tmp_path / "in"
     source.mkdir()
-    schema = "kind string, subject string, document string"
+    schema, seed = "kind string, subject string, document string", bytes(range(32))
     for k in range(2):
         (source / f"{k}.json").write_text("".join(json.dumps({"kind": "k", "subject": f"s{k}{i}", "document": str(i)}) + "\n" for i in range(3)))
         stream = spark.readStream.schema(schema).json(f"file://{source}")
-        scoring.append_log(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/cp").awaitTermination(60)
+        scoring.append_log(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/cp", seed).awaitTermination(120)
     chain = spark.read.parquet(f"file://{tmp_path}/log").withColumn("log", F.lit(1))
     assert sorted(r.seq for r in chain.collect()) == [1, 2, 3, 4, 5, 6] and evidence.chain_violations(chain).collect() == []
+    marks = chain.select("log", "seq", F.col("checkpoint").alias("envelope"))
+    status = lambda c, m: tuple(evidence.signed_log_status(c, m, signatures.pem(signatures.public_key(seed))).first())[1:]
+    assert status(chain, marks) == (6, True, None, None)
+    assert status(chain.withColumn("body", F.when(F.col("seq") == 4, "x").otherwise(F.col("body"))), marks) == (6, False, "event_chain_mismatch", 4)
+    assert status(chain, marks.where("seq < 6")) == (6, False, "checkpoint_count_mismatch", None)
+    other = evidence.checkpoints(chain.where("seq = 5"), bytes(32), "now").unionByName(marks.where("seq <> 5"))
+    assert status(chain, other) == (6, False, "checkpoint_mismatch", 5)
 
 
 def test_guards(spark):
