@@ -53,7 +53,7 @@ def base_name(path: Column, most: int = 255) -> Column:
 
 
 def padded_id(prefix: str, number: Column, digits: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
+    return F.concat(F.lit(prefix), F.format_string(f"%0{digits}d", number.cast("bigint")))
 
 
 def three_decimals(value: Column) -> Column:

@@ -11,9 +11,12 @@ from ..functions import bits, canonical
 from ..functions import intervals as iv
 from ..functions.ordinals import numbered
 from ..functions.statistics import binomial_interval_column
-from ..operators import accounting, alignment, calibration, decisions, evidence, partitioning, retrieval
-from ..operators.design import design
+from ..functions import signatures
+from ..operators import accounting, alignment, calibration, decisions, evidence, features, partitioning, registry, retrieval
+from ..operators.design import design, first_candidates, zipped_intervals
+from ..sources import readers
 from . import fixtures as fx
+from . import methods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -315,6 +318,12 @@ def method_summary(spark, d):
     return out.select("method", *_COUNTS, *[F.round(c, 6).alias(c) for c in _RATES])
 
 
+@query("SELECT * FROM (VALUES (0::BIGINT, 10::BIGINT, 0.0::DOUBLE, 0.308497::DOUBLE), (5, 10, 0.187086, 0.812914), (10, 10, 0.691503, 1.0), (1, 20, 0.001265, 0.248733), (0, 0, NULL, NULL)) t(k, n, low, high)")
+def binomial_fixed_points(spark, d):
+    rows = spark.createDataFrame([(0, 10), (5, 10), (10, 10), (1, 20), (0, 0)], "k bigint, n bigint").withColumn("i", binomial_interval_column(F.col("k"), F.col("n")))
+    return rows.select("k", "n", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
+
+
 @query()
 def binomial_intervals(spark, d):
     s = accounting.summary(_decided(spark, d), ["method"]).withColumn("i", binomial_interval_column(F.col("tp"), F.col("tp") + F.col("fn")))
@@ -521,9 +530,15 @@ def run_comparison(spark, d):
 @query("""WITH l AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3), (3, 5), (4, 10), (5, 15), (6, 30)) t(li, length_s)), r AS (SELECT string_split('h264_q18 h264_q42 mpeg4 scale720 scale480 scale360 crop10 crop40 crop60 offcenter25 mirror rotate5 rotate15 perspective letterbox speed075 speed150 reordered discontinuous frame_insert_delete logo central_text picture_in_picture reaction_layout audio_offset pitch_up2 music_overlay noise_compression silence_insertion screen_recording film_monitor upscale_lanczos frame_interpolation denoise', ' ') AS rot, string_split('trim h264_q35 crop25 speed125 audio_replace subtitles', ' ') AS anc),
 s AS (SELECT 'S' || lpad(num::VARCHAR, 2, '0') AS identity, num, li, length_s, ti, CASE WHEN ti < 6 THEN anc[ti + 1] ELSE rot[(num * 7 + li * 6 + ti - 6) % 34 + 1] END AS transform FROM r, l, (SELECT unnest(range(1, 17)) AS num), (SELECT unnest(range(0, 12)) AS ti)),
 a AS (SELECT (num - 1) * 84 + li * 12 + ti + 1 AS k, identity, length_s, transform, true AS v FROM s UNION ALL SELECT 1344 + (num - 1) * 7 + li + 1, 'N' || lpad(num::VARCHAR, 2, '0'), length_s, 'negative_excerpt', false FROM l, (SELECT unnest(range(1, 25)) AS num))
-SELECT 'E' || lpad(k::VARCHAR, 5, '0') AS candidate_id, identity, length_s::BIGINT AS length_s, transform, v AS visual_ancestry, v AND transform <> 'audio_replace' AND NOT (transform = 'audio_offset' AND length_s <= 1.5) AS audio_ancestry, (CASE WHEN NOT v THEN 0 WHEN transform IN ('discontinuous', 'reordered') THEN length_s ELSE length_s * CASE transform WHEN 'speed075' THEN 0.75 WHEN 'speed125' THEN 1.25 WHEN 'speed150' THEN 1.5 ELSE 1 END END)::DOUBLE AS source_seconds FROM a""")
+SELECT 'E' || lpad(k::VARCHAR, 5, '0') AS candidate_id, identity, length_s::BIGINT AS length_s, transform, v AS visual_ancestry, v AND transform <> 'audio_replace' AND NOT (transform = 'audio_offset' AND length_s <= 1.5) AS audio_ancestry, CASE WHEN regexp_matches(transform, '^(audio|pitch|music|noise|silence)') THEN 'AUDIO' WHEN regexp_matches(transform, '^(speed|reordered|discontinuous|frame_|trim)') AND transform <> 'frame_interpolation' THEN 'TEMPORAL' WHEN transform IN ('subtitles', 'logo', 'central_text', 'picture_in_picture', 'reaction_layout') THEN 'OVERLAY' WHEN transform IN ('screen_recording', 'film_monitor') THEN 'CAPTURE' WHEN transform IN ('upscale_lanczos', 'frame_interpolation', 'denoise') THEN 'AI_LIGHT' WHEN regexp_matches(transform, '^(h264|mpeg4|scale)') THEN 'TRANSCODING' ELSE 'GEOMETRY' END AS family,
+CASE WHEN transform IN ('crop60', 'h264_q42', 'reordered', 'discontinuous', 'central_text', 'reaction_layout') THEN 'harsh' ELSE 'moderate' END AS severity, sp AS speed, CASE WHEN v THEN identity END AS expected_parent, identity IN ('N18', 'N21', 'N24') AS expected_ambiguity,
+CASE WHEN NOT v THEN '' WHEN transform = 'discontinuous' THEN format('2.000-{:.3f};26.000-{:.3f}', 2 + length_s / 2, 26 + length_s / 2) WHEN transform = 'reordered' THEN format('{:.3f}-{:.3f};2.000-{:.3f}', 4 + length_s / 2, 4.0::DOUBLE + length_s, 2 + length_s / 2) ELSE format('2.000-{:.3f}', 2 + length_s * sp) END AS source_intervals,
+CASE WHEN NOT v THEN '' WHEN transform IN ('discontinuous', 'reordered') THEN format('0.000-{:.3f};{:.3f}-{:.3f}', length_s / 2, length_s / 2, length_s::DOUBLE) ELSE format('0.000-{:.3f}', length_s::DOUBLE) END AS candidate_intervals
+FROM (SELECT *, CASE transform WHEN 'speed075' THEN 0.75::DOUBLE WHEN 'speed125' THEN 1.25 WHEN 'speed150' THEN 1.5 ELSE 1 END AS sp FROM a)""")
 def candidate_design(spark, d):
-    return design(spark).select("candidate_id", "identity", F.col("length_s").cast("bigint"), "transform", "visual_ancestry", "audio_ancestry", iv.total(F.col("source_intervals")).alias("source_seconds"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.3f-%.3f", x["a"], x["b"])), ";")
+    own = F.transform("frame_mapping", lambda m: m["candidate"])
+    return design(spark).select("candidate_id", "identity", F.col("length_s").cast("bigint"), "transform", "visual_ancestry", "audio_ancestry", "family", "severity", F.col("speed").cast("double"), "expected_parent", "expected_ambiguity", text(F.col("source_intervals")).alias("source_intervals"), text(own).alias("candidate_intervals"))
 
 
 @query("SELECT sha256(text) AS digest, any_value(text) AS content FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY sha256(text)")
@@ -562,3 +577,114 @@ def adjacent_changes(spark, d):
 def overlap_hints(spark, d):
     samples = fx.table(spark, d, "documents").select("source", F.col("n_chars").alias("score"), (F.col("lang") == "en").alias("is_positive"))
     return calibration.overlap_hints(samples, ["source"]).withColumnRenamed("overlap_hint", "hint")
+
+
+_CHAINS = ((1, "trim", 1.0, False, False, False), (2, "speed", 1.25, False, False, False), (3, "two_fragments", 1.0, True, False, False), (4, "reorder", 1.0, False, True, False), (5, "new_audio", 1.0, False, False, True))
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {', '.join(map(str, _CHAINS))}) c(chain_no, t, speed, two, reo, rep)), s AS (SELECT 'S' || lpad(s_suppkey::VARCHAR, 5, '0') AS source_id, 4 + s_suppkey % 20 AS dur FROM supplier),
+r AS (SELECT *, length / 2 AS half, greatest(0, least(1, (dur - length) / 4)) AS start FROM s, (VALUES (3.0::DOUBLE), (5.0), (10.0)) l(length), c WHERE length <= dur - 0.5 AND (NOT (two OR reo) OR length >= 5)),
+n AS (SELECT *, row_number() OVER (ORDER BY source_id, length, chain_no) AS k FROM r), f AS (SELECT *, floor(1000 * CASE WHEN two THEN 0.5 WHEN reo THEN 2 + half ELSE start END)::BIGINT AS a0, floor(1000 * CASE WHEN two THEN 0.5 + half WHEN reo THEN 2 + 2 * half ELSE start + length * speed END)::BIGINT AS b0, floor(1000 * CASE WHEN two THEN 8 WHEN reo THEN 1 END)::BIGINT AS a1, floor(1000 * CASE WHEN two THEN 8 + half WHEN reo THEN 1 + half END)::BIGINT AS b1 FROM n)
+SELECT 'C' || lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INTEGER, '0') AS candidate_id, source_id, length, t AS transforms, a0 || '-' || b0 || coalesce(';' || a1 || '-' || b1, '') AS source_ms, NOT rep AS audio_ancestry FROM f""")
+def first_experiment(spark, d):
+    sources = fx.table(spark, d, "supplier").select(canonical.padded_id("S", F.col("s_suppkey"), 5).alias("source_id"), (4 + F.col("s_suppkey") % 20).cast("double").alias("duration_s"))
+    chains = spark.createDataFrame(list(_CHAINS), "chain_no int, transforms string, speed double, two_fragments boolean, reordered boolean, audio_replaced boolean")
+    made = first_candidates(sources, chains, (3.0, 5.0, 10.0))
+    text = F.array_join(F.transform("source_intervals_ms", lambda x: F.concat_ws("-", x["start_ms"].cast("string"), x["end_ms"].cast("string"))), ";")
+    return made.select("candidate_id", "source_id", "length", "transforms", text.alias("source_ms"), "audio_ancestry")
+
+
+@query("WITH p AS (SELECT DISTINCT source AS id, CASE WHEN length(source) % 2 = 0 THEN 'calibration' ELSE 'evaluation' END AS part FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(p.part, 'unknown') WHEN doc_id % 3 = 1 THEN coalesce(q.part, 'unknown') ELSE 'unknown' END AS partition FROM documents d LEFT JOIN p ON p.id = d.source AND doc_id % 5 <> 0 LEFT JOIN p q ON q.id = d.source")
+def partition_inheritance(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", "source")
+    k = F.col("doc_id") % 3
+    candidates = docs.select("doc_id", F.when(k == 0, F.when(F.col("doc_id") % 5 != 0, F.col("source")).otherwise("none")).alias("expected_parent"), F.when(k == 1, F.col("source")).alias("negative_id"))
+    parts = docs.select(F.col("source").alias("id")).distinct().withColumn("partition", F.when(F.length("id") % 2 == 0, "calibration").otherwise("evaluation"))
+    return partitioning.inherit(candidates, parts).select("doc_id", "partition")
+
+
+@query(f"WITH {fx.SCORED}, {_DECIDED_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY candidate, method ORDER BY score DESC, parent) AS n FROM p WHERE method <> 'V-B') SELECT candidate, method, parent, score FROM r WHERE n <= 2 AND score > 0")
+def review_leads(spark, d):
+    both = _method_pairs(spark, d, "V-C").withColumn("method", F.lit("V-C")).union(_method_pairs(spark, d, "A-chromaprint").withColumn("method", F.lit("A-chromaprint")))
+    return methods.leads(both.withColumn("blocks", F.array(F.lit(1))), most=2).select("candidate", "method", "parent", "score")
+
+
+@query("SELECT doc_id, doc_id % 7 < doc_id % 5 AND doc_id % 5 <= 3 AS interval_ok, doc_id % 3 = 0 AND doc_id % 4 <> 0 AS review_ok, doc_id % 6 > 2 AS period_ok FROM documents")
+def input_predicates(spark, d):
+    i = F.col("doc_id")
+    one = F.array(F.struct((i % 7).cast("double").alias("a"), (i % 5).cast("double").alias("b")))
+    state, note = F.when(i % 3 == 0, "insufficient").otherwise("sure"), F.when(i % 4 == 0, " ").otherwise("seen")
+    return fx.table(spark, d, "documents").select("doc_id", methods.valid_intervals(one, F.lit(3.0)).alias("interval_ok"), methods.valid_review(state, note).alias("review_ok"), methods.valid_period(F.lit(2), i % 6).alias("period_ok"))
+
+
+@query("SELECT doc_id AS authorization_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 10 END AS revoked_at FROM documents")
+def revocations(spark, d):
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("authorization_id"))
+    revoked = docs.where("authorization_id % 3 = 0").select("authorization_id", F.explode(F.array(F.col("authorization_id") % 10, F.col("authorization_id") % 10 + 5)).alias("revoked_at"))
+    return evidence.without_revoked(docs, revoked)
+
+
+@query("""WITH a AS (SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), r AS (SELECT sha256(text) AS sha, count(*) AS l, count(*) FILTER (WHERE doc_id % 9 = 0) AS z FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+SELECT doc_id, coalesce(a.n, 0)::BIGINT AS n_exact, a.first AS first_exact, CASE WHEN a.n > 1 THEN 'exact_registration_conflict' WHEN a.n = 1 THEN 'exact_match' ELSE 'no_exact_match' END AS c1, CASE WHEN l > 0 THEN 'recorded' ELSE 'absent' END AS c2, CASE WHEN doc_id % 5 = 0 THEN 'reviewed_support' ELSE 'not_established' END AS c3, CASE WHEN z > 0 THEN 'valid_record' ELSE 'unknown' END AS c7, 'not_determined' AS c9 FROM documents d LEFT JOIN a ON a.sha = sha256(d.text) LEFT JOIN r ON r.sha = sha256(d.text)""")
+def claim_states(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    records = docs.where("doc_id % 3 = 0").select(F.col("sha256").alias("child_sha256"), F.when(F.col("doc_id") % 9 == 0, F.col("doc_id")).alias("authorization_id"))
+    reviews = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("candidate_id"), F.lit("reviewed_support").alias("visual_state"), F.lit("insufficient").alias("audio_state"))
+    out = registry.claims(docs.withColumnRenamed("doc_id", "candidate_id"), docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "asset_id"), records, reviews)
+    return out.select(F.col("candidate_id").alias("doc_id"), "n_exact", "first_exact", F.col("c1_exact_asset").alias("c1"), F.col("c2_signed_lineage").alias("c2"), F.col("c3_visual_derivation").alias("c3"), F.col("c7_authorization").alias("c7"), F.col("c9_ownership").alias("c9"))
+
+
+@query("SELECT event_id AS candidate_id, user_id::VARCHAR AS sha256, event_type AS filename, epoch_us(ts) AS created_at FROM events ORDER BY created_at DESC, candidate_id LIMIT 50")
+def newest_candidates(spark, d):
+    rows = fx.event_rows(spark, d).select(F.col("event_id").alias("candidate_id"), F.col("user_id").cast("string").alias("sha256"), F.col("event_type").alias("filename"), F.col("us").alias("created_at"))
+    return registry.newest(rows)
+
+
+@query("SELECT n_nationkey AS nation, n_nationkey % 3 <> 0 AS sound FROM nation")
+def envelope_verification(spark, d):
+    """Signed records of the nations, every third one spoilt after signing."""
+    seed = bytes(range(32))
+    payload = F.to_json(F.struct("n_nationkey", "n_name"))
+    rows = fx.table(spark, d, "nation").select("n_nationkey", signatures.signed(payload, seed).alias("envelope"))
+    spoilt = F.when(F.col("n_nationkey") % 3 == 0, F.replace("envelope", F.lit('"n_name":"'), F.lit('"n_name":"x'))).otherwise(F.col("envelope"))
+    return rows.select(F.col("n_nationkey").alias("nation"), signatures.sound_column(spoilt, signatures.pem(signatures.public_key(seed))).alias("sound"))
+
+
+@query("SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 4 <> 1 THEN sha256(text) END AS recorded, CASE WHEN doc_id % 4 = 2 THEN 'x' WHEN doc_id % 4 <> 3 THEN sha256(text) END AS current FROM documents WHERE doc_id % 4 > 0")
+def changed_digests(spark, d):
+    rows = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 4).alias("k"))
+    return readers.changed_digests(rows.where("k <> 1"), rows.where("k <> 3").withColumn("sha256", F.when(F.col("k") == 2, "x").otherwise(F.col("sha256"))))
+
+
+@query("SELECT source, lang, count(*)::BIGINT AS n, sum(coalesce(CASE WHEN doc_id % 4 > 0 THEN n_chars END, 0))::BIGINT AS wall_s_sum, max(doc_id)::BIGINT AS rss_max, sum(n_chars)::BIGINT AS bytes_sum FROM documents GROUP BY source, lang")
+def resource_sums(spark, d):
+    docs = fx.table(spark, d, "documents")
+    return accounting.resource_sums(docs.select("source", "lang", F.when(F.col("doc_id") % 4 > 0, F.col("n_chars")).alias("wall_s"), F.col("doc_id").alias("rss_bytes"), F.col("n_chars").alias("size_bytes")), ["source", "lang"])
+
+
+@query(f"WITH {fx.SCORED} SELECT method, CASE WHEN candidate_id % 2 = 0 THEN 'calibration' ELSE 'evaluation' END AS partition, candidate_id, identity, score, truth AS positive, status, length_s::BIGINT AS length_s, transform FROM scored")
+def score_export(spark, d):
+    """The scores of both partitions, put together."""
+    s = fx.scored(spark, d)
+    parts = [s.where(F.col("candidate_id") % 2 == k).withColumn("partition", F.lit(p)) for k, p in enumerate(("calibration", "evaluation"))]
+    return accounting.score_export(parts[0].unionByName(parts[1])).withColumn("length_s", F.col("length_s").cast("bigint"))
+
+
+@query("SELECT doc_id, least(doc_id % 4, doc_id % 3)::BIGINT AS n, CASE WHEN least(doc_id % 4, doc_id % 3) > 0 THEN '0-10' END AS first FROM documents")
+def interval_zip(spark, d):
+    pair = lambda a: F.struct(a.cast("double").alias("a"), (a + 1).cast("double").alias("b"))
+    many = lambda n, base: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: pair(i - 1 + base))).otherwise(F.array().cast("array<struct<a:double,b:double>>"))
+    z = fx.table(spark, d, "documents").select("doc_id", zipped_intervals(many((F.col("doc_id") % 4).cast("int"), 0), many((F.col("doc_id") % 3).cast("int"), 10)).alias("z"))
+    x = F.get("z", 0)
+    return z.select("doc_id", F.size("z").cast("bigint").alias("n"), F.concat_ws("-", x["source"]["a"].cast("int").cast("string"), x["candidate"]["a"].cast("int").cast("string")).alias("first")).withColumn("first", F.when(F.col("n") > 0, F.col("first")))
+
+
+@query(f"""WITH {fx.HASHES}, fr AS (SELECT id // 16 AS seq, row_number() OVER (PARTITION BY id // 16 ORDER BY id) - 1 AS pos, hash FROM hashes), ds AS (SELECT a.seq, a.pos, min(4 * bit_count(xor(a.hash, xor(b.hash, ((1::UBIGINT << (b.seq % 20)::UBIGINT) - 1))))::BIGINT) AS dist FROM fr a JOIN fr b ON b.seq = a.seq AND a.pos % 3 = 0 AND b.pos % 3 = 0 GROUP BY ALL) SELECT seq, round(avg((dist <= 48)::INT), 6) AS support FROM ds GROUP BY seq""")
+def descriptor_support(spark, d):
+    """Each sequence's hashes, four times over as descriptors, against the same with as many bits flipped as its number
+    says."""
+    spelt = lambda h: F.unhex(F.repeat(F.lpad(F.hex(h), 16, "0"), 4))
+    frames = lambda c: F.array(F.struct(F.array().cast("array<array<double>>").alias("points"), F.transform(c, spelt).alias("descriptors")))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("seq") % 20).cast("int")) - 1
+    s = fx.sequences(spark, d).withColumn("other", F.transform("frames", lambda h: h.bitwiseXOR(mask)))
+    return s.select("seq", F.round(features.descriptor_support(frames(F.col("frames")), frames(F.col("other"))), 6).alias("support"))
