@@ -64,3 +64,20 @@ def frame_times(duration: Column, fps: float, most: int) -> Column:
     """0, 1/fps, ... below the duration, at most so many."""
     n = F.least(F.ceil(duration * fps), F.lit(most)).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i / F.lit(float(fps)))).otherwise(F.array().cast("array<double>"))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """Both maps' entries; the second's where both have a key. A null map counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(first, empty), F.coalesce(second, empty)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def nested(document: Column, path: str, default: str) -> Column:
+    """A field of a JSON text by its path, or a default where it is absent or null."""
+    return F.coalesce(F.get_json_object(document, f"$.{path}"), F.lit(default))
+
+
+def random_id(prefix: str) -> Column:
+    """A new random id; digests of content are the ids that repeat."""
+    return F.concat(F.lit(f"{prefix}_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))

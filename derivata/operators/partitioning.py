@@ -48,3 +48,11 @@ def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
     out = x.join(y, key, "full_outer").agg(F.count_if(F.col("_b").isNull()).alias("only_first"), F.count_if(F.col("_a").isNull()).alias("only_second"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("shared"))
     return out.withColumn("equal", F.col("only_first") + F.col("only_second") == 0)
+
+
+def representative_subset(rows: DataFrame, length: float = 5, transforms: tuple[str, ...] = ("trim", "crop25", "speed125")) -> DataFrame:
+    """Of each partition, the rows of one length that are of the first source identity under a few transforms, or of the
+    first negative one: what a reproducibility pass repeats."""
+    first = rows.groupBy("partition", "role").agg(F.min("identity").alias("identity"))
+    chosen = (F.col("role") == "negative") | F.col("transform").isin(*transforms)
+    return rows.where((F.col("length_s") == length) & chosen).join(first, ["partition", "role", "identity"], "left_semi")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, digest_of
 from ..operators.evidence import new_artifacts
@@ -66,3 +68,56 @@ def append_journal(rows: DataFrame, path: str) -> None:
 def digest_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, size_bytes, sha256) of all files below a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).selectExpr("path", "length AS size_bytes", "sha2(content, 256) AS sha256")
+
+
+def stage(spark: SparkSession, path: str, most: int = 512 << 20) -> tuple[DataFrame, DataFrame]:
+    """(path, size_bytes, sha256, content) of the files below a landing folder, and the refused ones with a reason. Files
+    beyond ``most`` bytes are refused by their length and not read; Spark reads no empty files, so they are not staged."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("reason", F.when(F.col("length") > most, "too_large"))
+    good = files.where("reason IS NULL").selectExpr("path", "length AS size_bytes", "sha2(content, 256) AS sha256", "content")
+    return good, files.where("reason IS NOT NULL").selectExpr("path", "length AS size_bytes", "reason")
+
+
+def persist_media(staged: DataFrame, path: str) -> int:
+    """Append staged files to a content-addressed table (digest, size_bytes, content), each content once; how many were
+    new. A file whose bytes are not those of its digest is an error."""
+    spark = staged.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    kind = "digest string, size_bytes bigint, content binary"
+    stored = spark.read.schema(kind + ", prefix string").parquet(path).select("digest") if there else spark.createDataFrame([], "digest string")
+    right = F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not the bytes of "), F.col("sha256"))).cast("binary"))
+    rows = staged.select(F.col("sha256").alias("digest"), "size_bytes", right.alias("content")).dropDuplicates(["digest"]).join(stored, "digest", "left_anti")
+    before = stored.count()
+    rows.withColumn("prefix", F.substring("digest", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+    return spark.read.parquet(path).count() - before
+
+
+def export(rows: DataFrame, path: str, *order: str) -> DataFrame:
+    """Write rows as JSON lines, sorted within files, and give the digest of each file (path, size_bytes, sha256)."""
+    (rows.sortWithinPartitions(*order) if order else rows).write.mode("errorifexists").json(path)
+    return digest_index(rows.sparkSession, path).where(F.col("path").rlike(r"/part-[^/]*$"))
+
+
+def revise(rows: DataFrame, path: str, reason: str) -> int:
+    """Write the next version of a table beside the ones before, which stay, and point to it; its number."""
+    spark = rows.sparkSession
+    now = json.loads(_get(spark, f"{path}/current.json") or '{"version": 0}')["version"] + 1
+    rows.write.mode("errorifexists").parquet(f"{path}/version={now}")
+    dump(spark, f"{path}/current.json", {"version": now, "reason": reason}, immutable=False)
+    return now
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version that :func:`revise` pointed to last."""
+    return spark.read.parquet(f"{path}/version={json.loads(_get(spark, f'{path}/current.json'))['version']}")
+
+
+def markdown_table(rows: DataFrame, *columns: str, most: int = 500) -> str:
+    """A report's table of a small result; more than ``most`` rows are refused, not cut."""
+    found = rows.select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows are no table for a report")
+    show = lambda v: "not evaluated" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [columns, ["---"] * len(columns), *[[show(v) for v in r] for r in found]]
+    return "".join("| " + " | ".join(x) + " |\n" for x in lines)

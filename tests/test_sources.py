@@ -4,9 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from derivata.functions import signatures
+from derivata.functions import canonical, signatures
 from derivata.functions.canonical import digest_of
-from derivata.operators import evidence
+from derivata.operators import evidence, partitioning
 from derivata.shipping import ship
 from derivata.sources import readers, sinks
 from derivata.streaming import scoring
@@ -167,3 +167,42 @@ def test_guards(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, label string")
     fixed = spark.createDataFrame([(1, "x"), (2, "n")], "id int, label string")
     assert sorted(r.id for r in scoring.label_drift(rows, fixed, "id", ["label"]).collect()) == [2, 3]
+
+
+def test_media_are_staged_and_kept_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in (("a", b"xx"), ("b", b"xx"), ("c", b""), ("d", b"12345678"), ("e", b"y")):
+        (tmp_path / "in" / name).write_bytes(content)
+    good, refused = sinks.stage(spark, f"file://{tmp_path}/in", 5)
+    assert good.count() == 3 and {r.path[-1]: r.reason for r in refused.collect()} == {"d": "too_large"}
+    path = f"file://{tmp_path}/store"
+    assert sinks.persist_media(good, path) == 2 and sinks.persist_media(good, path) == 0
+    with pytest.raises(Exception, match="not the bytes"):
+        sinks.persist_media(good.withColumn("sha256", F.lit("0" * 64)), path)
+
+
+def test_exports_revisions_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 0.5, "x|y"), (1, None, "z")], "id int, score double, note string")
+    files = sinks.export(rows.coalesce(1), f"file://{tmp_path}/out", "id").collect()
+    text = next((tmp_path / "out").glob("part-*")).read_text()
+    assert [json.loads(x)["id"] for x in text.splitlines()] == [1, 2] and files[0].sha256 == hashlib.sha256(text.encode()).hexdigest()
+    path = f"file://{tmp_path}/t"
+    assert sinks.revise(rows, path, "first") == 1 and sinks.revise(rows.where("id = 1"), path, "fewer") == 2
+    assert sinks.current(spark, path).count() == 1 and spark.read.parquet(f"{path}/version=1").count() == 2
+    assert sinks.markdown_table(rows.orderBy("id"), "id", "score", "note") == "| id | score | note |\n| --- | --- | --- |\n| 1 | not evaluated | z |\n| 2 | 0.500 | x\\|y |\n"
+    with pytest.raises(ValueError, match="no table"):
+        sinks.markdown_table(rows, "id", most=1)
+
+
+def test_maps_and_nested_fields(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}, '{"x": {"y": null, "z": 5}}'), (None, None, None)], "m map<string,string>, n map<string,string>, d string")
+    got = df.select(canonical.merged_maps(F.col("m"), F.col("n")).alias("m"), canonical.nested(F.col("d"), "x.z", "none").alias("z"), canonical.nested(F.col("d"), "x.y", "none").alias("y"), canonical.random_id("a").alias("i")).collect()
+    assert (got[0].m, got[0].z, got[0].y) == ({"a": "1", "b": "3"}, "5", "none") and (got[1].m, got[1].z) == ({}, "none")
+    assert got[0].i != got[1].i and len(got[0].i) == 34
+
+
+def test_representative_subset(spark):
+    rows = [("calibration", r, i, 5, t) for r, i in (("source", "S2"), ("source", "S1"), ("negative", "N3"), ("negative", "N1")) for t in ("trim", "mirror")] + [("calibration", "source", "S1", 10, "trim")]
+    df = spark.createDataFrame(rows, "partition string, role string, identity string, length_s int, transform string")
+    got = {(r.identity, r.transform) for r in partitioning.representative_subset(df).collect()}
+    assert got == {("S1", "trim"), ("N1", "trim"), ("N1", "mirror")}
