@@ -1,4 +1,4 @@
-"""Ordinal numbers over a distributed order."""
+"""Ordinal numbers and running aggregates over a distributed order."""
 
 from __future__ import annotations
 
@@ -31,3 +31,37 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return inside.join(F.broadcast(starts), "_part").withColumn("number", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def _by_ranges(rows: DataFrame, order: str, descending: bool) -> DataFrame:
+    """``rows`` with _range: ranges of a number, in its order, of about equal shares of all rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)]
+    bounds = rows.agg(F.percentile_approx(order, shares, 10_000).alias("b")).first().b if shares else []
+    place = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds or []))]).cast("array<double>"), lambda b: b <= F.col(order)))
+    return rows.withColumn("_range", -place if descending else place)
+
+
+def running_sums(rows: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``rows`` with each of ``columns`` summed up to and including its place by ``order`` (numbers; ties together) in
+    its group.
+
+    Rows are dealt to ranges of the order; inside a range a window sums, and one small table of range totals gives what
+    comes before. So no group is summed by one task."""
+    dealt = _by_ranges(rows, order, descending)
+    inside = W.partitionBy(*by, "_range").orderBy(F.desc(order) if descending else F.col(order)).rangeBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    ahead = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    summed = dealt.withColumns({c: F.sum(c).over(inside) for c in columns}).join(ahead, [*by, "_range"])
+    return summed.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).drop("_range", *[f"_{c}" for c in columns])
+
+
+def greatest_before(rows: DataFrame, by: list[str], order: str, column: str, name: str) -> DataFrame:
+    """``rows`` with the greatest value of ``column`` strictly before each place by ``order`` (distinct numbers in a group)
+    in its group; null for the first. By ranges, as :func:`running_sums`."""
+    dealt = _by_ranges(rows, order, False)
+    inside = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "_range").agg(F.max(column).alias("_m")).select(*by, "_range", F.max("_m").over(before).alias("_m"))
+    return dealt.withColumn(name, F.max(column).over(inside)).join(totals, [*by, "_range"]).withColumn(name, F.greatest(name, "_m")).drop("_range", "_m")

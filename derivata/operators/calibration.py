@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import running_sums
 from ..functions.statistics import f1, nearest_rank, rate
 from .decisions import AMBIGUITY_MARGIN, truth_of
 
@@ -18,27 +19,6 @@ WEIGHTS = (0.25, 0.5, 0.75)
 GRID = 20
 
 
-def running_sums(rows: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
-    """``rows`` with each of ``columns`` summed up to and including its place by ``order`` (numbers; ties together) in
-    its group.
-
-    Rows are dealt to ranges of the order, whose bounds are about equal shares of all rows; inside a range a window sums,
-    and one small table of range totals gives what comes before. So no group is summed by one task."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    bounds = rows.agg(F.percentile_approx(order, shares, 10_000).alias("b")).first().b if shares else []
-    place = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds or []))]).cast("array<double>"), lambda b: b <= F.col(order)))
-    dealt = rows.withColumn("_range", -place if descending else place)
-    key = F.desc(order) if descending else F.col(order)
-    inside = W.partitionBy(*by, "_range").orderBy(key).rangeBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    ahead = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
-    summed = dealt.withColumns({c: F.sum(c).over(inside) for c in columns}).join(ahead, [*by, "_range"])
-    return summed.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).drop("_range", *[f"_{c}" for c in columns])
-
-
 def distributions(samples: DataFrame, by: list[str]) -> DataFrame:
     """n, min, max, mean and nearest-rank p10, median, p90 of the scores by group and class; nulls are left out.
 

@@ -6,11 +6,10 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.canonical import is_digest
-from ..functions.ordinals import numbered
+from ..functions.ordinals import checkpointed, greatest_before, numbered, running_sums
 from ..functions.signatures import signed, sound_column, verified
 
 GENESIS = "0" * 64
@@ -145,11 +144,14 @@ def interval_overlaps(left: DataFrame, right: DataFrame, by: list[str], width: f
 
 
 def merged_intervals(rows: DataFrame, by: list[str], gap: float = 0.0) -> DataFrame:
-    """Islands of intervals (a, b) by key: (by, a, b, n). Gaps and islands over a window, for groups beyond one row."""
-    order = W.partitionBy(*by).orderBy("a", "b")
-    before = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(before.isNull() | (F.col("a") - before > gap), 1).otherwise(0))
-    return marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*by, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).drop("_island")
+    """Islands of intervals (a, b), a <= b, by key: (by, a, b, n). Intervals of one start are one row first; what ends
+    last before a start, and the islands' numbers, come from ranges of starts, so one key's intervals spread over tasks.
+    Intervals without a start or end are left out."""
+    starts = rows.where("a IS NOT NULL AND b IS NOT NULL").groupBy(*by, "a").agg(F.max("b").alias("b"), F.count("*").alias("n"))
+    told = checkpointed(greatest_before(starts, by, "a", "b", "_before"))
+    marked = told.withColumn("_island", F.when(F.col("_before").isNull() | (F.col("a") - F.col("_before") > gap), 1).otherwise(0))
+    numbered_ = running_sums(marked, by, "a", ["_island"])
+    return numbered_.groupBy(*by, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).drop("_island")
 
 
 #: Assets in a part of a snapshot.
