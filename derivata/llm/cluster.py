@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that this process wrote and has not dropped.
+_written: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,10 +40,16 @@ def write(df: DataFrame, path: str) -> None:
         spark.conf.set(CLEANUP, before)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, noted for :func:`sweep`."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read back; and its path, for :func:`drop`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     write(df, path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -51,6 +59,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, where = _fs(spark, path)
         fs.delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what operators of this process left in the shared folder because their results, which are lazy, read it; to
+    be called when these have been written elsewhere. How many tables went."""
+    left = list(_written)
+    drop(spark, *left)
+    return len(left)
 
 
 def buckets(spark: SparkSession, each: int = 8) -> int:

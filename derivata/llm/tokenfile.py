@@ -15,7 +15,6 @@ Blocks hold whole documents, so each decodes by itself."""
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .cluster import cut, drop, shared_dir, write
+from .cluster import cut, drop, new_path, write
 from .words import released, slices
 
 END_ID = 2
@@ -185,6 +184,6 @@ def read_tokens(spark: SparkSession, folder: str, digests: bool = False) -> Data
 def token_file_digests(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the token files of ``docs`` and read them back: doc_id, start, n_tokens and ids_crc32 of each document."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = folder or new_path(spark, "token-files")
     write_tokens(docs, folder)
     return read_tokens(spark, folder, digests=True)

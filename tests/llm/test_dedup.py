@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import plain
 
-from derivata.llm import simhash, substring_dedup, words
+from derivata.llm import cluster, simhash, substring_dedup, words
 from derivata.llm.components import components, contract
 from derivata.shipping import ship
 
@@ -191,6 +191,16 @@ def test_simhash_dedup_keeps_one_of_each(spark):
     assert simhash.simhash_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_sweep_deletes_what_is_left(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(cluster, "_written", [])
+    got = simhash.simhash_components(spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], SCHEMA))
+    assert got.count() == 2
+    paths = list(cluster._written)
+    assert paths and cluster.sweep(spark) == len(paths) and cluster._written == []
+    assert not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
 def test_components_of_a_long_path_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(5, 5), (7, 8), (100, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint"))[0].collect()}
