@@ -28,7 +28,7 @@ _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = 1, 2, 3, 4, 255
 #: The contractions that the byte-level pattern splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Bytes of distinct words, with their ids, that a worker keeps, about, before it starts anew.
-MOST_BYTES = 48 << 20
+MOST_BYTES = 96 << 20
 #: A place where a text can be cut: the blank begins a word whatever stands before.
 _CUT = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
 
