@@ -501,7 +501,7 @@ def identity_split(spark, d):
     return partitioning.split_by_identity(a)
 
 
-@query("WITH p AS (SELECT doc_id // 2 AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS part, source AS g, lang AS c FROM documents WHERE doc_id < 400) SELECT 'duplicate_id' AS rule, id::VARCHAR AS key, count(*)::BIGINT AS n FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'group_spans_partitions', g, count(DISTINCT part)::BIGINT FROM p GROUP BY g HAVING count(DISTINCT part) > 1 UNION ALL SELECT 'component_spans_partitions', c, count(DISTINCT part)::BIGINT FROM p GROUP BY c HAVING count(DISTINCT part) > 1")
+@query("WITH p AS (SELECT doc_id // 2 AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS part, source AS g, lang AS c FROM documents) SELECT 'duplicate_id' AS rule, id::VARCHAR AS key, count(*)::BIGINT AS n FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'group_spans_partitions', g, count(DISTINCT part)::BIGINT FROM p GROUP BY g HAVING count(DISTINCT part) > 1 UNION ALL SELECT 'component_spans_partitions', c, count(DISTINCT part)::BIGINT FROM p GROUP BY c HAVING count(DISTINCT part) > 1")
 def leakage_checks(spark, d):
     p = fx.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("id"), F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("partition"), F.col("source").alias("identity_group"), F.col("lang").alias("component_id"))
     return partitioning.leaks(p)
