@@ -4,8 +4,9 @@ Benchmark texts are normalised (A-Z lower-cased; words of digits, letters and al
 of ten words; a shorter text is one window. An automaton over all windows scans the normalised words of a document
 once, and each find is mapped back to word numbers and to places in the original text.
 
-Each distinct word of the benchmark is one symbol, so a pattern is a string of ten symbols, whatever its words are; a
-document's words become symbols once, by hash and then by bytes, and all other words are one symbol that is in no pattern.
+Each distinct word of the benchmark has a number, written as two symbols of separate small alphabets, so a pattern is a
+string of twenty symbols, whatever its words are, and nodes have few branches. A document's words become numbers once, by
+hash and then by bytes; a run of other words is one symbol that is in no pattern.
 
 One automaton holds up to about ``PART_WORDS`` words of benchmark, a proven bound on what is collected and broadcast. A
 larger benchmark is dealt to parts of that size by runs of its words, with one automaton and one scan of the documents a
@@ -31,7 +32,9 @@ from .words import LOWER, hash_spans, released, same_spans, slices, spans, text_
 
 WINDOW = 10
 #: Words of benchmark in an automaton, about, and in a run of an item that stays together.
-PART_WORDS, RUN_WORDS = 100_000, 5_000
+PART_WORDS, RUN_WORDS = 50_000, 5_000
+#: Where the alphabets of a number's two digits begin; the second has 256 symbols.
+HIGH, LOW = 0x1000, 0x100
 
 #: Bytes that are no part of a word, once A-Z are lower case.
 OUTSIDE = np.ones(256, bool)
@@ -44,63 +47,72 @@ def normal_words(buf: np.ndarray, off: np.ndarray):
     return low, *spans(low, off, OUTSIDE)
 
 
+def _look(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First byte, last byte and length (31 at most) of each word as one number."""
+    return low[starts].astype(np.int64) | low[ends - 1].astype(np.int64) << 8 | np.minimum(ends - starts, 31) << 16
+
+
 class _Scanner:
     """The automaton of a part of the benchmark, rows (item id or None, words joined by blanks)."""
 
     def __init__(self, rows: list[tuple[str | None, str]], window: int):
         import ahocorasick
 
-        self.symbol: dict[bytes, int] = {}
-        found: dict[str, tuple[int, set[str | None]]] = {}
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in rows:
-            words = [self._number(w) for w in text.encode().split(b" ")]
+            words = [self.number.setdefault(w, len(self.number)) for w in text.encode().split(b" ")]
             for k in range(max(len(words) - window + 1, 1)):
-                part = words[k : k + window]
-                found.setdefault("".join(map(chr, part)), (len(part), set()))[1].add(item)
-        self.sizes = np.array([n for n, _ in found.values()], np.int64)
-        self.owners = [sorted(s - {None}) for _, s in found.values()]
+                found.setdefault(tuple(words[k : k + window]), set()).add(item)
+        self.sizes = np.array([len(p) for p in found], np.int64)
+        self.owners = [sorted(s - {None}) for s in found.values()]
         self.automaton = ahocorasick.Automaton()
         for j, pattern in enumerate(found):
-            self.automaton.add_word(pattern, j)
+            self.automaton.add_word("".join(chr(HIGH + n // 256) + chr(LOW + n % 256) for n in pattern), j)
         if found:
             self.automaton.make_automaton()
-        self.spelling = np.frombuffer(b"".join(self.symbol), np.uint8)
-        ends = np.cumsum(np.fromiter(map(len, self.symbol), np.int64, len(self.symbol)))
-        starts = ends - np.fromiter(map(len, self.symbol), np.int64, len(self.symbol))
+        self.spelling = np.frombuffer(b"".join(self.number), np.uint8)
+        lens = np.fromiter(map(len, self.number), np.int64, len(self.number))
+        ends = np.cumsum(lens)
+        starts = ends - lens
         hashes = hash_spans(self.spelling, starts, ends)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.starts, self.ends = hashes[order], starts[order], ends[order]
-        self.symbols = np.fromiter(self.symbol.values(), np.uint32, len(self.symbol))[order]
-
-    def _number(self, word: bytes) -> int:
-        """The word's symbol: a code point from 2 on, without the surrogates."""
-        k = len(self.symbol) + 2
-        return self.symbol.setdefault(word, k if k < 0xD800 else k + 0x800)
-
-    def text(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[str, np.ndarray]:
-        """Words as symbols, with one symbol before each document; and the place of each word."""
-        hashes = hash_spans(low, starts, ends)
+        self.numbers = order  # words are numbered as they came
+        self.looks = np.zeros(1 << 21, bool)
+        self.looks[_look(self.spelling, starts, ends)] = True
+
+    def numbers_of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for words of no pattern."""
+        out = np.full(len(starts), -1, np.int64)
+        maybe = np.flatnonzero(self.looks[_look(low, starts, ends)])
+        hashes = hash_spans(low, starts[maybe], ends[maybe])
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        maybe = np.flatnonzero(self.hashes[at] == hashes)
-        same = same_spans(low, starts[maybe], ends[maybe], self.spelling, self.starts[at[maybe]], self.ends[at[maybe]])
-        symbols = np.ones(len(starts), np.uint32)
-        symbols[maybe[same]] = self.symbols[at[maybe[same]]]
+        found = self.hashes[at] == hashes
+        maybe, at = maybe[found], at[found]
+        same = same_spans(low, starts[maybe], ends[maybe], self.spelling, self.starts[at], self.ends[at])
+        out[maybe[same]] = self.numbers[at[same]]
         for i in maybe[~same].tolist():  # words of the hash of another word
-            symbols[i] = self.symbol.get(low[starts[i] : ends[i]].tobytes(), 1)
-        n = np.diff(first)
-        place = np.arange(len(starts)) + np.repeat(np.arange(1, len(n) + 1), n)
-        out = np.ones(len(starts) + len(n), "<u4")
-        out[place] = symbols
-        return out.tobytes().decode("utf-32-le"), place
+            out[i] = self.number.get(low[starts[i] : ends[i]].tobytes(), -1)
+        return out
 
     def finds(self, low, starts, ends, first) -> np.ndarray:
         """Rows (first word, end, pattern) of all occurrences, over the words of the batch."""
         if not len(self.sizes) or not len(starts):
             return np.zeros((0, 3), np.int64)
-        text, place = self.text(low, starts, ends, first)
-        hits = np.fromiter((end << 32 | j for end, j in self.automaton.iter(text)), np.int64)
+        number = self.numbers_of(low, starts, ends)
+        known = number >= 0
+        head = np.zeros(len(starts), bool)  # first words of documents, which a symbol of no pattern precedes
+        head[first[:-1][np.diff(first) > 0]] = True
+        broken = ~known & (head | np.concatenate([[True], known[:-1]]))
+        stop = np.cumsum(head + np.where(known, 2, broken))
+        symbols = np.ones(int(stop[-1]), "<u4")
+        words = np.flatnonzero(known)
+        last = stop[words] - 1
+        symbols[last - 1], symbols[last] = HIGH + number[words] // 256, LOW + number[words] % 256
+        hits = np.fromiter((end << 32 | j for end, j in self.automaton.iter(symbols.tobytes().decode("utf-32-le"))), np.int64)
         pattern = hits & 0xFFFFFFFF
-        end = np.searchsorted(place, hits >> 32) + 1
+        end = words[np.searchsorted(last, hits >> 32)] + 1 if len(words) else hits
         return np.stack([end - self.sizes[pattern], end, pattern], 1)
 
     def by_document(self, low, starts, ends, first) -> tuple[list[np.ndarray], list[list[str]]]:
@@ -111,6 +123,10 @@ class _Scanner:
         finds, cuts = finds[order], np.searchsorted(doc[order], np.arange(len(first)))
         intervals, ids = [], []
         for d in range(len(first) - 1):
+            if cuts[d] == cuts[d + 1]:
+                intervals.append(finds[:0, :2])
+                ids.append([])
+                continue
             mine = finds[cuts[d] : cuts[d + 1]]
             intervals.append(mine[:, :2] - first[d])
             ids.append(sorted(set().union(*(self.owners[p] for p in np.unique(mine[:, 2]).tolist()))))
@@ -125,12 +141,16 @@ def _scanner(rows: tuple, window: int) -> _Scanner:
 _ADDED = {True: ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"], False: ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]}
 
 
-def _measured(batch: pa.RecordBatch, names: list[str], intervals: list[np.ndarray], ids: list[list[str]], digests: bool) -> pa.RecordBatch:
+def _measured(batch: pa.RecordBatch, names: list[str], words, intervals: list[np.ndarray], ids: list[list[str]], digests: bool) -> pa.RecordBatch:
     """The batch's columns ``names`` and what was found."""
     buf, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
-    _, starts, ends, first = normal_words(buf, off)
+    _, starts, ends, first = words
     n_words, n_hit, places = np.diff(first), [], []
     for d, found in enumerate(intervals):
+        if not len(found):
+            n_hit.append(0)
+            places.append([])
+            continue
         edge = np.zeros(n_words[d] + 1, np.int64)
         np.add.at(edge, found[:, 0], 1)
         np.subtract.at(edge, found[:, 1], 1)
@@ -158,7 +178,8 @@ def _whole(rows, window: int, names: list[str], digests: bool):
             scanner = _scanner(rows.value, window)
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    yield _measured(batch, names, *scanner.by_document(*normal_words(*text_buffers(batch.column(batch.schema.get_field_index("text"))))), digests)
+                    words = normal_words(*text_buffers(batch.column(batch.schema.get_field_index("text"))))
+                    yield _measured(batch, names, words, *scanner.by_document(*words), digests)
 
     return run
 
@@ -187,7 +208,8 @@ def _together(names: list[str], digests: bool):
             for batch in slices(whole, "text"):
                 found, ids = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("found", "ids"))
                 intervals = [np.frombuffer(b"".join(x or ()), "<u4").reshape(-1, 2).astype(np.int64) for x in found]
-                yield _measured(batch, names, intervals, [sorted(x or ()) for x in ids], digests)
+                words = normal_words(*text_buffers(batch.column(batch.schema.get_field_index("text"))))
+                yield _measured(batch, names, words, intervals, [sorted(x or ()) for x in ids], digests)
 
     return run
 
