@@ -65,3 +65,22 @@ k AS (SELECT page_id, 'domain' AS kind, array_to_string(l[i + 1:], '.') AS key F
   UNION ALL SELECT page_id, 'prefix', CASE WHEN i = 0 THEN host ELSE host || '/' || array_to_string(steps[1:i], '/') END FROM (SELECT page_id, host, steps, unnest(range(0, len(steps) + 1)) AS i FROM p)),
 a AS (SELECT p.page_id, iv.kind, iv.key, iv.valid_from, row_number() OVER (PARTITION BY p.page_id ORDER BY iv.valid_from, iv.kind, iv.key) AS n FROM p JOIN k ON k.page_id = p.page_id JOIN iv ON iv.kind = k.kind AND iv.key = k.key AND iv.action = 'add' AND iv.valid_from <= p.at AND (iv.valid_to IS NULL OR p.at < iv.valid_to))
 SELECT p.own AS page_id, p.url, strftime(p.at, '%Y-%m-%d') AS fetched_on, a.page_id IS NOT NULL AS blocked, a.kind AS list_kind, a.key AS list_key, strftime(a.valid_from, '%Y-%m-%d') AS listed_since FROM p LEFT JOIN a ON a.page_id = p.page_id AND a.n = 1"""
+
+#: CRC-32 of a decimal number: the table of bytes, and the sum over digits.
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+OP12 = f"""WITH {_CRC_TABLE},
+o AS (SELECT doc_id, {_WORDS} AS ws, {_CRC} AS h FROM documents, crc),
+g AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, (h // 10) % greatest(len(ws), 1) AS a, (h // 10) % 8 AS more FROM o),
+w AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + more)) + 1] END) ELSE ws END AS ws FROM g),
+x AS (SELECT doc_id, n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+l AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE gone.i IS NULL) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT w.doc_id, coalesce(l.n, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (b.length * 1000 // b.period)::BIGINT AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id"""

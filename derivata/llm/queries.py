@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import re
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from .cluster import cut
 from .decontaminate import decontamination_digests
 from .html import extract_html
 from .licenses import license_scan
+from .periodic import run_digests
 from .quality import quality_rules
 from .simhash import simhash_components
 from .substring_dedup import substring_digests
@@ -97,6 +101,32 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _planted(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """Texts of one period from word g % n on, where g is a tenth of the CRC-32 of the id's digits."""
+
+    def one(doc_id, text):
+        words = re.findall("[^\x20\x09-\x0D]+", text or "")
+        if not words:
+            return text
+        g, n = zlib.crc32(str(doc_id).encode()) // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+
+    return pd.Series(map(one, ids, texts), dtype=object)
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text); one text of ten, by the CRC-32 of its id, turns periodic somewhere."""
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    planted = F.pandas_udf(_planted, "string")("doc_id", F.when(chosen, F.col("text")))
+    return docs.select("doc_id", F.when(chosen, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(planted_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def _shipped(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +137,7 @@ def _shipped(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -117,4 +147,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": oracle.OP6,
         "op8_decontamination": oracle.OP8,
         "op9_url_filter": oracle.op9(URL_LIST, CAPTURES, HOST_AND_SEGMENT),
+        "op12_periodic_runs": oracle.OP12,
     }
