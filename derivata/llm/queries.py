@@ -108,7 +108,7 @@ def _planted(ids: pd.Series, texts: pd.Series) -> pd.Series:
         words = re.findall("[^\x20\x09-\x0D]+", text or "")
         if not words:
             return text
-        g, n = zlib.crc32(str(doc_id).encode()) // 10, len(words)
+        g, n = zlib.crc32(doc_id.encode()) // 10, len(words)
         a = g % n
         p = 1 + (n - a) // (3 + g % 8)
         return " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
@@ -119,7 +119,7 @@ def _planted(ids: pd.Series, texts: pd.Series) -> pd.Series:
 def planted_runs(docs: DataFrame) -> DataFrame:
     """``documents`` (doc_id, text); one text of ten, by the CRC-32 of its id, turns periodic somewhere."""
     chosen = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    planted = F.pandas_udf(_planted, "string")("doc_id", F.when(chosen, F.col("text")))
+    planted = F.pandas_udf(_planted, "string")(F.col("doc_id").cast("string"), F.when(chosen, F.col("text")))
     return docs.select("doc_id", F.when(chosen, planted).otherwise(F.col("text")).alias("text"))
 
 
