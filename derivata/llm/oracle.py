@@ -84,3 +84,31 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) A
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE gone.i IS NULL) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
 SELECT w.doc_id, coalesce(l.n, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (b.length * 1000 // b.period)::BIGINT AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
 FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
+def op13(fanout: int = 8, most: int = 8) -> str:
+    """For up to ``fanout ** most`` leaves a key: each level of the tree is a table of runs, for all leaves below."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join([*map(part, ('doc_id', 'source', 'lang', 'n_chars')), part(text)])})"
+    left, right = f"left(run, 64 * (p.place % {fanout})::BIGINT)", f"substr(run, 64 * (p.place % {fanout})::BIGINT + 65)"
+    steps = []
+
+    def levels(name: str, table: str, to: str) -> None:
+        """CTEs of nodes (key, pos, n, node) level by level, and of the rows of ``to`` with h, proof and place."""
+        for k in range(most):
+            below = table if k == 0 else f"{name}{k}"
+            steps.append(f"{name}r{k} AS (SELECT key, pos // {fanout} AS pos, n, string_agg(node, '' ORDER BY pos) AS run FROM {below} GROUP BY key, pos // {fanout}, n)")
+            steps.append(f"{name}{k + 1} AS (SELECT key, pos, (n + {fanout - 1}) // {fanout} AS n, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS node FROM {name}r{k})")
+            before = to if k == 0 else f"{name}p{k}"
+            steps.append(f"{name}p{k + 1} AS (SELECT p.* EXCLUDE (h, proof, place), CASE WHEN n > 1 THEN sha256({left} || p.h || {right}) ELSE p.h END AS h, CASE WHEN n > 1 THEN p.proof || {left} || {right} ELSE p.proof END AS proof, p.place // {fanout} AS place FROM {before} p JOIN {name}r{k} r ON r.key = p.key AND r.pos = p.place // {fanout})")
+
+    levels("a", "t", "p")
+    steps.append(f"s AS (SELECT '' AS key, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n, node, key AS own FROM a{most})")
+    steps.append(f"q AS (SELECT p.* EXCLUDE (key, place), s.node AS subroot, s.key, s.pos AS place FROM ap{most} p JOIN s ON s.own = p.key)")
+    levels("b", "s", "q")
+    return f"""WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(':' || lang, '-') AS key, {leaf('text')} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents, crc),
+t AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n, leaf AS node, doc_id, other FROM d),
+p AS (SELECT doc_id, node AS leaf, coalesce(other, node) AS h, '' AS proof, key, pos AS place FROM t),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = r.node AS verified FROM bp{most}, b{most} r"""

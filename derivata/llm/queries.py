@@ -18,6 +18,7 @@ from .cluster import cut
 from .decontaminate import decontamination_digests
 from .html import extract_html
 from .licenses import license_scan
+from .merkle import tamper_digests
 from .periodic import run_digests
 from .quality import quality_rules
 from .simhash import simhash_components
@@ -127,6 +128,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(planted_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _shipped(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +142,7 @@ def _shipped(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup, op12_periodic_runs)}
+    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup, op12_periodic_runs, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -148,4 +153,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": oracle.OP8,
         "op9_url_filter": oracle.op9(URL_LIST, CAPTURES, HOST_AND_SEGMENT),
         "op12_periodic_runs": oracle.OP12,
+        "op13_merkle_manifest": oracle.op13(),
     }
