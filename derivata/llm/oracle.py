@@ -66,6 +66,10 @@ k AS (SELECT page_id, 'domain' AS kind, array_to_string(l[i + 1:], '.') AS key F
 a AS (SELECT p.page_id, iv.kind, iv.key, iv.valid_from, row_number() OVER (PARTITION BY p.page_id ORDER BY iv.valid_from, iv.kind, iv.key) AS n FROM p JOIN k ON k.page_id = p.page_id JOIN iv ON iv.kind = k.kind AND iv.key = k.key AND iv.action = 'add' AND iv.valid_from <= p.at AND (iv.valid_to IS NULL OR p.at < iv.valid_to))
 SELECT p.own AS page_id, p.url, strftime(p.at, '%Y-%m-%d') AS fetched_on, a.page_id IS NOT NULL AS blocked, a.kind AS list_kind, a.key AS list_key, strftime(a.valid_from, '%Y-%m-%d') AS listed_since FROM p LEFT JOIN a ON a.page_id = p.page_id AND a.n = 1"""
 
+OP11 = r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
+g AS (SELECT text, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON g.text = t.text"""
+
 #: CRC-32 of a decimal number: the table of bytes, and the sum over digits.
 _CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"

@@ -16,6 +16,7 @@ from . import oracle
 from .chat import chat_digests, format_chat
 from .cluster import cut
 from .decontaminate import decontamination_digests
+from .exact_dedup import duplicate_groups
 from .html import extract_html
 from .licenses import license_scan
 from .merkle import tamper_digests
@@ -102,6 +103,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def _planted(ids: pd.Series, texts: pd.Series) -> pd.Series:
     """Texts of one period from word g % n on, where g is a tenth of the CRC-32 of the id's digits."""
 
@@ -142,7 +147,7 @@ def _shipped(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup, op12_periodic_runs, op13_merkle_manifest)}
+    return {f.__name__: _shipped(f) for f in (op1_substring_dedup, op2_quality_rules, op3_token_files, op4_license_scan, op5_html_extraction, op6_chat_format, op7_bpe, op8_decontamination, op9_url_filter, op10_simhash_near_dedup, op11_exact_dedup, op12_periodic_runs, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -152,6 +157,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": oracle.OP6,
         "op8_decontamination": oracle.OP8,
         "op9_url_filter": oracle.op9(URL_LIST, CAPTURES, HOST_AND_SEGMENT),
+        "op11_exact_dedup": oracle.OP11,
         "op12_periodic_runs": oracle.OP12,
         "op13_merkle_manifest": oracle.op13(),
     }
