@@ -51,15 +51,17 @@ def read_journal(spark: SparkSession, path: str, schema: str | StructType) -> Da
         return spark.createDataFrame([], schema)
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     whole = StructType([*kind.fields]).add("_bad", "string")
-    # Line feeds alone end lines; a file's last split holds its last line.
+    # Line feeds alone end lines. A line belongs to the split where it begins, and a split's lines come in their order, so
+    # a file's last line has the greatest of these places, wherever splits end.
     m = F.col("_metadata")
-    lines = spark.read.text(path, lineSep="\n").select("value", m["file_path"].alias("file"), (m["file_block_start"] + m["file_block_length"] >= m["file_size"]).alias("end"), F.monotonically_increasing_id().alias("at"))
-    lasts = lines.where("end").groupBy("file").agg(F.max_by("value", "at").alias("last"))
+    place = F.struct(m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path, lineSep="\n").select("value", m["file_path"].alias("file"), place.alias("place"))
     parsed = lines.where("trim(value) <> ''").withColumn("row", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("row._bad").isNotNull()
-    kept = parsed.join(lasts, "file").where(~bad | (F.col("value") != F.col("last")))
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 200)))).otherwise(F.col("row"))
-    return kept.select(checked.alias("row")).select("row.*").drop("_bad")
+    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    lasts = lines.groupBy("file").agg(F.max("place").alias("last"))
+    error = F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 200))).cast("boolean")
+    refused = parsed.where(bad).join(lasts, "file", "left").where(F.when(F.col("place") == F.col("last"), F.lit(False)).otherwise(error))
+    return parsed.where(~bad).select("row").union(refused.select("row")).select("row.*").drop("_bad")
 
 
 def read_partition(spark: SparkSession, path: str, schema: str | StructType = "id string, identity_group string, component_id string, partition string") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, digest_of
 from ..operators.evidence import new_artifacts
+from . import commits
 
 
 def _put(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
@@ -99,18 +100,30 @@ def export(rows: DataFrame, path: str, *order: str) -> DataFrame:
     return digest_index(rows.sparkSession, path).where(F.col("path").rlike(r"/part-[^/]*$"))
 
 
+def _content_digest(spark: SparkSession, path: str) -> str:
+    """The digest of the digests of a folder's files, in their order; a line a file."""
+    lines = digest_index(spark, path).agg(F.array_join(F.array_sort(F.collect_list("sha256")), "\n").alias("x"))
+    return lines.select(F.sha2("x", 256)).first()[0]
+
+
 def revise(rows: DataFrame, path: str, reason: str) -> int:
-    """Write the next version of a table beside the ones before, which stay, and point to it; its number."""
+    """Make rows the next version of a table; its number. Versions before stay. Rows are written first; then one commit
+    puts them, with the digest of their files, in the place of those before. Of two writers at once, one comes after."""
     spark = rows.sparkSession
-    now = json.loads(_get(spark, f"{path}/current.json") or '{"version": 0}')["version"] + 1
-    rows.write.mode("errorifexists").parquet(f"{path}/version={now}")
-    dump(spark, f"{path}/current.json", {"version": now, "reason": reason}, immutable=False)
-    return now
+    folder = commits.staged(rows, path, "rows")
+    head = {"sha256": _content_digest(spark, f"{path}/{folder}")}
+    return commits.commit(spark, path, lambda now: commits.Change(replace={"rows": folder}, head=head, reason=reason)).version
+
+
+def current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version that :func:`revise` made, the last one by default."""
+    return commits.read(spark, path, "rows", version)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The version that :func:`revise` pointed to last."""
-    return spark.read.parquet(f"{path}/version={json.loads(_get(spark, f'{path}/current.json'))['version']}")
+def revision_is_whole(spark: SparkSession, path: str, version: int | None = None) -> bool:
+    """Whether the files of a version are those that were written."""
+    now = commits.state(spark, path, version)
+    return _content_digest(spark, f"{path}/{now.tables['rows'][0]}") == now.head["sha256"]
 
 
 def markdown_table(rows: DataFrame, *columns: str, most: int = 500) -> str:

@@ -9,7 +9,7 @@ from derivata.functions.canonical import digest_of
 from derivata.operators import evidence, partitioning
 from derivata.shipping import ship
 from derivata.sources import readers, sinks
-from derivata.streaming import scoring
+from derivata.streaming import ledger, scoring
 
 
 def test_manifests_and_truth(spark, tmp_path):
@@ -148,8 +148,8 @@ def test_log_stream_is_one_chain(spark, tmp_path):
     for k in range(2):
         (source / f"{k}.json").write_text("".join(json.dumps({"kind": "k", "subject": f"s{k}{i}", "document": str(i)}) + "\n" for i in range(3)))
         stream = spark.readStream.schema(schema).json(f"file://{source}")
-        scoring.append_log(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/cp", seed).awaitTermination(120)
-    chain = spark.read.parquet(f"file://{tmp_path}/log").withColumn("log", F.lit(1))
+        ledger.log_stream(stream, f"file://{tmp_path}/log", f"file://{tmp_path}/cp", seed).awaitTermination(120)
+    chain = ledger.read_log(spark, f"file://{tmp_path}/log")
     assert sorted(r.seq for r in chain.collect()) == [1, 2, 3, 4, 5, 6] and evidence.chain_violations(chain).collect() == []
     marks = chain.select("log", "seq", F.col("checkpoint").alias("envelope"))
     status = lambda c, m: tuple(evidence.signed_log_status(c, m, signatures.pem(signatures.public_key(seed))).first())[1:]
@@ -188,7 +188,8 @@ def test_exports_revisions_and_reports(spark, tmp_path):
     assert [json.loads(x)["id"] for x in text.splitlines()] == [1, 2] and files[0].sha256 == hashlib.sha256(text.encode()).hexdigest()
     path = f"file://{tmp_path}/t"
     assert sinks.revise(rows, path, "first") == 1 and sinks.revise(rows.where("id = 1"), path, "fewer") == 2
-    assert sinks.current(spark, path).count() == 1 and spark.read.parquet(f"{path}/version=1").count() == 2
+    assert sinks.current(spark, path).count() == 1 and sinks.current(spark, path, 1).count() == 2
+    assert sinks.revision_is_whole(spark, path) and sinks.revision_is_whole(spark, path, 1)
     assert sinks.markdown_table(rows.orderBy("id"), "id", "score", "note") == "| id | score | note |\n| --- | --- | --- |\n| 1 | not evaluated | z |\n| 2 | 0.500 | x\\|y |\n"
     with pytest.raises(ValueError, match="no table"):
         sinks.markdown_table(rows, "id", most=1)
