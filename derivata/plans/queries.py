@@ -14,7 +14,9 @@ from ..functions.statistics import binomial_interval_column
 from ..functions import signatures
 from ..operators import accounting, alignment, calibration, decisions, evidence, features, partitioning, registry, retrieval
 from ..operators.design import design, first_candidates, zipped_intervals
+from ..functions.shared import new_folder
 from ..sources import readers
+from ..streaming import ledger, scoring
 from . import fixtures as fx
 from . import methods
 
@@ -689,3 +691,26 @@ def descriptor_support(spark, d):
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("seq") % 20).cast("int")) - 1
     s = fx.sequences(spark, d).withColumn("other", F.transform("frames", lambda h: h.bitwiseXOR(mask)))
     return s.select("seq", F.round(features.descriptor_support(frames(F.col("frames")), frames(F.col("other"))), 6).alias("support"))
+
+
+@query(f"{_TOP} SELECT candidate AS candidate_id, parent, distance::BIGINT AS distance, CASE WHEN distance >= 32 THEN 0 ELSE 1 - distance / 32.0 END::DOUBLE AS score FROM top WHERE rank = 1")
+def streamed_scores(spark, d):
+    """A journal of twenty files, scored by a stream that keeps its keys as state."""
+    h, folder = fx.hashes(spark, d), new_folder(spark, "streamed-scores")
+    h.where("id % 100 = 0").select(F.col("id").alias("candidate_id"), "hash").repartition(20).write.json(f"{folder}/journal")
+    stream = scoring.candidate_stream(spark, f"{folder}/journal", "candidate_id bigint, hash bigint")
+    scoring.score_stream(stream, h, f"{folder}/scores", f"{folder}/checkpoint", others=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/scores").select("candidate_id", "parent", "distance", "score")
+
+
+@query("SELECT user_id::VARCHAR AS subject, event_type AS kind, count(*)::BIGINT AS n_events, 0::BIGINT AS n_broken FROM events GROUP BY ALL")
+def event_log(spark, d):
+    """All events, streamed into a log of one commit a batch, and read back with the breaks of its chain."""
+    folder = new_folder(spark, "event-log")
+    fx.event_rows(spark, d).select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject"), F.to_json(F.struct("event_id", "props")).alias("document")).repartition(20).write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema("kind string, subject string, document string").option("maxFilesPerTrigger", 5).parquet(f"{folder}/events")
+    ledger.log_stream(stream, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    log = ledger.read_log(spark, f"{folder}/log")
+    broken = evidence.chain_violations(log).select("seq", F.lit(1).alias("broken"))
+    part = F.split("body", r"\|")
+    return log.join(broken, "seq", "left").groupBy(part[1].alias("subject"), part[0].alias("kind")).agg(F.count("*").alias("n_events"), F.count("broken").alias("n_broken"))
