@@ -12,7 +12,7 @@ from ..functions import intervals as iv
 from ..functions.ordinals import numbered
 from ..functions.statistics import binomial_interval_column
 from ..functions import signatures
-from ..operators import accounting, alignment, calibration, decisions, evidence, features, partitioning, registry, retrieval
+from ..operators import accounting, alignment, calibration, decisions, evidence, features, hamming, partitioning, registry, retrieval
 from ..operators.design import design, first_candidates, zipped_intervals
 from ..functions.shared import new_folder
 from ..sources import readers
@@ -714,3 +714,9 @@ def event_log(spark, d):
     broken = evidence.chain_violations(log).select("seq", F.lit(1).alias("broken"))
     part = F.split("body", r"\|")
     return log.join(broken, "seq", "left").groupBy(part[1].alias("subject"), part[0].alias("kind")).agg(F.count("*").alias("n_events"), F.count("broken").alias("n_broken"))
+
+
+@query(f"WITH {fx.HASHES}, {fx.NEAR}, p AS (SELECT a.id AS candidate, b.id AS parent, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM near a, near b WHERE a.id % 100 = 0 AND b.id <> a.id), r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY distance, parent) AS rank FROM p) SELECT candidate, parent, distance, rank::BIGINT AS rank FROM r WHERE rank <= 3")
+def pruned_search(spark, d):
+    h = fx.near_hashes(spark, d)
+    return hamming.Search(h.where("id % 100 = 0"), h, 3, others=True).result()
