@@ -13,6 +13,7 @@ from ..functions.ordinals import numbered
 from ..functions.statistics import binomial_interval_column
 from ..functions import signatures
 from ..operators import accounting, alignment, calibration, decisions, evidence, features, hamming, partitioning, registry, retrieval
+from ..operators import long_alignment as long
 from ..operators.design import design, first_candidates, zipped_intervals
 from ..functions.shared import new_folder
 from ..sources import readers
@@ -720,3 +721,23 @@ def event_log(spark, d):
 def pruned_search(spark, d):
     h = fx.near_hashes(spark, d)
     return hamming.Search(h.where("id % 100 = 0"), h, 3, others=True).result()
+
+
+_LONG = f"""WITH {fx.HASHES}, f AS (SELECT id % 4 AS src, id // 4 AS pos, hash FROM hashes),
+c AS (SELECT h.id AS cand, f.pos - h.id // 4 AS i, CASE WHEN f.pos % 2 = 1 THEN xor(f.hash, 9::UBIGINT) ELSE f.hash END AS hash FROM hashes h JOIN f ON h.id % 100 = 0 AND f.src = h.id % 4 AND f.pos BETWEEN h.id // 4 AND h.id // 4 + 6), n AS (SELECT cand, count(*) AS n FROM c GROUP BY cand),
+t AS (SELECT c.cand, f.src, f.pos - c.i AS o, sum(bit_count(xor(c.hash, f.hash)))::BIGINT AS total, count(*) AS n FROM c, f WHERE f.pos >= c.i GROUP BY c.cand, f.src, o),
+b AS (SELECT t.* FROM t JOIN n ON n.cand = t.cand AND n.n = t.n QUALIFY row_number() OVER (PARTITION BY t.cand, src ORDER BY total, o) = 1)"""
+
+
+@query(f"{_LONG} SELECT n.cand, s.src, n.n::INTEGER AS n, b.total, b.o::BIGINT AS offset FROM n CROSS JOIN (SELECT DISTINCT src FROM f) s LEFT JOIN b ON b.cand = n.cand AND b.src = s.src")
+def long_alignment(spark, d):
+    """Seven frames from each id divisible by 100 on, every other one changed by two bits, in four sources of all frames."""
+    h = fx.hashes(spark, d)
+    frames = h.selectExpr("id % 4 AS src", "id div 4 AS pos", "hash")
+    starts = h.where("id % 100 = 0").selectExpr("id AS cand", "id % 4 AS src", "id div 4 AS at")
+    taken = starts.withColumn("pos", F.explode(F.sequence("at", F.col("at") + 6))).join(frames, ["src", "pos"])
+    changed = F.when(F.col("pos") % 2 == 1, F.col("hash").bitwiseXOR(F.lit(9))).otherwise(F.col("hash"))
+    clips = taken.groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", changed.alias("h")))), lambda x: x["h"]).alias("candidate"))
+    # Clips are a stated set, and there are four sources.
+    pairs = clips.select("cand").crossJoin(frames.select("src").distinct())
+    return long.placed(pairs, clips, frames, 7).select("cand", "src", "n", "total", "offset")
