@@ -63,6 +63,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
             _written.remove(path)
 
 
+def written() -> frozenset[str]:
+    """The tables that this process wrote and has not dropped."""
+    return frozenset(_written)
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete what operators of this process left in the shared folder because their results, which are lazy, read it; to
     be called when these have been written elsewhere. How many tables went."""
