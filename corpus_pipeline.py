@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from derivata.llm.cluster import cut, drop
+from derivata.llm.cluster import cut, drop, written
 from derivata.llm.decontaminate import clean_documents
 from derivata.llm.quality import quality_filter
 from derivata.llm.simhash import simhash_dedup
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES[:-1]:
+        earlier = written()
         docs, path = cut(stage(spark, docs, sf_dir), name)
-        drop(spark, *before)
+        # What the stage has left, as its result read it, and the table that it came from.
+        drop(spark, *before, *(written() - earlier - {path}))
         before = (path,)
     return STAGES[-1][1](spark, docs, sf_dir)
