@@ -11,11 +11,15 @@ filename, size_bytes, created_at, features_sha256, receipt) and reviews (review_
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import base_name, digest_column, is_digest, stamp
-from ..functions.signatures import signed, sound_column
+from ..functions.ordinals import checkpointed
+from ..functions.signatures import signed, sound, sound_column
+from . import tree
 from .evidence import claim_states, damaged, snapshot_digest
 from .retrieval import exact_matches
 
@@ -155,6 +159,67 @@ def check(candidates: DataFrame, assets: DataFrame, derivatives: DataFrame, auth
     return rows.withColumn("receipt", signed(payload, seed))
 
 
+def tree_leaves(assets: DataFrame) -> DataFrame:
+    """(id, digest): the leaves of the registry's tree, the digests of the manifests."""
+    return assets.select(F.col("asset_id").alias("id"), digest_column(F.col("manifest")).alias("digest"))
+
+
+def tree_head(nodes: DataFrame, depth: int, seed: bytes, at: str) -> DataFrame:
+    """One row (n_assets, root, envelope): the signed root of the registry's tree."""
+    payload = _payload("registry_head", n_assets=F.col("n_assets"), root=F.col("root"), depth=F.lit(depth), signed_at=F.lit(at))
+    return tree.root(nodes).withColumn("envelope", signed(payload, seed))
+
+
+def proven_assets(assets: DataFrame, wanted: DataFrame, nodes: DataFrame, leaves: DataFrame, head: str, trusted: str) -> DataFrame:
+    """The ``wanted`` (asset_id) assets with the path that proves each; an error if the signed ``head`` or one of their
+    manifests is not the trusted signer's, if a row disagrees with its manifest, or if a manifest is not the registered one.
+    Only these records are verified, and only their paths are read: ``leaves`` is the table of digests that stands."""
+    if not sound(json.loads(head), trusted):
+        raise ValueError("the head of the registry is not sound")
+    said_ = json.loads(head)["payload"]
+    mine = assets.join(wanted.select("asset_id").distinct(), "asset_id", "left_semi")
+    found = tree.proofs(nodes, leaves, mine.select(F.col("asset_id").alias("id")), said_["depth"]).select(F.col("id").alias("asset_id"), "digest", "path")
+    rows = mine.withColumn("_now", digest_column(F.col("manifest"))).join(found, "asset_id", "left")
+    proves = F.col("digest").eqNullSafe(F.col("_now")) & tree.names_place(F.col("asset_id"), F.col("path")) & tree.proven_root(F.col("digest"), F.col("path")).eqNullSafe(F.lit(said_["root"]))
+    bad = untrusted(mine, trusted).withColumn("_bad", F.lit(True))
+    judged = rows.join(bad, "asset_id", "left")
+    name = lambda why: F.raise_error(F.concat(F.lit(why), F.col("asset_id"))).cast("boolean")
+    good = F.when(F.col("_bad").isNotNull(), name("the manifest of a registered asset is not sound: ")).when(~F.coalesce(proves, F.lit(False)), name("not the registered manifest: ")).otherwise(True)
+    return judged.where(good).drop("_now", "_bad")
+
+
+def check_by_proofs(candidates: DataFrame, assets: DataFrame, nodes: DataFrame, leaves: DataFrame, head: str, derivatives: DataFrame, authorizations: DataFrame, seed: bytes, trusted: str, at: str, reviews: DataFrame | None = None) -> DataFrame:
+    """As :func:`check`, but bound to the signed head of the registry's tree: of all assets, only those of a candidate's
+    bytes and the parents of its derivations are verified, each by its manifest and its path, and the receipt has these
+    proofs. Receipts of assets that are not there are no proofs of absence."""
+    same = assets.join(candidates.select("sha256").distinct(), "sha256", "left_semi").select("asset_id")
+    parents = derivatives.join(candidates.select(F.col("sha256").alias("child_sha256")).distinct(), "child_sha256", "left_semi").select(F.col("parent_id").alias("asset_id"))
+    known = checkpointed(proven_assets(assets, same.union(parents), nodes, leaves, head, trusted))
+    records = lineage_records(candidates.select(F.col("sha256").alias("child_sha256")), derivatives, known, authorizations, trusted, at)
+    stated = claims(candidates, known, records, reviews)
+    # A candidate's proofs: of the least asset of its bytes, and of the least parent; all of one digest say the same.
+    proof = F.struct(F.col("asset_id"), F.col("digest"), F.col("path"))
+    exact = known.groupBy("sha256").agg(F.min(proof).alias("exact_proof"))
+    of = records.select(F.col("child_sha256").alias("sha256"), F.col("parent_id").alias("asset_id")).join(known.select("asset_id", "digest", "path"), "asset_id").groupBy("sha256").agg(F.min(proof).alias("parent_proof"))
+    rows = candidates.join(stated.drop("sha256"), "candidate_id").join(exact, "sha256", "left").join(of, "sha256", "left")
+    signed_head = json.loads(head)["payload"]
+    payload = _payload("verification_receipt", candidate_id=F.col("candidate_id"), candidate_sha256=F.col("sha256"), candidate_filename=base_name(F.col("filename")), checked_at=F.lit(at), registry_count=F.lit(signed_head["n_assets"]), registry_root=F.lit(signed_head["root"]), feature_artifact_sha256=F.col("features_sha256"), n_exact=F.col("n_exact"), first_exact=F.col("first_exact"), n_lineage=F.col("n_lineage"), n_authorized=F.col("n_authorized"), claims=F.struct(*CLAIMS), proofs=F.struct("exact_proof", "parent_proof"))
+    return rows.withColumn("receipt", signed(payload, seed)).select(*candidates.columns, "n_exact", "first_exact", "n_lineage", "n_authorized", *CLAIMS, "receipt")
+
+
+def unproven_receipts(checked: DataFrame, trusted: str) -> DataFrame:
+    """candidate_id of the receipts that are not the trusted signer's, or that have a proof that does not give the root
+    they name, or an exact match or a derivation without one. Needs no registry."""
+    kind = "struct<asset_id: string, digest: string, path: array<string>>"
+    both = F.from_json(F.get_json_object("receipt", "$.payload.proofs"), f"exact_proof {kind}, parent_proof {kind}")
+    top = said("receipt", "registry_root")
+    holds = lambda p: F.coalesce(tree.names_place(p["asset_id"], p["path"]) & (tree.proven_root(p["digest"], p["path"]) == top), F.lit(False))
+    needed = lambda n: F.coalesce(said("receipt", n).try_cast("bigint"), F.lit(0)) > 0
+    rows = checked.withColumn("_p", both)
+    bad = ~sound_column(F.col("receipt"), trusted) | (needed("n_exact") & ~holds(F.col("_p.exact_proof"))) | (needed("n_lineage") & ~holds(F.col("_p.parent_proof")))
+    return rows.where(bad).select("candidate_id")
+
+
 def bundle(candidate: DataFrame, assets: DataFrame, artifacts: DataFrame, derivatives: DataFrame, authorizations: DataFrame, chain: DataFrame, marks: DataFrame) -> dict[str, DataFrame]:
     """What another party needs to verify one checked candidate (a row of :func:`check`), as tables: the receipt, all
     manifests of the snapshot, the artifacts that they and the candidate name, the candidate's derivatives and their
