@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, canonical
 from ..functions import intervals as iv
-from ..functions.ordinals import numbered
+from ..functions.ordinals import checkpointed, numbered
 from ..functions.statistics import binomial_interval_column
 from ..functions import signatures
-from ..operators import accounting, alignment, calibration, decisions, evidence, features, hamming, partitioning, registry, retrieval
+from ..operators import accounting, alignment, calibration, decisions, evidence, features, hamming, partitioning, registry, retrieval, tree
 from ..operators import long_alignment as long
 from ..operators.design import design, first_candidates, zipped_intervals
 from ..functions.shared import new_folder
@@ -741,3 +741,71 @@ def long_alignment(spark, d):
     # Clips are a stated set, and there are four sources.
     pairs = clips.select("cand").crossJoin(frames.select("src").distinct())
     return long.placed(pairs, clips, frames, 7).select("cand", "src", "n", "total", "offset")
+
+
+_TREE = """WITH l AS (SELECT DISTINCT sha256(doc_id::VARCHAR) AS name, sha256(coalesce(text, '')) AS digest FROM documents),
+n2 AS (SELECT left(name, 2) AS prefix, sha256(string_agg(name || ':' || digest, chr(10) ORDER BY name, digest)) AS digest, count(*) AS n FROM l GROUP BY left(name, 2)),
+n1 AS (SELECT left(prefix, 1) AS prefix, sha256(string_agg(right(prefix, 1) || ':' || digest, chr(10) ORDER BY prefix)) AS digest, sum(n) AS n FROM n2 GROUP BY left(prefix, 1)),
+n0 AS (SELECT '' AS prefix, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest, sum(n) AS n FROM n1),
+nodes AS (SELECT * FROM n2 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n0)"""
+
+
+def _document_leaves(spark, d):
+    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
+@query(f"{_TREE} SELECT prefix, digest, n::BIGINT AS n FROM nodes")
+def registry_tree(spark, d):
+    return tree.nodes_of(_document_leaves(spark, d), 2)
+
+
+@query(f"{_TREE} SELECT doc_id, n0.digest AS root, 3::BIGINT AS steps FROM documents, n0 WHERE doc_id % 100 = 0")
+def registry_proofs(spark, d):
+    """What the proofs of the asked documents give, and how many steps they have."""
+    leaves = _document_leaves(spark, d)
+    asked = leaves.where("id % 100 = 0")
+    found = tree.proofs(tree.nodes_of(leaves, 2), leaves, asked, 2)
+    return found.select(F.col("id").alias("doc_id"), tree.proven_root(F.col("digest"), F.col("path")).alias("root"), F.size("path").cast("bigint").alias("steps"))
+
+
+#: Fixed keys of the queries over a registry, and when they register and check.
+_SEED, _AT = bytes(range(32)), "2024-06-01T00:00:00+00:00"
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, s_suppkey % 90 AS media FROM supplier), c AS (SELECT c_custkey AS candidate, c_custkey % 3 AS kind, c_custkey % 120 AS media, c_custkey // 3 % 140 AS child FROM customer),
+e AS (SELECT candidate, count(k) AS n FROM c LEFT JOIN a ON kind = 0 AND a.media = c.media GROUP BY candidate),
+l AS (SELECT candidate, count(k) AS n, count(CASE WHEN k % 6 = 0 AND k % 4 <> 0 THEN k END) AS granted FROM c LEFT JOIN a ON kind = 1 AND a.k = c.child AND k % 3 = 0 GROUP BY candidate)
+SELECT candidate, e.n::BIGINT AS n_exact, l.n::BIGINT AS n_lineage, granted::BIGINT AS n_authorized, CASE WHEN e.n > 1 THEN 'exact_registration_conflict' WHEN e.n = 1 THEN 'exact_match' ELSE 'no_exact_match' END AS c1_exact_asset, CASE WHEN l.n > 0 THEN 'recorded' ELSE 'absent' END AS c2_signed_lineage,
+CASE candidate % 10 WHEN 0 THEN 'reviewed_support' WHEN 1 THEN 'ambiguous' ELSE 'not_established' END AS c3_visual_derivation, CASE candidate % 10 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'reviewed_support' ELSE 'not_established' END AS c4_audio_derivation, 'not_evaluated' AS c5_transcript_derivation, 'not_evaluated' AS c6_watermark_attribution,
+CASE WHEN granted > 0 THEN 'valid_record' ELSE 'unknown' END AS c7_authorization, 'not_evaluated' AS c8_publication, 'not_determined' AS c9_ownership, 0::BIGINT AS unproven FROM e JOIN l USING (candidate)""")
+def registry_checks(spark, d):
+    """Suppliers register (bytes shared by some), some have a derived child, some of these are authorized, and some of the
+    authorizations are revoked; customers' candidates are checked against the tree of the registry, and their receipts are
+    verified again."""
+    pem = signatures.pem(signatures.public_key(_SEED))
+    word = lambda kind, x: F.sha2(F.concat(F.lit(kind), x.cast("string")), 256)
+    key = F.col("s_suppkey")
+    suppliers = fx.table(spark, d, "supplier").select("s_suppkey", "s_name")
+    uploads = suppliers.select(F.col("s_name").alias("filename"), word("media", key % 90).alias("sha256"), F.lit(10).cast("bigint").alias("size_bytes"), F.lit(8.0).alias("duration_s"), F.col("s_name").alias("assertion"), F.lit(None).cast("string").alias("features_sha256"))
+    none = spark.createDataFrame([], "asset_id string, sha256 string, filename string, size_bytes bigint, duration_s double, created_at string, features_sha256 string, fingerprint_status string, manifest string")
+    assets = checkpointed(registry.register(uploads, none, _SEED, _AT)[0])
+    owned = assets.join(suppliers, assets.filename == suppliers.s_name).select("s_suppkey", F.col("asset_id").alias("parent_id"), word("child", key).alias("child_sha256"))
+    asks = owned.where("s_suppkey % 6 = 0").select("parent_id", "child_sha256", F.lit("grantee").alias("grantee"), F.lit("2024-01-01T00:00:00Z").alias("valid_from"), F.lit("2025-01-01T00:00:00Z").alias("valid_until"), F.lit("scope").alias("scope_note"))
+    granted = checkpointed(registry.authorize(asks, assets, _SEED, _AT)[0])
+    revoked = granted.join(owned, ["parent_id", "child_sha256"]).where("s_suppkey % 4 = 0").select("authorization_id", F.lit(_AT).alias("revoked_at"))
+    asked = owned.where("s_suppkey % 3 = 0").join(granted.select("parent_id", "child_sha256", "authorization_id"), ["parent_id", "child_sha256"], "left")
+    spans = F.array(F.struct(F.lit(0.0).alias("a"), F.lit(4.0).alias("b")))
+    derived = checkpointed(registry.derive(asked.select("parent_id", "child_sha256", spans.alias("intervals"), F.array(F.lit("crop")).alias("transformations"), "authorization_id"), assets, granted, _SEED, _AT)[0])
+    authorizations = evidence.without_revoked(granted, revoked)
+    leaves = checkpointed(registry.tree_leaves(assets))
+    nodes = tree.nodes_of(leaves, 1)
+    head = registry.tree_head(nodes, 1, _SEED, _AT).first().envelope
+    c = F.col("c_custkey")
+    digest = F.when(c % 3 == 0, word("media", c % 120)).when(c % 3 == 1, word("child", F.floor(c / 3) % 140)).otherwise(word("new", c))
+    candidates = fx.table(spark, d, "customer").select(c.alias("candidate_id"), digest.alias("sha256"), F.lit("clip.mp4").alias("filename"), F.lit(None).cast("string").alias("features_sha256"))
+    state = lambda a, b: F.when(F.col("candidate_id") % 10 == a, "reviewed_support").when(F.col("candidate_id") % 10 == b, "ambiguous")
+    reviews = candidates.where("candidate_id % 10 < 2").select("candidate_id", state(0, 1).alias("visual_state"), state(1, 0).alias("audio_state"))
+    checked = checkpointed(registry.check_by_proofs(candidates, assets, nodes, leaves, head, derived, authorizations, _SEED, pem, _AT, reviews))
+    bad = registry.unproven_receipts(checked, pem).select("candidate_id", F.lit(1).alias("bad"))
+    out = checked.join(bad, "candidate_id", "left").withColumn("unproven", F.coalesce("bad", F.lit(0)).cast("bigint"))
+    return out.select(F.col("candidate_id").alias("candidate"), "n_exact", "n_lineage", "n_authorized", *registry.CLAIMS, "unproven")
