@@ -34,12 +34,11 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def _by_ranges(rows: DataFrame, order: str, descending: bool) -> DataFrame:
-    """``rows`` with _range: ranges of a number, in its order, of about equal shares of all rows."""
+    """``rows`` with _range: the number of the range of a column that a row is in, in its order; ranges have about equal
+    shares of all rows, and equal values are in one. They are written, as their bounds come from a sample."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    bounds = rows.agg(F.percentile_approx(order, shares, 10_000).alias("b")).first().b if shares else []
-    place = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds or []))]).cast("array<double>"), lambda b: b <= F.col(order)))
-    return rows.withColumn("_range", -place if descending else place)
+    by = F.desc(order) if descending else F.asc(order)
+    return checkpointed(rows.repartitionByRange(n, by).withColumn("_range", F.spark_partition_id()))
 
 
 def running_sums(rows: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:

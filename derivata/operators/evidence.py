@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,14 +134,42 @@ def lineage(children: DataFrame, derivatives: DataFrame, assets: DataFrame, auth
     return joined.select("child", "parent_id", F.when(holds, F.col("claimed")).alias("authorization_id"), F.when(holds, "authorized").otherwise("unauthorized").alias("state"))
 
 
+def _cover(df: DataFrame, levels: int, width: float) -> DataFrame:
+    """``df`` (a, b, ...) with level and cell of the dyadic cells that make up each interval: cells of ``width`` at level 0,
+    of twice as much at each further level, two a level at most. No place is in two of an interval's cells."""
+    # At level l, what is left begins at lo = ceil(first / 2^l) and ends before hi = floor(end / 2^l): an odd lo and the
+    # cell before an odd hi have no partner to make a larger cell with.
+    lo, hi = "(-shiftright(-_lo, l))", "shiftright(_hi, l)"
+    cells = F.expr(
+        f"""flatten(transform(sequence(0, {levels}), l -> array(
+              CASE WHEN {lo} < {hi} AND {lo} % 2 <> 0 THEN struct(l AS level, {lo} AS cell) END,
+              CASE WHEN {lo} + abs({lo} % 2) < {hi} AND {hi} % 2 <> 0 THEN struct(l AS level, {hi} - 1 AS cell) END,
+              CASE WHEN l = {levels} AND {lo} + abs({lo} % 2) < {hi} - abs({hi} % 2) THEN struct(l AS level, {lo} + abs({lo} % 2) AS cell) END)))"""
+    )
+    span = df.withColumns({"_lo": F.floor(F.col("a") / width).cast("bigint"), "_hi": F.floor(F.col("b") / width).cast("bigint") + 1})
+    return span.withColumn("c", F.explode(F.filter(cells, lambda c: c.isNotNull()))).drop("_lo", "_hi").select("*", "c.level", "c.cell").drop("c")
+
+
 def interval_overlaps(left: DataFrame, right: DataFrame, by: list[str], width: float) -> DataFrame:
-    """(by, left_id, right_id, shared) of intervals (id, a, b) of one key that overlap. Intervals are dealt to buckets of
-    ``width`` and joined by key and bucket; a pair counts in the bucket where its common part begins."""
-    cell = lambda x: F.floor(x / F.lit(width)).cast("bigint")
-    deal = lambda df, p: df.where("a < b").select(*by, F.col("id").alias(f"{p}_id"), F.col("a").alias(f"{p}_a"), F.col("b").alias(f"{p}_b"), F.explode(F.sequence(cell(F.col("a")), cell(F.col("b")))).alias("cell"))
-    both = deal(left, "l").join(deal(right, "r"), [*by, "cell"])
-    start, end = F.greatest("l_a", "r_a"), F.least("l_b", "r_b")
-    return both.where((start < end) & (cell(start) == F.col("cell"))).select(*by, F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), (end - start).alias("shared"))
+    """(by, left_id, right_id, shared) of intervals (id, a, b) of one key that overlap.
+
+    Of two that overlap, one begins inside the other. Each interval is covered by dyadic cells, some 2 log2(length /
+    ``width``) rows however long it is, and each beginning asks for the cells above it, one a level, so every pair meets in
+    one cell. ``width`` is the least cell; it changes no result, and should be about the length of the short ones."""
+    sides = [df.where("a < b").select(*by, "id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")) for df in (left, right)]
+    longest = sides[0].select("a", "b").union(sides[1].select("a", "b")).agg(F.max((F.col("b") - F.col("a")) / width)).first()[0]
+    levels = max(0, math.ceil(math.log2(longest + 2))) if longest else 0
+
+    def within(points: DataFrame, covers: DataFrame, names: tuple[str, str], strict: bool) -> DataFrame:
+        first = F.floor(F.col("a") / width).cast("bigint").alias("_p")
+        asked = points.select(*by, F.col("id").alias(names[0]), F.col("a").alias("_a"), F.col("b").alias("_b"), first).withColumn("c", F.explode(F.expr(f"transform(sequence(0, {levels}), l -> struct(l AS level, shiftright(_p, l) AS cell))")))
+        stood = _cover(covers.withColumnRenamed("id", names[1]), levels, width)
+        met = asked.select("*", "c.level", "c.cell").drop("c", "_p").join(stood, [*by, "level", "cell"])
+        inside = (F.col("_a") > F.col("a")) if strict else (F.col("_a") >= F.col("a"))
+        return met.where(inside & (F.col("_a") < F.col("b"))).select(*by, "left_id", "right_id", (F.least("b", "_b") - F.col("_a")).alias("shared"))
+
+    names = ("left_id", "right_id")
+    return within(sides[0], sides[1], names, False).unionByName(within(sides[1], sides[0], names[::-1], True))
 
 
 def merged_intervals(rows: DataFrame, by: list[str], gap: float = 0.0) -> DataFrame:

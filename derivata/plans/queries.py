@@ -809,3 +809,15 @@ def registry_checks(spark, d):
     bad = registry.unproven_receipts(checked, pem).select("candidate_id", F.lit(1).alias("bad"))
     out = checked.join(bad, "candidate_id", "left").withColumn("unproven", F.coalesce("bad", F.lit(0)).cast("bigint"))
     return out.select(F.col("candidate_id").alias("candidate"), "n_exact", "n_lineage", "n_authorized", *registry.CLAIMS, "unproven")
+
+
+_MIXED = """e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + ([1, 60, 3600, 86400, 2592000, 315360000])[event_id % 6 + 1] AS b FROM events)"""
+
+
+@query(f"WITH {_MIXED} SELECT l.user_id, count(*)::BIGINT AS n, sum(least(l.b, r.b) - greatest(l.a, r.a))::BIGINT AS shared FROM e l JOIN e r ON l.user_id = r.user_id AND l.event_id % 3 = 0 AND r.event_id % 3 = 1 AND l.a < r.b AND r.a < l.b GROUP BY l.user_id")
+def mixed_intervals(spark, d):
+    """Overlaps of intervals from a second to ten years."""
+    second, length = F.expr("us div 1000000"), F.array(*[F.lit(x).cast("bigint") for x in (1, 60, 3600, 86400, 2592000, 315360000)])
+    e = fx.event_rows(spark, d).select(F.col("event_id").alias("id"), "user_id", second.alias("a"), (second + F.element_at(length, (F.col("event_id") % 6 + 1).cast("int"))).alias("b"))
+    pairs = evidence.interval_overlaps(e.where("id % 3 = 0"), e.where("id % 3 = 1"), ["user_id"], 60)
+    return pairs.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("shared").cast("bigint").alias("shared"))

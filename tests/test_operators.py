@@ -259,6 +259,19 @@ def test_interval_joins(spark):
     assert got == sorted((k, i, j, min(b, d) - max(a, c)) for k, i, a, b in left for m, j, c, d in right if k == m and max(a, c) < min(b, d))
 
 
+@pytest.mark.parametrize("width", [1.0, 60.0, 1e9])
+def test_intervals_of_seconds_and_years_meet(spark, width):
+    r = random.Random(int(width))
+    year = 31_536_000.0
+    spans = lambda n: [(r.choice("ab"), i, (a := round(r.uniform(-year, 10 * year), r.choice([0, 2]))), a + r.choice([0.5, 1.0, 60.0, 86_400.0, year, 10 * year])) for i in range(n)]
+    left, right = spans(150) + [("a", 900, 5.0, 5.0), ("a", 901, 0.0, 64.0)], spans(150) + [("a", 900, 64.0, 65.0), ("a", 901, 0.0, 1.0)]
+    as_frame = lambda x: spark.createDataFrame(x, "k string, id int, a double, b double")
+    got = sorted((x.k, x.left_id, x.right_id, round(x.shared, 6)) for x in evidence.interval_overlaps(as_frame(left), as_frame(right), ["k"], width).collect())
+    assert got == sorted((k, i, j, round(min(b, d) - max(a, c), 6)) for k, i, a, b in left for m, j, c, d in right if k == m and max(a, c) < min(b, d))
+    ten_years = as_frame([("a", 1, 17.0, 17.0 + 10 * year)])
+    assert evidence._cover(ten_years, 30, 1.0).count() <= 60
+
+
 def test_run_comparison_classes(spark):
     a = spark.createDataFrame([(1, "ok", "d", 0.5), (2, "ok", "e", None)], "id int, status string, digest string, score double")
     kind = lambda b: accounting.compare_runs(a, b, "id").first().reproducibility
