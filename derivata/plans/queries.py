@@ -821,3 +821,44 @@ def mixed_intervals(spark, d):
     e = fx.event_rows(spark, d).select(F.col("event_id").alias("id"), "user_id", second.alias("a"), (second + F.element_at(length, (F.col("event_id") % 6 + 1).cast("int"))).alias("b"))
     pairs = evidence.interval_overlaps(e.where("id % 3 = 0"), e.where("id % 3 = 1"), ["user_id"], 60)
     return pairs.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("shared").cast("bigint").alias("shared"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings),
+b AS (SELECT k, i, cos(pi() * (2 * i + 1) * k / 16) * CASE WHEN k = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END AS w FROM (SELECT unnest(range(8)) AS k) CROSS JOIN (SELECT unnest(range(8)) AS i)),
+r AS (SELECT vec_id, k AS u, p % 8 AS x, sum(w * v) AS v FROM e JOIN b ON i = p // 8 GROUP BY vec_id, k, p % 8),
+c AS (SELECT vec_id, u * 8 + k AS place, CASE WHEN u = 0 AND k = 0 THEN 0 ELSE sum(w * v) END AS v FROM r JOIN b ON i = x GROUP BY vec_id, u, k), m AS (SELECT vec_id, (list_sort(list(v))[32] + list_sort(list(v))[33]) / 2 AS med FROM c GROUP BY vec_id)
+SELECT c.vec_id AS id, format('{:016x}', bit_or(CASE WHEN v > med THEN 1::UBIGINT << (63 - place)::UBIGINT ELSE 0::UBIGINT END)) AS hash FROM c JOIN m ON m.vec_id = c.vec_id GROUP BY c.vec_id""")
+def patch_hashes(spark, d):
+    """Each embedding as a patch of 8 x 8 values: its cosine transform, and a bit for each coefficient above the median."""
+    e = fx.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), bits.hash_to_hex(features.patch_hash(F.col("embedding"))).alias("hash"))
+
+
+#: Fixed thresholds of the four words of a descriptor, of 64 values each, and what a candidate's are off by.
+_STEPS, _OFF = (-0.15, -0.05, 0.05, 0.15), 0.01
+
+
+def _described(spark, d, off, every):
+    """(seq, frames): eight frames of eight rows each, with a descriptor a row."""
+    word = lambda t: F.aggregate("embedding", F.lit(0).cast("bigint"), lambda w, x: F.shiftleft(w, 1).bitwiseOR(F.when(x.cast("double") > t, 1).otherwise(0).cast("bigint")))
+    text = F.concat(*[F.lpad(F.hex(word(t + off)), 16, "0") for t in _STEPS])
+    rows = fx.table(spark, d, "embeddings").where(F.floor(F.col("vec_id") / 64) % every == 0)
+    points = F.array(F.array((F.col("vec_id") % 320).cast("double"), (F.col("vec_id") % 180).cast("double")))
+    one = rows.select(F.floor(F.col("vec_id") / 64).alias("seq"), (F.floor(F.col("vec_id") / 8) % 8).alias("frame"), F.struct("vec_id", points.alias("point"), F.unhex(text).alias("descriptor")).alias("x"))
+    frames = one.groupBy("seq", "frame").agg(F.array_sort(F.collect_list("x")).alias("x")).select("seq", F.struct("frame", F.flatten(F.transform("x", lambda x: x["point"])).alias("points"), F.transform("x", lambda x: x["descriptor"]).alias("descriptors")).alias("f"))
+    return frames.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: F.struct(f["points"].alias("points"), f["descriptors"].alias("descriptors"))).alias("frames"))
+
+
+def _words(off):
+    return ", ".join(f"bit_or(CASE WHEN v > {t + off!r}::DOUBLE THEN 1::UBIGINT << (64 - p)::UBIGINT ELSE 0::UBIGINT END) AS w{i}" for i, t in enumerate(_STEPS))
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM embeddings), s AS (SELECT vec_id, {_words(0)} FROM e GROUP BY vec_id), c AS (SELECT vec_id, {_words(_OFF)} FROM e WHERE vec_id // 64 % 4 = 0 GROUP BY vec_id),
+n AS (SELECT c.vec_id AS a, s.vec_id AS b, {" + ".join(f"bit_count(xor(c.w{i}, s.w{i}))" for i in range(4))} AS d FROM c, s), near AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY a, b // 64 ORDER BY d, b) = 1),
+v AS (SELECT a // 64 AS cand, b // 64 AS src, a // 8 % 8 AS i, b // 8 % 8 AS j, count(*) AS votes FROM near WHERE d <= {features.NEAR} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cand, src, i ORDER BY votes DESC, j) AS rank FROM v WHERE votes >= {features.VOTES})
+SELECT cand, src, i::INTEGER AS i, j::INTEGER AS j, votes::BIGINT AS votes, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
+def voted_frames(spark, d):
+    """The source frames that most descriptors of each candidate frame vote for."""
+    # Candidates are a stated set, and all sequences are registered.
+    pairs = _described(spark, d, 0.0, 1).select(F.col("seq").alias("src"), F.col("frames").alias("source")).crossJoin(_described(spark, d, _OFF, 4).select(F.col("seq").alias("cand"), F.col("frames").alias("candidate")))
+    return features.voted_frames(pairs)

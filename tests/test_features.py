@@ -26,10 +26,63 @@ def test_hashes_survive_brightness(spark):
 def test_spectral_bands(spark):
     ship(spark)
     tone = np.sin(2 * np.pi * 440 * np.arange(16_000) / 16_000)
-    bands = features.spectral_bands(tone)
-    assert len(bands) == 16 and sum(bands) == pytest.approx(1) and np.argmax(bands) == 0 and features.spectral_bands(tone[:100]) == []
-    got = spark.createDataFrame([(tone.tolist(),)], "s array<double>").select(features.spectral_landmarks(F.col("s")).alias("b")).first().b
-    assert got == pytest.approx(bands)
+    bands = features.spectral_bands(tone[None])[0]
+    assert len(bands) == 16 and sum(bands) == pytest.approx(1) and np.argmax(bands) == 0
+    r = np.random.default_rng(4)
+    clips = [tone, tone[:100], r.normal(size=256), r.normal(size=1000), r.normal(size=1000), r.normal(size=90_000)]
+    got = [x.b for x in spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(clips)] + [(9, None)], "i int, s array<double>").orderBy("i").select(features.spectral_landmarks(F.col("s")).alias("b")).collect()]
+    assert got[1] == [] and got[6] is None
+    for i in (0, 2, 3, 4, 5):
+        assert got[i] == pytest.approx(plain_bands(clips[i]), rel=1e-9)
+
+
+def plain_bands(samples, rate=16_000):
+    """Means of sixteen nearly equal parts of the magnitude spectrum, as shares."""
+    spectrum = [abs(x) for x in np.fft.rfft(samples[: 5 * rate])]
+    n, parts, at = len(spectrum), [], 0
+    for k in range(16):
+        size = n // 16 + (k < n % 16)
+        parts.append(sum(spectrum[at : at + size]) / size)
+        at += size
+    return [p / (sum(parts) + 1e-9) for p in parts]
+
+
+def plain_hash(image):
+    """Half the size by fixed-point triangle filters of four taps, then the DCT and its median, value by value."""
+    n = len(image) // 2
+
+    def reduced(line):
+        out = []
+        for k in range(n):
+            taps = {x: max(0.0, 1 - abs(x + 0.5 - (2 * k + 1)) / 2) for x in range(2 * k - 1, 2 * k + 3) if 0 <= x < 2 * n}
+            whole = sum(taps.values())
+            total = sum(int(0.5 + w / whole * (1 << 22)) * int(line[x]) for x, w in taps.items())
+            out.append(min(255, max(0, (total + (1 << 21)) >> 22)))
+        return out
+
+    rows = [reduced(line) for line in image]
+    small = list(zip(*[reduced(column) for column in zip(*rows)]))
+    c = lambda k, x: np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * (np.sqrt(1 / n) if k == 0 else np.sqrt(2 / n))
+    low = [0.0 if (u, v) == (0, 0) else sum(c(u, y) * c(v, x) * small[y][x] for y in range(n) for x in range(n)) for u in range(8) for v in range(8)]
+    ordered = sorted(low)
+    value = int("".join("1" if x > (ordered[31] + ordered[32]) / 2 else "0" for x in low), 2)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_hashes_equal_a_plain_version(spark):
+    ship(spark)
+    r = np.random.default_rng(7)
+    smooth = lambda: np.clip(np.kron(r.uniform(0, 255, (8, 8)), np.ones((8, 8))) + r.normal(0, 9, (64, 64)), 0, 255).astype(np.uint8)
+    images = [smooth() for _ in range(6)]
+    rows = [(i, x.ravel().tolist()) for i, x in enumerate(images)] + [(7, None), (8, [1, 2])]
+    got = [x.h for x in spark.createDataFrame(rows, "i int, g array<int>").orderBy("i").select(features.perceptual_hash(F.col("g")).alias("h")).collect()]
+    assert got == [*map(plain_hash, images), None, None]
+
+
+def test_blocks_chain_within_a_frame(spark):
+    rows = [(1, 1, i, j, s, 7) for i, j, s in ((0, 4, 0.2), (1, 5, 0.9), (2, 7, 0.15), (3, 6, 0.5), (4, 7, 0.1), (5, 8, 0.3))]
+    got = features.chained_blocks(spark.createDataFrame(rows, "cand bigint, src bigint, i int, j int, frame_score double, inliers bigint")).first()
+    assert [(b.source.a, b.source.b, b.candidate.a, b.candidate.b) for b in got.blocks] == [(4, 8, 0, 3), (6, 7, 3, 4), (8, 9, 5, 6)] and got.inliers == 35
 
 
 def scene(r, n=60):
