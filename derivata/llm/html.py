@@ -14,10 +14,14 @@ noise if it and all beneath are below ``LEAST_IMPORTANCE``, on at least ``LEAST_
 of their text; it is removed from each page. Pages of one host with the same main blocks are one page here, so that
 copies make no template of what only they share.
 
-What markup states outright needs no statistics: scripts, styles, forms, navigation, footers, asides and elements
-whose class or id ends in a name for adverts, notices, comments and the like are no article; inside <article> or <main>,
-if a page has one, all else is. There only containers with such a name as a whole class or id are ruled out, and of the
-tree's branches only containers with a class or id; the page, its body and its article never are by their names.
+What markup states outright needs no statistics: scripts, styles, forms, navigation, footers, asides, hidden elements and
+those named for adverts, notices, comments and the like are no article; nor is what lies outside of <article>, <main> or
+role=main, if a page has one. Names count alike at all depths. A class names an element if its last word does, but for
+words that only say what holds it (ad-slot, related-posts); words such as in has-sidebar speak of others. An id, which is
+often a heading's slug, names containers only, and if all of its words are such names. The page and its body are never
+named, its article only by a class of one such name, and an article's paragraphs and inline elements only by names for
+adverts. Of the tree's branches in an article only containers with a class
+or id go.
 
 The importance of a branch is linear in those beneath, so it is a sum over all nodes beneath of what each adds, times
 the weights on the way up: two aggregations by node, however deep the pages are. Counts are aggregated by (host, page,
@@ -30,6 +34,7 @@ rules: open paragraphs end where a block begins, unknown end tags are dropped.
 
 from __future__ import annotations
 
+import collections
 import html as entities
 import re
 
@@ -63,13 +68,18 @@ CONTAINERS = frozenset("div section ul ol dl table figure".split())
 #: Elements that are no article, and words in class or id that say so.
 NO_ARTICLE = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object svg canvas audio video dialog menu search label fieldset".split())
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsored banner sidebar cookie cookies consent notice notices comment comments replies respond "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer masthead related share social newsletter login popup pagination".split()
+    "ad ads advert adverts advertisement advertising sponsored promo banner sidebar cookie cookies consent notice notices comment comments replies respond "
+    "menu nav navbar navigation breadcrumb breadcrumbs footer masthead related share sharing social newsletter login popup modal pagination".split()
 )
+#: Those that also rule out an article's paragraphs, headings and inline elements; of other names these have their own use.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored promo".split())
 #: Words that may follow in a name: the last one before them tells what it is.
-HOLDERS = frozenset("area bar block box container inner list main panel section slot widget wrap wrapper".split())
-#: Elements that hold the page or its article; no word of theirs rules them out.
+HOLDERS = frozenset("area bar block box button buttons container content form group icons inner item items left links list main panel post posts right row section signup slot thread unit widget widgets wrap wrapper".split())
+#: Words that may come before in an id, and words of classes that speak of another element.
+BEFORE, OTHERS = frozenset("article blog page post reader readers site story the user".split()), frozenset("has hide is no show with without".split())
+#: Elements that hold the page or its article.
 WHOLE = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that say so outside of an article only.
 OUTER_NOISE = frozenset(["header", "topbar", "top"])
 
@@ -78,22 +88,26 @@ _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "path", "up", "out", "main", "branch", "children", "texts", "chars")
+    __slots__ = ("tag", "path", "up", "out", "main", "branch", "children", "texts", "chars", "again", "gone")
 
     def __init__(self, tag: str, path: str, out: bool, main: bool, branch: bool = False, up: _Node | None = None):
         self.tag, self.path, self.up, self.out, self.main, self.branch = tag, path, up, out, main, branch
         self.children: list[_Node] = []
         self.texts: list[int] = []
-        self.chars = 0
+        self.chars = self.again = 0
+        self.gone: bool | None = None
 
 
-def _called(tokens: set[str], names: frozenset[str]) -> bool:
-    """Whether a class or id ends in one of the names: site-footer and ad-slot do, menu-planning does not."""
-    for token in tokens:
-        words = _WORD.findall(token)
+def _called(classes: list[str], names: frozenset[str]) -> bool:
+    """Whether a class ends in one of the names: site-footer and ad-slot do, menu-planning and has-sidebar do not."""
+    for token in classes:
+        words = _WORD.findall(token.partition("--")[0])
+        if OTHERS.intersection(words):
+            continue
         while len(words) > 1 and words[-1] in HOLDERS:
             words.pop()
         if words and words[-1] in names:
@@ -101,43 +115,68 @@ def _called(tokens: set[str], names: frozenset[str]) -> bool:
     return False
 
 
-def _attributes(raw: str) -> tuple[str, set[str], set[str], bool]:
-    """Label, words and whole tokens of class, id and role, and whether the element is hidden."""
+def _identified(ids: list[str]) -> bool:
+    """Whether an id is such a name in all of its words: comments and site-footer are, menu-planning is not."""
+    for token in ids:
+        words = _WORD.findall(token)
+        if words and any(w in NOISE for w in words) and all(w in NOISE or w in HOLDERS or w in BEFORE for w in words):
+            return True
+    return False
+
+
+def _noise(tag: str, inside: bool, classes: list[str], ids: list[str]) -> bool:
+    if tag in ("html", "body"):
+        return False
+    if tag in WHOLE:
+        return bool(NOISE.intersection(classes))
+    if inside and tag not in CONTAINERS:
+        return _called(classes, ADVERTS)
+    return _called(classes, NOISE) or (tag in CONTAINERS and _identified(ids)) or (not inside and (tag == "header" or _called(classes, OUTER_NOISE) or (tag in CONTAINERS and bool(OUTER_NOISE.intersection(ids)))))
+
+
+def _attributes(raw: str) -> tuple[str, list[str], list[str], str, bool]:
+    """Label, classes, ids and role, and whether the element is hidden."""
     if not raw or ("=" not in raw and "hidden" not in raw.lower()):
-        return "", set(), set(), False
-    label, words, tokens, hidden = "", set(), set(), False
+        return "", [], [], "", False
+    label, found, hidden = "", {"class": [], "id": [], "role": []}, False
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         value, name = a or b or c, name.lower()
-        if name == "hidden":
+        if name == "hidden" or (name == "style" and _HIDDEN.search(value)):
             hidden = True
-        if name not in ("class", "id", "role"):
+        if name not in found:
             continue
         if name != "role":
             label += (".", "#")[name == "id"] + value.strip()
-        words |= {w.lower() for w in _WORD.findall(value)}
-        tokens.update(value.lower().split())
-    return label, words, tokens, hidden
+        found[name] += value.lower().split()
+    return label, found["class"], found["id"], " ".join(found["role"]), hidden
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node], bool]:
-    """Blocks (text, path, inside main, paths that may be removed) outside of what markup rules out, the nodes, and whether
-    the page has a main element."""
+def parse(page: str) -> tuple[list[tuple[str, _Node]], list[_Node], bool]:
+    """Blocks (text, the node that has it) outside of what markup rules out, the nodes, and whether the page has a main
+    element. Time is in proportion to the page, however deep it is."""
     root = _Node("", "", False, False)
     stack, nodes, blocks, buffer = [root], [], [], []
-    has_main, at, n = False, 0, len(page)
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
+    has_main, at, n, gt = False, 0, len(page), -1
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def flush():
         if buffer:
             text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
-            if text and not stack[-1].out:
-                blocks.append((text, stack[-1].path, stack[-1].main, [x.path for x in stack[1:] if x.branch or not x.main]))
-                stack[-1].texts.append(_node_id(text))
-                for x in stack:
-                    x.chars += len(text)
+            # What came before an inline element that is ruled out belongs to the element around it.
+            x = stack[-1] if stack[-1].tag in BLOCKS or stack[-1] is root else stack[-1].up
+            if text and not x.out:
+                blocks.append((text, x))
+                x.texts.append(_node_id(text))
+                x.chars += len(text)
 
     def close(k: int):
         flush()
+        for x in stack[k:]:
+            places[x.tag].pop()
         del stack[k:]
 
     while at < n:
@@ -148,6 +187,14 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
             buffer.append(page[at:lt])
         if lt == n:
             break
+        if gt < lt:
+            gt = page.find(">", lt)
+        if gt < 0 and not page.startswith("<!--", lt):  # no tag ends any more
+            nxt = page.find("<!--", lt)
+            if not stack[-1].out:
+                buffer.append(page[lt : nxt if nxt >= 0 else n])
+            at = nxt if nxt >= 0 else n
+            continue
         m = _TAG.match(page, lt)
         if not m:
             if not stack[-1].out:
@@ -159,58 +206,59 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, list[str]]], list[_Node
             continue
         if m[1]:
             if tag in BLOCKS:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+                k = nearest((tag,))
                 close(k) if k else flush()
             elif stack[-1].tag == tag:  # an inline element that rules itself out
-                close(len(stack) - 1)
+                if stack[-1].again:
+                    stack[-1].again -= 1
+                else:
+                    places[stack.pop().tag].pop()
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
-            gt = page.find(">", end.end()) if end else -1
-            at = gt + 1 if gt >= 0 else n
+            stop = page.find(">", end.end()) if end else -1
+            at = stop + 1 if stop >= 0 else n
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag in ("br", "wbr") and not stack[-1].out and tag == "br":
+            elif tag == "br" and not stack[-1].out:
                 buffer.append(" ")
             continue
+        if tag not in BLOCKS and stack[-1].tag == tag and not m[3].endswith("/"):
+            stack[-1].again += 1
+            continue
         if tag not in BLOCKS and tag not in NO_ARTICLE and not m[3]:
             continue
         if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ("p", "table", "td", "th", "article")), 0)
+            k = nearest(("p", "table", "td", "th", "article"))
             if k and stack[k].tag == "p":
                 close(k)
         if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPES[tag]:
-                    break
-                if stack[k].tag in ENDS[tag]:
-                    close(k)
-                    break
-        label, words, tokens, hidden = _attributes(m[3])
+            k = nearest([*ENDS[tag], *SCOPES[tag]])
+            if k and stack[k].tag in ENDS[tag]:
+                close(k)
+        label, classes, ids, role, hidden = _attributes(m[3])
         up = stack[-1]
-        if tag in WHOLE:
-            noise = False
-        elif up.main:  # a word of a heading's slug says nothing
-            noise = tag in CONTAINERS and bool(tokens & NOISE)
-        else:
-            noise = _called(tokens, NOISE)
-        out = up.out or hidden or tag in NO_ARTICLE or noise
-        main = up.main or ((tag in ("article", "main") or "main" in words and tag in ("div", "section")) and not out)
-        out = out or (not main and (tag == "header" or _called(tokens, OUTER_NOISE)) and tag not in ("html", "body"))
+        holds = tag in ("article", "main") or role == "main"
+        out = up.out or hidden or tag in NO_ARTICLE or _noise(tag, up.main, classes, ids)
+        main = up.main or (holds and not out)
         if tag not in BLOCKS and not (out and not up.out):
             continue  # plain inline markup
-        flush()
-        has_main |= main and tag in ("article", "main")
+        if tag in BLOCKS:
+            flush()
+        has_main |= main and holds
         node = _Node(tag, f"{up.path}/{tag}{label}" if len(stack) <= DEPTH else up.path, out, main, bool(label) and tag in CONTAINERS, up)
         up.children.append(node)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         if not out:
             nodes.append(node)
         if m[3].endswith("/") and tag not in BLOCKS:
-            close(len(stack) - 1)
+            places[stack.pop().tag].pop()
     flush()
+    for x in reversed(nodes):  # those beneath come after
+        x.up.chars += x.chars
     return blocks, nodes, has_main
 
 
@@ -230,7 +278,7 @@ def page_nodes(page: str) -> tuple[int, list[tuple]]:
     the latter together."""
     blocks, nodes, has_main = parse(page)
     total = sum(len(b[0]) for b in blocks) or 1
-    mark = _node_id("\n".join(b[0] for b in blocks if b[2] or not has_main))
+    mark = _node_id("\n".join(text for text, x in blocks if x.main or not has_main))
     merged: dict[str, list[_Node]] = {}
     for x in nodes:
         if x.chars:
@@ -243,7 +291,7 @@ def page_nodes(page: str) -> tuple[int, list[tuple]]:
         kids = [c.path for x in same for c in x.children if c.chars and c.path != path]
         texts = [t for x in same for t in x.texts]
         n = len(kids) + len(texts) or 1
-        each = {k: kids.count(k) / n for k in dict.fromkeys(kids)}
+        each = {k: c / n for k, c in collections.Counter(kids).items()}
         rows.append((chains[path][-1], chains[path], _node_id("|".join(k.rpartition("/")[2] for k in kids)), [_node_id(k) for k in each], list(each.values()), len(texts) / n, sorted(set(texts)), sum(x.chars for x in same if x.up.path != path) / total))
     return mark, rows
 
@@ -305,16 +353,14 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, low: set[int]) -> str:
-    blocks, _, has_main = parse(page)
+    blocks, nodes, has_main = parse(page)
     known: dict[str, bool] = {}
-
-    def kept(paths):
-        for p in paths:
-            if p not in known:
-                known[p] = _node_id(p) in low
-        return not any(known[p] for p in paths)
-
-    return "\n".join(text for text, _, main, paths in blocks if (main or not has_main) and (not low or kept(paths)))
+    if low:
+        for x in nodes:  # those above come first
+            if x.path not in known:
+                known[x.path] = _node_id(x.path) in low
+            x.gone = bool(x.up.gone) or ((x.branch or not x.main) and known[x.path])
+    return "\n".join(text for text, x in blocks if (x.main or not has_main) and not x.gone)
 
 
 def _texts(batches):
