@@ -82,12 +82,13 @@ def confusion_ready(truth: Column, ready: Column, yes: Column) -> list[Column]:
     return [F.count_if(truth & ready & yes).alias("tp"), F.count_if(~truth & ready & yes).alias("fp"), F.count_if(~truth & ready & ~yes).alias("tn"), F.count_if(truth & ready & ~yes).alias("fn")]
 
 
-def multimodal(routed: DataFrame) -> DataFrame:
-    """Confusion of each routing mode against the truth of that mode."""
+def multimodal(routed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Confusion of each routing mode against the truth of that mode, in each group."""
+    by = by or []
     v, a = F.col("visual_ancestry"), F.col("audio_ancestry")
     truths = {"visual_only": v, "audio_only": a, "visual_or_audio": v | a, "visual_and_audio": v & a}
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), truths[m].alias("truth"), (F.col(m) == "supported").alias("yes")) for m in MODES])
-    return with_rates(routed.select(F.inline(modes)).groupBy("mode").agg(*confusion(F.col("truth"), F.col("yes"))))
+    return with_rates(routed.select(*by, F.inline(modes)).groupBy(*by, "mode").agg(*confusion(F.col("truth"), F.col("yes"))))
 
 
 def temporal_rows(claims: DataFrame) -> DataFrame:
@@ -136,14 +137,15 @@ def temporal_verdict_input(rows: DataFrame, by: list[str], issued: Column) -> Da
     return named(temporal_summary(rows, by), "all").join(named(temporal_summary(rows.where(issued), by), "issued"), by, "left")
 
 
-def modality_verdict(summaries: DataFrame, gates: dict[str, tuple[float, float]]) -> DataFrame:
-    """(modality, verdict, passed) from one row a method (method, has_point, correct_parent_rate, fpr): GO if some method
-    with an operating point passes its gates, on the qualification subset. Methods are V-... or A-...."""
+def modality_verdict(summaries: DataFrame, gates: dict[str, tuple[float, float]], methods: tuple[str, ...] = ("V-B", "V-C", "A-chromaprint"), by: list[str] | None = None) -> DataFrame:
+    """(by, modality, verdict, n_passed) from one row a method (method, has_point, correct_parent_rate, fpr): GO if one of the
+    methods that a verdict may rest on has an operating point and passes its gates, on the qualification subset. Baselines
+    and others don't count."""
     kind = F.substring("method", 1, 1)
     gate = lambda i: F.coalesce(*[F.when(kind == k, F.lit(g[i])) for k, g in gates.items()])
-    ok = F.coalesce(F.col("has_point") & (F.col("correct_parent_rate") >= gate(0)) & (F.col("fpr") <= gate(1)), F.lit(False))
-    out = summaries.groupBy(F.when(kind == "V", "visual").otherwise("audio").alias("modality")).agg(F.count_if(ok).alias("n_passed"))
-    return out.select("modality", F.when(F.col("n_passed") > 0, "GO").otherwise("NO-GO").alias("verdict"), "n_passed")
+    ok = F.coalesce(F.col("method").isin(*methods) & F.col("has_point") & (F.col("correct_parent_rate") >= gate(0)) & (F.col("fpr") <= gate(1)), F.lit(False))
+    out = summaries.groupBy(*(by or []), F.when(kind == "V", "visual").otherwise("audio").alias("modality")).agg(F.count_if(ok).alias("n_passed"))
+    return out.select(*(by or []), "modality", F.when(F.col("n_passed") > 0, "GO").otherwise("NO-GO").alias("verdict"), "n_passed")
 
 
 def overall_verdict(visual: Column, audio: Column, alignment: Column, either_tpr: Column, single_tpr: Column, either_fpr: Column) -> Column:

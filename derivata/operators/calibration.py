@@ -170,6 +170,13 @@ def chosen_method(points: DataFrame, methods: tuple[str, ...] = ("V-B", "V-C"))
     return few.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("method", "threshold", "minimum_duration_s", "tpr", "fpr")
 
 
+def fusion_constituents(points: DataFrame, visual: tuple[str, ...] = ("V-B", "V-C"), audio: tuple[str, ...] = ("A-chromaprint",)) -> tuple[str, str, int] | None:
+    """The visual and the audio method to fuse and the duration that both qualify at, from operating points (a row a
+    method). None, as no fusion may be fitted, unless both modalities have one."""
+    best = [chosen_method(points, methods).first() for methods in (visual, audio)]
+    return None if None in best else (best[0].method, best[1].method, max(b.minimum_duration_s for b in best))
+
+
 def fused_rows(labels: DataFrame, visual: DataFrame, audio: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Labelled candidates once a weight, with score, margin, top_parent and status of the fused ranking of the parents
     that both methods verified (candidate, parent, score). weight is the visual one's."""
@@ -226,4 +233,4 @@ def chosen_fusion(trials: DataFrame) -> DataFrame:
     return trials.where("qualified").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-__all__ = ["candidate_thresholds", "chosen_fusion", "chosen_method", "distributions", "fused_rows", "held_out_fusion", "nearest_rank", "operating_curve", "operating_points", "overlap_hints", "running_sums", "select_threshold", "threshold_curve", "threshold_profile"]
+__all__ = ["candidate_thresholds", "chosen_fusion", "chosen_method", "distributions", "fused_rows", "fusion_constituents", "held_out_fusion", "nearest_rank", "operating_curve", "operating_points", "overlap_hints", "running_sums", "select_threshold", "threshold_curve", "threshold_profile"]

@@ -121,6 +121,43 @@ def without_revoked(authorizations: DataFrame, revocations: DataFrame) -> DataFr
     return authorizations.drop("revoked_at").join(first, "authorization_id", "left")
 
 
+def revoke(authorizations: DataFrame, revocations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Authorizations as they are after ``revocations`` (authorization_id, revoked_at), the events (kind, subject,
+    document) of those that changed, and the ids that are none. What is revoked already keeps its time and makes no event;
+    of several revocations the first counts. Rows and events belong in one commit (``streaming.ledger.record``)."""
+    first = revocations.where("authorization_id IS NOT NULL").groupBy("authorization_id").agg(F.min("revoked_at").alias("_at"))
+    both = authorizations.join(first, "authorization_id", "left")
+    after = both.withColumn("revoked_at", F.coalesce("revoked_at", "_at")).select(*authorizations.columns)
+    changed = both.where("revoked_at IS NULL AND _at IS NOT NULL")
+    document = F.to_json(F.struct(F.col("_at").alias("revoked_at")))
+    events = changed.select(F.lit("authorization_revoked").alias("kind"), F.col("authorization_id").alias("subject"), document.alias("document"))
+    return after, events, first.join(authorizations, "authorization_id", "left_anti").select("authorization_id")
+
+
+def verified_artifacts(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, content) of the ``wanted`` (digest) artifacts; an error if one's content is not that of its digest, or if it
+    is not there."""
+    fail = lambda why: F.raise_error(F.concat(F.lit(why), F.col("digest"))).cast("boolean")
+    found = wanted.select("digest").distinct().join(stored.select("digest", "content"), "digest", "left")
+    good = F.when(F.col("content").isNull(), fail("no artifact of ")).when(~F.col("digest").eqNullSafe(F.sha2("content", 256)), fail("not the content of ")).otherwise(True)
+    return found.where(good)
+
+
+def audit(results: DataFrame, artifacts: DataFrame, recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """What a report's audit says, as rows (topic, key, n): results (partition, status) by partition and status, artifacts
+    (digest, content) that were checked and those that are damaged, files (name, sha256) that are not as recorded, and
+    whether all passed (n is 1)."""
+    row = lambda df, topic, key, n: df.select(F.lit(topic).alias("topic"), key.cast("string").alias("key"), n.cast("bigint").alias("n"))
+    states = results.groupBy("partition", "status").agg(F.count("*").alias("n"))
+    out = row(states, "results", F.concat_ws("/", "partition", "status"), F.col("n"))
+    bad = damaged(artifacts).agg(F.count("*").alias("damaged"))
+    changed = recorded.select("name", F.col("sha256").alias("r")).join(current.select("name", F.col("sha256").alias("c")), "name", "full_outer").where(~F.col("r").eqNullSafe(F.col("c"))).agg(F.count("*").alias("changed"))
+    one = artifacts.agg(F.count("*").alias("checked")).crossJoin(bad).crossJoin(changed)  # one row each
+    passed = ((F.col("damaged") == 0) & (F.col("changed") == 0)).cast("int")
+    facts = F.array(*[F.struct(F.lit(t).alias("topic"), n.cast("bigint").alias("n")) for t, n in (("artifacts_checked", F.col("checked")), ("artifacts_damaged", F.col("damaged")), ("files_changed", F.col("changed")), ("passed", passed))])
+    return out.unionByName(one.select(F.inline(facts)).select("topic", F.lit(None).cast("string").alias("key"), "n"))
+
+
 def lineage(children: DataFrame, derivatives: DataFrame, assets: DataFrame, authorizations: DataFrame, at: Column) -> DataFrame:
     """(child, parent_id, authorization_id, state) of registered derivations of each child at a time.
 

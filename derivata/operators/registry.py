@@ -111,6 +111,21 @@ def derive(requests: DataFrame, assets: DataFrame, authorizations: DataFrame, se
     return out.select("derivative_id", "parent_id", "child_sha256", "authorization_id", "envelope"), judged.where("reason IS NOT NULL").select(*requests.columns, "reason")
 
 
+def review(decisions: DataFrame, checked: DataFrame, seed: bytes, at: str) -> tuple[DataFrame, DataFrame]:
+    """New review records, and refused decisions with a reason, from (candidate_id, reviewer, visual_state, audio_state,
+    explanation). A record names the digest of the receipt that was reviewed; it changes no other claim."""
+    from ..plans.methods import valid_review
+
+    known = decisions.join(checked.select("candidate_id", F.col("sha256").alias("_media"), digest_column(F.col("receipt")).alias("_receipt")), "candidate_id", "left")
+    states = valid_review(F.col("visual_state"), F.col("explanation")) & valid_review(F.col("audio_state"), F.col("explanation"))
+    reason = F.when(F.col("_receipt").isNull(), "unknown_candidate").when(~states, "state_or_explanation").when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "no_reviewer")
+    judged = known.withColumn("reason", reason)
+    good = judged.where("reason IS NULL").withColumn("review_id", _id("review", "candidate_id", "reviewer", "visual_state", "audio_state", "explanation", "_receipt")).dropDuplicates(["review_id"])
+    payload = _payload("review_receipt", review_id=F.col("review_id"), candidate_id=F.col("candidate_id"), candidate_sha256=F.col("_media"), verification_receipt_sha256=F.col("_receipt"), reviewer_assertion=F.trim("reviewer"), visual_state=F.col("visual_state"), audio_state=F.col("audio_state"), explanation=F.trim("explanation"), reviewed_at=F.lit(at))
+    out = good.withColumn("receipt", signed(payload, seed))
+    return out.select("review_id", "candidate_id", "visual_state", "audio_state", "receipt"), judged.where("reason IS NOT NULL").select(*decisions.columns, "reason")
+
+
 def lineage_records(children: DataFrame, derivatives: DataFrame, assets: DataFrame, authorizations: DataFrame, trusted: str, at: str) -> DataFrame:
     """(child_sha256, derivative_id, parent_id, manifest_sha256, authorization_id, record_sha256) of the sound derivations
     of each child. The record must name child, parent and the digest of the parent's manifest as it is; authorization_id

@@ -110,6 +110,23 @@ def separable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEPARABLE = f"""{SCORED}, easy AS (SELECT * REPLACE ('evaluated' AS status, 'evaluated' AS row_status, CASE WHEN truth THEN 55 + candidate_id * 7 % 45 ELSE candidate_id * 37 % 57 + CASE WHEN candidate_id % 97 = 0 THEN 40 ELSE 0 END END / 100.0::DOUBLE AS score) FROM scored)"""
 
+def fusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one visual and one audio method, each by its own ancestry (the audio one differs for every eleventh
+    candidate), with scores that mostly tell the classes apart and few close margins."""
+    d = F.col("candidate_id")
+    rows = scored(spark, sf_dir).where("method IN ('V-C', 'A-chromaprint')").withColumn("audio_ancestry", F.col("visual_ancestry") != (d % 11 == 0))
+    visual = F.col("method") == "V-C"
+    truth = F.when(visual, F.col("visual_ancestry")).otherwise(F.col("audio_ancestry"))
+    score = F.when(truth, 55 + F.when(visual, d * 7).otherwise(d * 11) % 45).otherwise(F.when(visual, d * 37).otherwise(d * 53) % 57 + F.when(d % 97 == 0, 40).otherwise(0)) / F.lit(100.0)
+    margin = F.when(d % 17 != 0, ((d * 13 + F.when(visual, 2).otherwise(3)) % 20 + 4) / F.lit(100.0))
+    return rows.withColumns({"truth": truth, "status": F.lit("evaluated"), "row_status": F.lit("evaluated"), "score": score, "margin": margin})
+
+
+FUSABLE = f"""{SCORED}, mixed AS (SELECT * REPLACE (visual_ancestry <> (candidate_id % 11 = 0) AS audio_ancestry) FROM scored WHERE method IN ('V-C', 'A-chromaprint')),
+judged AS (SELECT * REPLACE (CASE WHEN method = 'V-C' THEN visual_ancestry ELSE audio_ancestry END AS truth) FROM mixed),
+fusable AS (SELECT * REPLACE ('evaluated' AS status, 'evaluated' AS row_status, CASE WHEN truth THEN 55 + CASE method WHEN 'V-C' THEN candidate_id * 7 ELSE candidate_id * 11 END % 45 ELSE CASE method WHEN 'V-C' THEN candidate_id * 37 ELSE candidate_id * 53 END % 57 + CASE WHEN candidate_id % 97 = 0 THEN 40 ELSE 0 END END / 100.0::DOUBLE AS score,
+  CASE WHEN candidate_id % 17 <> 0 THEN ((candidate_id * 13 + CASE method WHEN 'V-C' THEN 2 ELSE 3 END) % 20 + 4) / 100.0::DOUBLE END AS margin) FROM judged)"""
+
 THRESHOLD, MINIMUM = 0.6, 5
 
 DECIDED = f"""{SCORED},

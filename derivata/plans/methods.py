@@ -54,10 +54,12 @@ def verify(method: str, pairs: DataFrame) -> DataFrame:
 
 
 def leads(scores: DataFrame, methods: tuple[str, ...] = ("V-C", "A-chromaprint"), most: int = 5, blocks: int = 40) -> DataFrame:
-    """The first pairs of each candidate and method with a positive score, best first, with few blocks each."""
+    """The first pairs of each candidate and method with a positive score, with few blocks each, and their position among
+    all of the candidate's: by score, then parent, then method."""
     order = W.partitionBy("candidate", "method").orderBy(F.coalesce("score", F.lit(-1.0)).desc(), "parent")
     first = scores.where(F.col("method").isin(*methods)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return first.where("score > 0").withColumn("blocks", F.slice("blocks", 1, blocks))
+    among = W.partitionBy("candidate").orderBy(F.desc("score"), "parent", "method")
+    return first.where("score > 0").withColumns({"blocks": F.slice("blocks", 1, blocks), "position": F.row_number().over(among)})
 
 
 def valid_intervals(intervals: Column, duration: Column) -> Column:

@@ -63,15 +63,18 @@ def retrieval_margin(spark, d):
 
 @query(f"{_TOP}, t AS (SELECT a.id AS candidate, min(b.id) AS parent FROM hashes a JOIN hashes b ON a.label = b.label AND a.id % 100 = 0 AND b.id <> a.id GROUP BY a.id), h AS (SELECT t.candidate, min(top.rank) AS rank FROM t LEFT JOIN top ON top.candidate = t.candidate AND top.parent = t.parent GROUP BY t.candidate) SELECT k::BIGINT AS k, count(*) FILTER (WHERE rank <= k)::BIGINT AS hits, count(*)::BIGINT AS n FROM h, (VALUES (1), (5), (10)) ks(k) GROUP BY k")
 def retrieval_recall(spark, d):
-    h = fx.hashes(spark, d)
+    return retrieval.recall_at(_top(spark, d), _true_parents(fx.hashes(spark, d)))
+
+
+def _true_parents(h):
+    """(candidate, parent) of the queries: the least other id of the same label."""
     parent = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("parent")
-    truth = h.where("id % 100 = 0").join(retrieval.least_ids(h, "label"), "label").where("n > 1").select(F.col("id").alias("candidate"), parent)
-    return retrieval.recall_at(_top(spark, d), truth)
+    return h.where("id % 100 = 0").join(retrieval.least_ids(h, "label"), "label").where("n > 1").select(F.col("id").alias("candidate"), parent)
 
 
-@query(f"{_TOP}, t AS (SELECT DISTINCT candidate, parent FROM top WHERE rank <= 3 UNION SELECT id, 1::BIGINT FROM hashes WHERE id % 100 = 0) SELECT candidate, count(*)::BIGINT AS n_targets FROM t GROUP BY candidate")
+@query(f"{_TOP}, t AS (SELECT DISTINCT candidate, parent FROM top WHERE rank <= 3 UNION SELECT a.id, min(b.id) FROM hashes a JOIN hashes b ON a.label = b.label AND a.id % 100 = 0 AND b.id <> a.id GROUP BY a.id) SELECT candidate, count(*)::BIGINT AS n_targets FROM t GROUP BY candidate")
 def target_sets(spark, d):
-    truth = fx.hashes(spark, d).where("id % 100 = 0").select(F.col("id").alias("candidate"), F.lit(1).cast("bigint").alias("parent"))
+    truth = _true_parents(fx.hashes(spark, d))
     return retrieval.target_set(_top(spark, d), truth, 3).groupBy("candidate").agg(F.count("*").alias("n_targets"))
 
 
@@ -262,10 +265,14 @@ def method_choice(spark, d):
     return chosen.select("method", "threshold", F.col("minimum_duration_s").cast("bigint"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
-_TRIALS = f"""WITH {fx.SEPARABLE}, p AS (SELECT candidate_id AS c, k, CASE i WHEN 1 THEN top_parent ELSE identity || '-' || i END AS parent, (score - CASE k WHEN 'A' THEN candidate_id % 5 / 100.0::DOUBLE ELSE 0 END) / i AS score FROM easy, (VALUES (1), (2)) t(i), (VALUES ('V'), ('A')) u(k) WHERE method = 'V-C'),
+_POINTED = ", q AS (SELECT *, tp_correct_parent / nullif(positive_denominator, 0) AS tpr, fp / nullif(negative_available_denominator, 0) AS fpr FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY minimum_duration_s, tpr DESC, fpr, threshold DESC) AS n FROM q WHERE minimum_duration_s >= 5 AND negative_available_denominator = negative_expected_denominator AND CASE WHEN method LIKE 'V-%' THEN tpr >= 0.7 AND fpr <= 0.02 ELSE tpr >= 0.75 AND fpr <= 0.015 END)"
+_BOTH = _OPERATING.replace(fx.SCORED, fx.FUSABLE).replace("FROM scored s,", "FROM fusable s,") + _POINTED
+#: Fusion of the visual and the audio method, at the duration that both qualify at; nothing unless both have a point.
+_TRIALS = f"""WITH {fx.FUSABLE}, dur AS (SELECT max(minimum_duration_s) AS d, count(*) AS n FROM ({_BOTH} SELECT * FROM k WHERE n = 1)),
+p AS (SELECT candidate_id AS c, left(method, 1) AS k, CASE i WHEN 1 THEN top_parent ELSE identity || '-' || i END AS parent, score / i AS score FROM fusable, (VALUES (1), (2)) t(i)),
 f AS (SELECT w, v.c, v.parent, w * v.score + (1 - w) * a.score AS score FROM p v JOIN p a ON a.c = v.c AND a.parent = v.parent AND v.k = 'V' AND a.k = 'A', (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(w)),
 r AS (SELECT *, score - lead(score) OVER o AS margin, row_number() OVER o AS n FROM f WINDOW o AS (PARTITION BY w, c ORDER BY score DESC, parent)),
-e AS (SELECT r.w, b.identity, r.score AS x, coalesce(r.margin < 0.05, false) AS close, b.visual_ancestry AS t, r.parent = b.expected_parent AS good, coalesce(observed_duration_s, length_s) >= 5 AS long FROM easy b JOIN r ON r.c = b.candidate_id AND r.n = 1 WHERE b.method = 'V-C' AND b.length_s >= 5),
+e AS (SELECT r.w, b.identity, r.score AS x, coalesce(r.margin < 0.05, false) AS close, b.visual_ancestry OR b.audio_ancestry AS t, r.parent = b.expected_parent AS good, coalesce(observed_duration_s, length_s) >= (SELECT d FROM dur) AS long FROM fusable b JOIN r ON r.c = b.candidate_id AND r.n = 1 WHERE b.method = 'V-C' AND b.length_s >= (SELECT d FROM dur) AND (SELECT n FROM dur) = 2),
 h AS (SELECT DISTINCT identity AS held FROM e UNION ALL SELECT NULL),
 th AS (SELECT DISTINCT w, held, x FROM e JOIN h ON held IS NULL OR held <> identity UNION SELECT w, held, y FROM (SELECT DISTINCT w FROM e), h, (VALUES (-0.000001::DOUBLE), (1.000001::DOUBLE)) y(y)),
 k AS (SELECT th.w, th.held, th.x, count(*) FILTER (WHERE e.x >= th.x AND long AND NOT close AND t AND good) AS tp, count(*) FILTER (WHERE e.x >= th.x AND long AND NOT close AND NOT t) AS fp, count(*) FILTER (WHERE t) AS np, count(*) FILTER (WHERE NOT t) AS nn FROM th JOIN e ON e.w = th.w AND (th.held IS NULL OR e.identity <> th.held) GROUP BY ALL),
@@ -275,12 +282,17 @@ SELECT o.w AS weight, o.tp::BIGINT AS held_out_tp, o.np::BIGINT AS held_out_posi
 
 
 def _trials(spark, d):
-    """Fusion of the rows' visual scores with scores a little lower, as audio ones of the same ancestry."""
-    rows = fx.separable(spark, d).where("method = 'V-C'").withColumn("audio_ancestry", F.col("visual_ancestry"))
-    parents = lambda x: F.array(F.struct(F.col("top_parent").alias("parent"), x.alias("score")), F.struct(F.concat("identity", F.lit("-2")).alias("parent"), (x / 2).alias("score")))
-    pairs = lambda x: rows.select(F.col("candidate_id").alias("candidate"), F.inline(parents(x)))
-    fused = calibration.fused_rows(rows, pairs(F.col("score")), pairs(F.col("score") - F.col("candidate_id") % 5 / 100))
-    return calibration.held_out_fusion(fused, 5)
+    """Fusion of the visual and the audio method's scores of the parents that both verified. Refused, so empty, unless both
+    have an operating point."""
+    rows = fx.fusable(spark, d)
+    chosen = calibration.fusion_constituents(calibration.operating_points(calibration.operating_curve(rows)), visual=("V-C",))
+    visual, audio, duration = chosen or ("V-C", "A-chromaprint", 5)
+    parents = F.array(F.struct(F.col("top_parent").alias("parent"), F.col("score").alias("score")), F.struct(F.concat("identity", F.lit("-2")).alias("parent"), (F.col("score") / 2).alias("score")))
+    of = lambda method: rows.where(F.col("method") == method)
+    pairs = lambda method: of(method).select(F.col("candidate_id").alias("candidate"), F.inline(parents))
+    fused = calibration.fused_rows(of(visual), pairs(visual), pairs(audio))
+    trials = calibration.held_out_fusion(fused, duration)
+    return trials if chosen else trials.where("false")
 
 
 @query(_TRIALS)
@@ -390,29 +402,33 @@ def temporal_verdict(spark, d):
     return s.select(F.col("g").cast("bigint"), *[F.round(c, 6).alias(n) for c, n in named.items()], F.col("issued_n_several").alias("n_several"), F.col("issued_n_false_continuous").alias("n_false_continuous"), "verdict")
 
 
-_VERDICTS = f"""{_ROUTED.replace(fx.DECIDED, fx.DECIDED.replace(fx.SCORED, fx.SEPARABLE).replace("END AS reason FROM scored)", "END AS reason FROM easy)"))},
-q AS (SELECT * FROM states WHERE length_s >= 5 AND NOT (method LIKE 'V-%' AND truth AND severity = 'harsh')),
-m AS (SELECT method, count(*) FILTER (WHERE truth AND state = 'supported' AND parent = expected_parent) / nullif(count(*) FILTER (WHERE truth), 0) AS c, count(*) FILTER (WHERE NOT truth AND state = 'supported') / nullif(count(*) FILTER (WHERE NOT truth AND processing = 'evaluated'), 0) AS f FROM q GROUP BY method),
-mv AS (SELECT coalesce(bool_or(c >= 0.7 AND f <= 0.02) FILTER (WHERE method LIKE 'V-%'), false) AS v, coalesce(bool_or(c >= 0.75 AND f <= 0.015) FILTER (WHERE method LIKE 'A-%'), false) AS a FROM m),
-x AS (SELECT count(*) FILTER (WHERE va AND v = 'supported') / count(*) FILTER (WHERE va) AS vtp, count(*) FILTER (WHERE aa AND a = 'supported') / count(*) FILTER (WHERE aa) AS atp, count(*) FILTER (WHERE (va OR aa) AND o = 'supported') / count(*) FILTER (WHERE va OR aa) AS otp, count(*) FILTER (WHERE NOT (va OR aa) AND o = 'supported') / nullif(count(*) FILTER (WHERE NOT (va OR aa)), 0) AS ofp FROM routed),
-al AS (SELECT unnest(['GO', 'CAUTION', 'NO-GO']) AS alignment)"""
+_VERDICTS = f"""WITH {fx.FUSABLE}, has AS ({_BOTH} SELECT method FROM k WHERE n = 1), th AS (SELECT unnest([0.3, 0.5, 0.56, 0.8]::DOUBLE[]) AS t),
+dec AS (SELECT f.*, th.t, CASE WHEN coalesce(observed_duration_s, length_s) < {fx.MINIMUM} OR score < th.t THEN 'insufficient' WHEN margin < 0.05 THEN 'AMBIGUOUS' ELSE 'supported' END AS state FROM fusable f, th),
+m AS (SELECT t, method, count(*) FILTER (WHERE truth AND state = 'supported' AND top_parent = expected_parent) / nullif(count(*) FILTER (WHERE truth), 0) AS c, count(*) FILTER (WHERE NOT truth AND state = 'supported') / nullif(count(*) FILTER (WHERE NOT truth), 0) AS f FROM dec WHERE length_s >= 5 AND NOT (method LIKE 'V-%' AND truth AND severity = 'harsh') GROUP BY t, method),
+mv AS (SELECT t, coalesce(bool_or(c >= 0.7 AND f <= 0.02 AND method IN (SELECT method FROM has)) FILTER (WHERE method = 'V-C'), false) AS v, coalesce(bool_or(c >= 0.75 AND f <= 0.015 AND method IN (SELECT method FROM has)) FILTER (WHERE method = 'A-chromaprint'), false) AS a FROM m GROUP BY t),
+rt AS (SELECT v.t, v.visual_ancestry AS va, v.audio_ancestry AS aa, v.state = 'supported' AS vs, a.state = 'supported' AS sa FROM dec v JOIN dec a ON a.candidate_id = v.candidate_id AND a.t = v.t AND v.method = 'V-C' AND a.method = 'A-chromaprint'),
+x AS (SELECT t, count(*) FILTER (WHERE va AND vs) / nullif(count(*) FILTER (WHERE va), 0) AS vtp, count(*) FILTER (WHERE aa AND sa) / nullif(count(*) FILTER (WHERE aa), 0) AS atp, count(*) FILTER (WHERE (va OR aa) AND (vs OR sa)) / nullif(count(*) FILTER (WHERE va OR aa), 0) AS otp, count(*) FILTER (WHERE NOT (va OR aa) AND (vs OR sa)) / nullif(count(*) FILTER (WHERE NOT (va OR aa)), 0) AS ofp FROM rt GROUP BY t),
+al AS (SELECT g, verdict AS alignment FROM ({_TEMPORAL} SELECT g, verdict FROM v))"""
 
 
-@query(f"{_VERDICTS} SELECT alignment, CASE WHEN mv.v THEN 'GO' ELSE 'NO-GO' END AS visual, CASE WHEN mv.a THEN 'GO' ELSE 'NO-GO' END AS audio, round(otp, 6) AS either_tpr, round(greatest(vtp, atp), 6) AS single_tpr, round(ofp, 6) AS either_fpr, CASE WHEN (NOT mv.v AND NOT mv.a) OR alignment = 'NO-GO' THEN 'CORE NO-GO' WHEN alignment = 'GO' AND mv.v AND mv.a AND otp > greatest(vtp, atp) AND coalesce(ofp, 0) <= 0.02 THEN 'STRONG GO' WHEN alignment = 'GO' AND (mv.v OR mv.a) THEN 'CORE GO' ELSE 'CAUTION' END AS overall FROM mv, x, al")
+@query(f"{_VERDICTS} SELECT g::BIGINT AS g, mv.t AS threshold, alignment, CASE WHEN mv.v THEN 'GO' ELSE 'NO-GO' END AS visual, CASE WHEN mv.a THEN 'GO' ELSE 'NO-GO' END AS audio, round(otp, 6) AS either_tpr, round(greatest(vtp, atp), 6) AS single_tpr, round(ofp, 6) AS either_fpr, CASE WHEN (NOT mv.v AND NOT mv.a) OR alignment = 'NO-GO' THEN 'CORE NO-GO' WHEN alignment = 'GO' AND mv.v AND mv.a AND otp > greatest(vtp, atp) AND coalesce(ofp, 0) <= 0.02 THEN 'STRONG GO' WHEN alignment = 'GO' AND (mv.v OR mv.a) THEN 'CORE GO' ELSE 'CAUTION' END AS overall FROM mv JOIN x ON x.t = mv.t, al")
 def overall_verdict(spark, d):
-    """The verdict for each outcome of alignment, by the modalities' verdicts and routing on the separable rows."""
-    decided = fx.separable(spark, d).withColumn("decision", decisions.decision(F.lit(fx.THRESHOLD), F.lit(fx.MINIMUM)))
+    """The verdict at each of four thresholds: by the operating points that calibration finds, the modalities' rates and
+    routing at the threshold, and the alignment verdict of each of the temporal groups."""
+    rows = fx.fusable(spark, d)
+    points = calibration.operating_points(calibration.operating_curve(rows)).select("method", F.lit(True).alias("has_point"))
+    decided = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.56, 0.8))))).withColumn("decision", decisions.decision(F.col("threshold"), F.lit(fx.MINIMUM)))
     subset = decided.where(F.col("length_s") >= 5).where(~(F.col("method").startswith("V-") & F.col("truth") & (F.col("severity") == "harsh")))
-    rates = accounting.summary(subset, ["method"]).select("method", F.lit(True).alias("has_point"), F.try_divide("correct_parent", "positive_expected").alias("correct_parent_rate"), "fpr")
-    modal = accounting.modality_verdict(rates, calibration.GATES).groupBy().agg(*[F.max(F.when(F.col("modality") == m, F.col("verdict"))).alias(m) for m in ("visual", "audio")])
-    v = decided.where("method = 'V-C'").select("candidate_id", "visual_ancestry", "audio_ancestry", F.col("decision").alias("v"))
-    a = decided.where("method = 'A-chromaprint'").select("candidate_id", F.col("decision").alias("a"))
-    routed = v.join(a, "candidate_id").select("candidate_id", "visual_ancestry", "audio_ancestry", *decisions.route(F.col("v"), F.col("a")))
+    rates = accounting.summary(subset, ["threshold", "method"]).join(points, "method", "left").select("threshold", "method", F.coalesce("has_point", F.lit(False)).alias("has_point"), F.try_divide("correct_parent", "positive_expected").alias("correct_parent_rate"), "fpr")
+    modal = accounting.modality_verdict(rates, calibration.GATES, by=["threshold"]).groupBy("threshold").agg(*[F.max(F.when(F.col("modality") == m, F.col("verdict"))).alias(m) for m in ("visual", "audio")])
+    v = decided.where("method = 'V-C'").select("threshold", "candidate_id", "visual_ancestry", "audio_ancestry", F.col("decision").alias("v"))
+    a = decided.where("method = 'A-chromaprint'").select("threshold", "candidate_id", F.col("decision").alias("a"))
+    routed = v.join(a, ["threshold", "candidate_id"]).select("threshold", "candidate_id", "visual_ancestry", "audio_ancestry", *decisions.route(F.col("v"), F.col("a")))
     of = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c)))
-    modes = accounting.multimodal(routed).groupBy().agg(of("visual_or_audio", "tpr").alias("either_tpr"), F.greatest(of("visual_only", "tpr"), of("audio_only", "tpr")).alias("single_tpr"), of("visual_or_audio", "fpr").alias("either_fpr"))
-    one = modal.crossJoin(modes).withColumn("alignment", F.explode(F.array(*map(F.lit, ("GO", "CAUTION", "NO-GO")))))  # one row each
+    modes = accounting.multimodal(routed, ["threshold"]).groupBy("threshold").agg(of("visual_or_audio", "tpr").alias("either_tpr"), F.greatest(of("visual_only", "tpr"), of("audio_only", "tpr")).alias("single_tpr"), of("visual_or_audio", "fpr").alias("either_fpr"))
+    one = modal.join(modes, "threshold").crossJoin(temporal_verdict(spark, d).select("g", F.col("verdict").alias("alignment")))  # a few rows each
     verdict = accounting.overall_verdict(*[F.col(c) for c in ("visual", "audio", "alignment", "either_tpr", "single_tpr", "either_fpr")])
-    return one.select("alignment", "visual", "audio", *[F.round(c, 6).alias(c) for c in ("either_tpr", "single_tpr", "either_fpr")], verdict.alias("overall"))
+    return one.select("g", "threshold", "alignment", "visual", "audio", *[F.round(c, 6).alias(c) for c in ("either_tpr", "single_tpr", "either_fpr")], verdict.alias("overall"))
 
 
 _FIRST = f"""WITH {fx.SCORED}, w AS (SELECT v.candidate_id AS id, v.row_status, v.visual_ancestry AS va, v.audio_ancestry AS aa, v.score AS vs, a.score AS sa, v.top_parent, v.expected_parent, v.margin FROM scored v JOIN scored a ON a.candidate_id = v.candidate_id AND v.method = 'V-C' AND a.method = 'A-chromaprint'),
@@ -421,7 +437,7 @@ x AS (SELECT *, row_status = 'evaluated' AS ready, CASE WHEN margin < 0.08 THEN
 
 @query(f"""{_FIRST}, c AS (SELECT count(*) FILTER (WHERE ready AND here AND vs IS NOT NULL) AS vn, count(*) FILTER (WHERE ready AND here AND der AND va AND vs >= 0.6) AS vtp, count(*) FILTER (WHERE ready AND here AND NOT (der AND va) AND vs >= 0.6) AS vfp, count(*) FILTER (WHERE ready AND here AND NOT (der AND va) AND vs < 0.6) AS vtn, count(*) FILTER (WHERE ready AND here AND der AND va AND vs < 0.6) AS vfn,
 count(*) FILTER (WHERE ready AND here AND der AND aa AND sa >= 0.7) AS atp, count(*) FILTER (WHERE ready AND here AND NOT (der AND aa) AND sa >= 0.7) AS afp, count(*) FILTER (WHERE NOT ready) AS failed, count(*) FILTER (WHERE ready AND disposition = 'AMBIGUOUS') AS amb, count(*) FILTER (WHERE ready AND here AND der) AS nd, count(*) FILTER (WHERE ready AND here AND der AND top_parent = expected_parent) AS hit FROM x)
-SELECT vn::BIGINT AS visual_n, vtp::BIGINT AS visual_tp, vfp::BIGINT AS visual_fp, vtn::BIGINT AS visual_tn, vfn::BIGINT AS visual_fn, round(vtp / (vtp + vfn), 6) AS visual_tpr, round(vfp / (vfp + vtn), 6) AS visual_fpr, round(vtp / (vtp + vfp), 6) AS visual_precision, round(2 * vtp / (2 * vtp + vfp + vfn), 6) AS visual_f1, atp::BIGINT AS audio_tp, afp::BIGINT AS audio_fp, failed::BIGINT AS n_failed_all_partitions, amb::BIGINT AS n_ambiguous_all_partitions, nd::BIGINT AS n_derivative, round(hit / nd, 6) AS recall_at_1, 'PASS' AS harness FROM c""")
+SELECT vn::BIGINT AS visual_n, vtp::BIGINT AS visual_tp, vfp::BIGINT AS visual_fp, vtn::BIGINT AS visual_tn, vfn::BIGINT AS visual_fn, round(vtp / (vtp + vfn), 6) AS visual_tpr, round(vfp / (vfp + vtn), 6) AS visual_fpr, round(vtp / (vtp + vfp), 6) AS visual_precision, round(2 * vtp / (2 * vtp + vfp + vfn), 6) AS visual_f1, atp::BIGINT AS audio_tp, afp::BIGINT AS audio_fp, failed::BIGINT AS n_failed_all_partitions, amb::BIGINT AS n_ambiguous_all_partitions, nd::BIGINT AS n_derivative, round(hit / nd, 6) AS recall_at_1, CASE WHEN (rate IS NULL AND rows = 0) OR vtp + vfn < 3 THEN 'CAUTION' ELSE 'PASS' END AS harness FROM c, (SELECT rows, rate FROM ({_TEMPORAL} SELECT count(*) AS rows, count(*) FILTER (WHERE several AND valid AND one) / nullif(count(*) FILTER (WHERE several), 0) AS rate FROM q))""")
 def first_evaluation(spark, d):
     s = fx.scored(spark, d)
     audio = s.where("method = 'A-chromaprint'").select("candidate_id", F.col("score").alias("audio_score"))
@@ -432,7 +448,12 @@ def first_evaluation(spark, d):
         "visual_ancestry", "audio_ancestry", F.col("score").alias("visual_score"), "audio_score", "top_parent", F.col("expected_parent").alias("true_parent"),
     )
     out = accounting.first_evaluation(rows, F.lit(0.6), F.lit(0.7))
-    harness = accounting.harness_verdict(F.lit(1), F.lit(0.1), F.col("visual_tp") + F.col("visual_fn"), F.lit("TOLERANCE_REPRODUCIBLE"))
+    # The harness: its temporal rows, and two runs over the same table.
+    temporal = accounting.temporal_summary(accounting.temporal_rows(_claims(spark, d)), []).select(F.col("n").alias("n_temporal"), F.try_divide("n_false_continuous", "n_several").alias("false_continuous_rate"))
+    run = s.where("method = 'V-C'").select("candidate_id", "status", F.sha2(F.concat_ws("|", "candidate_id", "score"), 256).alias("digest"), "score")
+    again = run.withColumn("score", F.col("score") + F.when(F.col("candidate_id") % 50 == 0, 1e-9).otherwise(0.0))
+    out = out.crossJoin(temporal).crossJoin(accounting.compare_runs(run, again, "candidate_id").select("reproducibility"))  # one row each
+    harness = accounting.harness_verdict(F.col("n_temporal"), F.col("false_continuous_rate"), F.col("visual_tp") + F.col("visual_fn"), F.col("reproducibility"))
     whole = [f"visual_{k}" for k in ("n", "tp", "fp", "tn", "fn")]
     return out.select(*whole, *[F.round(f"visual_{k}", 6).alias(f"visual_{k}") for k in ("tpr", "fpr", "precision", "f1")], "audio_tp", "audio_fp", "n_failed_all_partitions", "n_ambiguous_all_partitions", "n_derivative", F.round("recall_at_1", 6).alias("recall_at_1"), harness.alias("harness"))
 
@@ -862,3 +883,29 @@ def voted_frames(spark, d):
     # Candidates are a stated set, and all sequences are registered.
     pairs = _described(spark, d, 0.0, 1).select(F.col("seq").alias("src"), F.col("frames").alias("source")).crossJoin(_described(spark, d, _OFF, 4).select(F.col("seq").alias("cand"), F.col("frames").alias("candidate")))
     return features.voted_frames(pairs)
+
+
+@query("""WITH l AS (SELECT l.doc_id, CASE WHEN l.doc_id % 2 = 0 THEN 'evaluation' ELSE 'calibration' END || '/' || CASE WHEN l.doc_id % 29 = 0 THEN 'failed' ELSE 'evaluated' END AS key FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+f AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 97 = 0) AS bad, count(*) FILTER (WHERE doc_id % 101 = 0) AS gone FROM documents)
+SELECT 'results' AS topic, key, count(*)::BIGINT AS n FROM l GROUP BY key UNION ALL SELECT 'artifacts_checked', NULL, n FROM f UNION ALL SELECT 'artifacts_damaged', NULL, bad FROM f UNION ALL SELECT 'files_changed', NULL, gone FROM f UNION ALL SELECT 'passed', NULL, (bad + gone = 0)::BIGINT FROM f""")
+def audit_report(spark, d):
+    """An audit of results, of artifacts of which some are spoilt, and of a file list that has lost some."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fx.scored(spark, d).where("method = 'V-C'").select(F.when(F.col("candidate_id") % 2 == 0, "evaluation").otherwise("calibration").alias("partition"), F.col("row_status").alias("status"))
+    artifacts = docs.select(F.sha2("text", 256).alias("digest"), F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    files = docs.select(F.col("doc_id").alias("name"), F.sha2("text", 256).alias("sha256"))
+    return evidence.audit(rows, artifacts, files, files.where("name % 101 <> 0"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN '2020-01-01' WHEN s_suppkey % 3 = 0 THEN '2024-01-01' END AS revoked_at, (s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0)::BIGINT AS events, 0::BIGINT AS unknown FROM supplier
+UNION ALL SELECT -1 - s_suppkey, NULL, 0, 1 FROM supplier WHERE s_suppkey % 4 = 0""")
+def revocations(spark, d):
+    """Suppliers' authorizations, a fifth of them revoked before; a third is revoked, twice each, and ids that are none."""
+    key = F.col("s_suppkey")
+    known = fx.table(spark, d, "supplier").select(key.alias("authorization_id"), F.when(key % 5 == 0, "2020-01-01").alias("revoked_at"))
+    dates = F.array(F.lit("2024-01-01"), F.lit("2024-02-01"))
+    asked = known.select(F.when(F.col("authorization_id") % 3 == 0, F.col("authorization_id")).alias("a"), F.when(F.col("authorization_id") % 4 == 0, -1 - F.col("authorization_id")).alias("b")).select(F.explode(F.array("a", "b")).alias("authorization_id")).where("authorization_id IS NOT NULL").withColumn("revoked_at", F.explode(dates))
+    after, events, unknown = evidence.revoke(known, asked)
+    n = events.select(F.col("subject").alias("authorization_id")).groupBy("authorization_id").agg(F.count("*").alias("events"))
+    out = after.join(n, "authorization_id", "left").select(F.col("authorization_id").alias("id"), "revoked_at", F.coalesce("events", F.lit(0)).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("unknown"))
+    return out.unionByName(unknown.select(F.col("authorization_id").alias("id"), F.lit(None).cast("string").alias("revoked_at"), F.lit(0).cast("bigint").alias("events"), F.lit(1).cast("bigint").alias("unknown")))

@@ -127,3 +127,10 @@ def test_methods_and_leads(spark):
     iv = lambda *x: F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in x])
     got = spark.range(1).select(methods.valid_intervals(iv((0, 2)), F.lit(5.0)), methods.valid_intervals(iv((0, 6)), F.lit(5.0)), methods.valid_review(F.lit("insufficient"), F.lit(" ")), methods.valid_period(F.lit(1), F.lit(2))).first()
     assert tuple(got) == (True, False, False, True)
+
+
+def test_leads_have_one_order(spark):
+    rows = [("c", "V-C", "b", 0.5), ("c", "V-C", "a", 0.5), ("c", "A-chromaprint", "a", 0.5), ("c", "A-chromaprint", "z", 0.9)]
+    df = spark.createDataFrame(rows, "candidate string, method string, parent string, score double").withColumn("blocks", F.array(F.lit(1)))
+    got = methods.leads(df).orderBy("position").collect()
+    assert [(r.parent, r.method, r.position) for r in got] == [("z", "A-chromaprint", 1), ("a", "A-chromaprint", 2), ("a", "V-C", 3), ("b", "V-C", 4)]

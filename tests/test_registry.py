@@ -125,3 +125,32 @@ def test_listings(spark):
     got = registry.newest(rows).collect()
     assert len(got) == 50 and [(r.created_at, r.candidate_id) for r in got[:3]] == [("2026-01-28", "k027"), ("2026-01-28", "k055"), ("2026-01-27", "k026")]
     assert [r.candidate_id for r in registry.listing(rows, "candidate_id", created_at="2026-01-01").collect()] == ["k000", "k028", "k056"]
+
+
+def test_revoking_makes_one_event_and_names_unknown_ids(spark):
+    known = spark.createDataFrame([("a", None), ("b", "2020"), ("c", None)], "authorization_id string, revoked_at string")
+    after, events, unknown = evidence.revoke(known, spark.createDataFrame([("a", "2025"), ("a", "2024"), ("b", "2024"), ("x", "2024"), (None, "2024")], "authorization_id string, revoked_at string"))
+    assert sorted(map(tuple, after.collect()), key=str) == [("a", "2024"), ("b", "2020"), ("c", None)]
+    assert [tuple(r) for r in events.collect()] == [("authorization_revoked", "a", '{"revoked_at":"2024"}')] and [r[0] for r in unknown.collect()] == ["x"]
+
+
+def test_artifacts_are_verified_when_read(spark):
+    stored = spark.createDataFrame([(sha("x"), "x"), (sha("y"), "z")], "digest string, content string")
+    ask = lambda *d: evidence.verified_artifacts(stored, spark.createDataFrame([(x,) for x in d], "digest string")).collect()
+    assert [r.content for r in ask(sha("x"), sha("x"))] == ["x"]
+    for digest, reason in ((sha("y"), "not the content"), (sha("n"), "no artifact")):
+        with pytest.raises(Exception, match=reason):
+            ask(digest)
+
+
+def test_reviews_are_records_of_their_own(spark, world, stored):
+    done = stored(checked(spark, world))
+    kind = "candidate_id string, reviewer string, visual_state string, audio_state string, explanation string"
+    asked = spark.createDataFrame([("k4", " R ", "reviewed_support", "ambiguous", "seen"), ("k9", "R", "insufficient", "insufficient", "x"), ("k1", "R", "proved", "insufficient", "x"), ("k2", "R", "insufficient", "insufficient", " "), ("k3", " ", "insufficient", "insufficient", "x")], kind)
+    made, refused = registry.review(asked, done, SEED, AT)
+    row = made.first()
+    payload = json.loads(row.receipt)["payload"]
+    assert made.count() == 1 and payload["reviewer_assertion"] == "R" and payload["candidate_sha256"] == sha("new") and signatures.sound(json.loads(row.receipt), PEM)
+    assert payload["verification_receipt_sha256"] == sha(done.where("candidate_id = 'k4'").first().receipt)
+    assert {(r.candidate_id, r.reason) for r in refused.collect()} == {("k9", "unknown_candidate"), ("k1", "state_or_explanation"), ("k2", "state_or_explanation"), ("k3", "no_reviewer")}
+    assert states(checked(spark, world, reviews=made))["k4"][2] == "reviewed_support"
