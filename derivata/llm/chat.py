@@ -16,8 +16,8 @@ and a conversation of any length is never gathered. A turn is
 Control strings inside a role or text get a backslash after their first character, a backslash is doubled, and a line
 feed in a role gets one before it; so no text can end its turn, and unescaping gives back every character.
 
-Null roles, texts and turn numbers: empty, empty and first. Turns of one number follow by role and text; repeated
-rows are repeated turns. A null conversation id is a conversation like any other.
+Null roles, texts and turn numbers: empty, empty and first. Turns of one number follow by their formatted text; repeated
+rows are repeated turns. Conversation ids are of any type; a null one is a conversation like any other.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def canonical_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
 
     Empty parts of a fixed layout (no input, no system text) make no turn or line; a list may be null or empty."""
     turns = _turns(layout_of(field_paths(df.schema)), lambda c: F.col(f"`{c}`"))
-    return df.select(F.col(f"`{id_col or 'conv_id'}`").cast("bigint").alias("conv_id"), F.inline(turns))
+    return df.select(F.col(f"`{id_col or 'conv_id'}`").alias("conv_id"), F.inline(turns))
 
 
 #: What the mappings read of a record.
@@ -142,7 +142,7 @@ def unknown_layouts(df: DataFrame, json_col: str, id_col: str = "conv_id") -> Da
 
 def _fingerprinted(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """(conv_id, json, paths, layout): each record's sorted field paths, and the fingerprint of the layout they select."""
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("conv_id"), F.col(f"`{json_col}`").alias("json"))
+    rows = df.select(F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{json_col}`").alias("json"))
     lists = [each for each, _, _ in (m["list"] for m in LAYOUTS.values() if "list" in m)]
     outer = F.filter(_keys_of(F.col("json")), lambda k: ~k.isin("conv_id", *lists))
     inner = [_keys_of(F.get_json_object("json", f"$.{each}[0]"), f"{each}[].") for each in lists]
@@ -208,12 +208,18 @@ class _Running:
         return self.conv, self.turns, self.said.hexdigest(), self.learnt, self.loss.hexdigest(), self.chars
 
 
-_DIGEST = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+_DIGEST = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
 
 def _digest_batches(batches):
-    now, done = None, []
+    now, done, own = None, [], pa.null()
+
+    def rows():
+        kinds = [("conv_id", own), *_DIGEST]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*done, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
     for batch in batches:
+        own = batch.schema.field("conv_id").type
         for conv, piece, start, end in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
             if now is None or now.conv != conv:
                 if now:
@@ -221,10 +227,11 @@ def _digest_batches(batches):
                 now = _Running(conv)
             now.add(piece, start, end)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*done, strict=True), _DIGEST, strict=True)], names=[n for n, _ in _DIGEST])
+            yield rows()
             done = []
     if now:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(now.row(), _DIGEST, strict=True)], names=[n for n, _ in _DIGEST])
+        done = [now.row()]
+        yield rows()
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
@@ -234,4 +241,5 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     disk if need be; of each conversation only the running digests are in memory."""
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(_digest_batches, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    own = formatted.schema["conv_id"].dataType.simpleString()
+    return ordered.mapInArrow(_digest_batches, f"conv_id {own}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -100,6 +100,7 @@ def _blocks(kind: str, rank_of: np.ndarray):
     def run(batches):
         held: list[tuple] = []
         size = place = 0
+        own = pa.null()
 
         def block():
             nonlocal held, size, place
@@ -107,9 +108,10 @@ def _blocks(kind: str, rank_of: np.ndarray):
             control, data = pack(rank_of[ids])
             row = [[held[0][3]], [place], [[x[0] for x in held]], [[x[1] for x in held]], [control], [data]]
             held, size, place = [], 0, place + size
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["part", "place", "doc_ids", "lengths", "control", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.list_(own), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["part", "place", "doc_ids", "lengths", "control", "data"])
 
         for batch in batches:
+            own = batch.schema.field("k").type
             for row in zip(*(batch.column(n).to_pylist() for n in ("k", "n", "raw", "part")), strict=True):
                 held.append(row)
                 size += row[1]
@@ -122,13 +124,15 @@ def _blocks(kind: str, rank_of: np.ndarray):
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
-    """Encode every text (null: empty), end each with ``end_id``, and write the dataset to ``folder``."""
+    """Encode every text (null: empty), end each with ``end_id``, and write the dataset to ``folder``.
+    Ids of any type that has an order keep it; nulls come first, and repeated ids are in the order of their texts' lengths."""
     path = path or bpe.default_path()
     spark = docs.sparkSession
     size = max(bpe.library(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = _width(size)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text"))
-    coded, coded_path = cut(rows.mapInArrow(_encode(path, end_id), "k bigint, n bigint, raw binary"), "coded")
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = rows.schema["k"].dataType.simpleString()
+    coded, coded_path = cut(rows.mapInArrow(_encode(path, end_id), f"k {own}, n bigint, raw binary"), "coded")
     counts = coded.select("raw").mapInArrow(_tally(kind), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     # No more rows than the vocabulary has ids.
     ranked = [r.id for r in counts.orderBy(F.desc("n"), "id").limit(size).collect()]
@@ -137,7 +141,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = coded.repartitionByRange(n, "k", "n", F.xxhash64("raw")).sortWithinPartitions("k", "n", F.xxhash64("raw")).withColumn("part", F.spark_partition_id())
-    write(ordered.mapInArrow(_blocks(kind, rank_of), "part int, place bigint, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"), f"{folder}/ids")
+    write(ordered.mapInArrow(_blocks(kind, rank_of), f"part int, place bigint, doc_ids array<{own}>, lengths array<bigint>, control binary, data binary"), f"{folder}/ids")
     blocks = spark.read.parquet(f"{folder}/ids")
     write(blocks.groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n_ids")).coalesce(1), f"{folder}/parts")
     drop(spark, coded_path)
@@ -146,10 +150,11 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def _decoded(id_of: np.ndarray, digests: bool):
     def run(batches):
         for batch in batches:
+            own = batch.schema.field("doc_ids").type.value_type
             for start, docs, lengths, control, data in zip(*(batch.column(n).to_pylist() for n in ("start", "doc_ids", "lengths", "control", "data")), strict=True):
                 ids = id_of[unpack(control, data, sum(lengths))]
                 cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                columns = [pa.array(docs, pa.int64()), pa.array(start + cuts[:-1]), pa.array(np.diff(cuts))]
+                columns = [pa.array(docs, own), pa.array(start + cuts[:-1]), pa.array(np.diff(cuts))]
                 if digests:
                     raw = memoryview(ids.astype("<u4").tobytes())
                     columns.append(pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.int64()))
@@ -176,9 +181,11 @@ def read_tokens(spark: SparkSession, folder: str, digests: bool = False) -> Data
         total += r.n_ids
     # One row a write task, so small enough to broadcast.
     first = F.broadcast(spark.createDataFrame(starts, "part int, first bigint"))
-    placed = spark.read.parquet(f"{folder}/ids").join(first, "part").withColumn("start", F.col("first") + F.col("place"))
+    blocks = spark.read.parquet(f"{folder}/ids")
+    own = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    placed = blocks.join(first, "part").withColumn("start", F.col("first") + F.col("place"))
     last = "ids_crc32 bigint" if digests else "ids array<int>"
-    return placed.select("start", "doc_ids", "lengths", "control", "data").mapInArrow(_decoded(id_of, digests), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
+    return placed.select("start", "doc_ids", "lengths", "control", "data").mapInArrow(_decoded(id_of, digests), f"doc_id {own}, start bigint, n_tokens bigint, {last}")
 
 
 def token_file_digests(docs: DataFrame, folder: str | None = None) -> DataFrame:
