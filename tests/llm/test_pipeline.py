@@ -87,5 +87,5 @@ def test_run_gives_what_the_stages_give(spark, tiny, stages):
 
 def test_every_operator_has_a_query():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and set(queries.oracle_sql()) <= set(names)
     assert all(isinstance(v, str) for v in queries.oracle_sql().values()) and oracle.OP1
