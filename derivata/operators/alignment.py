@@ -1,7 +1,10 @@
-"""Sequence alignment over arrays of hashes; each pair of sequences is one row, and all work stays in the row."""
+"""Sequence alignment over arrays of hashes; each pair of sequences is one row, and all work stays in the row. For sources
+of any length see :mod:`long_alignment`."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,46 +97,82 @@ def coarse_score(candidate: Column, source: Column) -> Column:
     return F.when((F.size(candidate) > 0) & (F.size(source) > 0), F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(candidate)).otherwise(F.lit(0.0))
 
 
+#: Frames of a block, and by a block's length the weights of its appearance and change sums (of 32nds) and their scale:
+#: .7 of the mean appearance and .3 of the mean change, in whole numbers, so that equal scores are equal.
+BLOCK = 3
+WEIGHTS = {1: (1, 0, 32), 2: (7, 6, 640), 3: (14, 9, 1920)}
+#: Frames that are compared at a time.
+HELD = 1 << 22
+
+
+def warp_kernel(c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, offset, speed) of the best place of each block, for pairs of candidates (k, n) and sources (k, m): the
+    first speed, and for it the first offset, of the greatest value. value is in units of the block's scale, -1 where no
+    place is long enough. All pairs and offsets of a block and speed are one comparison."""
+    k, n = c.shape
+    blocks = -(-n // BLOCK)
+    value, offset, which = np.full((k, blocks), -1, np.int64), np.zeros((k, blocks), np.int64), np.zeros((k, blocks), np.int64)
+    likeness = lambda x: np.maximum(0, 32 - np.bitwise_count(x.view(np.uint64)).astype(np.int64)).sum(axis=2)
+    for b in range(blocks):
+        mine = c[:, None, b * BLOCK : b * BLOCK + BLOCK]
+        look, move, _ = WEIGHTS[mine.shape[2]]
+        for j, speed in enumerate(SPEEDS):
+            at = np.rint(np.arange(mine.shape[2]) * speed).astype(int)
+            room = s.shape[1] - int(at[-1])
+            if room <= 0:
+                continue
+            frames = s[:, np.arange(room)[:, None] + at[None, :]]
+            total = look * likeness(frames ^ mine)
+            if move:
+                total += move * likeness((frames[:, :, 1:] ^ frames[:, :, :-1]) ^ (mine[:, :, 1:] ^ mine[:, :, :-1]))
+            first = total.argmax(axis=1)
+            found = total[np.arange(k), first]
+            better = found > value[:, b]
+            value[better, b], offset[better, b], which[better, b] = found[better], first[better], j
+    return value, offset, which
+
+
+_PLACES = "array<struct<lo: int, length: int, best: struct<score: double, offset: int, speed: double>>>"
+
+
+def _places(candidates: pd.Series, sources: pd.Series) -> pd.Series:
+    out: list = [None] * len(candidates)
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for i, (c, s) in enumerate(zip(candidates, sources, strict=True)):
+        if c is not None and s is not None and len(c) and len(s):
+            sizes.setdefault((len(c), len(s)), []).append(i)
+    for (n, m), rows in sizes.items():
+        step = max(1, HELD // (BLOCK * m))
+        for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+            value, offset, which = warp_kernel(*(np.stack([np.asarray(x.iloc[i], np.int64) for i in part]) for x in (candidates, sources)))
+            for r, i in enumerate(part):
+                out[i] = []
+                for b in range(value.shape[1]):
+                    length = min(BLOCK, n - BLOCK * b)
+                    best = {"score": float(value[r, b]) / WEIGHTS[length][2], "offset": int(offset[r, b]), "speed": SPEEDS[which[r, b]]} if value[r, b] >= 0 else None
+                    out[i].append({"lo": BLOCK * b, "length": length, "best": best})
+    return pd.Series(out, dtype=object)
+
+
 def warped(pairs: DataFrame, source_seconds: str = "source_s", candidate_seconds: str = "candidate_s") -> DataFrame:
-    """``pairs`` with score, status and blocks of a speed-warped alignment by blocks of three frames.
+    """``pairs`` with score, status, places (of each block) and blocks of a speed-warped alignment by blocks of three
+    frames.
 
     Each block is tried at each speed and offset; its score is the mean appearance similarity, and for longer blocks
     .3 of it the similarity of frame-to-frame changes. The clip's score is the mean over frames, damped for sequences
-    of few distinct frames; blocks of .55 or more are kept and joined at close seams."""
+    of few distinct frames; blocks of .55 or more are kept and joined at close seams. Pairs of equal sizes are compared
+    together, as stacked arrays."""
     c, s = F.col("candidate"), F.col("source")
-    n, m = F.size(c), F.size(s)
-    sim = lambda x: F.greatest(F.lit(0.0), 1 - F.bit_count(x) / F.lit(32.0))
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / F.size(x)
-
-    def score(lo: Column, length: Column, off: Column, speed: float) -> Column:
-        at = lambda i: F.get(s, off + F.rint(i * F.lit(speed)).cast("int"))
-        mine = lambda i: F.get(c, lo + i)
-        steps = F.sequence(F.lit(0), length - 1)
-        look = mean(F.transform(steps, lambda i: sim(mine(i).bitwiseXOR(at(i)))))
-        change = lambda i: sim(mine(i).bitwiseXOR(mine(i - 1)).bitwiseXOR(at(i).bitwiseXOR(at(i - 1))))
-        moves = F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), change)
-        return F.when(length > 1, F.lit(0.7) * look + F.lit(0.3) * mean(moves)).otherwise(look)
-
-    def block(k: Column) -> Column:
-        lo, length = k * 3, F.least(F.lit(3), n - k * 3)
-
-        def tried(j: int, speed: float) -> Column:
-            last = F.rint((length - 1) * F.lit(speed)).cast("int")
-            return F.transform(_offsets(m - last), lambda off: F.struct((-score(lo, length, off, speed)).alias("cost"), F.lit(j).alias("order"), off.alias("offset"), F.lit(speed).alias("speed")))
-
-        tries = [tried(j, speed) for j, speed in enumerate(SPEEDS)]
-        return F.struct(lo.alias("lo"), length.alias("length"), F.array_min(F.concat(*tries)).alias("best"))
-
-    ready = (n > 0) & (m > 0)
-    df = pairs.withColumn("_b", F.when(ready, F.transform(_offsets(F.ceil(n / 3).cast("int")), block)))
+    ready = F.coalesce((F.size(c) > 0) & (F.size(s) > 0), F.lit(False))
+    df = pairs.withColumn("places", F.pandas_udf(_places, _PLACES)(c, s))
     info = F.least(F.lit(1.0), F.greatest(F.lit(0), F.size(F.array_distinct(c)) - 1) / 2)
-    total = F.aggregate("_b", F.lit(0.0), lambda t, b: t + F.greatest(F.lit(0.0), F.coalesce(-b["best"]["cost"], F.lit(0.0))) * b["length"])
+    total = F.aggregate("places", F.lit(0.0), lambda t, b: t + F.coalesce(b["best"]["score"], F.lit(0.0)) * b["length"])
     pair = lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
     kept = F.transform(
-        F.filter("_b", lambda b: -b["best"]["cost"] >= 0.55),
+        F.filter("places", lambda b: F.coalesce(b["best"]["score"] >= 0.55, F.lit(False))),
         lambda b: F.struct(
             pair(b["best"]["offset"], F.least(F.col(source_seconds), b["best"]["offset"] + b["length"] * b["best"]["speed"])).alias("source"),
             pair(b["lo"], F.least(F.col(candidate_seconds), (b["lo"] + b["length"]).cast("double"))).alias("candidate"),
         ),
     )
-    return df.select(*pairs.columns, F.when(ready, total / n * info).alias("score"), F.when(ready, "evaluated").otherwise("not_evaluated").alias("status"), F.when(ready, iv.merge_blocks(kept)).alias("blocks"))
+    return df.select(*pairs.columns, F.when(ready, total / F.size(c) * info).alias("score"), F.when(ready, "evaluated").otherwise("not_evaluated").alias("status"), "places", F.when(ready, iv.merge_blocks(kept)).alias("blocks"))

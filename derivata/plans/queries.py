@@ -144,10 +144,32 @@ def frame_matrix(spark, d):
     return fx.pairs(spark, d).select("cand", "src", F.round(alignment.coarse_score(F.col("candidate"), F.col("source")), 6).alias("score"))
 
 
-@query()
+#: A clip is eight frames of a sequence from place seq % 4 on, at one of four speeds, every third of them with other bits.
+_WARPED = f"""WITH {fx.HASHES}, f AS (SELECT id // {fx.FRAMES} AS seq, row_number() OVER (PARTITION BY id // {fx.FRAMES} ORDER BY id) - 1 AS pos, hash FROM hashes),
+c AS (SELECT f.seq, i, CASE WHEN i % 3 = 2 THEN xor(hash, 4095::UBIGINT) ELSE hash END AS hash, count(*) OVER (PARTITION BY f.seq) AS n FROM (SELECT unnest(range(8)) AS i) t JOIN f ON f.pos = f.seq % 4 + round_even(i * [0.75, 1.0, 1.25, 1.5][f.seq // 4 % 4 + 1], 0)),
+u AS (SELECT seq AS cand, seq + d AS src, n FROM (SELECT DISTINCT seq, n FROM c), (VALUES (0), (1)) t(d) WHERE seq + d IN (SELECT seq FROM f)),
+sp AS (SELECT * FROM (VALUES (0, 0.75), (1, 1.0), (2, 1.25), (3, 1.5)) t(j, speed)),
+k AS (SELECT u.cand, u.src, u.n, b, least(3, u.n - 3 * b) AS len, j, speed, o FROM u, (SELECT unnest(range(3)) AS b) bs, sp, (SELECT unnest(range({fx.FRAMES})) AS o) os WHERE 3 * b < u.n),
+l AS (SELECT k.*, x.i, x.hash AS mine, y.hash AS theirs, lag(x.hash) OVER w AS mine0, lag(y.hash) OVER w AS theirs0 FROM k JOIN c x ON x.seq = k.cand AND x.i BETWEEN 3 * b AND 3 * b + len - 1 JOIN f y ON y.seq = k.src AND y.pos = o + round_even((x.i - 3 * b) * speed, 0) WINDOW w AS (PARTITION BY k.cand, k.src, b, j, o ORDER BY x.i)),
+val AS (SELECT cand, src, n, b, len, j, speed, o, CASE len WHEN 3 THEN 14 WHEN 2 THEN 7 ELSE 1 END * sum(greatest(0, 32 - bit_count(xor(mine, theirs)))) + CASE len WHEN 3 THEN 9 WHEN 2 THEN 6 ELSE 0 END * coalesce(sum(greatest(0, 32 - bit_count(xor(xor(mine, mine0), xor(theirs, theirs0))))), 0) AS value FROM l GROUP BY cand, src, n, b, len, j, speed, o HAVING count(*) = len),
+p AS (SELECT *, value / CASE len WHEN 3 THEN 1920.0::DOUBLE WHEN 2 THEN 640 ELSE 32 END AS score FROM val QUALIFY row_number() OVER (PARTITION BY cand, src, b ORDER BY value DESC, j, o) = 1),
+i AS (SELECT seq, least(1, (count(DISTINCT hash) - 1) / 2) AS info FROM c GROUP BY seq)"""
+
+
+@query(f"{_WARPED} SELECT u.cand, u.src, round(coalesce(sum(score * len), 0) / u.n * any_value(info), 9) AS score, count(*) FILTER (WHERE score >= 0.55)::INTEGER AS n_kept, coalesce(string_agg(3 * b || ':' || o || ':' || (speed * 100)::INTEGER, ' ' ORDER BY b) FILTER (WHERE score >= 0.55), '') AS places FROM u JOIN i ON i.seq = u.cand LEFT JOIN p ON p.cand = u.cand AND p.src = u.src GROUP BY u.cand, u.src, u.n")
 def warped_alignment(spark, d):
-    p = fx.pairs(spark, d).withColumns({"source_s": F.size("source").cast("double"), "candidate_s": F.size("candidate").cast("double")})
-    return alignment.warped(p).select("cand", "src", F.round("score", 9).alias("score"), "status", F.size("blocks").alias("n_blocks"))
+    """Every sequence's clip against its own sequence and the next one."""
+    s = fx.sequences(spark, d)
+    speed = F.element_at(F.array(*map(F.lit, alignment.SPEEDS)), (F.floor(F.col("seq") / 4) % 4 + 1).cast("int"))
+    at = lambda i: (F.col("seq") % 4 + F.rint(i * speed)).cast("int")
+    frame = lambda i: F.when(i % 3 == 2, F.get("frames", at(i)).bitwiseXOR(F.lit(4095))).otherwise(F.get("frames", at(i)))
+    clip = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), frame), lambda h: h.isNotNull())
+    clips = s.select(F.col("seq").alias("cand"), clip.alias("candidate"), F.explode(F.array(F.col("seq"), F.col("seq") + 1)).alias("src")).where(F.size("candidate") > 0)
+    pairs = clips.join(s.select(F.col("seq").alias("src"), F.col("frames").alias("source")), "src")
+    out = alignment.warped(pairs.withColumns({"source_s": F.size("source").cast("double"), "candidate_s": F.size("candidate").cast("double")}))
+    kept = F.filter("places", lambda b: F.coalesce(b["best"]["score"] >= 0.55, F.lit(False)))
+    named = F.transform(kept, lambda b: F.concat_ws(":", b["lo"].cast("string"), b["best"]["offset"].cast("string"), (b["best"]["speed"] * 100).cast("int").cast("string")))
+    return out.select("cand", "src", F.round("score", 9).alias("score"), F.size(kept).alias("n_kept"), F.array_join(named, " ").alias("places"))
 
 
 @query("SELECT a.vec_id AS id, round(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
