@@ -16,7 +16,7 @@ from ..operators import accounting, alignment, calibration, decisions, evidence,
 from ..operators import long_alignment as long
 from ..operators.design import design, first_candidates, zipped_intervals
 from ..functions.shared import new_folder
-from ..sources import readers
+from ..sources import readers, sinks
 from ..streaming import ledger, scoring
 from . import fixtures as fx
 from . import methods
@@ -931,3 +931,14 @@ def revocations(spark, d):
     n = events.select(F.col("subject").alias("authorization_id")).groupBy("authorization_id").agg(F.count("*").alias("events"))
     out = after.join(n, "authorization_id", "left").select(F.col("authorization_id").alias("id"), "revoked_at", F.coalesce("events", F.lit(0)).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("unknown"))
     return out.unionByName(unknown.select(F.col("authorization_id").alias("id"), F.lit(None).cast("string").alias("revoked_at"), F.lit(0).cast("bigint").alias("events"), F.lit(1).cast("bigint").alias("unknown")))
+
+
+@query("SELECT DISTINCT sha256(text) AS digest, length(text)::BIGINT AS n_chars FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL")
+def digest_store(spark, d):
+    """All texts in a store by digest, put twice, and those of the asked documents read back and verified."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    store = sinks.DigestStore(spark, new_folder(spark, "digest-store"), buckets=8)
+    store.put(docs)
+    store.put(docs)
+    asked = docs.where("doc_id % 100 = 0").select(F.sha2("content", 256).alias("digest")).where("digest IS NOT NULL")
+    return store.get(asked).select("digest", F.length("content").cast("bigint").alias("n_chars"))

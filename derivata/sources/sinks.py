@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, digest_of
+from ..functions.shared import exists
 from ..operators.evidence import new_artifacts
 from . import commits
 
@@ -50,16 +53,86 @@ def with_own_digest(document: dict, field: str = "sha256") -> dict:
     return {**rest, field: digest_of(rest)}
 
 
+def _count(seen: Observation) -> int:
+    """What was observed; where rows turn out to be none while the job runs, Spark drops the plan with its observation."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
+def _appended(rows: DataFrame, path: str) -> int:
+    """Append rows to a table by prefix of their digests; how many, counted as they are written."""
+    seen = Observation()
+    counted = rows.withColumn("prefix", F.substring("digest", 1, 2)).observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    return _count(seen)
+
+
 def put_artifacts(incoming: DataFrame, path: str) -> int:
     """Append artifacts (content) that are not stored yet to a table by digest; returns how many."""
     spark = incoming.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    stored = spark.read.parquet(path).select("digest") if there else spark.createDataFrame([], "digest string")
-    fresh = new_artifacts(incoming, stored).selectExpr("digest", "content", "substr(digest, 1, 2) AS prefix")
-    before = stored.count()
-    fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
-    return spark.read.parquet(path).count() - before
+    stored = spark.read.parquet(path).select("digest") if exists(spark, path) else spark.createDataFrame([], "digest string")
+    return _appended(new_artifacts(incoming, stored).select("digest", "content"), path)
+
+
+class DigestStore:
+    """A content-addressed store in ``buckets`` buckets of digests, at a path of its own.
+
+    The stored side of every join by digest is read bucket by bucket as it lies: no shuffle moves it, however large it is;
+    only what is asked for goes to its buckets. Rows are sorted in each file. The store is a table of the session's
+    catalog; :meth:`compact` puts the files of many puts together into one a bucket, in a new folder that a commit names."""
+
+    def __init__(self, spark: SparkSession, path: str, content: str = "string", buckets: int = 200):
+        self.spark, self.path = spark, path
+        now = commits.state(spark, path)
+        if not now.version:
+            first = {"buckets": buckets, "content": content, "folder": f"files/{uuid.uuid4().hex}"}
+            now = commits.commit(spark, path, lambda s: None if s.version else commits.Change(head=first, reason="store"))
+        self._open(now.head)
+
+    def _open(self, head: dict) -> None:
+        self.buckets, self.content, self.folder = head["buckets"], head["content"], head["folder"]
+        self.name = f"digests_{hashlib.sha256(f'{self.path}/{self.folder}'.encode()).hexdigest()[:24]}"
+        location = f"{self.path}/{self.folder}".replace("'", "")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, content {self.content}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'")
+
+    def rows(self) -> DataFrame:
+        """(digest, content) of all that is stored."""
+        return self.spark.table(self.name)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "digest").select("digest", "content")
+
+    def put(self, incoming: DataFrame) -> int:
+        """Add contents (content) that are not stored yet; how many, counted as they are written. One writer at a time."""
+        seen = Observation()
+        named = incoming.where("content IS NOT NULL").select(F.sha2("content", 256).alias("digest"), "content").dropDuplicates(["digest"])
+        fresh = self._dealt(named).join(self.rows().select("digest").hint("merge"), "digest", "left_anti").select("digest", "content")
+        fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.name)
+        return _count(seen)
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        """(digest, content) of the ``wanted`` digests that are stored; an error if a content is not that of its digest."""
+        asked = wanted.select("digest").distinct()
+        found = self.rows().join(asked.hint("shuffle_merge"), "digest", "left_semi")
+        spoilt = F.raise_error(F.concat(F.lit("not the content of "), F.col("digest"))).cast("boolean")
+        return found.where(F.when(F.col("digest") == F.sha2("content", 256), True).otherwise(spoilt))
+
+    def compact(self) -> int:
+        """Rewrite the store as one file a bucket; the number of files before."""
+        before = len(self.rows().inputFiles())
+        # By its path: of a bucketed table, Spark takes the repartitioning for done, and then reads it unbucketed.
+        old = self.spark.read.schema(self.rows().schema).parquet(f"{self.path}/{self.folder}")
+
+        def change(now: commits.State) -> commits.Change:
+            head = {**now.head, "folder": f"files/{uuid.uuid4().hex}"}
+            self._open(head)
+            self._dealt(old).write.insertInto(self.name)
+            return commits.Change(head=head, reason="compact")
+
+        commits.commit(self.spark, self.path, change)
+        return before
 
 
 def append_journal(rows: DataFrame, path: str) -> None:
@@ -83,15 +156,12 @@ def persist_media(staged: DataFrame, path: str) -> int:
     """Append staged files to a content-addressed table (digest, size_bytes, content), each content once; how many were
     new. A file whose bytes are not those of its digest is an error."""
     spark = staged.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    there = exists(spark, path)
     kind = "digest string, size_bytes bigint, content binary"
     stored = spark.read.schema(kind + ", prefix string").parquet(path).select("digest") if there else spark.createDataFrame([], "digest string")
     right = F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not the bytes of "), F.col("sha256"))).cast("binary"))
     rows = staged.select(F.col("sha256").alias("digest"), "size_bytes", right.alias("content")).dropDuplicates(["digest"]).join(stored, "digest", "left_anti")
-    before = stored.count()
-    rows.withColumn("prefix", F.substring("digest", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return _appended(rows, path)
 
 
 def export(rows: DataFrame, path: str, *order: str) -> DataFrame:

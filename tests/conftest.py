@@ -20,6 +20,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="derivata-test-"))
         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="derivata-test-"))
         .getOrCreate()
     )
