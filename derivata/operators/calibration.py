@@ -83,23 +83,32 @@ def threshold_curve(samples: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, F.col("x").alias("threshold"), "tp", "fp", fn.alias("fn"), tn.alias("tn"), recall.alias("tpr"), rate(fp, fp + tn).alias("fpr"), precision.alias("precision"), f1(precision, recall).alias("f1"))
 
 
-def select_threshold(curve: DataFrame, by: list[str], rule: str = "max_tpr_at_fpr_le_0.20", compat: bool = True) -> DataFrame:
-    """The curve's row that a rule chooses for each group; the lowest threshold wins ties.
+RULES = ("max_tpr_at_fpr_le_0.20", "max_f1", "youden")
+
+
+def select_thresholds(curve: DataFrame, by: list[str], rules: tuple[str, ...] = RULES, compat: bool = True) -> DataFrame:
+    """The curve's row that each rule chooses for each group, with the rule's name; the lowest threshold wins ties. All
+    rules are aggregated together, in one pass over the curve.
 
     ``compat`` ranks a false-positive rate of exactly 0 as 1, as the published results did; without it 0 is best."""
+    if unknown := [r for r in rules if r not in RULES]:
+        raise ValueError(f"unknown rule {unknown[0]!r}")
     fpr = F.coalesce(F.nullif("fpr", F.lit(0.0)), F.lit(1.0)) if compat else F.coalesce("fpr", F.lit(1.0))
     tpr = F.coalesce("tpr", F.lit(0.0))
-    within = (F.coalesce("fpr", F.lit(1.0)) <= 0.2).cast("int")
-    orders = {
-        "max_tpr_at_fpr_le_0.20": [within.desc(), F.when(within == 1, tpr).otherwise(-F.coalesce("fpr", F.lit(1.0))).desc(), F.when(within == 1, fpr).otherwise(-tpr)],
-        "max_f1": [F.coalesce("f1", F.lit(0.0)).desc()],
-        "youden": [(tpr - fpr).desc()],
+    within = F.coalesce("fpr", F.lit(1.0)) <= 0.2
+    first = {
+        "max_tpr_at_fpr_le_0.20": [~within, F.when(within, -tpr).otherwise(F.coalesce("fpr", F.lit(1.0))), F.when(within, fpr).otherwise(-tpr)],
+        "max_f1": [-F.coalesce("f1", F.lit(0.0))],
+        "youden": [fpr - tpr],
     }
-    if rule not in orders:
-        raise ValueError(f"unknown rule {rule!r}")
-    best = W.partitionBy(*by).orderBy(*orders[rule], "threshold")
-    name = F.when(within == 1, rule).otherwise("fallback_min_fpr") if rule.startswith("max_tpr") else F.lit(rule)
-    return curve.withColumn("rule", name).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    named = {r: F.when(within, r).otherwise("fallback_min_fpr") if r.startswith("max_tpr") else F.lit(r) for r in rules}
+    best = [F.min_by(F.struct(*[c for c in curve.columns if c not in by], named[r].alias("rule")), F.struct(*first[r], F.col("threshold"))).alias(f"_{i}") for i, r in enumerate(rules)]
+    return curve.groupBy(*by).agg(*best).select(*by, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(rules))])))
+
+
+def select_threshold(curve: DataFrame, by: list[str], rule: str = RULES[0], compat: bool = True) -> DataFrame:
+    """:func:`select_thresholds` for one rule."""
+    return select_thresholds(curve, by, (rule,), compat)
 
 
 def _judged(rows: DataFrame) -> DataFrame:

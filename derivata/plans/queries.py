@@ -257,8 +257,7 @@ b AS (SELECT modality, 'max_f1' AS rule, threshold, row_number() OVER (PARTITION
 SELECT modality, rule, threshold FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE n = 1""")
 def threshold_selection(spark, d):
     curve = calibration.threshold_curve(_samples(spark, d), ["modality"])
-    parts = [calibration.select_threshold(curve, ["modality"], r).select("modality", "rule", "threshold") for r in ("max_tpr_at_fpr_le_0.20", "max_f1", "youden")]
-    return parts[0].union(parts[1]).union(parts[2])
+    return calibration.select_thresholds(curve, ["modality"]).select("modality", "rule", "threshold")
 
 
 _OPERATING = f"""WITH {fx.SCORED}, e AS (SELECT s.*, dur FROM scored s, (VALUES (1), (2), (3), (5), (10), (15), (30)) t(dur) WHERE length_s >= dur AND NOT (method LIKE 'V-%' AND truth AND severity = 'harsh')),
