@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
@@ -52,6 +53,7 @@ def _beta_quantile(p: float, a: float, b: float) -> float:
     return (lo + hi) / 2
 
 
+@functools.lru_cache(1 << 16)
 def binomial_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float] | None:
     """Clopper-Pearson bounds; None for n = 0, exactly 0 and 1 at the edges."""
     if not n:

@@ -361,7 +361,13 @@ def binomial_fixed_points(spark, d):
     return rows.select("k", "n", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high"))
 
 
-@query()
+_HALVED = "list_reduce(list_prepend([0.0::DOUBLE, 1.0::DOUBLE], list_transform(range(64), lambda i: [0.0::DOUBLE, 1.0::DOUBLE])), lambda a, b: CASE WHEN {test} THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END)[1]"
+_TAIL = "list_sum(list_transform(range({a}, {b}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a[1] + a[2]) / 2) + (n - i) * ln(1 - (a[1] + a[2]) / 2))))"
+_LOW = _HALVED.format(test=_TAIL.format(a="k", b="n + 1") + " < 0.025")
+_HIGH = _HALVED.format(test=_TAIL.format(a="0", b="k + 1") + " > 0.025")
+
+
+@query(f"WITH {fx.DECIDED}, {_SUMMARY}, c AS (SELECT method, tp::BIGINT AS k, (tp + fn)::BIGINT AS n FROM s) SELECT method, round(CASE WHEN k = 0 THEN 0 ELSE {_LOW} END, 9) AS low, round(CASE WHEN k = n THEN 1 ELSE {_HIGH} END, 9) AS high FROM c")
 def binomial_intervals(spark, d):
     s = accounting.summary(_decided(spark, d), ["method"]).withColumn("i", binomial_interval_column(F.col("tp"), F.col("tp") + F.col("fn")))
     return s.select("method", F.round("i.low", 9).alias("low"), F.round("i.high", 9).alias("high"))
