@@ -329,9 +329,15 @@ def fusion_choice(spark, d):
 
 @query(f"""{_CURVE}, f AS (SELECT *, coalesce(nullif(fpr, 0), 1) AS odd FROM rates), k AS (SELECT modality, CASE WHEN fpr <= 0.2 THEN 'max_tpr_at_fpr_le_0.20' ELSE 'fallback_min_fpr' END AS selection_rule, threshold, row_number() OVER (PARTITION BY modality ORDER BY (fpr <= 0.2) DESC, CASE WHEN fpr <= 0.2 THEN tpr ELSE -fpr END DESC, CASE WHEN fpr <= 0.2 THEN odd ELSE -tpr END, threshold) AS n FROM f),
 o AS (SELECT modality, list_sort(list(score) FILTER (WHERE truth)) AS p, list_sort(list(score) FILTER (WHERE NOT truth)) AS q FROM s GROUP BY modality)
-SELECT o.modality, threshold, selection_rule, len(p)::BIGINT AS n_positive, len(q)::BIGINT AS n_negative, CASE WHEN p[len(p) // 2 + 1] <= q[len(q) // 2 + 1] THEN 'inverted_or_collapsed' WHEN len(list_filter(q, lambda x: x >= p[len(p) // 2 + 1])) / len(q) > 0.4 THEN 'high_overlap' WHEN len(list_filter(q, lambda x: x >= p[len(p) // 2 + 1])) / len(q) > 0.15 THEN 'moderate_overlap' ELSE 'low_overlap' END AS overlap_hint, true AS usable FROM o JOIN k ON k.modality = o.modality AND k.n = 1""")
+SELECT o.modality, threshold, selection_rule, len(p)::BIGINT AS n_positive, len(q)::BIGINT AS n_negative, CASE WHEN p[len(p) // 2 + 1] <= q[len(q) // 2 + 1] THEN 'inverted_or_collapsed' WHEN len(list_filter(q, lambda x: x >= p[len(p) // 2 + 1])) / len(q) > 0.4 THEN 'high_overlap' WHEN len(list_filter(q, lambda x: x >= p[len(p) // 2 + 1])) / len(q) > 0.15 THEN 'moderate_overlap' ELSE 'low_overlap' END AS overlap_hint, k.threshold IS NOT NULL AND len(p) > 0 AND len(q) > 0 AS usable FROM o JOIN k ON k.modality = o.modality AND k.n = 1
+UNION ALL SELECT 'positives', 0.0, 'fallback_min_fpr', count(*), 0, 'insufficient_data', false FROM scored WHERE method = 'V-C' AND truth AND score IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'unscored', NULL, NULL, 0, 0, 'insufficient_data', false FROM scored WHERE method = 'V-C' HAVING count(*) > 0""")
 def threshold_profile(spark, d):
-    return calibration.threshold_profile(_samples(spark, d)).select("modality", "threshold", "selection_rule", "n_positive", "n_negative", "overlap_hint", "usable")
+    """The methods, one of them again with its positives only, and again without scores: what lacks data is not usable."""
+    s = _samples(spark, d)
+    one = s.where("modality = 'V-C'")
+    s = s.unionByName(one.where("is_positive").withColumn("modality", F.lit("positives"))).unionByName(one.withColumns({"modality": F.lit("unscored"), "score": F.lit(None).cast("double")}))
+    return calibration.threshold_profile(s).select("modality", "threshold", "selection_rule", "n_positive", "n_negative", "overlap_hint", "usable")
 
 
 _RANKED = "ranking AS (SELECT candidate_id, method, CASE WHEN i = 1 + candidate_id % 7 THEN identity ELSE identity || '-' || i END AS parent, i AS rank FROM scored, (SELECT unnest(range(1, 11)) AS i) WHERE score IS NOT NULL)"
