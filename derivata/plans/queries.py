@@ -826,17 +826,9 @@ def registry_proofs(spark, d):
 _SEED, _AT = bytes(range(32)), "2024-06-01T00:00:00+00:00"
 
 
-@query("""WITH a AS (SELECT s_suppkey AS k, s_suppkey % 90 AS media FROM supplier), c AS (SELECT c_custkey AS candidate, c_custkey % 3 AS kind, c_custkey % 120 AS media, c_custkey // 3 % 140 AS child FROM customer),
-e AS (SELECT candidate, count(k) AS n FROM c LEFT JOIN a ON kind = 0 AND a.media = c.media GROUP BY candidate),
-l AS (SELECT candidate, count(k) AS n, count(CASE WHEN k % 6 = 0 AND k % 4 <> 0 THEN k END) AS granted FROM c LEFT JOIN a ON kind = 1 AND a.k = c.child AND k % 3 = 0 GROUP BY candidate)
-SELECT candidate, e.n::BIGINT AS n_exact, l.n::BIGINT AS n_lineage, granted::BIGINT AS n_authorized, CASE WHEN e.n > 1 THEN 'exact_registration_conflict' WHEN e.n = 1 THEN 'exact_match' ELSE 'no_exact_match' END AS c1_exact_asset, CASE WHEN l.n > 0 THEN 'recorded' ELSE 'absent' END AS c2_signed_lineage,
-CASE candidate % 10 WHEN 0 THEN 'reviewed_support' WHEN 1 THEN 'ambiguous' ELSE 'not_established' END AS c3_visual_derivation, CASE candidate % 10 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'reviewed_support' ELSE 'not_established' END AS c4_audio_derivation, 'not_evaluated' AS c5_transcript_derivation, 'not_evaluated' AS c6_watermark_attribution,
-CASE WHEN granted > 0 THEN 'valid_record' ELSE 'unknown' END AS c7_authorization, 'not_evaluated' AS c8_publication, 'not_determined' AS c9_ownership, 0::BIGINT AS unproven FROM e JOIN l USING (candidate)""")
-def registry_checks(spark, d):
-    """Suppliers register (bytes shared by some), some have a derived child, some of these are authorized, and some of the
-    authorizations are revoked; customers' candidates are checked against the tree of the registry, and their receipts are
-    verified again."""
-    pem = signatures.pem(signatures.public_key(_SEED))
+def _registered(spark, d):
+    """Assets, derivatives, authorizations and candidates: suppliers register (bytes shared by some), some have a derived
+    child, some of these are authorized, and some of the authorizations are revoked; customers have candidates."""
     word = lambda kind, x: F.sha2(F.concat(F.lit(kind), x.cast("string")), 256)
     key = F.col("s_suppkey")
     suppliers = fx.table(spark, d, "supplier").select("s_suppkey", "s_name")
@@ -851,12 +843,27 @@ def registry_checks(spark, d):
     spans = F.array(F.struct(F.lit(0.0).alias("a"), F.lit(4.0).alias("b")))
     derived = checkpointed(registry.derive(asked.select("parent_id", "child_sha256", spans.alias("intervals"), F.array(F.lit("crop")).alias("transformations"), "authorization_id"), assets, granted, _SEED, _AT)[0])
     authorizations = evidence.without_revoked(granted, revoked)
-    leaves = checkpointed(registry.tree_leaves(assets))
-    nodes = tree.nodes_of(leaves, 1)
-    head = registry.tree_head(nodes, 1, _SEED, _AT).first().envelope
     c = F.col("c_custkey")
     digest = F.when(c % 3 == 0, word("media", c % 120)).when(c % 3 == 1, word("child", F.floor(c / 3) % 140)).otherwise(word("new", c))
     candidates = fx.table(spark, d, "customer").select(c.alias("candidate_id"), digest.alias("sha256"), F.lit("clip.mp4").alias("filename"), F.lit(None).cast("string").alias("features_sha256"))
+    return assets, derived, authorizations, candidates
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, s_suppkey % 90 AS media FROM supplier), c AS (SELECT c_custkey AS candidate, c_custkey % 3 AS kind, c_custkey % 120 AS media, c_custkey // 3 % 140 AS child FROM customer),
+e AS (SELECT candidate, count(k) AS n FROM c LEFT JOIN a ON kind = 0 AND a.media = c.media GROUP BY candidate),
+l AS (SELECT candidate, count(k) AS n, count(CASE WHEN k % 6 = 0 AND k % 4 <> 0 THEN k END) AS granted FROM c LEFT JOIN a ON kind = 1 AND a.k = c.child AND k % 3 = 0 GROUP BY candidate)
+SELECT candidate, e.n::BIGINT AS n_exact, l.n::BIGINT AS n_lineage, granted::BIGINT AS n_authorized, CASE WHEN e.n > 1 THEN 'exact_registration_conflict' WHEN e.n = 1 THEN 'exact_match' ELSE 'no_exact_match' END AS c1_exact_asset, CASE WHEN l.n > 0 THEN 'recorded' ELSE 'absent' END AS c2_signed_lineage,
+CASE candidate % 10 WHEN 0 THEN 'reviewed_support' WHEN 1 THEN 'ambiguous' ELSE 'not_established' END AS c3_visual_derivation, CASE candidate % 10 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'reviewed_support' ELSE 'not_established' END AS c4_audio_derivation, 'not_evaluated' AS c5_transcript_derivation, 'not_evaluated' AS c6_watermark_attribution,
+CASE WHEN granted > 0 THEN 'valid_record' ELSE 'unknown' END AS c7_authorization, 'not_evaluated' AS c8_publication, 'not_determined' AS c9_ownership, 0::BIGINT AS unproven FROM e JOIN l USING (candidate)""")
+def registry_checks(spark, d):
+    """Suppliers register (bytes shared by some), some have a derived child, some of these are authorized, and some of the
+    authorizations are revoked; customers' candidates are checked against the tree of the registry, and their receipts are
+    verified again."""
+    pem = signatures.pem(signatures.public_key(_SEED))
+    assets, derived, authorizations, candidates = _registered(spark, d)
+    leaves = checkpointed(registry.tree_leaves(assets))
+    nodes = tree.nodes_of(leaves, 1)
+    head = registry.tree_head(nodes, 1, _SEED, _AT).first().envelope
     state = lambda a, b: F.when(F.col("candidate_id") % 10 == a, "reviewed_support").when(F.col("candidate_id") % 10 == b, "ambiguous")
     reviews = candidates.where("candidate_id % 10 < 2").select("candidate_id", state(0, 1).alias("visual_state"), state(1, 0).alias("audio_state"))
     checked = checkpointed(registry.check_by_proofs(candidates, assets, nodes, leaves, head, derived, authorizations, _SEED, pem, _AT, reviews))
@@ -953,3 +960,36 @@ def digest_store(spark, d):
     store.put(docs)
     asked = docs.where("doc_id % 100 = 0").select(F.sha2("content", 256).alias("digest")).where("digest IS NOT NULL")
     return store.get(asked).select("digest", F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query("""SELECT 'resigned' AS variant, 'manifest_signer' AS rule, count(*)::BIGINT AS n FROM supplier WHERE s_suppkey % 7 = 0 HAVING count(*) > 0 UNION ALL SELECT 'resigned', 'registry_snapshot', 1 UNION ALL SELECT 'resigned', 'derivative_record', 1
+UNION ALL SELECT 'lost', 'registry_snapshot', 1 FROM supplier WHERE s_suppkey % 10 = 5 GROUP BY ALL UNION ALL SELECT 'broken', 'event_chain', 1 UNION ALL SELECT 'forged', 'receipt_signer', 1 UNION ALL SELECT 'forged', 'receipt_not_in_log', 1""")
+def bundle_checks(spark, d):
+    """One checked candidate's bundle for others to verify, and the rules that it breaks: none as it is; with manifests of
+    another signer, without some of the manifests, with a changed event, and with a changed receipt."""
+    pem, other = signatures.pem(signatures.public_key(_SEED)), bytes(range(1, 33))
+    assets, derived, authorizations, candidates = _registered(spark, d)
+    one = checkpointed(registry.check(candidates.where("candidate_id = 1").withColumn("candidate_id", F.col("candidate_id").cast("string")), assets, derived, authorizations, _SEED, pem, _AT))
+    digest = canonical.digest_column
+    events = assets.select(F.lit("log").alias("log"), F.lit(1).alias("at"), F.concat_ws("|", F.lit("origin_registered"), "asset_id", digest(F.col("manifest"))).alias("body")).unionByName(one.select(F.lit("log").alias("log"), F.lit(2).alias("at"), F.concat_ws("|", F.lit("candidate_verified"), "candidate_id", digest(F.col("receipt"))).alias("body")))
+    chain = checkpointed(evidence.build_chain(events, "log", "at", "body"))
+    last = chain.join(chain.agg(F.max("seq").alias("seq")), "seq").select("log", "seq", "event_hash")
+    marks = checkpointed(evidence.checkpoints(last, other, _AT))
+    none = spark.createDataFrame([], "digest string, content string")
+    whole = registry.bundle(one, assets, none, derived, authorizations, chain, marks)
+    key = F.regexp_extract("filename", r"(\d+)$", 1).cast("int")
+    numbered_ = assets.select("asset_id", key.alias("k"))
+    kept = whole["manifests"].join(numbered_, "asset_id")
+    payload = F.get_json_object("manifest", "$.payload")
+    variants = {
+        "whole": {},
+        "resigned": {"manifests": kept.withColumn("manifest", F.coalesce(signatures.signed(F.when(F.col("k") % 7 == 0, payload), other), F.col("manifest"))).drop("k")},
+        "lost": {"manifests": kept.where("k % 10 <> 5").drop("k")},
+        "broken": {"chain": chain.withColumn("body", F.when(F.col("seq") == 3, "changed").otherwise(F.col("body")))},
+        "forged": {"receipt": whole["receipt"].withColumn("receipt", F.replace("receipt", F.lit("recorded"), F.lit("absent")))},
+    }
+    out = [registry.check_bundle({**whole, **change}, pem, signatures.pem(signatures.public_key(other))).select(F.lit(name).alias("variant"), "rule", "key") for name, change in variants.items()]
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.groupBy("variant", "rule").agg(F.count("*").alias("n"))
