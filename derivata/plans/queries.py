@@ -963,7 +963,7 @@ def digest_store(spark, d):
 
 
 @query("""SELECT 'resigned' AS variant, 'manifest_signer' AS rule, count(*)::BIGINT AS n FROM supplier WHERE s_suppkey % 7 = 0 HAVING count(*) > 0 UNION ALL SELECT 'resigned', 'registry_snapshot', 1 UNION ALL SELECT 'resigned', 'derivative_record', 1
-UNION ALL SELECT 'lost', 'registry_snapshot', 1 FROM supplier WHERE s_suppkey % 10 = 5 GROUP BY ALL UNION ALL SELECT 'broken', 'event_chain', 1 UNION ALL SELECT 'forged', 'receipt_signer', 1 UNION ALL SELECT 'forged', 'receipt_not_in_log', 1""")
+UNION ALL SELECT 'lost', 'registry_snapshot', 1 FROM supplier WHERE s_suppkey % 10 = 5 HAVING count(*) > 0 UNION ALL SELECT 'broken', 'event_chain', 1 UNION ALL SELECT 'forged', 'receipt_signer', 1 UNION ALL SELECT 'forged', 'receipt_not_in_log', 1""")
 def bundle_checks(spark, d):
     """One checked candidate's bundle for others to verify, and the rules that it breaks: none as it is; with manifests of
     another signer, without some of the manifests, with a changed event, and with a changed receipt."""
