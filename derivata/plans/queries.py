@@ -993,3 +993,37 @@ def bundle_checks(spark, d):
     for more in out[1:]:
         found = found.unionByName(more)
     return found.groupBy("variant", "rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'S' || lpad(doc_id::VARCHAR, 9, '0') AS asset_id, doc_id::VARCHAR AS path, sha256(coalesce(text, '')) AS sha256, 'source' AS role, 'evaluation' AS partition FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 = 1")
+def partition_sources(spark, d):
+    """The registry of one partition: its sources only, each file's digest held against the registered one."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    role, part = F.when(F.col("doc_id") % 4 == 0, "negative").otherwise("source"), F.when(F.col("doc_id") % 3 == 1, "evaluation").otherwise("calibration")
+    assets = docs.select(canonical.padded_id("S", F.col("doc_id"), 9).alias("asset_id"), F.col("doc_id").cast("string").alias("path"), "sha256", role.alias("role"), part.alias("partition"))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), "sha256")
+    return readers.registry_of(assets, files, "evaluation").select("asset_id", "path", "sha256", "role", "partition")
+
+
+@query("SELECT l.doc_id, l.quality::BIGINT AS quality, (CASE WHEN l.doc_id % 10 = 0 THEN 1 - l.toxic ELSE l.toxic END)::BIGINT AS toxic FROM labels l WHERE l.doc_id % 10 = 0 OR l.doc_id % 7 = 0")
+def label_drift(spark, d):
+    """Streamed labels that differ from the fixed design (every tenth does), or that it does not have (every seventh)."""
+    fixed = fx.table(spark, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("quality"), F.col("toxic").cast("bigint").alias("toxic"))
+    streamed = fixed.withColumn("toxic", F.when(F.col("doc_id") % 10 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    return scoring.label_drift(streamed, fixed.where("doc_id % 7 <> 0"), "doc_id", ["quality", "toxic"])
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'not evaluated' ELSE format('{:.3f}', n_chars / 8.0) END AS shown, least(ceil((n_chars % 40) / 8.0 * 2), 7)::INTEGER AS n_frames, coalesce(least(ceil((n_chars % 40) / 8.0 * 2), 7) - 1, 0)::DOUBLE / 2 AS last_frame, bit_count(xor(doc_id, n_chars))::INTEGER AS differing, source AS nested_source, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE source END AS merged, doc_id % 5 <> 0 AS is_digest FROM documents WHERE n_chars % 40 > 0""")
+def small_functions(spark, d):
+    """Texts of numbers, frame times, differing bits of hexadecimal hashes, nested fields, merged maps and digest tests."""
+    docs = fx.table(spark, d, "documents").where("n_chars % 40 > 0")
+    times = canonical.frame_times(F.col("n_chars") % 40 / F.lit(8.0), 2.0, 7)
+    document = F.to_json(F.struct(F.struct("source").alias("meta")))
+    first = F.create_map(F.lit("k"), F.col("source"))
+    second = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("k"), F.lit("second"))).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    digest = F.when(F.col("doc_id") % 5 == 0, "no digest").otherwise(F.sha2(F.col("source"), 256))
+    return docs.select(
+        "doc_id", canonical.three_decimals(F.when(F.col("n_chars") % 3 != 0, F.col("n_chars") / F.lit(8.0))).alias("shown"), F.size(times).alias("n_frames"), F.try_element_at(times, F.lit(-1)).alias("last_frame"),
+        bits.hamming_hex(bits.hash_to_hex(F.col("doc_id")), bits.hash_to_hex(F.col("n_chars"))).alias("differing"), canonical.nested(document, "meta.source", "none").alias("nested_source"),
+        F.element_at(canonical.merged_maps(first, second), "k").alias("merged"), canonical.is_digest(digest).alias("is_digest"),
+    )
