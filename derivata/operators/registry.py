@@ -33,6 +33,11 @@ def said(envelope: str | Column, name: str) -> Column:
     return F.get_json_object(envelope, f"$.payload.{name}")
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt evenly to as many tasks as a shuffle has: signing and verifying take time by rows, not by bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _payload(kind: str, **fields: Column) -> Column:
     return F.to_json(F.struct(F.lit(SCHEMA).alias("schema"), F.lit(kind).alias("document_type"), *[c.alias(k) for k, c in fields.items()]), KEEP_NULLS)
 
@@ -59,7 +64,7 @@ def register(uploads: DataFrame, assets: DataFrame, seed: bytes, at: str) -> tup
     fresh = fresh.join(same, "sha256", "left").withColumns({"created_at": F.lit(at), "asset_id": _id("asset", "sha256", "filename", "assertion"), "fingerprint_status": F.when(F.col("features_sha256").isNull(), "not_indexed").otherwise("indexed")})
     fields = {c: F.col(c) for c in ("asset_id", "duration_s", "fingerprint_status", "first_conflict")}
     payload = _payload("origin_manifest", exact_media_sha256=F.col("sha256"), media_size_bytes=F.col("size_bytes"), original_filename=F.col("filename"), registrant_assertion=F.col("assertion"), registered_at=F.col("created_at"), feature_artifact_sha256=F.col("features_sha256"), registration_conflicts=F.coalesce("n_conflicts", F.lit(0)), claim_scope=F.lit("These bytes were registered with an assertion of origin; creation and ownership are not established."), **fields)
-    made = fresh.join(assets.select("asset_id"), "asset_id", "left_anti").withColumn("manifest", signed(payload, seed))
+    made = _dealt(fresh.join(assets.select("asset_id"), "asset_id", "left_anti"), "asset_id").withColumn("manifest", signed(payload, seed))
     return made.select("asset_id", "sha256", "filename", "size_bytes", "duration_s", "created_at", "features_sha256", "fingerprint_status", "manifest"), judged.where("reason IS NOT NULL")
 
 
@@ -90,7 +95,7 @@ def authorize(requests: DataFrame, assets: DataFrame, seed: bytes, at: str) -> t
     good = judged.where("reason IS NULL").drop("reason").withColumns({"valid_from": utc(begin), "valid_until": utc(end)})
     good = good.withColumn("authorization_id", _id("auth", "parent_id", "child_sha256", "grantee", "valid_from", "valid_until", "scope_note")).dropDuplicates(["authorization_id"])
     payload = _payload("authorization_record", authorization_id=F.col("authorization_id"), parent_asset_id=F.col("parent_id"), child_sha256=F.col("child_sha256"), grantee_assertion=F.trim("grantee"), valid_from=F.col("valid_from"), valid_until=F.col("valid_until"), scope_note=F.trim("scope_note"), signed_at=F.lit(at))
-    out = good.withColumns({"envelope": signed(payload, seed), "revoked_at": F.lit(None).cast("string")})
+    out = _dealt(good, "authorization_id").withColumns({"envelope": signed(payload, seed), "revoked_at": F.lit(None).cast("string")})
     return out.select("authorization_id", "parent_id", "child_sha256", "valid_from", "valid_until", "envelope", "revoked_at"), judged.where("reason IS NOT NULL")
 
 
@@ -107,7 +112,7 @@ def derive(requests: DataFrame, assets: DataFrame, authorizations: DataFrame, se
     good = judged.where("reason IS NULL").withColumn("derivative_id", _id("derivative", "parent_id", "child_sha256", "intervals", "transformations", "authorization_id")).dropDuplicates(["derivative_id"])
     pairs = F.transform("intervals", lambda x: F.array(x["a"], x["b"]))
     payload = _payload("derivative_manifest", derivative_id=F.col("derivative_id"), parent_asset_id=F.col("parent_id"), parent_manifest_sha256=F.col("parent_manifest_sha256"), child_sha256=F.col("child_sha256"), declared_source_intervals_s=pairs, declared_transformations=F.col("transformations"), authorization_id=F.col("authorization_id"), signed_at=F.lit(at))
-    out = good.withColumn("envelope", signed(payload, seed))
+    out = _dealt(good, "derivative_id").withColumn("envelope", signed(payload, seed))
     return out.select("derivative_id", "parent_id", "child_sha256", "authorization_id", "envelope"), judged.where("reason IS NOT NULL").select(*requests.columns, "reason")
 
 
@@ -216,23 +221,27 @@ def check_by_proofs(candidates: DataFrame, assets: DataFrame, nodes: DataFrame,
     proof = F.struct(F.col("asset_id"), F.col("digest"), F.col("path"))
     exact = known.groupBy("sha256").agg(F.min(proof).alias("exact_proof"))
     of = records.select(F.col("child_sha256").alias("sha256"), F.col("parent_id").alias("asset_id")).join(known.select("asset_id", "digest", "path"), "asset_id").groupBy("sha256").agg(F.min(proof).alias("parent_proof"))
-    rows = candidates.join(stated.drop("sha256"), "candidate_id").join(exact, "sha256", "left").join(of, "sha256", "left")
+    # Dealt before the proofs make rows long.
+    rows = _dealt(candidates.join(stated.drop("sha256"), "candidate_id"), "candidate_id").join(exact, "sha256", "left").join(of, "sha256", "left")
     signed_head = json.loads(head)["payload"]
     payload = _payload("verification_receipt", candidate_id=F.col("candidate_id"), candidate_sha256=F.col("sha256"), candidate_filename=base_name(F.col("filename")), checked_at=F.lit(at), registry_count=F.lit(signed_head["n_assets"]), registry_root=F.lit(signed_head["root"]), feature_artifact_sha256=F.col("features_sha256"), n_exact=F.col("n_exact"), first_exact=F.col("first_exact"), n_lineage=F.col("n_lineage"), n_authorized=F.col("n_authorized"), claims=F.struct(*CLAIMS), proofs=F.struct("exact_proof", "parent_proof"))
     return rows.withColumn("receipt", signed(payload, seed)).select(*candidates.columns, "n_exact", "first_exact", "n_lineage", "n_authorized", *CLAIMS, "receipt")
 
 
-def unproven_receipts(checked: DataFrame, trusted: str) -> DataFrame:
-    """candidate_id of the receipts that are not the trusted signer's, or that have a proof that does not give the root
-    they name, or an exact match or a derivation without one. Needs no registry."""
+def unproven(receipt: str, trusted: str) -> Column:
+    """Whether a receipt is not the trusted signer's, or has a proof that does not give the root it names, or an exact match
+    or a derivation without one. Needs no registry, and no other row."""
     kind = "struct<asset_id: string, digest: string, path: array<string>>"
-    both = F.from_json(F.get_json_object("receipt", "$.payload.proofs"), f"exact_proof {kind}, parent_proof {kind}")
-    top = said("receipt", "registry_root")
+    both = F.from_json(F.get_json_object(receipt, "$.payload.proofs"), f"exact_proof {kind}, parent_proof {kind}")
+    top = said(receipt, "registry_root")
     holds = lambda p: F.coalesce(tree.names_place(p["asset_id"], p["path"]) & (tree.proven_root(p["digest"], p["path"]) == top), F.lit(False))
-    needed = lambda n: F.coalesce(said("receipt", n).try_cast("bigint"), F.lit(0)) > 0
-    rows = checked.withColumn("_p", both)
-    bad = ~sound_column(F.col("receipt"), trusted) | (needed("n_exact") & ~holds(F.col("_p.exact_proof"))) | (needed("n_lineage") & ~holds(F.col("_p.parent_proof")))
-    return rows.where(bad).select("candidate_id")
+    needed = lambda n: F.coalesce(said(receipt, n).try_cast("bigint"), F.lit(0)) > 0
+    return ~sound_column(F.col(receipt), trusted) | (needed("n_exact") & ~holds(both["exact_proof"])) | (needed("n_lineage") & ~holds(both["parent_proof"]))
+
+
+def unproven_receipts(checked: DataFrame, trusted: str) -> DataFrame:
+    """candidate_id of the receipts that are :func:`unproven`."""
+    return checked.where(unproven("receipt", trusted)).select("candidate_id")
 
 
 def bundle(candidate: DataFrame, assets: DataFrame, artifacts: DataFrame, derivatives: DataFrame, authorizations: DataFrame, chain: DataFrame, marks: DataFrame) -> dict[str, DataFrame]:
@@ -258,27 +267,30 @@ def check_bundle(parts: dict[str, DataFrame], trusted: str, trusted_checkpoint:
     from .evidence import chain_violations
 
     rule = lambda df, name, key: df.select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
-    receipt, manifests, artifacts = parts["receipt"], parts["manifests"], parts["artifacts"]
+    receipt, artifacts = parts["receipt"], parts["artifacts"]
+    # All that the rules ask of the manifests, once.
+    facts = [said("manifest", n).alias(n) for n in ("asset_id", "exact_media_sha256", "feature_artifact_sha256")]
+    read = _dealt(parts["manifests"], "asset_id").select(F.col("asset_id").alias("id"), "created_at", *facts, digest_column(F.col("manifest")).alias("sha256"), sound_column(F.col("manifest"), trusted).alias("sound"))
+    manifests = checkpointed(read)
     out = [rule(receipt.where(~sound_column(F.col("receipt"), trusted)), "receipt_signer", "candidate_id")]
     out.append(rule(receipt.where(~said("receipt", "candidate_sha256").eqNullSafe(F.col("sha256"))), "candidate_bytes", "candidate_id"))
-    out.append(rule(manifests.where(~sound_column(F.col("manifest"), trusted)), "manifest_signer", "asset_id"))
-    out.append(rule(manifests.where(~said("manifest", "asset_id").eqNullSafe(F.col("asset_id"))), "manifest_identity", "asset_id"))
-    digests = manifests.select(F.col("asset_id").alias("id"), "created_at", digest_column(F.col("manifest")).alias("sha256"))
-    snapshot = snapshot_digest(digests)
+    out.append(rule(manifests.where("NOT sound"), "manifest_signer", "id"))
+    out.append(rule(manifests.where(~F.col("asset_id").eqNullSafe(F.col("id"))), "manifest_identity", "id"))
+    snapshot = snapshot_digest(manifests.select("id", "created_at", "sha256"))
     bound = receipt.crossJoin(snapshot)  # one row each
     out.append(rule(bound.where(~(said("receipt", "registry_sha256").eqNullSafe(F.col("digest")) & said("receipt", "registry_count").try_cast("bigint").eqNullSafe(F.col("n_assets")))), "registry_snapshot", "candidate_id"))
     # Features: there, unspoilt, and of the media that their owner names.
-    owners = manifests.select(said("manifest", "feature_artifact_sha256").alias("digest"), said("manifest", "exact_media_sha256").alias("media"), F.col("asset_id").alias("owner")).union(receipt.select("features_sha256", "sha256", "candidate_id")).where("digest IS NOT NULL")
+    owners = manifests.select(F.col("feature_artifact_sha256").alias("digest"), F.col("exact_media_sha256").alias("media"), F.col("id").alias("owner")).union(receipt.select("features_sha256", "sha256", "candidate_id")).where("digest IS NOT NULL")
     held = owners.join(artifacts.select("digest", F.get_json_object("content", "$.media_sha256").alias("of"), F.lit(True).alias("there")), "digest", "left")
     out += [rule(held.where("there IS NULL"), "feature_missing", "owner"), rule(held.where(F.col("there").isNotNull() & ~F.col("of").eqNullSafe(F.col("media"))), "feature_media", "owner"), rule(damaged(artifacts), "artifact_digest", "digest")]
     # The first claim again, from the manifests.
-    exact = manifests.select(said("manifest", "exact_media_sha256").alias("sha256"), "asset_id").join(receipt.select("sha256", "candidate_id"), "sha256").groupBy("candidate_id").agg(F.countDistinct("asset_id").alias("n"))
+    exact = manifests.select(F.col("exact_media_sha256").alias("sha256"), "id").join(receipt.select("sha256", "candidate_id"), "sha256").groupBy("candidate_id").agg(F.countDistinct("id").alias("n"))
     again = receipt.join(exact, "candidate_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     state = F.when(F.col("n") > 1, "exact_registration_conflict").when(F.col("n") == 1, "exact_match").otherwise("no_exact_match")
     out.append(rule(again.where(~(said("receipt", "claims.c1_exact_asset").eqNullSafe(state) & said("receipt", "n_exact").try_cast("bigint").eqNullSafe(F.col("n")))), "exact_claim", "candidate_id"))
     # Records of lineage and authorization, and as many as the receipt has.
     named = receipt.select(F.col("sha256").alias("_child")).limit(1)
-    owned = manifests.select(F.col("asset_id").alias("_parent"), digest_column(F.col("manifest")).alias("_digest"))
+    owned = manifests.select(F.col("id").alias("_parent"), F.col("sha256").alias("_digest"))
     d = parts["derivatives"].crossJoin(named).withColumn("_parent", said("envelope", "parent_asset_id")).join(owned, "_parent", "left")
     good = sound_column(F.col("envelope"), trusted) & said("envelope", "child_sha256").eqNullSafe(F.col("_child")) & F.coalesce(said("envelope", "parent_manifest_sha256") == F.col("_digest"), F.lit(False))
     out.append(rule(d.where(~good), "derivative_record", "derivative_id"))

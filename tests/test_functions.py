@@ -109,3 +109,22 @@ def test_signatures(spark):
     b64 = lambda x: base64.b64encode(x).decode()
     df = spark.createDataFrame([("m", b64(key), b64(signatures.sign(seed, b"m"))), ("n", b64(key), b64(signatures.sign(seed, b"m"))), ("m", "!", None)], "m string, k string, s string")
     assert [r.v for r in df.select(signatures.verified(F.col("m"), F.col("k"), F.col("s")).alias("v")).collect()] == [True, False, False]
+
+
+def test_signing_and_verifying_by_tables(spark, monkeypatch):
+    seed = bytes(range(32))
+    key, other = signatures.public_key(seed), signatures.public_key(bytes(range(1, 33)))
+    good = signatures.sign(seed, b"m")
+    assert signatures.verify(key, b"m", good)
+    added = []
+    monkeypatch.setattr(signatures, "_add", lambda p, q: added.append(1))
+    # Tables stand now, so no point is doubled again.
+    assert signatures.sign(seed, b"m") == good and signatures.verify(key, b"m", good) and not signatures.verify(key, b"n", good) and not added
+    monkeypatch.undo()
+    assert not signatures.verify(other, b"m", good) and signatures.verify(key, b"m", good, signatures.WIDE)
+    # A key of order 1 signs anything with s = 0 and the neutral point; no other bytes of that point count.
+    neutral, twice = (1).to_bytes(32, "little"), (1 + signatures.P).to_bytes(32, "little")
+    assert signatures.verify(neutral, b"m", neutral + bytes(32)) and not signatures.verify(neutral, b"m", twice + bytes(32)) and not signatures.verify(twice, b"m", neutral + bytes(32))
+    text = signatures.signed(F.lit('{"a":1}'), seed)
+    used = spark.range(1).withColumn("e", text).select("e", signatures.sound_column(F.col("e")).alias("s"))
+    assert used.first().s and used._jdf.queryExecution().optimizedPlan().toString().count("run(") == 2
