@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import checkpointed
+
 HASH_BITS = 64
 #: Queries in a block, and registered hashes in a pack: what a worker compares at one time.
 BLOCK, PACK = 4096, 1 << 16
 #: Blocks of queries whose bests a worker holds.
 HELD = 64
+#: Rows of a side of a banded join in a task, on the average.
+JOINED = 1 << 19
 
 
 def ranked(scores: DataFrame, by: list[str], k: int, score: str = "score", tie: str = "parent") -> DataFrame:
@@ -119,7 +123,11 @@ def banded_pairs(left: DataFrame, right: DataFrame, most: int = 3, bands: int =
         keys = F.array(*[F.col("hash").bitwiseAND(F.lit(m)) for m in choices])
         return df.where("hash IS NOT NULL").select(F.col("id").alias(f"{name}_id"), F.col("hash").alias(f"{name}_hash"), F.posexplode(keys).alias("choice", "key"))
 
-    pairs = split(left, "left").join(split(right, "right"), ["choice", "key"])
+    # Rows of few bytes, so tasks are counted by rows: shuffled bytes say little of what sorting them takes.
+    rows = max(left.count(), right.count()) * len(choices)
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // JOINED))
+    dealt = lambda df: df.repartition(tasks, "choice", "key")
+    pairs = dealt(split(left, "left")).join(dealt(split(right, "right")), ["choice", "key"])
     x = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(choices)])
     return pairs.where((F.bit_count(x) <= most) & (F.col("choice") == first)).select("left_id", "right_id", F.bit_count(x).cast("bigint").alias("distance"))
@@ -129,7 +137,7 @@ def near_links(rows: DataFrame, most: int = 3, bands: int = 6) -> DataFrame:
     """(id, class_id, n_links, nearest) of rows (id, hash): the least id of the same hash, how many other ids are within
     ``most`` bits, and the least distance to another hash, or null. Only distinct hashes are paired, and each pair is
     counted, so copies make no pairs. Null hashes link to nothing and are classes of their own."""
-    classes = rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("n"))
+    classes = checkpointed(rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("n")))
     named = classes.select(F.col("class_id").alias("id"), "hash")
     half = banded_pairs(named, named, most, bands).where("left_id <> right_id")
     sizes = classes.select(F.col("class_id").alias("right_id"), "n")

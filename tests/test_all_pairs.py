@@ -75,3 +75,14 @@ def test_votes_of_all(spark, monkeypatch):
     rows = lambda df: sorted(map(tuple, df.select("cand", "src", "i", "j", "votes").collect()))
     got = rows(features.votes_of_all(c, s))
     assert got and got == rows(features.frame_votes(s.crossJoin(c)))
+
+
+def test_banded_joins_have_tasks_by_rows(spark, monkeypatch):
+    from derivata.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "JOINED", 500)
+    rows = spark.range(200).select("id", F.xxhash64("id").alias("hash"))
+    pairs = retrieval.banded_pairs(rows, rows)
+    # 200 hashes and 20 choices of bands, 500 rows a task.
+    assert "8), REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.where("left_id = right_id").count() == 200
